@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import exact_dedup, mixing
+from clauselake.llm import bpe, exact_dedup, langid, mixing, near_dedup, tokenfile
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,12 +20,39 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(_documents(spark, sf_dir), width=4, percent=80)
+
+
+def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = bpe.Vocabulary(spark, f"file:{public_tokenizers.path('byte_bpe_50k.tiktoken')}", public_tokenizers.PATTERN)
+    return bpe.round_trip(_documents(spark, sf_dir), vocabulary)
+
+
+def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.token_table(_documents(spark, sf_dir), f"file:{public_tokenizers.path('byte_bpe_50k.json')}", end_id=2)
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    found = langid.identify(_documents(spark, sf_dir), train=~F.coalesce(held_out, F.lit(True)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op6_wavelet_shards": op6_wavelet_shards,
+    "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -7,8 +7,11 @@ and later stages read it column by column.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +45,15 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
 def ascii_lower(text):
     """Lower-case A-Z only; null stays null."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@contextmanager
+def no_cycles() -> Iterator[None]:
+    """Code in a task that makes many small objects and no cycles; the collector would visit them all again and again."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
