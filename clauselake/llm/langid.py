@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Code point classes: letters, everything else.
+#: Language of texts without a letter.
 UNKNOWN = "und"
 
 
@@ -60,7 +60,6 @@ class Alphabet:
 
     def __init__(self, common: str) -> None:
         self.common = common
-        self.table: dict[int, int] = {}
         self.lut = np.full(0x110000, 255, np.uint8)
 
     def codes(self, points: np.ndarray) -> np.ndarray:
@@ -70,7 +69,7 @@ class Alphabet:
                 c = chr(p)
                 low = c.lower()[:1]
                 at = self.common.find(low)
-                self.lut[p] = at + 2 if at >= 0 else int(unicodedata.category(c)[0] in "LM")
+                self.lut[p] = at + 2 if at >= 0 else int(unicodedata.category(c)[0] == "L")
             out = self.lut[points]
         return out
 
@@ -145,7 +144,8 @@ class Parser:
             tables.append(t)
             at += len(t)
         # One table for all: a row's place in it, doubled, plus the flag.
-        self.table = np.concatenate([(t + 2 * s).astype(np.int32) for t, s in zip(tables, self.starts, strict=True)]) if tables else np.zeros(0, np.int32)
+        width = np.int32 if 2 * at < 2**31 else np.int64
+        self.table = np.concatenate([t.astype(width) + width(2 * s) for t, s in zip(tables, self.starts, strict=True)]) if tables else np.zeros(0, width)
 
     @staticmethod
     def _points(text: str) -> np.ndarray:
