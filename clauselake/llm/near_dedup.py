@@ -14,12 +14,7 @@ shared part of their sets is at least ``percent`` of their union.
 3. Classes that share a key are compared by two bits of each symbol and by set size,
    then by their full sets, which are made from the texts again.
 
-Pairs are not listed within a key. First every class is compared with the smallest
-class among those it shares keys with. Then only keys that still hold different
-components are looked at; the pairs across components that remain are few, and are
-all compared. Should they be many (more than ``cross_budget`` for each row of such
-keys), rounds with 4, 16, 64, ... leaders a key come first; what they link is
-no longer across. No pair is dropped: the last step compares all that are left.
+Pairs are not listed within a key; see ``grouping.linked``.
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text of fewer words than a shingle is one shingle. A row with a null id is reported
@@ -38,15 +33,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.components import components
+from clauselake.llm.grouping import confirmed, linked
 from clauselake.llm.shared import written
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 5, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Symbols whose two low bits may differ: 9 are expected at 0.8, with a deviation of 2.8.
 SKETCH_DISTANCE = 24
-#: Members that meet one copy of their leader's text.
-SHARE = 64
 
 _RANDOM = np.random.default_rng(20240607)
 _MULTIPLY = _RANDOM.integers(1, 2**63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -138,47 +131,15 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     return several_texts | ((F.bit_count(differ) <= SKETCH_DISTANCE) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """Those of ``pairs`` (node, leader) whose full sets are similar enough, as links u, v.
-
-    Members of a leader are dealt out in shares, each with one copy of the leader's
-    text; a share is compared row by row behind its leader.
-    """
-    pairs = written(pairs, "pairs")
-    shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    members = pairs.join(shares, "leader").select(F.col("node").alias("id"), "leader", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"))
-    heads = shares.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = members.unionByName(heads).join(texts, "id").repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, leaders = None, []  # an id can stand for several texts
-        for batch in batches:
-            u, v = [], []
-            for node, leader, share, member, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                if (leader, share) != group:
-                    group, leaders = (leader, share), []
-                s = shingle_set(text, width)
-                if not member:
-                    leaders.append(s)
-                    continue
-                for other in leaders:
-                    a, b = (s, other) if len(s) <= len(other) else (other, s)
-                    if len(a) == 0 or 100 * len(a) < percent * len(b):
-                        continue
-                    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-                    shared = int(np.count_nonzero(b[at] == a))
-                    if 100 * shared >= percent * (len(a) + len(b) - shared):
-                        u.append(node)
-                        v.append(leader)
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    return met.select("id", "leader", "share", "member", "text").mapInArrow(run, "u long, v long")
-
-
-def _with_sketch(rows: DataFrame, sketches: DataFrame, column: str, name: str) -> DataFrame:
-    return rows.join(sketches.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{name}") for c in ("n", "low", "high", "texts")]), column)
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """The shared part of two sets is ``percent`` of their union or more."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == 0 or 100 * len(a) < percent * len(b):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    shared = int(np.count_nonzero(b[at] == a))
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 50) -> DataFrame:
@@ -189,43 +150,13 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     # An id with several texts passes every comparison of sketches and meets the sets.
     standing = classes.select("set_a", "set_b", "node").where("node is not null")
     keys = prints.join(standing, ["set_a", "set_b"]).where("id = node").select("node", F.explode("keys").alias("key"))
-    # Only keys that several classes share are looked at again.
-    several = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
-    shared = written(keys.join(several, "key").distinct(), "shared-keys")
-
-    pairs = shared.where("node <> leader").select("node", "leader").distinct()
-    likely = _with_sketch(_with_sketch(pairs, sketches, "node", "a"), sketches, "leader", "b").where(_may_link("a", "b", percent))
-    first = likely.groupBy("node").agg(F.min("leader").alias("leader"))
-    links = written(_confirmed(first, docs, width, percent, id_col, text_col), "links")
-    labels = components(links)
-
-    leaders = 1
-    while True:
-        # Rows of keys that still hold several components.
-        placed = shared.select("key", "node").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-        open_rows = written(placed.join(split, "key"), "open-keys")
-        by_root = open_rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-        across = by_root.groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        rows, pairs, largest = across.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.lit(0.0)), F.max("g")).first()
-        if not rows:
-            break
-        last = pairs <= cross_budget * rows or leaders >= largest
-        if last:
-            ahead = open_rows.select("key", F.col("node").alias("leader"), F.col("root").alias("other"))
-            apart = F.col("node") > F.col("leader")
-        else:
-            leaders *= 4
-            dealt = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-            chosen = open_rows.groupBy("key", dealt.alias("d")).agg(F.min("node").alias("leader")).select("key", "leader").distinct()
-            ahead = chosen.join(open_rows.select("key", F.col("node").alias("leader"), F.col("root").alias("other")), ["key", "leader"])
-            apart = F.col("node") != F.col("leader")
-        left = _with_sketch(open_rows, sketches, "node", "a").join(_with_sketch(ahead, sketches, "leader", "b"), "key")
-        met = left.where((F.col("root") != F.col("other")) & apart & _may_link("a", "b", percent)).select("node", "leader").distinct()
-        more = _confirmed(met, docs, width, percent, id_col, text_col)
-        labels = components(labels.unionByName(more))
-        if last:
-            break
+    labels = linked(
+        keys,
+        sketches,
+        lambda a, b: _may_link(a, b, percent),
+        lambda pairs: confirmed(pairs, docs, lambda text: shingle_set(text, width), lambda x, y: _alike(x, y, percent), id_col, text_col),
+        cross_budget,
+    )
 
     rooted = standing.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("component"))
     return (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, exact_dedup, langid, mixing, near_dedup, tokenfile
+from clauselake.llm import bpe, chat, edit_fingerprint, exact_dedup, langid, mixing, near_dedup, pii, tokenfile, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,12 +31,31 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), vocabulary)
 
 
+def op4_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_documents(spark, sf_dir), key="a key of the corpus")
+
+
 def op6_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return tokenfile.token_table(_documents(spark, sf_dir), f"file:{public_tokenizers.path('byte_bpe_50k.json')}", end_id=2)
 
 
+def op7_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.with_edited(_documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = toxicity.score(_documents(spark, sf_dir), labels, usable=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     found = langid.identify(_documents(spark, sf_dir), train=~F.coalesce(held_out, F.lit(True)))
@@ -51,7 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op3_bpe_round_trip": op3_bpe_round_trip,
+    "op4_chat_repair": op4_chat_repair,
+    "op5_pii_surrogates": op5_pii_surrogates,
     "op6_wavelet_shards": op6_wavelet_shards,
+    "op7_edit_fingerprint": op7_edit_fingerprint,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
 }
