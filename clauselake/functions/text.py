@@ -107,7 +107,7 @@ def quality(text: Column | str, script: str = THAI, min_length: int = MIN_TEXT_L
 
 def reason_text(reason: Column, detail: Column) -> Column:
     """The reason as it is shown to people (fixed wording)."""
-    percent = F.format_number(F.round(detail * 100, 1), "0.0")
+    percent = F.format_string("%.1f", detail * 100)
     return (
         F.when(reason == "short", F.concat(F.lit("ข้อความสั้นเกินไป ("), detail.cast("int"), F.lit(" ตัวอักษร) น่าจะเป็นภาพสแกน")))
         .when(reason == "cid", F.lit("พบ (cid:...) ฟอนต์ไม่มีตาราง unicode"))

@@ -86,6 +86,8 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -
     found = None
     for i in range(blocks):
         part = numbered.where(F.col("block") == i).collect()
+        if not part:
+            continue
         ids = [r["query_id"] for r in part]
         matrix = np.array([r["embedding"] for r in part], np.float64).reshape(len(ids), -1)
         best = vectors.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(_best(ids, matrix, k), f"query_id {id_kind}, chunk_id {kind}, score double")
