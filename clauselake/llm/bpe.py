@@ -90,25 +90,21 @@ class Memory:
         self.known: dict = {}
         self.old: dict = {}
 
-    def of(self, wanted: set[str]) -> dict:
-        """A dict that has the values of at least the ``wanted`` pieces, new ones made in one call.
-
-        The caller gives it back to ``forget`` when done.
-        """
-        missing = wanted.difference(self.known)
-        if len(self.known) + len(missing) > self.most:
+    def look_up(self, lists: list[list[str] | None]) -> list[list | None]:
+        """The values of each list's pieces; those not known are made in one call. None stays None."""
+        get = self.known.get
+        found = [None if pieces is None else [*map(get, pieces)] for pieces in lists]
+        gaps = [k for k, values in enumerate(found) if values is not None and None in values]
+        missing = {p for k in gaps for p, value in zip(lists[k], found[k], strict=True) if value is None}
+        got = {p: self.old[p] for p in missing if p in self.old}
+        unknown = [p for p in missing if p not in got]
+        got.update(zip(unknown, self.make(unknown), strict=True))
+        for k in gaps:
+            found[k] = [got[p] if value is None else value for p, value in zip(lists[k], found[k], strict=True)]
+        if len(self.known) > self.most:
             self.old, self.known = self.known, {}
-            missing = wanted
-        known, old = self.known, self.old
-        unknown = [p for p in missing if p not in old]
-        known.update((p, old[p]) for p in missing if p in old)
-        known.update(zip(unknown, self.make(unknown), strict=True))
-        return known
-
-    def forget(self, wanted: set[str]) -> None:
-        """Long pieces are not worth their room."""
-        for p in [p for p in wanted if len(p) > REMEMBERED_CHARS]:
-            self.known.pop(p, None)
+        self.known.update((p, value) for p, value in got.items() if len(p) <= REMEMBERED_CHARS)
+        return found
 
 
 def in_portions(texts: list[str], encode: Callable[[list[str]], list], chars: int = 2_000_000) -> list:
@@ -146,7 +142,7 @@ def piece_text(piece: str) -> str:
 class ByteBpe:
     """Encoder and decoder of one rank file and pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 250_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.decimals = {i: str(i) for i in self.tokens}
@@ -233,12 +229,7 @@ class ByteBpe:
         return out
 
     def _matched(self, texts: list[str]) -> list[tuple[int, ...]]:
-        found = [self.pattern.findall(t) for t in texts]
-        wanted = set().union(*found)
-        known = self.of_tokens.of(wanted)
-        out = [tuple(chain.from_iterable(map(known.__getitem__, tokens))) for tokens in found]
-        self.of_tokens.forget(wanted)
-        return out
+        return [tuple(chain.from_iterable(ids)) for ids in self.of_tokens.look_up([self.pattern.findall(t) for t in texts])]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text."""
@@ -248,11 +239,7 @@ class ByteBpe:
     def _encode(self, texts: list[str]) -> list[list[int]]:
         cut = [cut_at_spaces(t) for t in texts]
         whole = iter(self._matched([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        wanted = set().union(*filter(None, cut))
-        known = self.of_pieces.of(wanted)
-        out = [list(next(whole)) if pieces is None else list(chain.from_iterable(map(known.__getitem__, pieces))) for pieces in cut]
-        self.of_pieces.forget(wanted)
-        return out
+        return [list(next(whole)) if ids is None else list(chain.from_iterable(ids)) for ids in self.of_pieces.look_up(cut)]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -298,21 +285,23 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", id
     return _mapped(tokens, vocabulary, id_col, ids_col, "bytes binary", rows)
 
 
-def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of the bytes decoded from them.
+def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """id, n_tokens, ids_sha256 and decoded_sha256: digests of the ids and of the bytes decoded from them; token_ids if asked for.
 
-    Encoding and decoding run in one task, so the ids never leave it.
+    Encoding and decoding run in one task, so the ids need not leave it.
     """
 
     def rows(coder: ByteBpe, texts: list[str | None]) -> list[pa.Array]:
         n, ids_sha, decoded_sha = [], [], []
-        for ids in coder.encode([t or "" for t in texts]):
+        found = coder.encode([t or "" for t in texts])
+        for ids in found:
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(" ".join(map(coder.decimals.__getitem__, ids)).encode()).hexdigest())
             decoded_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+        more = [pa.array(found, pa.list_(pa.int32()))] if with_ids else []
+        return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more]
 
-    return _mapped(docs, vocabulary, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+    return _mapped(docs, vocabulary, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids, rows)
 
 
 def _mapped(df: DataFrame, vocabulary: Vocabulary, id_col: str, value_col: str, out: str, rows: Callable[[ByteBpe, list], list[pa.Array]]) -> DataFrame:

@@ -49,6 +49,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
     """A shard file. ``ids`` (int64, -1 for null) and ``lengths`` (uint32) a document; ``tokens`` unsigned."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n_planes = max(1, int(tokens.max(initial=0)).bit_length())
+    tokens = tokens.astype(np.uint16 if n_planes <= 16 else np.uint32)
     body: list[bytes] = []
     at = 0
 
@@ -63,7 +64,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
     header["lengths"] = section(pack(lengths.astype("<u4").tobytes()))
     header["bits"] = []
     for k in range(n_planes - 1, -1, -1):
-        ones = (tokens >> k) & 1 == 1
+        ones = (tokens & tokens.dtype.type(1 << k)) != 0
         blocks, before, seen = [], [], 0
         for start in range(0, len(ones), BLOCK_BITS):
             part = ones[start : start + BLOCK_BITS]
@@ -160,7 +161,8 @@ class Shard:
 
     def all_tokens(self) -> np.ndarray:
         """Every token in order, from the lowest plane up: each plane undoes its own sorting."""
-        tokens = np.zeros(self.n_tokens, np.uint32)
+        kind = np.uint16 if self.n_planes <= 16 else np.uint32
+        tokens = np.zeros(self.n_tokens, kind)
         for plane in range(self.n_planes - 1, -1, -1):
             ones = np.concatenate([self._block(plane, b) for b in range(len(self.head["bits"][plane]["blocks"]))] or [np.zeros(0, np.uint8)]).astype(bool)
             for b in range(len(self.head["bits"][plane]["blocks"])):
@@ -168,7 +170,7 @@ class Shard:
             zeros = self.head["bits"][plane]["zeros"]
             up = np.empty_like(tokens)
             up[~ones] = tokens[:zeros]
-            up[ones] = tokens[zeros:] | np.uint32(1 << (self.n_planes - 1 - plane))
+            up[ones] = tokens[zeros:] | kind(1 << (self.n_planes - 1 - plane))
             tokens = up
         return tokens
 
@@ -182,7 +184,7 @@ class LibraryEncoder:
     tokenizers, go to the library whole.
     """
 
-    def __init__(self, model: str, remembered: int = 300_000) -> None:
+    def __init__(self, model: str, remembered: int = 450_000, together: int = 200) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -190,11 +192,33 @@ class LibraryEncoder:
         parts = json.loads(model)
         split = parts.get("pre_tokenizer") or {}
         self.cuts = parts.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        self.of_pieces = Memory(lambda pieces: self._library([piece_text(p) for p in pieces]), remembered)
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)  # in a byte-level vocabulary a character stands for a byte
+        self.together = together
+        self.of_pieces = Memory(self._pieces, remembered)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces. Words with a space before them stand in line as one text; the ids are told apart by their bytes."""
+        found: dict[str, bytes] = {}
+        inner = [p for p in pieces if p and p[0] != "\0" and not p[0].isspace() and not p[-1].isspace()]
+        lines = [inner[i : i + self.together] for i in range(0, len(inner), self.together)]
+        for line, x in zip(lines, self.tokenizer.encode_batch_fast([" " + " ".join(line) for line in lines], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, "<u4")
+            ends = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in line])
+            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
+            data, at = ids.tobytes(), 0
+            for p, cut in zip(line, (4 * cuts).tolist(), strict=True):
+                found[p] = data[at:cut]
+                at = cut
+        rest = [p for p in pieces if p not in found]
+        found.update(zip(rest, self._library([piece_text(p) for p in rest]), strict=True))
+        return [found[p] for p in pieces]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         with no_cycles():
@@ -203,11 +227,7 @@ class LibraryEncoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [cut_at_spaces(t) for t in texts]
         whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        wanted = set().union(*filter(None, cut))
-        known = self.of_pieces.of(wanted)
-        out = [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
-        self.of_pieces.forget(wanted)
-        return out
+        return [next(whole) if ids is None else b"".join(ids) for ids in self.of_pieces.look_up(cut)]
 
 
 @lru_cache(maxsize=2)
@@ -215,7 +235,7 @@ def _encoder(model: str) -> LibraryEncoder:
     return LibraryEncoder(model)
 
 
-def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 4_000_000) -> str:
+def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> str:
     """Encode every text, append ``end_id`` and write shard files; returns their folder.
 
     A file is renamed into place when it is whole, so a repeated task replaces it by
@@ -298,7 +318,7 @@ def offsets(rows: DataFrame) -> DataFrame:
     return files.withColumn("within", within).join(ahead, "part").select("file", (F.col("within") + F.col("ahead")).alias("base"))
 
 
-def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 4_000_000) -> DataFrame:
+def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> DataFrame:
     """Write the shards, read them back: id, start, n_tokens and ids_crc32 of every document."""
     rows = written(read_shards(docs.sparkSession, write_shards(docs, tokenizer_path, end_id, id_col, text_col, shard_tokens)), "shard-rows")
     return rows.join(offsets(rows), "file").select(
