@@ -11,8 +11,10 @@ shared part of their sets is at least ``percent`` of their union.
    principle, a chunk with at most one error. The allowed errors are enumerated: each
    chunk gives 5 keys, each leaving one symbol out, so both have a key in common.
    At a similarity of 0.8, a share of 1 - 1e-7 of all pairs has such a key.
-3. Classes that share a key are compared by two bits of each symbol and by set size,
-   then by their full sets, which are made from the texts again.
+3. Classes that share a key are compared by two bits of each symbol, by set size and
+   by parities: the shingles fall into 1,024 bins, and two sets differ in at least as
+   many shingles as bins in which one has an odd and the other an even number. Then
+   they are compared by their full sets, which are made from the texts again.
 
 Pairs are not listed within a key; see ``grouping.linked``.
 
@@ -40,6 +42,9 @@ CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 5, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 #: Symbols whose two low bits may differ: 9 are expected at 0.8, with a deviation of 2.8.
 SKETCH_DISTANCE = 24
+#: Bins of the parities, as a power of two, and the columns of 64 bits that hold them.
+BIN_BITS = 10
+PARITIES = [f"odd{k}" for k in range((1 << BIN_BITS) // 64)]
 
 _RANDOM = np.random.default_rng(20240607)
 _MULTIPLY = _RANDOM.integers(1, 2**63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -94,7 +99,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
-    """id, n, set_a, set_b (hashes of the whole set), low and high (two bits of each symbol), keys."""
+    """id, n, set_a, set_b (hashes of the whole set), low and high (two bits of each symbol), parities, keys."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,6 +111,7 @@ def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
             bits = np.uint64(1) << np.arange(SYMBOLS, dtype=np.uint64)
             low = ((signatures & np.uint64(1)) * bits).sum(axis=1, dtype=np.uint64).view(np.int64)
             high = ((signatures >> np.uint64(1) & np.uint64(1)) * bits).sum(axis=1, dtype=np.uint64).view(np.int64)
+            odd = np.array([np.packbits(np.bincount(s >> np.uint64(64 - BIN_BITS), minlength=1 << BIN_BITS) & 1) for s in sets], np.uint8).reshape(len(sets), -1).view(np.int64)
             whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -115,20 +121,23 @@ def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
                     pa.array([(w & (2**64 - 1)) - 2**63 for w in whole], pa.int64()),
                     pa.array(low),
                     pa.array(high),
+                    *(pa.array(odd[:, k]) for k in range(len(PARITIES))),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * SYMBOLS), pa.array(keys.ravel())),
                 ],
-                names=["id", "n", "set_a", "set_b", "low", "high", "keys"],
+                names=["id", "n", "set_a", "set_b", "low", "high", *PARITIES, "keys"],
             )
 
-    return rows.mapInArrow(run, "id long, n long, set_a long, set_b long, low long, high long, keys array<long>")
+    return rows.mapInArrow(run, "id long, n long, set_a long, set_b long, low long, high long, " + "".join(f"{p} long, " for p in PARITIES) + "keys array<long>")
 
 
 def _may_link(a: str, b: str, percent: int) -> Column:
-    """Signature bits and sizes allow a link."""
+    """Signature bits, sizes and parities allow a link. Sizes and parities rule out none that is there."""
     n_a, n_b = F.col(f"n_{a}"), F.col(f"n_{b}")
     several_texts = (F.col(f"texts_{a}") > 1) | (F.col(f"texts_{b}") > 1)
     differ = F.col(f"low_{a}").bitwiseXOR(F.col(f"low_{b}")).bitwiseOR(F.col(f"high_{a}").bitwiseXOR(F.col(f"high_{b}")))
-    return several_texts | ((F.bit_count(differ) <= SKETCH_DISTANCE) & (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)))
+    apart = sum((F.bit_count(F.col(f"{p}_{a}").bitwiseXOR(F.col(f"{p}_{b}"))) for p in PARITIES), F.lit(0))
+    near_sets = (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & ((100 + percent) * apart <= (100 - percent) * (n_a + n_b))
+    return several_texts | ((F.bit_count(differ) <= SKETCH_DISTANCE) & near_sets)
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -142,11 +151,11 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 50) -> DataFrame:
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 1000) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links), kept (the id is its component's)."""
     prints = written(_prints(docs, width, id_col, text_col), "prints")
-    classes = written(prints.where("n > 0").groupBy("set_a", "set_b", "n", "low", "high").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
-    sketches = classes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("texts"))
+    classes = written(prints.where("n > 0").groupBy("set_a", "set_b", "n", "low", "high", *PARITIES).agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
+    sketches = classes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), *[F.max(p).alias(p) for p in PARITIES], F.count("*").alias("texts"))
     # An id with several texts passes every comparison of sketches and meets the sets.
     standing = classes.select("set_a", "set_b", "node").where("node is not null")
     keys = prints.join(standing, ["set_a", "set_b"]).where("id = node").select("node", F.explode("keys").alias("key"))
