@@ -1,0 +1,273 @@
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from clauselake.llm import chat, edit_fingerprint, pii, toxicity
+
+DATA = "/root/testdata/sf0.01"
+
+
+def rows(df):
+    return [r.asDict() for r in df.collect()]
+
+
+# chat
+
+
+def test_repair_costs_no_more_than_any_other():
+    """All ways of keeping, relabelling, merging and inserting, for short conversations."""
+
+    def cheapest(roles):
+        best = {"": 0}
+        for role in roles:
+            for _ in range(3):  # insertions
+                for state, cost in list(best.items()):
+                    for new in chat.ROLES:
+                        if (state, new) in chat.LEGAL:
+                            best[new] = min(best.get(new, 99), cost + chat.INSERT)
+            ahead = {}
+            for state, cost in best.items():
+                for new in chat.ROLES:
+                    own = 0 if new == role else chat.RELABEL if role else chat.LABEL
+                    if (state, new) in chat.LEGAL:
+                        ahead[new] = min(ahead.get(new, 99), cost + own)
+                    if state == new:
+                        ahead[new] = min(ahead.get(new, 99), cost + own + chat.MERGE)
+            best = ahead
+        ends = {"assistant": 0, "user": chat.INSERT, "system": 2 * chat.INSERT}
+        return min(c + ends[s] for s, c in best.items())
+
+    for n in range(1, 6):
+        for roles in itertools.product(["", "system", "user", "assistant"], repeat=n):
+            matrix = chat.MATRICES[roles[0]]
+            for r in roles[1:]:
+                matrix = chat.times(matrix, chat.MATRICES[r])
+            ((first, last),) = chat.borders([matrix])
+            steps = chat.trace(list(roles), first, last)
+            assert sum(s[0] for s in steps) + chat.INSERT * len(chat.ENDINGS[last]) == cheapest(roles)
+
+
+@pytest.mark.parametrize("segment", [2, 512])
+def test_repaired_conversations_are_legal(spark, segment):
+    rng = random.Random(3)
+    turns = [(c, t, rng.choice(["user", "assistant", "system", "Human", None, "other"]), rng.choice([None, "", f"text {t} <|user|>"])) for c in [*range(25), None] for t in range(rng.randint(1, 9))]
+    turns += [(3, None, "user", "no turn"), (3, 1, "user", "again"), (3, 1, "user", "again")]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumns({"place": F.lit(1), "cost": F.lit("x")})
+    out = rows(chat.repair(df, segment=segment))
+    assert sum(r["action"] != "insert" for r in out) == len(turns)
+    of = defaultdict(list)
+    for r in out:
+        of[r["conv_id"]].append(r)
+    costs = {}
+    for conv, repaired in of.items():
+        repaired.sort(key=lambda r: tuple(r["place"]))
+        state = ""
+        for r in repaired:
+            assert (state == r["role"]) if r["action"] == "merge" else (state, r["role"]) in chat.LEGAL
+            state = r["role"]
+        assert state == "assistant"
+        text = "".join(r["rendered"] for r in repaired)
+        assert re.fullmatch(r"(<\|(system|user|assistant)\|>\n[^|]*(< \|user\|>[^|]*)*<\|end\|>\n)+", text)
+        costs[conv] = sum(r["cost"] for r in repaired)
+    whole = defaultdict(int)
+    for r in rows(chat.repair(df)):
+        whole[r["conv_id"]] += r["cost"]
+    assert costs == dict(whole)
+    assert chat.repair(df.where("false")).count() == 0
+
+
+# personal data
+
+
+def test_mentions_are_found_and_numbers_left_alone():
+    text = "Mr John Smith met Frau Anna Müller. Smith: +1 (017) 555-7713, die.55@mail4.example.com, 97.51.17.173, 4111 1111 1111 1111, not 4111111111111112 nor 12,345.67 or version 1.2.3"
+    kinds = [k for _, _, k, _ in pii.find(text)]
+    assert kinds == ["given:m", "family:n", "given:f", "family:n", "family:n", "phone", "email", "ip", "card"]
+
+
+def test_surrogates_keep_form():
+    key = b"k"
+    assert pii._luhn(pii.surrogate(key, "card", "4111111111111111")) == 0
+    iban = pii.surrogate(key, "iban", "DE89370400440532013000")
+    assert iban[:2] == "DE" and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert all(0 <= int(x) <= 255 for x in pii.surrogate(key, "ip", "1.2.3.4").split("."))
+    assert re.fullmatch(r"[a-z]{3}\.\d\d@[a-z]{4}\d\.[a-z]{7}\.com", pii.surrogate(key, "email", "die.55@mail4.example.com"))
+    assert pii.surrogate(key, "given:f", "anna")[-1] == "a" and pii.surrogate(key, "given:m", "john")[-1] != "a"
+    assert "Ѐ" <= pii.surrogate(key, "family:n", "петров")[0] <= "ӿ"
+    assert pii.surrogate(key, "phone", "+10175557713") == pii.surrogate(key, "phone", "+10175557713") != pii.surrogate(b"other", "phone", "+10175557713")
+
+
+def test_colliding_names_draw_again(spark):
+    names = [("given:f", f"name{i}") for i in range(4000)] + [("given:m", f"name{i}") for i in range(4000)]
+    settled = rows(pii.settle(spark.createDataFrame(names, "kind string, form string"), b"k"))
+    assert len(settled) == 8000 == len({r["made"] for r in settled})
+    assert max(r["draw"] for r in settled) > 0
+
+
+def test_pseudonyms_of_documents(spark, odd, no_docs):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    out = {r["doc_id"]: r for r in rows(pii.pseudonymise(docs, "key"))}
+    seen = defaultdict(set)
+    for r in rows(docs):
+        new, old = out[r["doc_id"]], pii.find(r["text"])
+        assert new["n_entities"] == len(old) and (old or new["text"] == r["text"])
+        for (a, b, kind, form), (c, d, kind2, form2) in zip(old, pii.find(new["text"]), strict=True):
+            assert kind == kind2 and form != form2
+            seen[kind, form].add(form2)
+            assert r["text"][a:b] not in new["text"]
+            assert re.sub(r"\d", "0", r["text"][a:b]) == re.sub(r"\d", "0", new["text"][c:d]) or kind in ("ip", "email", "secret")
+    assert all(len(v) == 1 for v in seen.values()) and len({next(iter(v)) for v in seen.values()}) == len(seen) > 20
+    assert len(rows(pii.pseudonymise(odd, "key"))) == odd.count() and pii.pseudonymise(no_docs, "key").count() == 0
+    assert [r["text"] for r in rows(pii.pseudonymise(odd.where("doc_id = 1"), "key"))] == [None]
+
+
+# fingerprints
+
+
+def test_walks_in_lanes_and_alone_agree():
+    rng = random.Random(1)
+    codes = [edit_fingerprint.classes("".join(rng.choice("abc é") for _ in range(rng.randint(0, 70)))) for _ in range(300)]
+    for c, (came, end) in zip(codes, edit_fingerprint.walk(codes, [5] * len(codes)), strict=True):
+        alone, last = edit_fingerprint._walk_one(c, 5)
+        assert end == last and (came == alone).all()
+
+
+def test_edit_distance():
+    rng = random.Random(2)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abc") for _ in range(rng.randint(0, 25))) for _ in range(2))
+        line = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            ahead = [i + 1]
+            for j, y in enumerate(b):
+                ahead.append(min(ahead[-1] + 1, line[j + 1] + 1, line[j] + (x != y)))
+            line = ahead
+        assert edit_fingerprint.edit_distance(a, b) == line[-1]
+
+
+def test_edited_texts(spark, odd, no_docs):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").repartition(5)
+    for df in (docs, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
+        data = sorted(rows(df), key=lambda r: -r["doc_id"])
+        texts = [r["text"] or "" for r in data]
+        got = {r["doc_id"]: r for r in rows(edit_fingerprint.with_edited(df))}
+        assert len(got) == len(data)
+        for r, text, after in zip(data, texts, [*texts[1:], texts[0]], strict=True):
+            half = len(text) // 2
+            edited = text[: len(text) - half] + after[:half]
+            own, new, following = edit_fingerprint.fingerprint_texts([text, edited, after])
+            assert got[r["doc_id"]] | {"doc_id": 0} == {
+                "doc_id": 0,
+                "n_chars": len(text),
+                "edited_sha256": hashlib.sha256(edited.encode()).hexdigest(),
+                "fingerprint": own.hex(),
+                "edited_fingerprint": new.hex(),
+                "near_edited": edit_fingerprint.likeness(own, new),
+                "near_next": edit_fingerprint.likeness(own, following),
+            }
+    near = [r for r in rows(edit_fingerprint.with_edited(docs)) if r["n_chars"] > 100]
+    assert np.mean([r["near_edited"] for r in near]) > np.mean([r["near_next"] for r in near]) + 0.3
+    assert edit_fingerprint.with_edited(no_docs).count() == 0 and edit_fingerprint.with_edited(odd).count() == odd.count()
+
+
+def test_near_edit_dups_finds_planted_copies(spark, odd):
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(400)) for _ in range(10)]
+    texts = []
+    for i, b in enumerate(base):
+        for k in range(4):
+            s = list(b)
+            for _ in range(2 * k):
+                s[rng.randrange(len(s))] = rng.choice(["", "x", "yz"])
+            texts.append((10 * i + k, "".join(s)))
+    got = {r["doc_id"]: r["group_id"] for r in rows(edit_fingerprint.near_edit_dups(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert sum(got[i] == i // 10 * 10 for i, _ in texts) >= 38 and all(g // 10 == i // 10 for i, g in got.items())
+    assert edit_fingerprint.near_edit_dups(odd).count() == odd.count()
+
+
+# toxicity
+
+
+def test_kernel_is_the_sum_over_subsequences():
+    def plain(s, t):
+        def parts(x):
+            out = defaultdict(float)
+            for i, j, k in itertools.combinations(range(len(x)), 3):
+                out[x[i] + x[j] + x[k]] += toxicity.DECAY ** (k - i + 1)
+            return out
+
+        a, b = parts(s), parts(t)
+        return sum(v * b[u] for u, v in a.items())
+
+    rng = random.Random(3)
+    for _ in range(40):
+        s, t = ("".join(rng.choice("abcd") for _ in range(rng.randint(3, 8))) for _ in range(2))
+        assert toxicity.kernel(toxicity._codes([s]), toxicity._codes([t]))[0] == pytest.approx(plain(s, t))
+        table = toxicity.subsequence_table([t])
+        assert toxicity.projected([s], table)[0, 0] == pytest.approx(plain(s, t) / (plain(s, s) * plain(t, t)) ** 0.5)
+
+
+def test_toxicity_on_held_out_documents(spark, odd, no_docs):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scored = toxicity.score(docs, labels, ~held_out)
+    got = rows(scored.join(labels, "doc_id").where(held_out))
+    toxic, clean = [[r for r in got if r["toxic"] == y] for y in (1, 0)]
+    assert sum(r["predicted"] for r in toxic) >= 0.85 * len(toxic) and sum(r["predicted"] for r in clean) <= 0.04 * len(clean)
+    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert toxicity.score(odd, labels, ~held_out).count() == odd.count() and toxicity.score(no_docs, labels, ~held_out).count() == 0
+    assert {r["score"] for r in rows(toxicity.score(odd, labels.where("toxic = 0"), ~held_out))} == {0.0}
+
+
+def test_insults_with_gaps_and_inserted_letters():
+    words = [f"w{a}{b}n" for a in "aeiou" for b in "bcdfg"]
+    rng = random.Random(4)
+    texts, toxic = [], []
+    for k in range(200):
+        said = [rng.choice(words) for _ in range(20)]
+        if k % 2:
+            said[rng.randrange(20)] = rng.choice(["stupidest", "worthless"])
+        texts.append(" ".join(said) + ".")
+        toxic.append(k % 2)
+    model = toxicity.train(texts, toxic)
+    scorer = toxicity.Scorer(model)
+    for insult in ("stupidest", "s.t.u.p.i.d.e.s.t", "s t u p i d e s t", "stup1dest", "stupxidest", "WORTHLESS!!", "worth-less"):
+        assert model.score(scorer.features([f"wabn {insult} wecn"])[0]) >= 0.5, insult
+    assert model.score(scorer.features(["wabn wecn wofn"])[0]) < 0.5 and model.score(scorer.features([""])[0]) < 0.5
+
+
+# pipeline
+
+
+def test_pipeline_stages_keep_what_a_plain_reading_keeps(spark):
+    import corpus_pipeline
+
+    from tests.llm.test_text_operators import ascii_low, brute_near
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sf_dir = "/root/testdata/sf0.001"
+    stage = dict(corpus_pipeline.STAGES)
+    language = stage["language_id"](spark, docs, sf_dir)
+    want = {r["doc_id"] for r in rows(docs) if any(c.isalpha() for c in r["text"] or "")}
+    assert {r["doc_id"] for r in rows(language)} == want and language.columns == docs.columns
+    exact = stage["exact_dedup"](spark, language, sf_dir)
+    last = {}
+    for r in rows(language):
+        last[ascii_low(r["text"])] = max(r["doc_id"], last.get(ascii_low(r["text"]), -1))
+    assert sorted(r["doc_id"] for r in rows(exact)) == sorted(last.values()) and exact.columns == docs.columns
+    near = stage["minhash_near_dedup"](spark, exact, sf_dir)
+    assert sorted(r["doc_id"] for r in rows(near)) == sorted(r[0] for r in brute_near(rows(exact), 5) if r[3]) and near.columns == docs.columns
+    mixed = stage["mix_sources"](spark, near, sf_dir)
+    assert mixed.columns == docs.columns and mixed.count() > 0
+    tokens = stage["bpe_tokens"](spark, mixed, sf_dir)
+    assert tokens.count() == mixed.count()
+    digests = {(r["doc_id"], hashlib.sha256(r["text"].encode()).hexdigest()) for r in rows(mixed)}
+    assert {(r["doc_id"], r["decoded_sha256"]) for r in rows(tokens)} == digests
+    assert corpus_pipeline.run(spark, sf_dir).count() == tokens.count()
