@@ -109,6 +109,26 @@ ORACLE: dict[str, str] = {
                     + (2 * (source_size + start) + size < 2 * CAST(floor(target) AS BIGINT))::INT) AS BIGINT) AS taken
         FROM placed
     """,
+    "op2_minhash_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, a[i] || ' ' || a[i + 1] || ' ' || a[i + 2] || ' ' || a[i + 3] AS sh FROM w, unnest(range(1, len(a) - 2)) AS t(i) WHERE len(a) >= 4
+            UNION ALL SELECT doc_id, array_to_string(a, ' ') FROM w WHERE len(a) BETWEEN 1 AND 3
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+        ), edges AS (
+            SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reach AS (
+            SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, y FROM reach JOIN edges ON x = r
+        )
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r) AS component_id, d.doc_id = min(r) AS kept
+        FROM documents d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
+    """,
     "op10_exact_dedup": """
         WITH n AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
