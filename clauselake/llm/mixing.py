@@ -81,8 +81,9 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_epochs: int) ->
                 flow[p, s] += moved
                 spare[p] -= moved
                 room[s] = room.get(s, 0) - moved
+        stuck: set = set()  # from here no source with room is reached in this round
         for p in patterns:
-            while spare[p] and (path := _detour(p, flow, room, inside)):
+            while spare[p] and p not in stuck and (path := _detour(p, flow, room, inside, stuck)):
                 moved = min(spare[p], room[path[-1][1]], *(flow[q, s] for (_, s), (q, _) in zip(path, path[1:], strict=False)))
                 for (q, s), after in zip(path, [*path[1:], None], strict=True):
                     flow[q, s] += moved
@@ -93,8 +94,11 @@ def min_cost_flow(patterns: dict[tuple, int], quotas: dict, max_epochs: int) ->
     return flow
 
 
-def _detour(start: tuple, flow: dict, room: dict, inside: dict) -> list | None:
-    """A path of (pattern, source) steps from ``start`` to a source with room, moving others' tokens aside."""
+def _detour(start: tuple, flow: dict, room: dict, inside: dict, stuck: set) -> list | None:
+    """A path of (pattern, source) steps from ``start`` to a source with room, moving others' tokens aside.
+
+    Without one, all patterns that were reached are stuck: later paths cannot pass them.
+    """
     came: dict = {start: None}
     todo = deque([start])
     while todo:
@@ -106,9 +110,10 @@ def _detour(start: tuple, flow: dict, room: dict, inside: dict) -> list | None:
                     path.insert(0, came[path[0][0]])
                 return path
             for q in inside[s]:
-                if q not in came and flow[q, s] > 0:
+                if q not in came and q not in stuck and flow[q, s] > 0:
                     came[q] = (p, s)
                     todo.append(q)
+    stuck.update(came)
     return None
 
 
