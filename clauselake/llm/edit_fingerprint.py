@@ -301,6 +301,6 @@ def near_edit_dups(docs: DataFrame, most_share: float = 0.1, id_col: str = "doc_
         longer = max(len(a), len(b))
         return abs(len(a) - len(b)) <= most_share * longer and edit_distance(a, b) <= most_share * longer
 
-    labels = linked(keys, sketches, may_link, lambda pairs: confirmed(pairs, docs, lambda t: t or "", alike, id_col, text_col), cross_budget)
+    labels = linked(keys, sketches, may_link, lambda pairs, many: confirmed(pairs, docs, lambda t: t or "", alike, id_col, text_col, many), cross_budget)
     rooted = classes_.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return rows.join(rooted, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))

@@ -20,18 +20,19 @@ from clauselake.llm.shared import written
 SHARE = 64
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, prepare: Callable[[str | None], Any], alike: Callable[[Any, Any], bool], id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, prepare: Callable[[str | None], Any], alike: Callable[[Any, Any], bool], id_col: str, text_col: str, many: bool = False) -> DataFrame:
     """Those of ``pairs`` (node, leader) whose texts are alike, as links u, v.
 
     Members of a leader are dealt out in shares, each with one copy of the leader's
-    text; a share is compared row by row behind its leader.
+    text; a share is compared row by row behind its leader. ``many``: pairs grow with the
+    documents and are not to be broadcast, however few they are in a small input.
     """
     pairs = written(pairs, "pairs")
     shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
     members = pairs.join(shares, "leader").select(F.col("node").alias("id"), "leader", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"))
     heads = shares.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = members.unionByName(heads).join(texts, "id").repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
+    met = members.unionByName(heads).join(texts.hint("merge") if many else texts, "id").repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []  # an id can stand for several texts
@@ -56,7 +57,7 @@ def with_sketch(rows: DataFrame, sketches: DataFrame, column: str, name: str) ->
     return rows.join(sketches.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{name}") for c in sketches.columns if c != "node"]), column)
 
 
-def linked(keys: DataFrame, sketches: DataFrame, may_link: Callable[[str, str], Column], confirm: Callable[[DataFrame], DataFrame], cross_budget: int) -> DataFrame:
+def linked(keys: DataFrame, sketches: DataFrame, may_link: Callable[[str, str], Column], confirm: Callable[[DataFrame, bool], DataFrame], cross_budget: int) -> DataFrame:
     """Components of the links among nodes that share a key: u and v, the least node of u's component.
 
     ``keys`` has columns node and key. ``sketches`` has a row per node; ``may_link``
@@ -75,7 +76,7 @@ def linked(keys: DataFrame, sketches: DataFrame, may_link: Callable[[str, str],
     pairs = shared.where("node <> leader").select("node", "leader").distinct()
     likely = with_sketch(with_sketch(pairs, sketches, "node", "a"), sketches, "leader", "b").where(may_link("a", "b"))
     first = likely.groupBy("node").agg(F.min("leader").alias("leader"))
-    labels = components(written(confirm(first), "links"))
+    labels = components(written(confirm(first, True), "links"))
 
     leaders = 1
     while True:
@@ -100,6 +101,6 @@ def linked(keys: DataFrame, sketches: DataFrame, may_link: Callable[[str, str],
             apart = F.col("node") != F.col("leader")
         met = with_sketch(open_rows, sketches, "node", "a").join(with_sketch(ahead, sketches, "leader", "b"), "key")
         met = met.where((F.col("root") != F.col("other")) & apart & may_link("a", "b")).select("node", "leader").distinct()
-        labels = components(labels.unionByName(confirm(met)))
+        labels = components(labels.unionByName(confirm(met, False)))
         if last:
             return labels

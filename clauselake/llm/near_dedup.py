@@ -163,7 +163,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         keys,
         sketches,
         lambda a, b: _may_link(a, b, percent),
-        lambda pairs: confirmed(pairs, docs, lambda text: shingle_set(text, width), lambda x, y: _alike(x, y, percent), id_col, text_col),
+        lambda pairs, many: confirmed(pairs, docs, lambda text: shingle_set(text, width), lambda x, y: _alike(x, y, percent), id_col, text_col, many),
         cross_budget,
     )
 
