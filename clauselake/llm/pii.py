@@ -55,7 +55,8 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    "phone": re.compile(r"(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]\d{3,4}(?![\w-]|\.\d)"),
+    # With a country code, an area code in brackets, or dashes or points between all parts; digits and spaces alone are no phone number.
+    "phone": re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-]|\.\d)"),
 }
 #: A name: a title, then one to three capitalised words.
 TITLED = re.compile(r"\b(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r")\.?[ \t]+((?:" + _NAME + r"[ \t]+){0,2}" + _NAME + ")")

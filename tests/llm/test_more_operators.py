@@ -87,7 +87,7 @@ def test_repaired_conversations_are_legal(spark, segment):
 
 
 def test_mentions_are_found_and_numbers_left_alone():
-    text = "Mr John Smith met Frau Anna Müller. Smith: +1 (017) 555-7713, die.55@mail4.example.com, 97.51.17.173, 4111 1111 1111 1111, not 4111111111111112 nor 12,345.67 or version 1.2.3"
+    text = "Mr John Smith met Frau Anna Müller. Smith: +1 (017) 555-7713, die.55@mail4.example.com, 97.51.17.173, 4111 1111 1111 1111, not 4111111111111112 nor 12,345.67 or version 1.2.3 or 1000 2000 3000"
     kinds = [k for _, _, k, _ in pii.find(text)]
     assert kinds == ["given:m", "family:n", "given:f", "family:n", "family:n", "phone", "email", "ip", "card"]
 
