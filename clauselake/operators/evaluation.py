@@ -145,3 +145,32 @@ def validate_questions(questions: DataFrame, known: DataFrame, least: int = MIN_
     for part in (repeated, unknown, expects, lacks, absent, few):
         out = out.unionByName(part)
     return out
+
+
+def retrieval_markdown(report: DataFrame) -> str:
+    """A table of a retrieval report (method, type, n, hits, mrr): one row a method and type. Shares of nothing are dashes."""
+    lines = ["| method | type | n | " + " | ".join(f"Hit@{k}" for k in HITS) + " | MRR |", "|" + "---|" * (len(HITS) + 4)]
+    for r in report.orderBy("method", F.col("type") == "all", "type").collect():  # a few rows a method
+        shares = [f"{r[f'hit{k}'] / r['n']:.3f}" if r["n"] else "-" for k in HITS]
+        lines.append(f"| {r['method']} | {r['type']} | {r['n']} | " + " | ".join(shares) + f" | {r['mrr'] or 0:.3f} |")
+    return "\n".join(lines)
+
+
+def answers_markdown(metrics: DataFrame, bad: DataFrame, most: int = 50) -> str:
+    """Measures by type as a list, then the failures (see ``failures``), at most ``most`` of them shown."""
+    lines = []
+    for r in metrics.collect():  # one row a type
+        row = r.asDict()
+        lines.append(f"## {row.pop('type', 'all')}")
+        lines += [f"- {name}: {'-' if v is None else round(v, 3)}" for name, v in row.items()]
+    lines.append("## failures")
+    for r in bad.orderBy("query_id").limit(most).collect():
+        lines.append(f"- {r['query_id']} ({r['failure']}): {r['question']}\n  {r['answer']}")
+    return "\n".join(lines)
+
+
+def write_report(frame: DataFrame, text: str, folder: str, name: str) -> None:
+    """A report as text and its rows as JSON, side by side in ``folder``."""
+    spark = frame.sparkSession
+    frame.coalesce(1).write.mode("errorifexists").json(f"{folder}/{name}.json")
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{folder}/{name}.md")

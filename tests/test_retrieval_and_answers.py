@@ -202,3 +202,16 @@ def test_vectors_upsert_and_reindex(spark):
     assert vectors.upsert(points, points).count() == 2
     left = vectors.reindex(points, chunks.where("doc = 'e'"), spark.createDataFrame([("d",), ("e",)], "doc string"))
     assert rows(left.select("chunk_id")) == [("b",)]
+
+
+def test_reports(spark, tmp_path):
+    ranks = spark.createDataFrame([("vector", "direct", 1), ("vector", "multi", None)], "method string, type string, hit int")
+    report = evaluation.retrieval_report(ranks, "method", "type")
+    text = evaluation.retrieval_markdown(report)
+    assert text.splitlines()[2:] == ["| vector | direct | 1 | 1.000 | 1.000 | 1.000 | 1.000 |", "| vector | multi | 1 | 0.000 | 0.000 | 0.000 | 0.000 |", "| vector | all | 2 | 0.500 | 0.500 | 0.500 | 0.500 |"]
+    pair = "array<struct<doc:string,clause:string>>"
+    rows_ = spark.createDataFrame([("q", "unanswerable", "?", "made up", False, [], [], None, None, [])], f"query_id string, type string, question string, answer string, refused boolean, cited {pair}, expected {pair}, correctness int, faithfulness int, errors array<string>")
+    shown = evaluation.answers_markdown(evaluation.answer_metrics(rows_), evaluation.failures(rows_))
+    assert "- correctness: -" in shown and "- q (hallucinated): ?\n  made up" in shown
+    evaluation.write_report(report, text, f"file://{tmp_path}", "r1")
+    assert spark.read.json(f"file://{tmp_path}/r1.json").count() == 3 and spark.read.text(f"file://{tmp_path}/r1.md").count() == 5
