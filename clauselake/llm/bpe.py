@@ -21,8 +21,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import no_cycles
+from clauselake.llm.shared import held_by_worker, no_cycles
 
 #: Bits of a word of the bitmap: two levels reach 65,536 ranks, three reach 16 million.
 WORD_BITS, WORD_SHIFT, WORD_MASK = 256, 8, 255
@@ -38,6 +38,8 @@ WORD_BITS, WORD_SHIFT, WORD_MASK = 256, 8, 255
 SPACE_RUN = re.compile(r"\s ")
 #: Longer pieces are encoded each time.
 REMEMBERED_CHARS = 64
+#: Rows whose ids are held at once.
+ROWS = 1000
 
 
 class RankQueue:
@@ -107,7 +109,7 @@ class Memory:
         return found
 
 
-def in_portions(texts: list[str], encode: Callable[[list[str]], list], chars: int = 2_000_000) -> list:
+def in_portions(texts: list[str], encode: Callable[[list[str]], list], chars: int = 500_000) -> list:
     """``encode`` over texts, about ``chars`` characters at once."""
     out: list = []
     held: list[str] = []
@@ -142,7 +144,7 @@ def piece_text(piece: str) -> str:
 class ByteBpe:
     """Encoder and decoder of one rank file and pattern."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 400_000) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000) -> None:
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.decimals = {i: str(i) for i in self.tokens}
@@ -251,20 +253,15 @@ def read_ranks(spark, path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (r[0].split() for r in lines if r[0].strip())}
 
 
-@lru_cache(maxsize=2)
-def _coder(ranks: tuple[tuple[bytes, int], ...], pattern: str) -> ByteBpe:
-    return ByteBpe(dict(ranks), pattern)
-
-
 class Vocabulary:
     """Ranks and pattern as they go to tasks: a broadcast of the rank file's size."""
 
-    def __init__(self, spark, path: str, pattern: str) -> None:
-        self.ranks = spark.sparkContext.broadcast(tuple(read_ranks(spark, path).items()))
-        self.pattern = pattern
+    def __init__(self, spark, path: str, pattern: str, remembered: int = 200_000) -> None:
+        self.ranks = spark.sparkContext.broadcast(read_ranks(spark, path))
+        self.pattern, self.remembered, self.key = pattern, remembered, uuid.uuid4().hex
 
     def coder(self) -> ByteBpe:
-        return _coder(self.ranks.value, self.pattern)
+        return held_by_worker(("bpe", self.key), lambda: ByteBpe(self.ranks.value, self.pattern, self.remembered))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,6 +309,8 @@ def _mapped(df: DataFrame, vocabulary: Vocabulary, id_col: str, value_col: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = vocabulary.coder()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *rows(coder, batch.column(1).to_pylist())], names=names)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                yield pa.RecordBatch.from_arrays([part.column(0), *rows(coder, part.column(1).to_pylist())], names=names)
 
     return taken.mapInArrow(run, f"`{id_col}` {id_type}, {out}")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.components import components
-from clauselake.llm.shared import written
+from clauselake.llm.shared import slices, written
 
 #: Members that meet one copy of their leader's text.
 SHARE = 64
@@ -36,7 +36,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, prepare: Callable[[str | None],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []  # an id can stand for several texts
-        for batch in batches:
+        for batch in slices(batches):
             u, v = [], []
             for node, leader, share, member, text in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if (leader, share) != group:

@@ -26,13 +26,14 @@ from __future__ import annotations
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clauselake.llm.shared import held_by_worker, slices
+
 #: Language of texts without a letter.
 UNKNOWN = "und"
 
@@ -194,11 +195,6 @@ class Parser:
         return counts, letters
 
 
-@lru_cache(maxsize=2)
-def _parser(samples: tuple[tuple[str, str], ...], letters: int, block: int) -> Parser:
-    return Parser(dict(samples), letters, block)
-
-
 def identify(
     docs: DataFrame,
     train: Column | None = None,
@@ -225,8 +221,8 @@ def identify(
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(samples, letters, block)
-        for batch in batches:
+        parser = held_by_worker(("languages", samples, letters, block), lambda: Parser(dict(samples), letters, block))
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             counts, n = parser.phrases(texts)
             if parser.langs:

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.grouping import confirmed, linked
-from clauselake.llm.shared import written
+from clauselake.llm.shared import held_by_worker, slices, written
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 5, 1
 SYMBOLS = CHUNKS * CHUNK_SYMBOLS
@@ -74,15 +74,12 @@ class _WordHashes(dict):
         return found
 
 
-_WORDS = _WordHashes()
-
-
 def shingle_set(text: str | None, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles of ``width`` words; A-Z count as lower case."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(held_by_worker("words", _WordHashes).__getitem__, words), np.uint64, len(words))
     width = min(width, len(words))
     rolled = np.full(len(h) - width + 1, width, np.uint64)
     for k in range(width):
@@ -103,7 +100,7 @@ def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFram
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, width) for t in batch.column(1).to_pylist()]
             signatures = np.array([signature(s) for s in sets], np.uint64).reshape(-1, SYMBOLS)
             chunks = signatures.reshape(-1, CHUNKS, 1, CHUNK_SYMBOLS)

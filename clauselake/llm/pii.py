@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import written
+from clauselake.llm.shared import slices, written
 
 #: Titles before a name, by gender.
 TITLES = {
@@ -192,7 +192,7 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(i, kind, form) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for kind, form in dict.fromkeys(m[2:] for m in find(t))]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.string()) for k in range(3)], names=["id", "kind", "form"])
 
@@ -203,7 +203,7 @@ def _drawn(entities: DataFrame, key: bytes) -> DataFrame:
     """Adds the surrogate of each entity (kind, form, draw)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             kinds, forms, draws = (batch.column(k).to_pylist() for k in range(3))
             made = [surrogate(key, k, f, d) for k, f, d in zip(kinds, forms, draws, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(made, pa.string())], names=["kind", "form", "draw", "made"])
@@ -244,7 +244,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     rows = rows.join(of_docs, F.col("id").cast("string").eqNullSafe(F.col("__id")), "left").select("id", "text", "draws")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out, n = [], []
             for text, draws in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 new, count = (None, 0) if text is None else replaced(text, secret, {(d["kind"], d["form"]): d["draw"] for d in draws or []})

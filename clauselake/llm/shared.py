@@ -10,9 +10,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
 from contextlib import contextmanager
+from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +59,22 @@ def no_cycles() -> Iterator[None]:
     finally:
         if was:
             gc.enable()
+
+
+_HELD: dict[Hashable, Any] = {}
+
+
+def held_by_worker(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one operator's state, dropped when another asks."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that what a task makes of the texts of one is small beside the batch itself."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -28,7 +28,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.llm.bpe import Memory, cut_at_spaces, in_portions, piece_text
-from clauselake.llm.shared import fresh_path, no_cycles, written
+from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, written
 
 MAGIC = b"CLWM0001"
 BLOCK_BITS = 65_536
@@ -72,7 +71,7 @@ def build(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
             seen += int(np.count_nonzero(part))
             blocks.append(section(pack(np.packbits(part).tobytes())))
         header["bits"].append({"zeros": len(ones) - seen, "blocks": blocks, "ones_before": before})
-        tokens = np.concatenate([tokens[~ones], tokens[ones]])
+        tokens = np.concatenate([tokens.take(np.flatnonzero(~ones)), tokens.take(np.flatnonzero(ones))])
     text = json.dumps(header).encode()
     small = pack(text)
     return MAGIC + np.array([len(text), len(small)], "<u4").tobytes() + small + b"".join(body)
@@ -169,8 +168,8 @@ class Shard:
                 self._blocks.pop((plane, b), None)
             zeros = self.head["bits"][plane]["zeros"]
             up = np.empty_like(tokens)
-            up[~ones] = tokens[:zeros]
-            up[ones] = tokens[zeros:] | kind(1 << (self.n_planes - 1 - plane))
+            up[np.flatnonzero(~ones)] = tokens[:zeros]
+            up[np.flatnonzero(ones)] = tokens[zeros:] | kind(1 << (self.n_planes - 1 - plane))
             tokens = up
         return tokens
 
@@ -184,7 +183,7 @@ class LibraryEncoder:
     tokenizers, go to the library whole.
     """
 
-    def __init__(self, model: str, remembered: int = 450_000, together: int = 200) -> None:
+    def __init__(self, model: str, remembered: int = 400_000, together: int = 200) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -230,11 +229,6 @@ class LibraryEncoder:
         return [next(whole) if ids is None else b"".join(ids) for ids in self.of_pieces.look_up(cut)]
 
 
-@lru_cache(maxsize=2)
-def _encoder(model: str) -> LibraryEncoder:
-    return LibraryEncoder(model)
-
-
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> str:
     """Encode every text, append ``end_id`` and write shard files; returns their folder.
 
@@ -251,7 +245,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        encoder = _encoder(model.value)
+        encoder = held_by_worker(("library", folder), lambda: LibraryEncoder(model.value))
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
         context = TaskContext.get()

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.bpe import Memory, in_portions
-from clauselake.llm.shared import no_cycles
+from clauselake.llm.shared import no_cycles, slices
 
 DECAY = 0.7
 LONGEST = 16
@@ -303,7 +303,7 @@ def score(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value) if shipped.value else None
-        for batch in batches:
+        for batch in slices(batches):
             with no_cycles():
                 texts = batch.column(1).to_pylist()
                 scores = [shipped.value.score(f) for f in scorer.features(texts)] if scorer else [0.0] * len(texts)

@@ -30,8 +30,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every row, with the digest of what they decode to."""
-    vocabulary = bpe.Vocabulary(spark, f"file:{public_tokenizers.path('byte_bpe_50k.tiktoken')}", public_tokenizers.PATTERN)
+    """Token ids of every row, with the digest of what they decode to. Workers keep fewer pieces than on their own: executors are full from the stages before."""
+    vocabulary = bpe.Vocabulary(spark, f"file:{public_tokenizers.path('byte_bpe_50k.tiktoken')}", public_tokenizers.PATTERN, remembered=60_000)
     return bpe.round_trip(docs, vocabulary, with_ids=True)
 
 
