@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -83,11 +84,12 @@ def canonical(kind: str, text: str) -> str:
 
 def find(text: str) -> list[Mention]:
     """Mentions in order, without overlaps: start, end, type, canonical form. The first type in the list of patterns wins."""
-    taken: list[Mention] = []
+    taken: list[Mention] = []  # by start; without overlaps, so only the two neighbours can meet a new one
 
     def add(start: int, end: int, kind: str) -> None:
-        if all(end <= a or start >= b for a, b, _, _ in taken[-200:]) or all(end <= a or start >= b for a, b, _, _ in taken):
-            taken.append((start, end, kind, canonical(kind, text[start:end])))
+        at = bisect(taken, start, key=lambda m: m[0])
+        if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+            taken.insert(at, (start, end, kind, canonical(kind, text[start:end])))
 
     has_digits = DIGITS.search(text) is not None
     for kind, pattern in PATTERNS.items():
@@ -110,7 +112,7 @@ def find(text: str) -> list[Mention]:
     for family in families:
         for m in re.finditer(rf"\b{re.escape(family)}\b", text):
             add(m.start(), m.end(), families[family])
-    return sorted(taken)
+    return taken
 
 
 class _Stream:

@@ -92,6 +92,20 @@ def test_mentions_are_found_and_numbers_left_alone():
     assert kinds == ["given:m", "family:n", "given:f", "family:n", "family:n", "phone", "email", "ip", "card"]
 
 
+def test_many_mentions_in_one_text_do_not_overlap():
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    names = ["B" + letters[i // 26] + letters[i % 26] + "mer" for i in range(500)]
+    directory = "; ".join(f"Mr {n}" for n in names) + ". " + " ".join(names)
+    numbers = (f"4{k % 1000:03d} {k // 1000:04d} 0532 0130" for k in range(10_000))
+    accounts = "; ".join("DE89 " + n for n in numbers if pii._luhn(n.replace(" ", "")) == 0)  # each ends in a card's number
+    for text, pattern in ((directory, r"B\w+"), (accounts, r"DE[\d ]+")):
+        want = [(m.start(), m.end()) for m in re.finditer(pattern, text)]
+        found = [m[:2] for m in pii.find(text)]
+        assert found == want and all(b <= c for (_, b), (c, _) in itertools.combinations(found, 2))
+        new, count = pii.replaced(text, b"k", {})
+        assert count == len(want) and re.sub(r"\w+", "", new) == re.sub(r"\w+", "", text)
+
+
 def test_surrogates_keep_form():
     key = b"k"
     assert pii._luhn(pii.surrogate(key, "card", "4111111111111111")) == 0
