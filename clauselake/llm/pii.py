@@ -49,6 +49,8 @@ ENDINGS = {
 }
 
 _NAME = r"[^\W\d_][^\W\d_'’-]+"
+#: A digit of a phone number, with what may stand before it.
+_NEXT = r"(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d)"
 PATTERNS = {
     "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.UNICODE),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
@@ -56,12 +58,24 @@ PATTERNS = {
     "card": re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)"),
     "ssn": re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    # With a country code, an area code in brackets, or dashes or points between all parts; digits and spaces alone are no phone number.
-    "phone": re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\1\d{4})(?![\w-]|\.\d)"),
+    "phone": re.compile(
+        r"(?<![\w.+-])(?:"
+        # A country code: as many digits as numbers of en, fr, de and es have, else 7 to 15 in all.
+        rf"(?:\+|00(?=\d{{1,3}}[ ./-]))(?:1{_NEXT}{{10}}|33{_NEXT}{{9,10}}|34{_NEXT}{{9}}|4[49]{_NEXT}{{6,11}}|[1-9]{_NEXT}{{6,14}})"
+        # A leading 0 and no date: pairs, an area code and groups, or the ten or eleven digits of a mobile.
+        r"|(?!0[1-9]([ .-])(?:0[1-9]|1[0-2])\1(?:19|20)\d\d(?!\d))"
+        r"(?:0[1-9](?:[ .-]?\d{2}){4}|(?=(?:[ ()./-]{0,3}\d){7,15}(?![ .-]?\d))(?:\(0[1-9]\d{0,4}\) ?|0[1-9]\d{1,4}[ ./-]|0[1-9][ ./-](?=\d{3}))\d{2,8}(?:[ .-]\d{2,8}){0,4}|0[1-9]\d{8,9})"
+        # North American, with all parts marked, and Spanish.
+        r"|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}([.-])\d{3}\2\d{4}|[2-9]\d{2} \d{3} \d{4}|[6-9]\d{2}([ .-])\d{2}\3\d{2}\3\d{2}"
+        r")(?![\w-]|\.\d)"
+    ),
 }
 #: A name: a title, then one to three capitalised words.
 TITLED = re.compile(r"\b(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r")\.?[ \t]+((?:" + _NAME + r"[ \t]+){0,2}" + _NAME + ")")
-DIGITS = re.compile(r"\d{3}|\d\.\d")
+#: What every pattern but that of e-mail needs.
+DIGITS = re.compile(r"\d")
+#: Country codes of one and two digits; the others have three.
+COUNTRY = re.compile(r"(?:\+|00)(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})")
 
 Mention = tuple[int, int, str, str]
 
@@ -150,9 +164,11 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
         body = "".join(digit() for _ in form[:-1])
         right = next(c for c in "0123456789" if _luhn(body + c) == 0)
         return body + right
-    if kind == "phone" and form[0] == "+":
-        head = form[: max(2, len(form) - 10)]
-        return head + "".join(digit() for _ in form[len(head) :])
+    if kind == "phone":  # the country code stays, else the first digit; the 0 before an area code, too
+        coded = COUNTRY.match(form)
+        head = coded.group() if coded else form[0]
+        head += "0" * bool(coded and form[len(head)] == "0")
+        return head + str(1 + random.below(9)) + "".join(digit() for _ in form[len(head) + 1 :])
     if kind == "iban":
         body = "".join(digit() if c.isdigit() else chr(65 + random.below(26)) for c in form[4:])
         value = int("".join(str(int(c, 36)) for c in body + form[:2]) + "00")
@@ -167,7 +183,7 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
 
 def render(mention: str, form: str) -> str:
     """A surrogate written as the mention is: its separators, its case."""
-    if re.fullmatch(r"\+?[\d ().-]+", mention) and "." not in form:
+    if re.fullmatch(r"\+?[\d ()./-]+", mention) and "." not in form:
         digits = iter(form.lstrip("+"))
         return "".join(next(digits, "") if c.isdigit() else c for c in mention)
     if mention.isupper() and " " in mention and form.replace(" ", "").isalnum():

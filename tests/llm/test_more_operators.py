@@ -106,6 +106,33 @@ def test_many_mentions_in_one_text_do_not_overlap():
         assert count == len(want) and re.sub(r"\w+", "", new) == re.sub(r"\w+", "", text)
 
 
+PHONES = [
+    "+33 1 23 45 67 89", "+33 6 12 34 56 78", "+33 (0)1 23 45 67 89", "06 12 34 56 78", "06.12.34.56.78", "01 02 20 24 56", "0612345678",
+    "+34 912 34 56 78", "+34 612 345 678", "912 34 56 78",
+    "030 1234567", "030/1234567", "030 12 34 56 78", "(030) 1234567", "0171 1234567", "+49 30 1234567", "+49 (0)30 1234567", "0049 30 1234567",
+    "020 7946 0958", "(020) 7946 0958", "07700 900123", "+44 20 7946 0958", "+44 7700 900123",
+    "555 123 4567", "555-123-4567", "(555) 123-4567", "+1 555 123 4567", "+351 21 123 4567", "0043 1 1234567",
+]
+
+
+@pytest.mark.parametrize("number", PHONES)
+def test_phone_numbers_of_several_countries(number):
+    text = f"call {number}, or {number}. 2024 times"
+    assert [text[a:b] for a, b, kind, _ in pii.find(text) if kind == "phone"] == [number, number]
+    new, _ = pii.replaced(text, b"k", {})
+    assert number not in new and re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text) and [m[2] for m in pii.find(new)] == ["phone", "phone"]
+
+
+def test_dates_and_plain_numbers_are_no_phones():
+    for text in ("01.02.2024", "01-02-2024", "01 02 2024", "05.03.2024 12:30", "2024-01-02", "10 000 000", "123 456 789", "2024 2025 2026", "100 200 3000", "01 02 03", "0012345678", "0054994038693466"):
+        assert pii.find(f"on {text} now") == []
+
+
+def test_texts_without_three_digits_in_a_row_are_searched():
+    secret = "a1b2c3d4" * 4
+    assert [m[2] for m in pii.find(f"key {secret}")] == ["secret"] and [m[2] for m in pii.find("06 12 34 56 78")] == ["phone"]
+
+
 def test_surrogates_keep_form():
     key = b"k"
     assert pii._luhn(pii.surrogate(key, "card", "4111111111111111")) == 0
