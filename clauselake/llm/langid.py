@@ -3,9 +3,10 @@
 For each language a suffix automaton of a bounded sample of labelled text is built.
 A text is cut, from left to right, into the longest phrases that occur anywhere in
 that sample. The fewer phrases a text needs for its length, the closer it is to the
-language; a text of n characters cut into c phrases costs c * log2(m) / n bits a
-character, m being the sample's length (samples are of one length, so that the
-phrases of different languages compare). The language of least cost wins.
+language; a text of n characters cut into c phrases costs c * log2(m + a) / n bits a
+character, m being the length of that language's own sample and a the number of all
+letters (a letter that the sample lacks is a phrase of its own). So samples of
+different lengths compare. The language of least cost wins.
 
 A phrase ends where the automaton has no transition, so one dense table per language
 says for each (state, character) the next state and whether a new phrase began.
@@ -14,7 +15,7 @@ Long texts are read whole, in blocks of ``block`` characters (a phrase ends with
 block), so memory is bounded by a batch and not by the longest text.
 
 Bound of the sample: ``slots`` documents a language, of ``chars_each`` characters
-each, and ``sample_chars`` characters a language in all.
+each, in windows from all over them, and ``sample_chars`` characters a language in all.
 
 Defined results: null, empty or letterless text is ``und`` with score 0; with no
 labelled row every text is ``und``. Ties go to the first language by code point.
@@ -38,55 +39,63 @@ from clauselake.llm.shared import held_by_worker, slices
 UNKNOWN = "und"
 
 
+#: Characters of a window of a sampled text.
+WINDOW = 100
+
+
+def windows(text: Column, h: Column, chars_each: int) -> Column:
+    """Array of pieces of ``text``, ``chars_each`` characters in all: one from each of as many equal strips, where the hash ``h`` says; of a short text all."""
+    n, k = F.length(text), max(1, chars_each // WINDOW)
+    size = chars_each // k
+    strip = F.floor(n / k).cast("int")
+    starts = [F.when(n <= chars_each, size * i + 1).otherwise((strip * i + 1 + F.pmod(F.xxhash64(h, F.lit(i)), F.greatest(strip - size + 1, F.lit(1)))).cast("int")) for i in range(k)]
+    return F.array(*(F.substring(text, start, F.lit(size)) for start in starts))
+
+
 def collect_samples(docs: DataFrame, text_col: str, lang_col: str, key: Column, slots: int, chars_each: int, sample_chars: int) -> dict[str, str]:
     """Labelled text per language. Rows are dealt to ``slots`` by a hash of ``key``; the least hash of a slot is taken.
 
     Both steps combine before they shuffle, so one language may hold any share of the rows.
+    Every sampled text gives a window before any gives another.
     """
     usable = F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0)
-    rows = docs.where(usable).select(F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), F.substring(text_col, 1, chars_each).alias("text"))
-    least = rows.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
+    hashed = docs.where(usable).select(F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), F.col(text_col).alias("text"))
+    rows = hashed.select("lang", "h", windows(F.col("text"), F.col("h"), chars_each).alias("parts"))
+    least = hashed.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
     # At most slots rows a language: the bound of the sample.
-    texts = rows.join(least.select("lang", "h"), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text")).collect()
-    samples: dict[str, str] = {}
-    for r in sorted(texts, key=lambda r: (r["lang"], r["h"])):
-        samples[r["lang"]] = samples.get(r["lang"], "") + " " + r["text"]
-    shortest = min((len(t) for t in samples.values()), default=0)
-    length = min(sample_chars, max(shortest, 2000))
-    return {lang: text[:length] for lang, text in samples.items()}
+    texts = rows.join(least.select("lang", "h"), ["lang", "h"]).groupBy("lang", "h").agg(F.min("parts").alias("parts")).collect()
+    pieces: dict[str, list[tuple[int, int, str]]] = {}
+    for r in texts:
+        k = len(r["parts"])
+        # Texts start at different windows, so that no place in them is preferred.
+        pieces.setdefault(r["lang"], []).extend(((i - r["h"]) % k, r["h"], part) for i, part in enumerate(r["parts"]) if part)
+    return {lang: " ".join(part for _, _, part in sorted(found))[:sample_chars] for lang, found in pieces.items()}
 
 
 class Alphabet:
-    """Code points to small numbers: 0 for a run of anything but letters, 1 for a letter that is not common."""
+    """Code points to small numbers: 0 for a run of anything but letters, 1 for a letter that no sample has."""
 
-    def __init__(self, common: str) -> None:
-        self.common = common
-        self.lut = np.full(0x110000, 255, np.uint8)
+    def __init__(self, letters: str) -> None:
+        self.at = {c: k + 2 for k, c in enumerate(letters)}
+        self.size = len(letters) + 2
+        kind = np.min_scalar_type(self.size)
+        self.unseen = np.iinfo(kind).max
+        self.lut = np.full(0x110000, self.unseen, kind)
 
     def codes(self, points: np.ndarray) -> np.ndarray:
         out = self.lut[points]
-        if (new := points[out == 255]).size:
+        if (new := points[out == self.unseen]).size:
             for p in np.unique(new):
                 c = chr(p)
-                low = c.lower()[:1]
-                at = self.common.find(low)
-                self.lut[p] = at + 2 if at >= 0 else int(unicodedata.category(c)[0] == "L")
+                self.lut[p] = self.at.get(c.lower()[:1]) or int(unicodedata.category(c)[0] == "L")
             out = self.lut[points]
         return out
 
-    @property
-    def size(self) -> int:
-        return len(self.common) + 2
 
-
-def common_letters(samples: dict[str, str], most: int) -> str:
-    """The letters that any language uses most, by their share in it."""
-    share: Counter = Counter()
-    for text in samples.values():
-        letters = Counter(c for c in text.lower() if c.isalpha())
-        for c, n in letters.items():
-            share[c] = max(share[c], n / max(1, letters.total()))
-    return "".join(sorted(c for c, _ in sorted(share.items(), key=lambda x: (-x[1], x[0]))[:most]))
+def letters_by_use(text: str) -> list[str]:
+    """All letters of a text, the most used first."""
+    used = Counter(c.lower()[:1] for c in text if unicodedata.category(c)[0] == "L")
+    return sorted(used, key=lambda c: (-used[c], c))
 
 
 def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
@@ -120,34 +129,77 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
 
 
 def parse_table(goes: list[dict[int, int]], n_codes: int) -> np.ndarray:
-    """Row of each state, by character: twice the next state's row, plus 1 where a new phrase begins."""
+    """Row of each state, by character below ``n_codes``: twice the next state's row, plus 1 where a new phrase begins."""
     table = np.zeros((len(goes), n_codes), np.int32)
     fresh = np.array([goes[0].get(c, 0) for c in range(n_codes)], np.int32) * n_codes
     table[:] = 2 * fresh + 1
     for s, row in enumerate(goes):
         for c, t in row.items():
-            table[s, c] = 2 * t * n_codes
+            if c < n_codes:
+                table[s, c] = 2 * t * n_codes
     table[0] = 2 * fresh + 1  # at the start of a text the first phrase begins
     return table.ravel()
 
 
 class Parser:
-    """Counts of phrases of many texts in all languages."""
+    """Counts of phrases of many texts in all languages.
+
+    Each language has its own codes for all letters of its sample, so scripts do not compete. Its ``letters``
+    most used ones are columns of its table; transitions by the others are looked up in a sorted list.
+    """
 
     def __init__(self, samples: dict[str, str], letters: int = 94, block: int = 4096) -> None:
         self.langs = sorted(samples)
         self.block = block
-        self.alphabet = Alphabet(common_letters(samples, letters))
+        own = {lang: letters_by_use(samples[lang]) for lang in self.langs}
+        self.alphabet = Alphabet("".join(sorted(set().union(*own.values()))))
+        #: By language and code of the common alphabet: the language's own code; 1 where its sample lacks the letter.
+        self.own = np.ones((len(self.langs), self.alphabet.size), np.int32)
+        self.own[:, 0] = 0
+        self.widths = np.array([min(len(own[lang]), letters) + 2 for lang in self.langs], np.int32)
+        self.bits = np.zeros(len(self.langs))
         tables, self.starts, at = [], [], 0
-        for lang in self.langs:
-            t = parse_table(suffix_automaton(self._squeezed(self._points(samples[lang])).tolist()), self.alphabet.size)
+        keys: list[int] = []
+        values: list[int] = []
+        for k, lang in enumerate(self.langs):
+            for code, c in enumerate(own[lang]):
+                self.own[k, self.alphabet.at[c]] = code + 2
+            sample = self._squeezed(self._points(samples[lang]))
+            # A phrase is a place in the sample, or one of all the letters put behind it.
+            self.bits[k] = np.log2(len(sample) + self.alphabet.size)
+            goes = suffix_automaton(self.own[k][sample].tolist())
+            width = int(self.widths[k])
+            t = parse_table(goes, width)
+            for s, row in enumerate(goes):
+                for c, to in row.items():
+                    if c >= width:
+                        keys.append((at + s * width) * self.alphabet.size + c)
+                        values.append(2 * (at + to * width) + (s == 0))
             self.starts.append(at)
             tables.append(t)
             at += len(t)
+        order = np.argsort(np.array(keys, np.int64), kind="stable")
+        self.rare_keys, self.rare_values = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         # One table for all: a row's place in it, doubled, plus the flag.
         width = np.int32 if 2 * at < 2**31 else np.int64
         self.table = np.concatenate([t.astype(width) + width(2 * s) for t, s in zip(tables, self.starts, strict=True)]) if tables else np.zeros(0, width)
 
+    def _next(self, state: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Entries of the table for (languages x lanes) states and the lanes' codes in the common alphabet."""
+        own = self.own[:, codes]
+        if not len(self.rare_keys):
+            return self.table[state + own]
+        rare = own >= self.widths[:, None]
+        value = self.table[state + np.where(rare, 1, own)].astype(np.int64)
+        if rare.any():
+            k, lane = np.nonzero(rare)
+            c = own[k, lane]
+            key = state[k, lane] * self.alphabet.size + c
+            at = np.minimum(np.searchsorted(self.rare_keys, key), len(self.rare_keys) - 1)
+            fresh = np.searchsorted(self.rare_keys, np.array(self.starts, np.int64)[k] * self.alphabet.size + c)
+            value[k, lane] = self.rare_values[np.where(self.rare_keys[at] == key, at, fresh)]
+        return value
+
     @staticmethod
     def _points(text: str) -> np.ndarray:
         return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -179,7 +231,7 @@ class Parser:
         order = np.argsort(-sizes, kind="stable")
         sizes, own = sizes[order], np.array(owners)[order]
         longest = int(sizes[0])
-        grid = np.zeros((longest, len(order)), np.uint8)  # a row holds one character of every block
+        grid = np.zeros((longest, len(order)), self.alphabet.lut.dtype)  # a row holds one character of every block
         for lane, k in enumerate(order):
             grid[: sizes[lane], lane] = blocks[k]
         active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # lanes longer than the step
@@ -187,7 +239,7 @@ class Parser:
         state = np.repeat(np.array(self.starts, np.int64)[:, None], len(order), axis=1)
         for step in range(longest):
             n = active[step]
-            value = self.table[state[:, :n] + grid[step, :n]]
+            value = self._next(state[:, :n], grid[step, :n])
             got[:, :n] += value & 1
             state[:, :n] = value >> 1
         for k in range(len(self.langs)):
@@ -226,13 +278,14 @@ def identify(
             texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
             counts, n = parser.phrases(texts)
             if parser.langs:
-                best = counts.argmin(axis=1)
-                least = counts[np.arange(len(texts)), best]
-                rest = counts.copy()
-                rest[np.arange(len(texts)), best] = np.iinfo(np.int64).max
+                costs = counts * parser.bits
+                best = costs.argmin(axis=1)
+                least = costs[np.arange(len(texts)), best]
+                rest = costs.copy()
+                rest[np.arange(len(texts)), best] = np.inf
                 second = rest.min(axis=1)
                 none = n == 0
-                score = np.where(none, 0.0, np.where(len(parser.langs) == 1, 1.0, 1.0 - least / np.maximum(second, 1)))
+                score = np.where(none, 0.0, 1.0 - least / np.where(none, 1.0, second))
                 pred = [UNKNOWN if z else parser.langs[b] for b, z in zip(best, none, strict=True)]
             else:
                 score, pred = np.zeros(len(texts)), [UNKNOWN] * len(texts)

@@ -173,6 +173,50 @@ def test_language_accuracy_on_held_out_documents(spark, odd, no_docs):
     assert langid.accepted(odd).columns == odd.columns
 
 
+def made_texts(seed, letters, n, words=120):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(150)]
+    return [" ".join(rng.choice(vocabulary) for _ in range(words)) for _ in range(n)]
+
+
+def test_a_rare_language_leaves_the_samples_of_others_whole(spark):
+    a, b = made_texts(1, "abcdefgh", 140), made_texts(2, "abcdefgh", 140)
+    labelled = [(i, t, "aa") for i, t in enumerate(a[:100])] + [(200 + i, t, "bb") for i, t in enumerate(b[:100])] + [(999, a[0][:25], "cc")]
+    docs = spark.createDataFrame(labelled, "doc_id long, text string, lang string")
+    samples = langid.collect_samples(docs, "text", "lang", F.col("doc_id"), 256, 400, 24_000)
+    assert len(samples["aa"]) == len(samples["bb"]) > 20_000 and 0 < len(samples["cc"]) <= 26
+    asked = spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(a[100:] + b[100:])], docs.schema)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs.union(asked), train=F.col("doc_id") < 1000).collect()}
+    assert [found[1000 + i] for i in range(80)] == ["aa"] * 40 + ["bb"] * 40
+
+
+def test_samples_come_from_all_over_the_texts(spark):
+    a, b = made_texts(3, "abcdefgh", 60), made_texts(4, "abcdefgh", 60)
+    head = made_texts(5, "abcdefgh", 1)[0][:450]  # the same first lines in both languages
+    docs = spark.createDataFrame([(i, f"{head} {t}", ("aa", "bb")[i >= 40]) for i, t in enumerate(a[:40] + b[:40])], "doc_id long, text string, lang string")
+    asked = spark.createDataFrame([(1000 + i, t, None) for i, t in enumerate(a[40:] + b[40:])], docs.schema)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs.union(asked), train=F.col("doc_id") < 1000).collect()}
+    assert [found[1000 + i] for i in range(40)] == ["aa"] * 20 + ["bb"] * 20
+    samples = langid.collect_samples(spark.createDataFrame([(i, f"{i:05d}" * 400, "x") for i in range(5000)], docs.schema), "text", "lang", F.col("doc_id"), 256, 400, 24_000)
+    assert len({piece[5:10] for piece in samples["x"].split()}) > 200  # nearly all of the 256 slots
+
+
+def test_each_language_has_codes_for_all_its_letters():
+    scripts = {"aa": "abcdefghijklmnopqrst", "bb": "αβγδεζηθικλμνξοπρστυ", "cc": "абвгдежзийклмнопрсту", "dd": "աբգդեզէըթժիլխծկհձղճմ", "ee": "".join(map(chr, range(0x4E00, 0x4E00 + 600)))}
+    samples = {lang: " ".join(made_texts(k, letters, 4)) for k, (lang, letters) in enumerate(scripts.items())}
+    asked = {lang: made_texts(k, letters, 4)[-1] + " 中文" for k, (lang, letters) in enumerate(scripts.items())}
+    parser = langid.Parser(samples, letters=30, block=10**6)
+    got, _ = parser.phrases(list(asked.values()))
+    for i, text in enumerate(asked.values()):
+        for k, sample in enumerate(samples.values()):
+            left, want = text, 0
+            while left:
+                n = next((n for n in range(1, len(left)) if left[: n + 1] not in sample), len(left))
+                left, want = left[n:], want + 1
+            assert got[i, k] == want
+    assert (got * parser.bits).argmin(axis=1).tolist() == [0, 1, 2, 3, 4]
+
+
 # byte-level BPE and shard files
 
 
