@@ -259,17 +259,18 @@ def identify(
     letters: int = 62,
     block: int = 4096,
     keep: tuple[str, ...] = (),
-    out: tuple[str, str] = ("lang_pred", "score"),
+    out: tuple[str, ...] = ("lang_pred", "score"),
 ) -> DataFrame:
     """id, lang_pred, score (or other names in ``out``) and the columns in ``keep`` for every document.
 
     ``train`` says which rows may be learnt from (all with a language, by default).
     The score is the lead of the winner over the next language, from 0 (none) to 1.
+    A third name in ``out`` adds whether the text has a letter.
     """
     labelled = docs.where(train) if train is not None else docs
     samples = tuple(sorted(collect_samples(labelled, text_col, lang_col, F.col(id_col), slots, chars_each, sample_chars).items()))
     rows = docs.select(id_col, F.col(text_col).alias("__text"), *keep)
-    out_type = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"] + [f"`{out[0]}` string", f"`{out[1]}` double"])
+    out_type = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"] + [f"`{c}` {kind}" for c, kind in zip(out, ("string", "double", "boolean"), strict=False)])
     names = [id_col, *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,12 +290,18 @@ def identify(
                 pred = [UNKNOWN if z else parser.langs[b] for b, z in zip(best, none, strict=True)]
             else:
                 score, pred = np.zeros(len(texts)), [UNKNOWN] * len(texts)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*names, *out])
+            made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n > 0, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made[: len(out)]], names=[*names, *out])
 
     return rows.mapInArrow(run, out_type)
 
 
 def accepted(docs: DataFrame, train: Column | None = None, **options) -> DataFrame:
-    """The rows of ``docs`` whose text has a language, with their columns."""
-    found = identify(docs, train, keep=tuple(c for c in docs.columns if c != options.get("id_col", "doc_id")), out=("__lang", "__score"), **options)
-    return found.where(F.col("__lang") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose text has a letter, with their columns; the language column has the predicted language.
+
+    With no labelled row there is no prediction: the rows stay as they are.
+    """
+    lang_col = options.get("lang_col", "lang")
+    found = identify(docs, train, keep=tuple(c for c in docs.columns if c != options.get("id_col", "doc_id")), out=("__lang", "__score", "__lettered"), **options)
+    lang = F.when(F.col("__lang") != UNKNOWN, F.col("__lang")).otherwise(F.col(f"`{lang_col}`")).alias(lang_col)
+    return found.where("__lettered").select(*[lang if c == lang_col else F.col(f"`{c}`") for c in docs.columns])

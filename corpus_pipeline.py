@@ -10,7 +10,7 @@ from clauselake.llm.shared import written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters) go."""
+    """Documents without a letter go; the others get the language that the model of the labelled ones predicts."""
     return langid.accepted(docs)
 
 

@@ -217,6 +217,15 @@ def test_each_language_has_codes_for_all_its_letters():
     assert (got * parser.bits).argmin(axis=1).tolist() == [0, 1, 2, 3, 4]
 
 
+def test_accepted_keeps_text_without_labels_and_writes_the_language(spark):
+    a, b = made_texts(6, "abcdefgh", 60), made_texts(7, "abcdefgh", 60)
+    rows = [(i, t, ("aa", "bb")[i >= 60]) for i, t in enumerate(a + b)]
+    docs = spark.createDataFrame([(i, t, None if i % 60 == 1 else "aa" if i == 62 else lang) for i, t, lang in rows] + [(500, "12 .", "aa"), (501, None, None)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, langid.accepted(docs, train=F.col("doc_id") != 62).collect())) == rows
+    bare = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(map(tuple, langid.accepted(bare).collect())) == [(i, t, None) for i, t, _ in rows]
+
+
 # byte-level BPE and shard files
 
 
