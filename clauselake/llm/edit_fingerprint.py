@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselake.llm.grouping import confirmed, linked
+from clauselake.llm.grouping import confirmed, linked, texts_of
 from clauselake.llm.shared import written
 
 PERIOD = 4096
@@ -277,7 +277,7 @@ def edit_distance(a: str, b: str) -> int:
 BAND = 4
 
 
-def near_edit_dups(docs: DataFrame, most_share: float = 0.1, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 50) -> DataFrame:
+def near_edit_dups(docs: DataFrame, most_share: float = 0.1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and group_id (least id reachable) of every document.
 
     Texts are linked if they are equal, or share a band of samples and their edit
@@ -301,6 +301,6 @@ def near_edit_dups(docs: DataFrame, most_share: float = 0.1, id_col: str = "doc_
         longer = max(len(a), len(b))
         return abs(len(a) - len(b)) <= most_share * longer and edit_distance(a, b) <= most_share * longer
 
-    labels = linked(keys, sketches, may_link, lambda pairs, many: confirmed(pairs, docs, lambda t: t or "", alike, id_col, text_col, many), cross_budget)
+    labels = linked(keys, sketches, may_link, lambda pairs, found: confirmed(pairs, found, lambda t: t or "", alike), lambda nodes: texts_of(nodes, docs, id_col, text_col))
     rooted = classes_.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return rows.join(rooted, "digest", "left").select(F.col("id").alias(id_col), F.coalesce("root", "id").alias("group_id"))

@@ -16,23 +16,29 @@ from pyspark.sql import functions as F
 from clauselake.llm.components import components
 from clauselake.llm.shared import slices, written
 
-#: Members that meet one copy of their leader's text.
-SHARE = 64
+#: Parts of a leader's members; each part has a copy of what is known of the leader.
+SHARES = 512
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, prepare: Callable[[str | None], Any], alike: Callable[[Any, Any], bool], id_col: str, text_col: str, many: bool = False) -> DataFrame:
+def _share(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(SHARES)).cast("int")
+
+
+def texts_of(nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and text of those ``docs`` that are among ``nodes``, written once for all rounds of ``confirmed``."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return written(texts.hint("merge").join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "candidates")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, prepare: Callable[[str | None], Any], alike: Callable[[Any, Any], bool]) -> DataFrame:
     """Those of ``pairs`` (node, leader) whose texts are alike, as links u, v.
 
     Members of a leader are dealt out in shares, each with one copy of the leader's
-    text; a share is compared row by row behind its leader. ``many``: pairs grow with the
-    documents and are not to be broadcast, however few they are in a small input.
+    text; a share is compared row by row behind its leader.
     """
-    pairs = written(pairs, "pairs")
-    shares = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    members = pairs.join(shares, "leader").select(F.col("node").alias("id"), "leader", F.pmod(F.xxhash64("node"), F.col("shares")).cast("int").alias("share"), F.lit(1).alias("member"))
-    heads = shares.select(F.col("leader").alias("id"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("member"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    met = members.unionByName(heads).join(texts.hint("merge") if many else texts, "id").repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
+    members = pairs.select(F.col("node").alias("id"), "leader", _share("node").alias("share"), F.lit(1).alias("member"))
+    heads = members.select(F.col("leader").alias("id"), "leader", "share", F.lit(0).alias("member")).distinct()
+    met = members.unionByName(heads).join(texts, "id").repartition("leader", "share").sortWithinPartitions("leader", "share", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, leaders = None, []  # an id can stand for several texts
@@ -52,55 +58,78 @@ def confirmed(pairs: DataFrame, docs: DataFrame, prepare: Callable[[str | None],
     return met.select("id", "leader", "share", "member", "text").mapInArrow(run, "u long, v long")
 
 
-def with_sketch(rows: DataFrame, sketches: DataFrame, column: str, name: str) -> DataFrame:
-    """The columns of ``sketches`` (by node) beside ``column``, their names ended by ``name``."""
-    return rows.join(sketches.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{name}") for c in sketches.columns if c != "node"]), column)
+def _likely(pairs: DataFrame, sketches: DataFrame, may_link: Callable[[str, str], Column]) -> DataFrame:
+    """Those of ``pairs`` that their sketches allow. A leader's sketch goes to each share of its members."""
 
+    def named(column: str, name: str) -> DataFrame:
+        return sketches.select(F.col("node").alias(column), *[F.col(c).alias(f"{c}_{name}") for c in sketches.columns if c != "node"])
 
-def linked(keys: DataFrame, sketches: DataFrame, may_link: Callable[[str, str], Column], confirm: Callable[[DataFrame, bool], DataFrame], cross_budget: int) -> DataFrame:
+    members = pairs.withColumn("share", _share("node")).join(named("node", "a"), "node")
+    heads = pairs.select("leader", _share("node").alias("share")).distinct().join(named("leader", "b"), "leader")
+    return members.join(heads, ["leader", "share"]).where(may_link("a", "b")).select("node", "leader")
+
+
+def linked(
+    keys: DataFrame,
+    sketches: DataFrame,
+    may_link: Callable[[str, str], Column],
+    confirm: Callable[[DataFrame, DataFrame], DataFrame],
+    candidates: Callable[[DataFrame], DataFrame],
+    finer: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    cross_budget: int = 16,
+) -> DataFrame:
     """Components of the links among nodes that share a key: u and v, the least node of u's component.
 
     ``keys`` has columns node and key. ``sketches`` has a row per node; ``may_link``
     says, by the sketches of two sides, whether a pair has to be confirmed.
-
-    First every node is compared with the least node among those it shares keys with.
-    Then only keys that still hold different components are looked at; the pairs
-    across components that remain are few, and all are compared. Should they be many
-    (more than ``cross_budget`` for each row of such keys), rounds with 4, 16, 64, ...
-    leaders a key come first; what they link is no longer across. No pair is dropped:
-    the last step compares all that are left.
+    ``candidates`` reads once what ``confirm`` needs of the nodes that share keys.
+
+    1. Every node is compared with one other: of the least nodes of its keys, the one
+       that it shares most keys with.
+    2. Only keys that still hold different components are looked at. In each round
+       every node of such a key is compared with the key's leaders, one in the first
+       round and twice as many in each later one, other ones each time; what they link
+       is no longer across. Rounds end when one adds less than a hundredth to the links.
+    3. All pairs across components that are left are compared, so none is dropped. A
+       key with more than ``cross_budget`` such pairs a row is not paired itself: its
+       nodes get the ``finer`` keys, at least one of which any two that can be linked share.
     """
     # Only keys that several nodes share are looked at again.
-    several = keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader")
-    shared = written(keys.join(several, "key").distinct(), "shared-keys")
-    pairs = shared.where("node <> leader").select("node", "leader").distinct()
-    likely = with_sketch(with_sketch(pairs, sketches, "node", "a"), sketches, "leader", "b").where(may_link("a", "b"))
-    first = likely.groupBy("node").agg(F.min("leader").alias("leader"))
-    labels = components(written(confirm(first, True), "links"))
-
-    leaders = 1
+    several = written(keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader"), "several")
+    shared = written(keys.join(several, "key"), "shared-keys")
+    texts = candidates(shared.select("node"))
+    counted = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    nearest = counted.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+    tested = written(_likely(nearest, sketches, may_link), "pairs")
+    labels = components(confirm(tested, texts))
+
+    leaders, known, more = 1, labels.count(), True
     while True:
         # Rows of keys that still hold several components.
         placed = shared.select("key", "node").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+        split = written(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "split-keys")
         open_rows = written(placed.join(split, "key"), "open-keys")
-        by_root = open_rows.groupBy("key", "root").agg(F.count("*").alias("c"))
-        across = by_root.groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        rows, left, largest = across.agg(F.coalesce(F.sum("g"), F.lit(0)), F.coalesce(F.sum((F.col("g") * F.col("g") - F.col("q")) / 2), F.lit(0.0)), F.max("g")).first()
-        if not rows:
-            return labels
-        last = left <= cross_budget * rows or leaders >= largest
-        if last:
-            ahead = open_rows.select("key", F.col("node").alias("leader"), F.col("root").alias("other"))
-            apart = F.col("node") > F.col("leader")
-        else:
-            leaders *= 4
-            dealt = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-            chosen = open_rows.groupBy("key", dealt.alias("d")).agg(F.min("node").alias("leader")).select("key", "leader").distinct()
-            ahead = chosen.join(open_rows.select("key", F.col("node").alias("leader"), F.col("root").alias("other")), ["key", "leader"])
-            apart = F.col("node") != F.col("leader")
-        met = with_sketch(open_rows, sketches, "node", "a").join(with_sketch(ahead, sketches, "leader", "b"), "key")
-        met = met.where((F.col("root") != F.col("other")) & apart & may_link("a", "b")).select("node", "leader").distinct()
-        labels = components(labels.unionByName(confirm(met, False)))
-        if last:
-            return labels
+        if not more:
+            break
+        order = F.xxhash64("node", F.lit(leaders))
+        chosen = open_rows.groupBy("key", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("root").alias("other")), order).alias("x"))
+        met = open_rows.join(written(chosen.select("key", "x.*"), "leaders"), "key").where("root <> other").select("node", "leader").distinct()
+        pairs = written(_likely(met.join(tested, ["node", "leader"], "left_anti"), sketches, may_link), "pairs")
+        labels = components(labels.unionByName(confirm(pairs, texts)))
+        tested = tested.unionByName(pairs)
+        count = labels.count()
+        leaders, known, more = 2 * leaders, count, 100 * (count - known) > count
+
+    if finer:
+        by_root = open_rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"))
+        heavy = written(by_root.where((F.col("g") * F.col("g") - F.col("q")) / 2 > cross_budget * F.col("g")).select("key"), "heavy-keys")
+        of_heavy = open_rows.join(heavy, "key", "left_semi").select("node", "root").distinct()
+        open_rows = open_rows.join(heavy, "key", "left_anti").unionByName(finer(of_heavy.select("node"), texts).join(of_heavy, "node").select("key", "node", "root"))
+    described = written(open_rows.join(sketches, "node"), "open-sketches")
+    a = described.select("key", *[F.col(c).alias(f"{c}_a") for c in described.columns if c != "key"])
+    b = described.select("key", *[F.col(c).alias(f"{c}_b") for c in described.columns if c != "key"])
+    met = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")) & may_link("a", "b"))
+    rest = met.select(F.col("node_a").alias("node"), F.col("node_b").alias("leader")).distinct()
+    either = tested.unionByName(tested.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
+    rest = written(rest.join(either, ["node", "leader"], "left_anti"), "pairs")
+    return components(labels.unionByName(confirm(rest, texts)))

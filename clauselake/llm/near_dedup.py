@@ -16,7 +16,9 @@ shared part of their sets is at least ``percent`` of their union.
    many shingles as bins in which one has an odd and the other an even number. Then
    they are compared by their full sets, which are made from the texts again.
 
-Pairs are not listed within a key; see ``grouping.linked``.
+Pairs are not listed within a key; see ``grouping.linked``. Where a key still holds
+many unlinked classes, as those that share a long passage do, they are joined by the
+rarest shingles of their sets instead: any two that can be linked share one (``_rare``).
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text of fewer words than a shingle is one shingle. A row with a null id is reported
@@ -35,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.grouping import confirmed, linked
+from clauselake.llm.grouping import confirmed, linked, texts_of
 from clauselake.llm.shared import held_by_worker, slices, written
 
 CHUNKS, CHUNK_SYMBOLS, ERRORS = 12, 5, 1
@@ -148,22 +150,48 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 1000) -> DataFrame:
+def _rare(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """node and key: shingles by which two linked nodes must meet, the rarest of each set.
+
+    Two sets of which ``percent`` of the union is shared have a shingle in common among
+    those that remain of each after its ``percent`` most frequent ones. Frequency is
+    counted among ``nodes``; a shingle of one node alone takes a place and is no key.
+    """
+    rows = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 50):
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = shingle_set(text, width)
+                own = np.full(len(found), node, np.int64), np.full(len(found), xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64), np.full(len(found), len(found), np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(found.view(np.int64))], names=["node", "set", "n", "key"])
+
+    shingles = written(rows.mapInArrow(run, "node long, set long, n long, key long").distinct(), "shingles")
+    frequent = written(shingles.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "frequencies")
+    ranked = shingles.join(frequent, "key").groupBy("node", "set", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("by_use"))
+    places = (F.col("n") * (100 - percent) / 100).cast("long") + 1 - (F.col("n") - F.size("by_use"))
+    return ranked.select("node", F.explode(F.slice("by_use", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("x")).select("node", "x.key")
+
+
+def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 16) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links), kept (the id is its component's)."""
     prints = written(_prints(docs, width, id_col, text_col), "prints")
-    classes = written(prints.where("n > 0").groupBy("set_a", "set_b", "n", "low", "high", *PARITIES).agg(F.min("id").alias("node"), F.count("*").alias("copies")), "classes")
-    sketches = classes.where("node is not null").groupBy("node").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), *[F.max(p).alias(p) for p in PARITIES], F.count("*").alias("texts"))
+    # All but the id follows from the set.
+    alike = [F.first(c).alias(c) for c in ("n", "low", "high", *PARITIES, "keys")]
+    classes = written(prints.where("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), *alike), "classes").where("node is not null")
+    sketches = classes.groupBy("node").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), *[F.max(p).alias(p) for p in PARITIES], F.count("*").alias("texts"))
     # An id with several texts passes every comparison of sketches and meets the sets.
-    standing = classes.select("set_a", "set_b", "node").where("node is not null")
-    keys = prints.join(standing, ["set_a", "set_b"]).where("id = node").select("node", F.explode("keys").alias("key"))
     labels = linked(
-        keys,
+        classes.select("node", F.explode("keys").alias("key")),
         sketches,
         lambda a, b: _may_link(a, b, percent),
-        lambda pairs, many: confirmed(pairs, docs, lambda text: shingle_set(text, width), lambda x, y: _alike(x, y, percent), id_col, text_col, many),
+        lambda pairs, texts: confirmed(pairs, texts, lambda text: shingle_set(text, width), lambda x, y: _alike(x, y, percent)),
+        lambda nodes: texts_of(nodes, docs, id_col, text_col),
+        lambda nodes, texts: _rare(nodes, texts, width, percent),
         cross_budget,
     )
 
+    standing = classes.select("set_a", "set_b", "node")
     rooted = standing.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("set_a", "set_b", F.coalesce("root", "node").alias("component"))
     return (
         prints.select("id", F.col("n").alias("n_shingles"), "set_a", "set_b")
