@@ -6,6 +6,8 @@ that texts from any extractor are treated alike.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(col(text), rf"(?U)\A{S}+|{S}+\z", "")
 
@@ -58,11 +65,13 @@ def flatten_tables(text: Column | str) -> Column:
         rows = F.transform(F.regexp_extract_all(table, F.lit(ROW), F.lit(1)), line)
         return F.array_join(F.filter(rows, lambda r: r != ""), "\n")
 
-    text = col(text)
-    outside = F.split(text, TABLE, -1)
-    inside = F.regexp_extract_all(text, F.lit(TABLE), F.lit(1))
-    joined = F.zip_with(outside, inside, lambda o, i: F.when(i.isNull(), o).otherwise(F.concat(o, F.lit("\n"), lines(i), F.lit("\n"))))
-    return F.when(F.contains(F.lower(text), F.lit("<table>")), F.array_join(joined, "")).otherwise(text)
+    def flat(text: Column) -> Column:
+        outside = F.split(text, TABLE, -1)
+        inside = F.regexp_extract_all(text, F.lit(TABLE), F.lit(1))
+        joined = F.zip_with(outside, inside, lambda o, i: F.when(i.isNull(), o).otherwise(F.concat(o, F.lit("\n"), lines(i), F.lit("\n"))))
+        return F.when(F.contains(F.lower(text), F.lit("<table>")), F.array_join(joined, "")).otherwise(text)
+
+    return bound(col(text), flat)
 
 
 def remove_figure_lines(text: Column | str) -> Column:
@@ -82,27 +91,39 @@ def collapse_blank_lines(text: Column | str) -> Column:
 
 
 def clean(text: Column | str) -> Column:
-    """All steps; characters and tables come before whole lines are judged."""
-    for step in (fix_sara_am, arabic_digits, straight_quotes, flatten_tables, remove_figure_lines, remove_page_lines, strip_line_ends, collapse_blank_lines):
-        text = step(text)
+    """All steps; characters and tables come before whole lines are judged. A step runs where its characters are there."""
+
+    def where(found: Callable[[Column], Column], step: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        return lambda t: F.when(found(t), step(t)).otherwise(t)
+
+    text = flatten_tables(straight_quotes(arabic_digits(fix_sara_am(text))))
+    text = bound(text, where(lambda t: F.contains(t, F.lit("(")), remove_figure_lines))
+    text = bound(text, where(lambda t: t.rlike(r"(?U)\d|<page_number>"), remove_page_lines))
+    text = bound(strip_line_ends(text), where(lambda t: F.contains(t, F.lit("\n\n\n")), collapse_blank_lines))
     return strip(text)
 
 
 def script_ratio(text: Column | str, script: str = THAI) -> Column:
     """Share of a script's characters among those that print; 0 if none does."""
     printed = F.regexp_replace(col(text), r"[\p{C}\p{Z}]", "")
-    return F.when(F.length(printed) == 0, 0.0).otherwise(F.length(F.regexp_replace(printed, f"[^{script}]", "")) / F.length(printed))
+    return bound(printed, lambda p: F.when(F.length(p) == 0, 0.0).otherwise(F.length(F.regexp_replace(p, f"[^{script}]", "")) / F.length(p)))
 
 
 def quality(text: Column | str, script: str = THAI, min_length: int = MIN_TEXT_LENGTH, min_ratio: float = MIN_SCRIPT_RATIO) -> Column:
     """struct(needs_ocr, reason, detail): the first rule that fires, and its number. Null text counts as empty."""
-    text = strip(F.coalesce(col(text), F.lit("")))
-    length = F.length(text)
-    private = length - F.length(F.regexp_replace(text, f"[{PRIVATE_USE}]", ""))
-    ratio = script_ratio(text, script)
-    reason = F.when(length < min_length, "short").when(F.contains(text, F.lit("(cid:")), "cid").when(private > 0, "private_use").when(ratio < min_ratio, "ratio").otherwise("ok")
-    detail = F.when(reason == "short", length.cast("double")).when(reason == "private_use", private.cast("double")).when(reason == "ratio", ratio)
-    return F.struct((reason != "ok").alias("needs_ocr"), reason.alias("reason"), detail.alias("detail"))
+
+    def measured(t: Column) -> Column:
+        private = F.length(t) - F.length(F.regexp_replace(t, f"[{PRIVATE_USE}]", ""))
+        return F.struct(F.length(t).alias("n"), F.contains(t, F.lit("(cid:")).alias("cid"), private.alias("private"), script_ratio(t, script).alias("ratio"))
+
+    def judged(m: Column) -> Column:
+        rules = (("short", m["n"] < min_length, m["n"].cast("double")), ("cid", m["cid"], F.lit(None).cast("double")), ("private_use", m["private"] > 0, m["private"].cast("double")), ("ratio", m["ratio"] < min_ratio, m["ratio"]))
+        found = F.lit(None)
+        for name, fires, number in reversed(rules):
+            found = F.when(fires, F.struct(F.lit(True).alias("needs_ocr"), F.lit(name).alias("reason"), number.alias("detail"))).otherwise(found)
+        return F.coalesce(found, F.struct(F.lit(False).alias("needs_ocr"), F.lit("ok").alias("reason"), F.lit(None).cast("double").alias("detail")))
+
+    return bound(bound(strip(F.coalesce(col(text), F.lit(""))), measured), judged)
 
 
 def reason_text(reason: Column, detail: Column) -> Column:

@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import base64
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.functions.text import arabic_digits, col
+from clauselake.sources.scratch import written
 
 # Fusion constant, candidates of each ranking, weights, BM25 constants.
 RRF_K = 60
@@ -41,17 +40,22 @@ def ranked(scores: DataFrame, k: int, *ties: str) -> DataFrame:
 
 
 class Bm25:
-    """Statistics of chunks (chunk_id, tokens array) and the search in them. An index over no chunks is an error."""
+    """Statistics of chunks (chunk_id, tokens array) and the search in them. An index over no chunks is an error.
+
+    Texts are read once: postings with their chunk's length are written to the shared folder.
+    """
 
     def __init__(self, chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> None:
         self.k1, self.b = k1, b
         rows = chunks.select("chunk_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-        self.lengths = rows.select("chunk_id", F.size("tokens").alias("dl"))
-        self.postings = rows.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))
-        self.n, total = self.lengths.agg(F.count("*"), F.sum("dl")).first()
+        found = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
+        postings = written(found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
+        # A chunk without tokens is a row without a term.
+        self.n, total = postings.select("chunk_id", "dl").distinct().agg(F.count("*"), F.sum("dl")).first()
         if not self.n:
             raise ValueError("no chunks to index")
         self.mean_length = (total or 0) / self.n
+        self.postings = postings.where("term is not null")
         frequency = self.postings.groupBy("term").agg(F.count("*").alias("df"))
         idf = frequency.select("term", (F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
         mean = idf.agg(F.avg(F.round("idf", 12).cast("decimal(30,12)"))).first()[0]
@@ -63,57 +67,64 @@ class Bm25:
         asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
         weighed = asked.join(self.idf, "term")
         # Queries are few beside postings: only postings of asked words travel.
-        hits = self.postings.join(weighed, "term").join(self.lengths, "chunk_id")
+        hits = self.postings.join(weighed, "term")
         gain = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / self.mean_length))
         scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * gain).alias("score")).where("score > 0")
         return ranked(scores, k, "chunk_id")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 1024) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_384, part: int = 65_536) -> DataFrame:
     """query_id, chunk_id, score, rank: the k vectors of greatest cosine for each query.
 
-    ``vectors``: chunk_id, embedding; ``queries``: query_id, embedding. Queries go to the
-    tasks in blocks of bounded size; each task multiplies a batch of vectors with a block
-    and gives its k best of each query on, which meet in one ranking. Null or zero
-    vectors are no hits.
+    ``vectors``: chunk_id, embedding; ``queries``: query_id, embedding. Queries are dealt
+    into blocks and vectors into parts of about these sizes; a task multiplies one part
+    with one block and gives on the k best of each query, ties by chunk_id, which meet
+    in one ranking. Null or zero vectors are no hits.
     """
-    kind = vectors.schema["chunk_id"].dataType.simpleString()
-    asked = queries.select("query_id", "embedding").where("embedding is not null")
-    id_kind = asked.schema["query_id"].dataType.simpleString()
-    n = asked.count()
-    blocks = -(-n // block)
-    numbered = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(max(1, blocks))))
-    found = None
-    for i in range(blocks):
-        part = numbered.where(F.col("block") == i).collect()
-        if not part:
-            continue
-        ids = [r["query_id"] for r in part]
-        matrix = np.array([r["embedding"] for r in part], np.float64).reshape(len(ids), -1)
-        best = vectors.select("chunk_id", "embedding").where("embedding is not null").mapInArrow(_best(ids, matrix, k), f"query_id {id_kind}, chunk_id {kind}, score double")
-        found = best if found is None else found.unionByName(best)
-    if found is None:
-        return vectors.limit(0).select(F.lit(None).cast(id_kind).alias("query_id"), "chunk_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    return ranked(found, k, "chunk_id")
-
-
-def _best(ids: list, matrix: np.ndarray, k: int):
-    packed = base64.b64encode(matrix.tobytes())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = np.frombuffer(base64.b64decode(packed), np.float64).reshape(len(ids), -1)
-        lengths = np.linalg.norm(asked, axis=1)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-            norms = np.linalg.norm(rows, axis=1)
+    rows = vectors.select("chunk_id", "embedding").where("embedding is not null")
+    # Both may come from one table; the columns of a cogroup must not be the same.
+    asked = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("wanted")).where("wanted is not null")
+    parts, blocks = max(1, -(-rows.count() // part)), max(1, -(-asked.count() // block))
+    all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = rows.withColumns({"part": F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"), "block": all_of(blocks)})
+    right = asked.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "part": all_of(parts)})
+    kind, id_kind = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
+    return ranked(met.applyInArrow(_best(k), f"query_id {id_kind}, chunk_id {kind}, score double"), k, "chunk_id")
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    rows = column.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+
+
+def _best(k: int, scores_at_once: int = 4_000_000):
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query_id", asked.schema.field("query_id").type), ("chunk_id", vectors.schema.field("chunk_id").type), ("score", pa.float64())])
+        if not vectors.num_rows or not asked.num_rows:
+            return kinds.empty_table()
+        vectors = vectors.take(pc.array_sort_indices(vectors.column("chunk_id").combine_chunks()))
+        rows, wanted = _matrix(vectors.column("embedding")), _matrix(asked.column("wanted"))
+        norms, step = np.linalg.norm(rows, axis=1), max(1, scores_at_once // len(rows))
+        r = min(k, len(rows))
+        at_query, at_row, score = [], [], []
+        for start in range(0, len(wanted), step):
+            some = wanted[start : start + step]
             with np.errstate(divide="ignore", invalid="ignore"):
-                scores = (asked @ rows.T) / lengths[:, None] / norms[None, :]
-            q, r = np.arange(len(ids)), min(k, batch.num_rows)
-            least = np.round(-np.partition(-np.nan_to_num(scores, nan=-2), r - 1, axis=1)[:, r - 1], DIGITS)
-            q, c = np.nonzero(np.round(scores, DIGITS) >= least[:, None])  # with all that tie with the last
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in q]), batch.column(0).take(pa.array(c)), pa.array(scores[q, c])], names=["query_id", "chunk_id", "score"])
+                scores = (some @ rows.T) / np.linalg.norm(some, axis=1)[:, None] / norms[None, :]
+            shown = np.round(np.nan_to_num(scores, nan=-2.0), DIGITS)
+            # The k-th best value; rows stand by chunk_id, so a stable sort of those that reach it settles ties.
+            least = -np.partition(-shown, r - 1, axis=1)[:, r - 1]
+            q, c = np.nonzero((shown >= least[:, None]) & ~np.isnan(scores))
+            by = np.lexsort((c, -shown[q, c], q))
+            q, c = q[by], c[by]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, c = q[place < k], c[place < k]
+            at_query.append(q + start)
+            at_row.append(c)
+            score.append(scores[q, c])
+        at_query, at_row = pa.array(np.concatenate(at_query)), pa.array(np.concatenate(at_row))
+        return pa.table([asked.column("query_id").take(at_query), vectors.column("chunk_id").take(at_row), pa.array(np.concatenate(score))], schema=kinds)
 
     return run
 

@@ -59,5 +59,6 @@ def upsert(existing: DataFrame, points: DataFrame) -> DataFrame:
 
 def reindex(existing: DataFrame, chunks: DataFrame, docs: DataFrame, make_model: Callable[[], Callable[[list[str]], np.ndarray]] = hashed_ngrams) -> DataFrame:
     """Vectors after the points of ``docs`` are made anew; documents without chunks lose theirs. Only these are embedded."""
-    points = chunk_vectors(chunks.join(docs.select("doc").distinct(), "doc", "left_semi"), make_model)
-    return replace_by(existing, points, "doc", docs)
+    docs = docs.select("doc").distinct()
+    points = chunk_vectors(chunks.join(docs, "doc", "left_semi"), make_model)
+    return existing.join(docs, "doc", "left_anti").unionByName(points)

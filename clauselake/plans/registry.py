@@ -168,7 +168,7 @@ _BM25 = r"""
     s AS (SELECT count(*) AS n, sum(dl) / count(*) AS mean FROM dl),
     raw AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), s),
     idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
-    q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:8]) AS term FROM benchmark) GROUP BY ALL),
+    q AS (SELECT item_id AS query_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM benchmark) GROUP BY ALL),
     sc AS (SELECT query_id, doc_id AS chunk_id, sum(times * (idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / mean)))) AS score
            FROM q JOIN idf USING (term) JOIN tf USING (term) JOIN dl USING (doc_id), s GROUP BY ALL),
     kw AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS INTEGER) AS rank FROM sc WHERE score > 0)
@@ -177,7 +177,7 @@ _BM25 = r"""
 
 def _bm25(spark, sf_dir, k):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), retrieval.words("text").alias("tokens"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(retrieval.words("text"), 1, 8).alias("tokens"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), retrieval.words("text").alias("tokens"))
     return retrieval.Bm25(docs).search(asked, k)
 
 
@@ -437,7 +437,10 @@ def registry_upsert(spark, sf_dir):
     return store.last_by(rows, "o_custkey", "o_orderkey")
 
 
-@query()
+@query(
+    """SELECT doc_id, substr(d, 1, 8) || '-' || substr(d, 9, 4) || '-5' || substr(d, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(d, 17, 1)) - 1) % 4 + 1, 1) || substr(d, 18, 3) || '-' || substr(d, 21, 12) AS point_id
+    FROM (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('doc_' || CAST(doc_id AS VARCHAR))) AS d FROM documents)"""
+)
 def point_ids(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.point_id(F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))).alias("point_id"))
 

@@ -11,7 +11,6 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 CHUNKS = "id string, doc string, clause string, chapter string, text string, chunk_seq long"
 REGISTRY = "doc string, sha256 string, pages int, ocr_pages array<int>, failed_pages array<int>, chunks int, ingested_at timestamp_ntz"
@@ -30,8 +29,10 @@ def replace_by(existing: DataFrame, new: DataFrame, key: str, gone: DataFrame |
 
 def last_by(rows: DataFrame, key: str, order: Column | str) -> DataFrame:
     """One row of each key: the last."""
-    at = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order) if isinstance(order, str) else order.desc()))
-    return rows.withColumn("__at", at).where("__at = 1").drop("__at")
+    order = F.col(order) if isinstance(order, str) else order
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    # Combined before the shuffle, so a key may have any number of rows.
+    return rows.groupBy(F.col(f"`{key}`").alias("key")).agg(F.max_by(whole, order).alias("row")).select("row.*")
 
 
 def find_by_hash(registry: DataFrame, hashes: DataFrame) -> DataFrame:
