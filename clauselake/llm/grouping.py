@@ -89,7 +89,7 @@ def linked(
     2. Only keys that still hold different components are looked at. In each round
        every node of such a key is compared with the key's leaders, one in the first
        round and twice as many in each later one, other ones each time; what they link
-       is no longer across. Rounds end when one adds less than a hundredth to the links.
+       is no longer across. Rounds end when one adds less than a tenth to the links.
     3. All pairs across components that are left are compared, so none is dropped. A
        key with more than ``cross_budget`` such pairs a row is not paired itself: its
        nodes get the ``finer`` keys, at least one of which any two that can be linked share.
@@ -118,7 +118,7 @@ def linked(
         labels = components(labels.unionByName(confirm(pairs, texts)))
         tested = tested.unionByName(pairs)
         count = labels.count()
-        leaders, known, more = 2 * leaders, count, 100 * (count - known) > count
+        leaders, known, more = 2 * leaders, count, 10 * (count - known) > count
 
     if finer:
         by_root = open_rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"))
