@@ -21,10 +21,12 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import struct
 import uuid
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -91,28 +93,27 @@ class Memory:
         self.make, self.most = make, most
         self.known: dict = {}
         self.old: dict = {}
+        self.long: list[str] = []
 
-    def look_up(self, lists: list[list[str] | None]) -> list[list | None]:
-        """The values of each list's pieces; those not known are made in one call. None stays None."""
-        get = self.known.get
-        found = [None if pieces is None else [*map(get, pieces)] for pieces in lists]
-        gaps = [k for k, values in enumerate(found) if values is not None and None in values]
-        missing = {p for k in gaps for p, value in zip(lists[k], found[k], strict=True) if value is None}
-        got = {p: self.old[p] for p in missing if p in self.old}
-        unknown = [p for p in missing if p not in got]
-        got.update(zip(unknown, self.make(unknown), strict=True))
-        for k in gaps:
-            found[k] = [got[p] if value is None else value for p, value in zip(lists[k], found[k], strict=True)]
+    def look_up(self, lists: list[list[str]]) -> dict:
+        """The value of each piece in the lists, and of others. Those not known are made in one call."""
+        for p in self.long:
+            del self.known[p]
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
-        self.known.update((p, value) for p, value in got.items() if len(p) <= REMEMBERED_CHARS)
-        return found
+        missing = set(chain.from_iterable(lists)).difference(self.known)
+        got = {p: self.old[p] for p in missing if p in self.old}
+        self.known.update(got)
+        unknown = [p for p in missing if p not in got]
+        self.known.update(zip(unknown, self.make(unknown), strict=True))
+        self.long = [p for p in unknown if len(p) > REMEMBERED_CHARS]
+        return self.known
 
 
-def in_portions(texts: list[str], encode: Callable[[list[str]], list], chars: int = 500_000) -> list:
-    """``encode`` over texts, about ``chars`` characters at once."""
+def in_portions(texts: list, encode: Callable[[list], list], chars: int = 1_000_000) -> list:
+    """``encode`` over texts (or lists of ids), about ``chars`` characters at once."""
     out: list = []
-    held: list[str] = []
+    held: list = []
     size = 0
     for text in texts:
         held.append(text)
@@ -141,51 +142,74 @@ def piece_text(piece: str) -> str:
     return piece[1:] if piece[:1] == "\0" else " " + piece
 
 
+class Table:
+    """Byte strings by id, looked up for many ids at once."""
+
+    def __init__(self, strings: dict[int, bytes]) -> None:
+        self.lengths = np.zeros(max(strings, default=-1) + 1, np.int64)
+        self.lengths[list(strings)] = [len(x) for x in strings.values()]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.bytes = np.frombuffer(b"".join(strings[i] for i in sorted(strings)), np.uint8)
+
+    def joined(self, lists: list[np.ndarray]) -> list[memoryview]:
+        """The strings of each list of ids one after another."""
+        ids = np.concatenate([*lists, np.zeros(0, np.uint32)])
+        n = self.lengths[ids]
+        ends = np.cumsum(n)
+        places = np.repeat(self.starts[ids] - (ends - n), n)
+        places += np.arange(len(places))
+        data = memoryview(self.bytes[places])
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *map(len, lists)])].tolist()
+        return [data[a:b] for a, b in pairwise(cuts)]
+
+
 class ByteBpe:
-    """Encoder and decoder of one rank file and pattern."""
+    """Encoder and decoder of one rank file and pattern. Ids are little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 200_000) -> None:
         self.ranks = ranks
-        self.tokens = {i: t for t, i in ranks.items()}
-        self.decimals = {i: str(i) for i in self.tokens}
+        tokens = {i: t for t, i in ranks.items()}
+        self.tokens, self.decimals = Table(tokens), Table({i: b"%d " % i for i in tokens})
+        self.packed = {t: struct.pack("<I", i) for t, i in ranks.items()}
         self.bytes = [bytes([b]) for b in range(256)]
+        self.byte_pairs = np.array([ranks.get(a + b, -1) for a in self.bytes for b in self.bytes])
         self.pattern = regex.compile(pattern)
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
         self.of_tokens = Memory(lambda tokens: self.merge([t.encode("utf-8", "surrogatepass") for t in tokens]), remembered)
         self.of_pieces = Memory(lambda pieces: self._matched([piece_text(p) for p in pieces]), remembered)
 
-    def merge(self, pre_tokens: list[bytes]) -> list[tuple[int, ...]]:
+    def merge(self, pre_tokens: list[bytes]) -> list[bytes]:
         """Token ids of each pre-token. All share one queue; no pair reaches from one to the next."""
-        ranks, rank_of, queue = self.ranks, self.ranks.get, self.queue
+        packed, rank_of, queue = self.packed, self.ranks.get, self.queue
         buckets, open_bucket = queue.buckets, queue.open
-        part: list[bytes] = []
-        pair_rank: list[int] = []
-        starts: list[int] = []
-        wanted: list[int] = []
-        for at, token in enumerate(pre_tokens):
-            if token in ranks:
-                continue
-            wanted.append(at)
-            starts.append(len(part))
-            part += map(self.bytes.__getitem__, token)
-            pair_rank += [rank_of(token[i : i + 2], -1) for i in range(len(token) - 1)]
-            pair_rank.append(-1)
-        n = len(part)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        for s in starts:
-            after[s - 1] = before[s] = -1  # also the end of all, for the first
-        if n:
-            after[n - 1] = -1
-        for i, r in enumerate(pair_rank):
-            if r >= 0:
-                if (bucket := buckets.get(r)) is not None:
-                    bucket.append(i)
-                else:
-                    open_bucket(r, [i])
+        out = [packed.get(t, b"") for t in pre_tokens]
+        wanted = [at for at, ids in enumerate(out) if not ids and pre_tokens[at]]
+        if not wanted:
+            return out
+        data = np.frombuffer(b"".join([pre_tokens[at] for at in wanted]), np.uint8)
+        ends = np.cumsum([len(pre_tokens[at]) for at in wanted])
+        starts = [0, *ends[:-1].tolist()]
+        first = np.full(len(data), -1, np.int64)
+        first[:-1] = self.byte_pairs[data[:-1].astype(np.int64) << 8 | data[1:]]
+        first[ends - 1] = -1
+        places = np.flatnonzero(first >= 0)
+        places = places[np.argsort(first[places], kind="stable")]
+        cuts = np.flatnonzero(np.diff(first[places], prepend=-1, append=-1)).tolist() if len(places) else []
+        for x, y in pairwise(cuts):
+            open_bucket(int(first[places[x]]), places[x:y].tolist())
+        part = [*map(self.bytes.__getitem__, data.tolist())]
+        pair_rank = first.tolist()
+        links = np.arange(len(data))
+        links[ends - 1] = -2
+        after = (links + 1).tolist()
+        links = np.arange(len(data)) - 1
+        links[starts] = -1
+        before = links.tolist()
         while found := queue.take():
             rank, positions = found
             positions.sort()
-            for k, i in enumerate(positions):
+            left = iter(positions)
+            for i in left:
                 if pair_rank[i] != rank:
                     continue  # stale
                 j = after[i]
@@ -214,37 +238,43 @@ class ByteBpe:
                         if r < least:
                             least = r
                 if least <= rank:  # a pair that comes before the rest of this bucket
-                    rest = positions[k + 1 :]
+                    rest = [*left]
                     if least == rank:
                         buckets[rank] += rest
                     elif rest:
                         open_bucket(rank, rest) if rank not in buckets else buckets[rank].extend(rest)
                     break
-        out: list[tuple[int, ...]] = [(ranks[t],) if t in ranks else () for t in pre_tokens]
         for at, i in zip(wanted, starts, strict=True):
-            if pre_tokens[at]:
-                ids = []
-                while i >= 0:
-                    ids.append(ranks[part[i]])
-                    i = after[i]
-                out[at] = tuple(ids)
+            ids = []
+            while i >= 0:
+                ids.append(packed[part[i]])
+                i = after[i]
+            out[at] = b"".join(ids)
         return out
 
-    def _matched(self, texts: list[str]) -> list[tuple[int, ...]]:
-        return [tuple(chain.from_iterable(ids)) for ids in self.of_tokens.look_up([self.pattern.findall(t) for t in texts])]
+    def _matched(self, texts: list[str]) -> list[bytes]:
+        found = [self.pattern.findall(t) for t in texts]
+        get = self.of_tokens.look_up(found).__getitem__
+        return [b"".join(map(get, tokens)) for tokens in found]
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Token ids of each text, as arrays."""
+        with no_cycles():
+            return in_portions(texts, self._ids)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text."""
-        with no_cycles():
-            return in_portions(texts, self._encode)
+        return [x.tolist() for x in self.ids(texts)]
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
         cut = [cut_at_spaces(t) for t in texts]
         whole = iter(self._matched([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [list(next(whole)) if ids is None else list(chain.from_iterable(ids)) for ids in self.of_pieces.look_up(cut)]
+        get = self.of_pieces.look_up([pieces for pieces in cut if pieces is not None]).__getitem__
+        return [np.frombuffer(next(whole) if pieces is None else b"".join(map(get, pieces)), "<u4") for pieces in cut]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        """The bytes that a list of ids stands for."""
+        return bytes(self.tokens.joined([np.array(ids, np.uint32)])[0])
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -264,11 +294,16 @@ class Vocabulary:
         return held_by_worker(("bpe", self.key), lambda: ByteBpe(self.ranks.value, self.pattern, self.remembered))
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.uint32)]).astype(np.int32)))
+
+
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and token_ids (array<int>) of every document."""
 
     def rows(coder: ByteBpe, texts: list[str | None]) -> list[pa.Array]:
-        return [pa.array(coder.encode([t or "" for t in texts]), pa.list_(pa.int32()))]
+        return [_lists(coder.ids([t or "" for t in texts]))]
 
     return _mapped(docs, vocabulary, id_col, text_col, "token_ids array<int>", rows)
 
@@ -277,7 +312,7 @@ def decode(tokens: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", id
     """id and bytes (binary) of every row; null ids are read as none."""
 
     def rows(coder: ByteBpe, ids: list[list[int] | None]) -> list[pa.Array]:
-        return [pa.array([coder.decode(x or []) for x in ids], pa.binary())]
+        return [pa.array(in_portions([np.array(x or [], np.uint32) for x in ids], coder.tokens.joined, 200_000), pa.binary())]
 
     return _mapped(tokens, vocabulary, id_col, ids_col, "bytes binary", rows)
 
@@ -289,14 +324,14 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id",
     """
 
     def rows(coder: ByteBpe, texts: list[str | None]) -> list[pa.Array]:
-        n, ids_sha, decoded_sha = [], [], []
-        found = coder.encode([t or "" for t in texts])
-        for ids in found:
-            n.append(len(ids))
-            ids_sha.append(hashlib.sha256(" ".join(map(coder.decimals.__getitem__, ids)).encode()).hexdigest())
-            decoded_sha.append(hashlib.sha256(coder.decode(ids)).hexdigest())
-        more = [pa.array(found, pa.list_(pa.int32()))] if with_ids else []
-        return [pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), *more]
+        found = coder.ids([t or "" for t in texts])
+
+        def digests(lists: list[np.ndarray]) -> list[tuple[str, str]]:
+            return [(hashlib.sha256(line[:-1]).hexdigest(), hashlib.sha256(data).hexdigest()) for line, data in zip(coder.decimals.joined(lists), coder.tokens.joined(lists), strict=True)]
+
+        made = in_portions(found, digests, 200_000)
+        more = [_lists(found)] if with_ids else []
+        return [pa.array([len(ids) for ids in found], pa.int64()), *(pa.array([x[k] for x in made], pa.string()) for k in range(2)), *more]
 
     return _mapped(docs, vocabulary, id_col, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids, rows)
 

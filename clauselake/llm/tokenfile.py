@@ -26,6 +26,7 @@ empty table writes no shard. Other columns are ignored.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.llm.bpe import Memory, cut_at_spaces, in_portions, piece_text
-from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, written
+from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, slices, written
 
 MAGIC = b"CLWM0001"
 BLOCK_BITS = 65_536
 
 
-def build(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
-    """A shard file. ``ids`` (int64, -1 for null) and ``lengths`` (uint32) a document; ``tokens`` unsigned."""
+def build(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
+    """A shard file. ``ids`` and ``lengths`` (uint32) a document; ``tokens`` unsigned."""
     pack = zstandard.ZstdCompressor(level=1).compress
     n_planes = max(1, int(tokens.max(initial=0)).bit_length())
     tokens = tokens.astype(np.uint16 if n_planes <= 16 else np.uint32)
@@ -59,7 +60,8 @@ def build(ids: np.ndarray, lengths: np.ndarray, tokens: np.ndarray) -> bytes:
         return at - len(data), len(data)
 
     header: dict = {"docs": len(ids), "tokens": len(tokens), "planes": n_planes, "block": BLOCK_BITS}
-    header["ids"] = section(pack(ids.astype("<i8").tobytes()))
+    header["ids"] = section(pack(np.array([i or 0 for i in ids], "<i8").tobytes()))
+    header["null_ids"] = [k for k, i in enumerate(ids) if i is None]
     header["lengths"] = section(pack(lengths.astype("<u4").tobytes()))
     header["bits"] = []
     for k in range(n_planes - 1, -1, -1):
@@ -87,7 +89,9 @@ class Shard:
         self._unpack = zstandard.ZstdDecompressor()
         self._body = memoryview(data)[16 + int(packed) :]
         self.head = json.loads(self._unpack.decompress(bytes(data[16 : 16 + int(packed)]), max_output_size=int(size)))
-        self.ids = np.frombuffer(self._section(self.head["ids"], 8 * self.head["docs"]), "<i8")
+        self.ids: list[int | None] = np.frombuffer(self._section(self.head["ids"], 8 * self.head["docs"]), "<i8").tolist()
+        for k in self.head["null_ids"]:
+            self.ids[k] = None
         self.lengths = np.frombuffer(self._section(self.head["lengths"], 4 * self.head["docs"]), "<u4")
         self.starts = np.concatenate([[0], np.cumsum(self.lengths, dtype=np.int64)])
         self.n_tokens, self.n_planes = self.head["tokens"], self.head["planes"]
@@ -179,18 +183,21 @@ class LibraryEncoder:
 
     Where the tokenizer splits as the byte-level pattern does and has no normaliser,
     texts are cut at spaces first (see ``cut_at_spaces``): each piece goes to the
-    library once and its ids are remembered. Other texts, and all texts of other
-    tokenizers, go to the library whole.
+    library once and its ids are remembered. Other texts, those that hold an added
+    token's string, and all texts of other tokenizers go to the library whole.
     """
 
-    def __init__(self, model: str, remembered: int = 400_000, together: int = 200) -> None:
+    def __init__(self, model: str, remembered: int = 150_000, together: int = 200) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         parts = json.loads(model)
         split = parts.get("pre_tokenizer") or {}
-        self.cuts = parts.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        changes = any(parts.get(x) is not None for x in ("normalizer", "truncation", "padding"))
+        self.cuts = not changes and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        # The library finds these in a text before it splits.
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -224,9 +231,10 @@ class LibraryEncoder:
             return in_portions(texts, self._encode if self.cuts else self._library)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [cut_at_spaces(t) for t in texts]
+        cut = [None if self.added and self.added.search(t) else cut_at_spaces(t) for t in texts]
         whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        return [next(whole) if ids is None else b"".join(ids) for ids in self.of_pieces.look_up(cut)]
+        get = self.of_pieces.look_up([pieces for pieces in cut if pieces is not None]).__getitem__
+        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> str:
@@ -249,7 +257,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
         context = TaskContext.get()
-        ids: list[int] = []
+        ids: list[int | None] = []
         texts: list[bytes] = []
         held = made = 0
 
@@ -257,7 +265,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
             nonlocal held, made
             name = f"{context.partitionId():08d}-{made:06d}.wm"
             lengths = np.array([len(t) // 4 for t in texts], np.uint32)
-            data = build(np.array(ids, np.int64), lengths, np.frombuffer(b"".join(texts), "<u4"))
+            data = build(ids, lengths, np.frombuffer(b"".join(texts), "<u4"))
             temporary = f"{root}/.{name}.{context.taskAttemptId()}"
             with where.open_output_stream(temporary) as out:
                 out.write(data)
@@ -268,9 +276,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
             held, made = 0, made + 1
             return row
 
-        for batch in batches:
+        for batch in slices(batches):
             for i, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
-                ids.append(-1 if i is None else i)
+                ids.append(i)
                 texts.append(data + end)
                 held += len(data) // 4 + 1
                 if held >= shard_tokens:
@@ -295,7 +303,7 @@ def read_shards(spark, folder: str) -> DataFrame:
                 crcs = [zlib.crc32(tokens[4 * a : 4 * b]) for a, b in zip(s.tolist(), s[1:].tolist(), strict=False)]
                 n = len(shard.ids)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([batch.column(0)[k].as_py().rsplit("/", 1)[-1]] * n), pa.array(np.arange(n)), pa.array(shard.ids), pa.array(s[:-1]), pa.array(shard.lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
+                    [pa.array([batch.column(0)[k].as_py().rsplit("/", 1)[-1]] * n), pa.array(np.arange(n)), pa.array(shard.ids, pa.int64()), pa.array(s[:-1]), pa.array(shard.lengths.astype(np.int64)), pa.array(crcs, pa.int64())],
                     names=["file", "place", "id", "first", "n_tokens", "ids_crc32"],
                 )
 
@@ -315,6 +323,4 @@ def offsets(rows: DataFrame) -> DataFrame:
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> DataFrame:
     """Write the shards, read them back: id, start, n_tokens and ids_crc32 of every document."""
     rows = written(read_shards(docs.sparkSession, write_shards(docs, tokenizer_path, end_id, id_col, text_col, shard_tokens)), "shard-rows")
-    return rows.join(offsets(rows), "file").select(
-        F.when(F.col("id") >= 0, F.col("id")).alias(id_col), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32"
-    )
+    return rows.join(offsets(rows), "file").select(F.col("id").alias(id_col), (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

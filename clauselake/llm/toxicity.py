@@ -197,7 +197,10 @@ class Scorer:
 
     def _features(self, texts: list[str]) -> list[list[float]]:
         out = []
-        for value in self.memory.look_up([list(tokens(t)) for t in texts]):
+        found = [tokens(t) for t in texts]
+        get = self.memory.look_up(found).__getitem__
+        for own in found:
+            value = [*map(get, own)]
             amount = sum([v - NEAR for v in value if v > NEAR])
             out.append([min(max(value, default=NOTHING), 0.0), math.log1p(amount), float(amount > 0), math.log1p(len(value)) if amount else 0.0])
         return out

@@ -60,6 +60,29 @@ def test_exact_dedup_buckets_double_until_none_is_overfull(documents):
     assert max(r["count"] for r in loads) <= 10 and len({r["depth"] for r in loads}) > 1
 
 
+def test_exact_dedup_finds_entries_through_its_directory(documents):
+    index = exact_dedup.build(documents, bucket_entries=10)
+    n = documents.count()
+    assert exact_dedup.probe(documents, index).count() == n
+    # With every slot pointing to another bucket, nothing is found.
+    astray = index._replace(slots=index.slots.withColumn("bucket", F.col("bucket") + 1))
+    assert exact_dedup.probe(documents, astray).count() == 0
+    # Without half of the slots, the documents of the other half are found.
+    half = index._replace(slots=index.slots.where("slot % 2 = 0"))
+    assert 0 < exact_dedup.probe(documents, half).count() < n
+
+
+def test_exact_dedup_splits_a_hot_text_and_joins_a_large_directory(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("The same")).otherwise(F.concat(F.lit("t"), F.col("id"))).alias("text"), F.lit(1).alias("slot"), F.lit(2).alias("row"))
+    index = exact_dedup.build(docs, bucket_entries=100)
+    assert index.slots.agg(F.max("shares")).first()[0] > 50
+    got = exact_dedup.probe(docs, index)
+    assert got.count() == 3000 and got.where("kept").count() == 2001 and got.agg(F.max("group_size")).first()[0] == 1000
+    monkeypatch.setattr(exact_dedup, "BROADCAST_SLOTS", 0)
+    kept = exact_dedup.deduplicated(docs, bucket_entries=100)
+    assert kept.columns == docs.columns and kept.count() == 2001 and kept.where("text = 'The same'").first()["doc_id"] == 2997
+
+
 def test_exact_dedup_keeps_columns_and_one_row_each(odd, no_docs):
     kept = exact_dedup.deduplicated(odd)
     assert kept.columns == odd.columns
@@ -294,8 +317,8 @@ def test_shard_access_count_and_occurrence():
 
 def test_token_table(spark, odd, documents, no_docs):
     library = Tokenizer.from_file(MODEL[5:])
-    library.encode_special_tokens = True
-    for docs in (odd, documents):
+    special = spark.createDataFrame([(-1, "a <|endoftext|> b"), (-7, "<|endoftext|>"), (4, "x<|endoftext|>\n\n y"), (None, "z"), (5, "word " * 3000)], "doc_id long, text string")
+    for docs in (odd, documents, special):
         data = sorted(rows(docs), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0))
         want, start = [], 0
         for r in data:
