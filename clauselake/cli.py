@@ -1,7 +1,8 @@
 """Command line over the tables of one store folder: check, ingest, index, remove, search, ask, chat, eval.
 
-Pages come from Parquet tables (doc, page_number, text) or from a reader of files that is
-registered by name; models and servers are backends that are registered by name as well.
+Pages come from Parquet tables (doc, page_number, text) or from files in a folder, by an
+extractor that is registered for their ending; models and servers are registered as well
+(``operators.backends``).
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import quality, reason_text
 from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, vectors
+from clauselake.operators.backends import ANSWER_SYSTEM, EXTRACTORS, JUDGE_SYSTEM, Model, Reader, as_model
 from clauselake.sources import store
+from clauselake.sources.scratch import written
 
 
 def _no_backend(_: str) -> str:
@@ -27,24 +30,46 @@ def _no_backend(_: str) -> str:
 
 @dataclass
 class Backends:
-    """What runs outside the engine: readers of page images, language models, embedding models."""
+    """What runs outside the engine. Models are ``Model``s, registered names or functions of the prompt; ``read_page`` may be a ``Reader``."""
 
-    read_page: Callable[[str], str] = _no_backend
-    answer: Callable[[str], str] = _no_backend
-    judge: Callable[[str], str] = _no_backend
+    read_page: Callable[[str], str] | Reader = _no_backend
+    extract: Callable[[bytes], list[str]] | None = None
+    answer: Callable[[str], str] | Model | str = _no_backend
+    judge: Callable[[str], str] | Model | str = _no_backend
     make_embedder: Callable = vectors.hashed_ngrams
+    #: Stage, how many are done, and of how many.
     progress: Callable[[str, int, int], None] = field(default=lambda stage, done, total: None)
 
 
+#: A model's own call is repeated inside ``_called``.
+ONCE = answers.Retry(attempts=1)
+
+
+def _called(model: Model, system: str) -> Callable[[str], str]:
+    """A model as a function of the prompt: its own call, repeated, and after failures that stay its fallback's."""
+    return lambda prompt: model.asked(prompt, system, answers.Retry())
+
+
 class Store:
     """The tables of one folder and what the commands do with them."""
 
     def __init__(self, spark: SparkSession, folder: str, backends: Backends | None = None) -> None:
-        self.spark, self.backends = spark, backends or Backends()
+        self.spark, self.backends, self.folder = spark, backends or Backends(), folder.rstrip("/")
         table = lambda name, schema: store.Table(spark, f"{folder}/{name}", schema)
-        self.chunks, self.registry = table("chunks", store.CHUNKS), table("registry", store.REGISTRY)
+        self.chunks, self.registry, self.markdown = table("chunks", store.CHUNKS), table("registry", store.REGISTRY), table("markdown", "doc string, markdown string")
         self.vectors, self.ocr_cache, self.llm_cache = table("vectors", store.VECTORS), table("ocr_cache", store.OCR_CACHE), table("llm_cache", store.OCR_CACHE)
 
+    def pages(self, path: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """Pages of a Parquet table or, with a file pattern, of the files in a folder; and the files that could not be read (doc, error)."""
+        if pattern is None:
+            found = self.spark.read.parquet(path).select("doc", F.col("page_number").cast("int").alias("page_number"), "text")
+            return found, self.spark.createDataFrame([], "doc string, error string")
+        extract = self.backends.extract or EXTRACTORS.get(pattern.rsplit(".", 1)[-1])
+        self.backends.progress("extract", 0, 1)
+        found = written(store.extract_pages(store.read_files(self.spark, path, pattern), extract), "pages")
+        self.backends.progress("extract", 1, 1)
+        return found.where("error is null").drop("error"), found.where("error is not null").select("doc", "error")
+
     def gated(self, pages: DataFrame) -> DataFrame:
         return pages.withColumn("q", quality("text")).select("*", "q.needs_ocr", "q.reason", reason_text(F.col("q.reason"), F.col("q.detail")).alias("why")).drop("q")
 
@@ -53,29 +78,35 @@ class Store:
         return self.gated(pages).rollup("doc").agg(F.count("*").alias("pages"), F.count_if("needs_ocr").alias("ocr_pages"), F.sort_array(F.collect_set(F.when(F.col("needs_ocr"), F.col("page_number")))).alias("which"))
 
     def ingest(self, pages: DataFrame, only: list[str] | None = None, force_ocr: bool = False) -> DataFrame:
-        """Read, clean and cut documents; store their chunks and records. Documents are independent: a failed page is listed, not raised."""
+        """Read, clean and cut documents; store their chunks, markdown and records. Documents are independent: a failed page is listed, not raised."""
+        report = self.backends.progress
         pages = pages.where(F.col("doc").isin(only)) if only else pages
-        self.backends.progress("gate", 0, 1)
         gated = self.gated(pages)
-        gated = gated.withColumn("needs_ocr", F.lit(True)) if force_ocr else gated
+        gated = written(gated.withColumn("needs_ocr", F.lit(True)) if force_ocr else gated, "gated")
+        report("gate", 1, 1)
         hashes = gated.groupBy("doc").agg(F.sha2(F.concat_ws("\0", F.sort_array(F.collect_list(F.concat_ws("\1", "page_number", "text")))), 256).alias("sha256"))
-        keyed = gated.join(hashes, "doc").withColumn("key", enrich.page_key("sha256", F.lit("reader"), "page_number"))
-        read, fresh = enrich.ocr(keyed, self.ocr_cache.read(), self.backends.read_page, force=force_ocr)
-        kept = store.Table(self.spark, f"{self.ocr_cache.folder}-read", "doc string, page_number int, text string, error string")
-        kept.write(read)
-        read = kept.read()
+        read_page, name = enrich.reader(self.backends.read_page) if isinstance(self.backends.read_page, Reader) else (self.backends.read_page, F.lit("reader"))
+        keyed = gated.join(hashes, "doc").withColumn("key", enrich.page_key("sha256", name, "page_number"))
+        asked = gated.where("needs_ocr").count()
+        report("ocr", 0, asked)
+        # Read once: what the reader gave is written before anything else asks for it.
+        read = written(enrich.ocr(keyed, self.ocr_cache.read(), read_page, force=force_ocr)[0], "read")
+        report("ocr", asked, asked)
         self.ocr_cache.replace(read.where("error is null").join(keyed.select("doc", "page_number", "key"), ["doc", "page_number"]).select("key", F.col("text").alias("response")).dropDuplicates(["key"]), "key")
-        made = chunking.ingest(gated.select("doc", "page_number", "text", "needs_ocr"), read)
-        self.chunks.replace(made, "doc", pages.select("doc").distinct())
+        made = written(chunking.ingest(gated.select("doc", "page_number", "text", "needs_ocr"), read), "chunks")
+        report("chunk", 1, 1)
+        docs = gated.select("doc").distinct()
+        self.chunks.replace(made, "doc", docs)
+        self.markdown.replace(chunking.markdown(made), "doc", docs)
         pages_of = lambda rows, name: rows.groupBy("doc").agg(F.sort_array(F.collect_list("page_number")).alias(name))
         record = gated.groupBy("doc").agg(F.count("*").cast("int").alias("pages")).join(hashes, "doc")
         for rows, name in ((read, "ocr_pages"), (read.where("error is not null"), "failed_pages")):
             record = record.join(pages_of(rows, name), "doc", "left").withColumn(name, F.coalesce(name, F.array().cast("array<int>")))
-        counts = self.chunks.read().groupBy("doc").agg(F.count("*").cast("int").alias("chunks"))
+        counts = made.groupBy("doc").agg(F.count("*").cast("int").alias("chunks"))
         record = record.join(counts, "doc", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0))).withColumn("ingested_at", F.current_timestamp().cast("timestamp_ntz"))
         self.registry.replace(record, "doc")
-        self.backends.progress("store", 1, 1)
-        return self.registry.read()
+        report("store", 1, 1)
+        return self.registry.read().join(docs, "doc", "left_semi")
 
     def index(self, only: list[str] | None = None) -> int:
         chunks = self.chunks.read()
@@ -86,10 +117,12 @@ class Store:
             self.vectors.write(vectors.chunk_vectors(chunks, self.backends.make_embedder))
         return self.vectors.read().count()
 
-    def remove(self, docs: list[str]) -> None:
+    def remove(self, docs: list[str], files: str | None = None) -> list[str]:
+        """Documents go from all tables; with ``files``, their files go from that folder, too. Returns the files that were there."""
         gone = self.spark.createDataFrame([(d,) for d in docs], "doc string")
-        for table in (self.chunks, self.registry, self.vectors):
+        for table in (self.chunks, self.registry, self.vectors, self.markdown):
             table.remove("doc", gone)
+        return store.delete_files(self.spark, files, docs) if files else []
 
     def retrieve(self, questions: DataFrame, method: str = "hybrid", k: int = answers.TOP_K) -> DataFrame:
         """query_id, chunk_id, score, rank for questions (query_id, question)."""
@@ -105,9 +138,17 @@ class Store:
         refs = questions.select("query_id", F.explode(retrieval.clause_refs("question")).alias("ref"))
         return retrieval.hybrid(found, None, refs, chunks, k)
 
-    def ask(self, questions: DataFrame, k: int = answers.TOP_K) -> DataFrame:
+    def _contexts(self, questions: DataFrame, k: int) -> DataFrame:
         chunks = store.last_by(self.chunks.read(), "id", "chunk_seq").select(F.col("id").alias("chunk_id"), "doc", "clause", "chapter", "text")
-        return answers.generate(questions, answers.contexts(self.retrieve(questions, k=k), chunks), self.backends.answer)
+        return answers.contexts(self.retrieve(questions, k=k), chunks)
+
+    def ask(self, questions: DataFrame, k: int = answers.TOP_K, kept: bool = False) -> DataFrame:
+        """Answers; ``kept``: from the cache where they are there, and into it before they are used."""
+        model, system = as_model(self.backends.answer), ANSWER_SYSTEM.format(refusal=answers.REFUSAL)
+        found = self._contexts(questions, k)
+        if kept:
+            return answers.generate_kept(questions, found, self.llm_cache, _called(model, system), model.tag, system, ONCE)
+        return answers.generate(questions, found, _called(model, system), ONCE)
 
     def eval_retrieval(self, questions: DataFrame) -> DataFrame:
         """Report of the three methods by question type."""
@@ -124,15 +165,13 @@ class Store:
     def eval_answers(self, questions: DataFrame) -> DataFrame:
         """A row a question; calls of the judge are kept, so that a run can be taken up again."""
         rows = questions.select(F.col("id").alias("query_id"), "question", "type", "expected", "reference_answer")
-        given = self.ask(rows)
+        given = written(self.ask(rows, kept=True), "answers")
         judged = rows.where("type <> 'unanswerable'").join(given.where("not refused"), "query_id")
-        prompt = F.concat(F.lit("คำถาม: "), "question", F.lit("\n\nคำตอบอ้างอิง: "), "reference_answer", F.lit("\n\nเอกสารที่ระบบได้รับ:\n\n"), answers.numbered_context("contexts"), F.lit("\n\nคำตอบของระบบ: "), "answer")
-        asked = judged.select("query_id", prompt.alias("request")).withColumn("key", answers.request_key(F.lit("judge"), F.lit(""), "request"))
-        found, fresh = answers.cached_calls(asked, self.llm_cache.read(), "key", "request", self.backends.judge)
-        verdicts = asked.select("query_id", "key").join(found, "key").select("query_id", "response")
-        out = evaluation.evaluate_answers(given, rows, verdicts)
-        self.llm_cache.replace(fresh, "key")
-        return out
+        prompt = F.concat(F.lit("# Question\n"), "question", F.lit("\n\n# Model answer\n"), "reference_answer", F.lit("\n\n# Sources\n"), answers.numbered_context("contexts"), F.lit("\n\n# Given answer\n"), "answer")
+        model = as_model(self.backends.judge)
+        asked = judged.select("query_id", prompt.alias("request")).withColumn("key", answers.request_key(F.lit(f"judge {model.tag}"), F.lit(JUDGE_SYSTEM), "request"))
+        found = answers.kept_calls(asked, self.llm_cache, "key", "request", _called(model, JUDGE_SYSTEM), ONCE)
+        return written(evaluation.evaluate_answers(given, rows, asked.select("query_id", "key").join(found, "key").select("query_id", "response")), "judged")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -141,7 +180,8 @@ def parser() -> argparse.ArgumentParser:
     commands = top.add_subparsers(dest="command", required=True)
     for name in ("check", "ingest"):
         command = commands.add_parser(name)
-        command.add_argument("pages", help="Parquet table of pages")
+        command.add_argument("pages", help="Parquet table of pages, or a folder of files")
+        command.add_argument("--files", metavar="PATTERN", help="read the files of this pattern (*.pdf) in the folder with the registered extractor")
         command.add_argument("-v", "--verbose", action="store_true")
         if name == "ingest":
             command.add_argument("--force-ocr", action="store_true")
@@ -149,6 +189,7 @@ def parser() -> argparse.ArgumentParser:
     commands.add_parser("index").add_argument("--only", nargs="*")
     remove = commands.add_parser("remove")
     remove.add_argument("docs", nargs="+")
+    remove.add_argument("--delete-pdf", metavar="FOLDER", help="delete the documents' files in this folder, too")
     for name in ("search", "ask"):
         command = commands.add_parser(name)
         command.add_argument("question")
@@ -179,6 +220,13 @@ def chat(ask: Callable[[str], dict], lines, say: Callable[[str], None] = print)
             say(last["answer"])
 
 
+def show(rows: DataFrame) -> None:
+    """All rows, one a line, read one partition at a time."""
+    print(" | ".join(rows.columns))
+    for r in rows.toLocalIterator():
+        print(" | ".join("" if v is None else str(v) for v in r))
+
+
 def main(argv: list[str] | None = None, backends: Backends | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("clauselake").getOrCreate()
@@ -186,21 +234,28 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
     one = lambda text: spark.createDataFrame([("q", text)], "query_id string, question string")
     try:
         if args.command in ("check", "ingest"):
-            pages = spark.read.parquet(args.pages).select("doc", F.col("page_number").cast("int").alias("page_number"), "text")
+            pages, broken = tables.pages(args.pages, args.files)
+            bad = [f"{r['doc']}: {r['error']}" for r in broken.orderBy("doc").toLocalIterator()]
+            for line in bad:
+                print(line, file=sys.stderr)
             if pages.isEmpty():
                 print("no pages", file=sys.stderr)
                 return 1
             if args.command == "check":
                 found = tables.check(pages).orderBy(F.col("doc").asc_nulls_last())
-                (found if args.verbose else found.drop("which")).show(1000, truncate=False)
-                return 0
+                show(found if args.verbose else found.drop("which"))
+                return int(bool(bad))
             records = tables.ingest(pages, args.only, args.force_ocr)
-            records.orderBy("doc").show(1000, truncate=False)
-            return int(not records.where("size(failed_pages) > 0").isEmpty())
+            show(records.orderBy("doc"))
+            short = chunking.short_chunks(tables.chunks.read().join(records.select("doc"), "doc", "left_semi"))
+            for r in short.select("doc", "id").orderBy("doc", "id").toLocalIterator():
+                print(f"short chunk: {r['id']}")
+            return int(bool(bad) or not records.where("size(failed_pages) > 0").isEmpty())
         if args.command == "index":
             print(tables.index(args.only))
         elif args.command == "remove":
-            tables.remove(args.docs)
+            for name in tables.remove(args.docs, args.delete_pdf):
+                print(f"deleted {name}")
         elif args.command == "search":
             chunks = tables.chunks.read().select(F.col("id").alias("chunk_id"), "text")
             for method in ("vector", "keyword", "hybrid"):
@@ -215,17 +270,22 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
                     raise RuntimeError(shown["error"])
                 return shown.asDict()
 
+            as_model(tables.backends.answer).warm_up()
             print(ask(args.question)["answer"]) if args.command == "ask" else chat(ask, sys.stdin)
         else:
             questions = store.read_questions(spark, args.questions, args.locked, args.allow_test_set)
             questions = questions.orderBy("id").limit(args.limit) if args.limit else questions
+            stamp, facts = time.strftime("%Y%m%d-%H%M%S"), {"questions": args.questions, "questions_sha": spark.read.format("binaryFile").load(args.questions).select(store.short_hash("content")).first()[0]}
             if args.target == "retrieval":
-                found = [r.asDict() for r in tables.eval_retrieval(questions).orderBy("method", "type").collect()]
+                frame = written(tables.eval_retrieval(questions), "report").orderBy("method", "type")
+                found, text = [r.asDict() for r in frame.collect()], evaluation.retrieval_markdown(frame)  # a row a method and type
             else:
-                rows = tables.eval_answers(questions)
-                found = [evaluation.answer_metrics(rows).first().asDict(), *(r.asDict(recursive=True) for r in evaluation.answer_metrics(rows, "type").orderBy("type").collect())]
-            text = json.dumps({"at": time.strftime("%Y-%m-%dT%H:%M:%S"), "questions": args.questions, "report": found}, ensure_ascii=False)
-            print(text)
+                frame = tables.eval_answers(questions)
+                by_type = evaluation.answer_metrics(frame, "type").orderBy("type")
+                found = [evaluation.answer_metrics(frame).first().asDict(), *(r.asDict(recursive=True) for r in by_type.collect())]
+                text = evaluation.answers_markdown(by_type, evaluation.failures(frame))
+            evaluation.write_report(frame, f"{args.target} {stamp} {json.dumps(facts, ensure_ascii=False)}\n\n{text}", f"{args.store.rstrip('/')}/reports", f"{args.target}-{stamp}")
+            print(json.dumps({"at": stamp, **facts, "report": found}, ensure_ascii=False))
     except Exception as failure:
         print(f"{type(failure).__name__}: {failure}", file=sys.stderr)
         return 1

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import arabic_digits, col, strip
+from clauselake.sources.scratch import written
+from clauselake.sources.store import Table
 
 # Wording that models and tests depend on, and the retry policy.
 REFUSAL = "ไม่พบข้อมูลที่เกี่ยวข้องในเอกสารที่มี"
@@ -149,16 +151,54 @@ def cached_calls(rows: DataFrame, cache: DataFrame, key: str, request: str, back
     return known.unionByName(made), made.where("error is null").select(key, "response")
 
 
+def kept_calls(rows: DataFrame, cache: Table, key: str, request: str, backend: Callable[[str], str], retry: Retry | None = None, at_once: int = 10_000) -> DataFrame:
+    """key, response, error: each request is called once, and its response is in ``cache`` before anything reads it.
+
+    Requests go out in portions of about ``at_once``, each kept before the next, so that
+    a run that is broken off is taken up where it stopped. Failures are not kept.
+    """
+    wanted = written(rows.select(key, request).dropDuplicates([key]), "requests")
+    missing = wanted.join(cache.read().select(F.col("key").alias(key)), key, "left_anti")
+    portions = -(-missing.count() // at_once)
+    failed = None
+    for i in range(portions):
+        part = missing.where(F.pmod(F.xxhash64(key), F.lit(portions)) == i)
+        made = written(call_backend(part, key, request, backend, retry), "responses")
+        cache.replace(made.where("error is null").select(F.col(key).alias("key"), "response"), "key")
+        errors = made.where("error is not null")
+        failed = errors if failed is None else failed.unionByName(errors)
+    known = wanted.select(key).join(cache.read().select(F.col("key").alias(key), "response"), key).withColumn("error", F.lit(None).cast("string"))
+    return known if failed is None else known.unionByName(failed)
+
+
 def request_key(tag: Column | str, system: Column | str, text: Column | str) -> Column:
     """Key of a call in the cache: hash of model tag, system prompt and prompt."""
     return F.sha2(F.concat_ws("\0", col(tag), col(system), col(text)), 256)
 
 
+def with_contexts(questions: DataFrame, found: DataFrame) -> DataFrame:
+    """query_id, question, contexts and their number n."""
+    asked = questions.select("query_id", "question").join(found, "query_id", "left")
+    return asked.withColumn("n", F.greatest(F.lit(0), F.coalesce(F.size("contexts"), F.lit(0))))
+
+
 def generate(questions: DataFrame, found: DataFrame, backend: Callable[[str], str], retry: Retry | None = None) -> DataFrame:
     """query_id, answer, citations, sources, contexts, refused, error. Questions without contexts are refused without a call."""
-    asked = questions.select("query_id", "question").join(found, "query_id", "left")
-    asked = asked.withColumn("contexts", F.coalesce("contexts", F.filter("contexts", lambda c: F.lit(False)))).withColumn("n", F.greatest(F.lit(0), F.coalesce(F.size("contexts"), F.lit(0))))
+    asked = with_contexts(questions, found)
     called = call_backend(asked.where("n > 0").select("query_id", prompt("question", "contexts").alias("prompt")), "query_id", "prompt", backend, retry)
+    return answered(asked, called)
+
+
+def generate_kept(questions: DataFrame, found: DataFrame, cache: Table, backend: Callable[[str], str], tag: str, system: str = "", retry: Retry | None = None) -> DataFrame:
+    """As ``generate``, with responses from ``cache`` where they are there; see ``kept_calls``."""
+    asked = written(with_contexts(questions, found), "asked")
+    requests = asked.where("n > 0").select("query_id", prompt("question", "contexts").alias("prompt"))
+    requests = requests.withColumn("key", request_key(F.lit(tag), F.lit(system), "prompt"))
+    return answered(asked, requests.select("query_id", "key").join(kept_calls(requests, cache, "key", "prompt", backend, retry), "key").drop("key"))
+
+
+def answered(asked: DataFrame, called: DataFrame) -> DataFrame:
+    """The rows of ``generate`` from questions with contexts and the responses of the model (query_id, response, error)."""
     rows = asked.join(called, "query_id", "left").withColumn("answer", F.when(F.col("n") == 0, F.lit(REFUSAL)).otherwise(without_thoughts("response")))
     rows = rows.withColumn("citations", F.coalesce(citations("answer", "n"), F.array().cast("array<int>")))
     return rows.withColumn("sources", cited_sources("citations", "contexts")).withColumn("refused", refused("answer", "citations")).select("query_id", "answer", "citations", "sources", "contexts", "refused", "error")

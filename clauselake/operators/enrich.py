@@ -9,11 +9,17 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import col
 from clauselake.operators.answers import Retry, cached_calls
+from clauselake.operators.backends import Reader
 
 #: Context sizes that a local reader is given one after another.
 CONTEXTS = (8192, 16384, 32768)
 
 
+def reader(named: Reader) -> tuple[Callable[[str], str], Column]:
+    """What ``ocr`` calls for a registered reader, and the reader's part of a page's key."""
+    return escalating(named.read, named.sizes), model_key(F.lit(named.backend), F.lit(named.model))
+
+
 def model_key(backend: Column | str, model: Column | str) -> Column:
     return F.replace(F.concat_ws("_", col(backend), col(model)), F.lit("/"), F.lit("_"))
 

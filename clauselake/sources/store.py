@@ -7,8 +7,11 @@ old. Files are reached through Spark's file system, whatever store the folder is
 
 from __future__ import annotations
 
+import posixpath
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,7 +64,8 @@ class Table:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(f"{self.folder}/{version}")
 
-    def write(self, rows: DataFrame) -> None:
+    def write(self, rows: DataFrame, seen: str | None = None) -> None:
+        """A new version of all rows. ``seen``: the version they were made from; another one in its place is an error."""
         version = f"v-{uuid.uuid4().hex}"
         empty = self.spark.createDataFrame([], self.schema)
         rows.select(*[F.col(c).cast(t) for c, t in ((f.name, f.dataType) for f in empty.schema)]).write.parquet(f"{self.folder}/{version}")
@@ -69,6 +73,8 @@ class Table:
         out = self._fs.create(ahead, True)
         out.write(bytearray(version.encode()))
         out.close()
+        if seen is not None and self._current() != seen:
+            raise RuntimeError(f"{self.folder} was changed by another writer; nothing was written")
         context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.folder).toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         gateway = self.spark.sparkContext._gateway
         renames = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename
@@ -77,11 +83,11 @@ class Table:
         context.rename(ahead, pointer, options)
 
     def replace(self, new: DataFrame, key: str, gone: DataFrame | None = None) -> None:
-        self.write(replace_by(self.read(), new, key, gone))
+        self.write(replace_by(self.read(), new, key, gone), self._current())
 
     def remove(self, key: str, gone: DataFrame) -> None:
         """Rows with these keys go; keys that are not there are passed over."""
-        self.write(self.read().join(gone.select(key).distinct(), key, "left_anti"))
+        self.write(self.read().join(gone.select(key).distinct(), key, "left_anti"), self._current())
 
 
 def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
@@ -92,6 +98,37 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> Data
     return files.select(F.element_at(F.split("path", "/"), -1).alias("doc"), "path", F.sha2("content", 256).alias("sha256"), "content")
 
 
+def extract_pages(files: DataFrame, extract: Callable[[bytes], list[str | None]]) -> DataFrame:
+    """doc, page_number (from 1), text, error: the pages of each file of ``read_files``. Null text is empty.
+
+    ``extract`` gets a file's bytes and gives the text of each page. A file that it
+    fails on is one row with the error and no page; the others are not touched by it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # one file at a time
+                doc = batch.column(0)[k].as_py()
+                try:
+                    texts = [t or "" for t in extract(batch.column(1)[k].as_py())]
+                    rows = [(doc, n, t, None) for n, t in enumerate(texts, 1)]
+                except Exception as failure:
+                    rows = [(doc, None, None, f"{type(failure).__name__}: {failure}")]
+                docs, numbers, texts, errors = zip(*rows, strict=True) if rows else ((), (), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.string()), pa.array(numbers, pa.int32()), pa.array(texts, pa.string()), pa.array(errors, pa.string())], names=["doc", "page_number", "text", "error"])
+
+    return files.select("doc", "content").mapInArrow(run, "doc string, page_number int, text string, error string")
+
+
+def delete_files(spark: SparkSession, folder: str, docs: list[str]) -> list[str]:
+    """Delete the files of these names in ``folder``; returns those that were there. Names with a path are an error."""
+    if bad := [d for d in docs if "/" in d or d in ("", ".", "..")]:
+        raise ValueError(f"not file names: {bad}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [d for d in docs if system.delete(path(f"{folder.rstrip('/')}/{d}"), False)]
+
+
 def short_hash(content: Column | str) -> Column:
     return F.substring(F.sha2(F.col(content) if isinstance(content, str) else content, 256), 1, 12)
 
@@ -106,9 +143,16 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json(checked.cast("string"), schema).alias("r")).select("r.*")
 
 
+def resolved(spark: SparkSession, path: str) -> str:
+    """The full address of a path, however it is written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return posixpath.normpath(system.resolvePath(path).toString() if system.exists(path) else system.makeQualified(path).toString())
+
+
 def read_questions(spark: SparkSession, path: str, locked: str | None = None, allow_locked: bool = False) -> DataFrame:
     """A question set; the locked one only if that is allowed."""
-    if locked and path.rstrip("/") == locked.rstrip("/") and not allow_locked:
+    if locked and resolved(spark, path) == resolved(spark, locked) and not allow_locked:
         raise ValueError("this question set is locked; allow it to use it")
     return read_jsonl(spark, path, QUESTIONS)
 

@@ -13,9 +13,9 @@ def pages(spark, tmp_path):
     return path
 
 
-def test_parser_has_all_commands():
-    actions = next(a for a in cli.parser()._actions if a.dest == "command")
-    assert set(actions.choices) == {"check", "ingest", "index", "remove", "search", "ask", "chat", "eval"}
+@pytest.mark.parametrize("line", ["check p", "ingest p --only a.pdf --force-ocr", "ingest d --files *.pdf", "index --only a.pdf", "remove a.pdf --delete-pdf d", "search q -k 3", "ask q", "chat", "eval retrieval --questions q --limit 3"])
+def test_parser_reads_all_commands(line):
+    assert cli.parser().parse_args(line.split()).command == line.split()[0]
 
 
 def test_ingest_index_search_ask_eval_remove(spark, pages, tmp_path, capsys):
@@ -46,7 +46,7 @@ def test_ingest_index_search_ask_eval_remove(spark, pages, tmp_path, capsys):
     asked = tmp_path / "q.jsonl"
     asked.write_text('{"id": "1", "question": "ข้อ 2 การสอบ", "type": "direct", "expected": [{"doc": "a.pdf", "clause": "ข้อ 2"}], "reference_answer": "x"}\n{"id": "2", "question": "z", "type": "unanswerable", "expected": [], "reference_answer": ""}\n')
     assert run("eval", "retrieval", "--questions", f"file://{asked}") == 0 and run("eval", "answers", "--questions", f"file://{asked}") == 0
-    assert '"hallucinated_answers": 1' in capsys.readouterr().out and tables.llm_cache.read().count() == 1
+    assert '"hallucinated_answers": 1' in capsys.readouterr().out and tables.llm_cache.read().count() == 3  # two answers, one judgement
     assert run("eval", "answers", "--questions", f"file://{asked}", "--locked", f"file://{asked}") == 1
     assert run("remove", "a.pdf", "none.pdf") == 0 and tables.chunks.read().where("doc = 'a.pdf'").count() == 0
     assert run("check", f"file://{tmp_path}/absent") == 1
@@ -57,3 +57,78 @@ def test_chat_lines():
     said = []
     cli.chat(lambda q: {"answer": f"answer to {q}", "sources": "s"}, ["/sources", "", "q ", "/sources", "/help", "/exit", "never"], said.append)
     assert said == ["(คำตอบล่าสุดไม่ได้อ้างอิงเอกสาร)", "answer to q", "s", "/sources  /exit"]
+
+
+def test_files_are_read_by_an_extractor_and_broken_ones_are_listed(spark, tmp_path, capsys):
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"d{k}.txt").write_text(f"ข้อ 1 {GOOD}\fข้อ 2 {GOOD}{k}" if k else "broken")
+
+    def extract(data):
+        if data == b"broken":
+            raise ValueError("no pages in it")
+        return data.decode().split("\f")
+
+    seen = []
+    backends = cli.Backends(extract=extract, progress=lambda stage, done, total: seen.append(stage))
+    run = lambda *args: cli.main(["--store", f"file://{tmp_path}/store", *args], backends)
+    assert run("check", f"file://{folder}", "--files", "*.txt") == 1 and "d0.txt: ValueError" in capsys.readouterr().err
+    assert run("ingest", f"file://{folder}", "--files", "*.txt") == 1 and {"extract", "gate", "ocr", "chunk", "store"} <= set(seen)
+    tables = cli.Store(spark, f"file://{tmp_path}/store", backends)
+    assert {r["doc"]: r["chunks"] for r in tables.registry.read().collect()} == {"d1.txt": 2, "d2.txt": 2}
+    assert {r["doc"] for r in tables.markdown.read().collect()} == {"d1.txt", "d2.txt"} and tables.markdown.read().first()["markdown"].startswith("# d")
+    assert run("remove", "d1.txt", "--delete-pdf", f"file://{folder}") == 0 and not (folder / "d1.txt").exists() and (folder / "d2.txt").exists()
+    assert tables.markdown.read().count() == 1 and run("remove", "../x", "--delete-pdf", f"file://{folder}") == 1
+
+
+def test_each_question_is_answered_and_judged_once(spark, pages, tmp_path):
+    from clauselake.operators.backends import Model
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def call(what, answer):
+        def made(prompt, system):
+            import uuid
+
+            (calls / f"{what}-{uuid.uuid4().hex}").write_text(system)
+            if what == "down":
+                from clauselake.operators.answers import CallFailed
+
+                raise CallFailed(429, "PerDay")
+            return answer
+
+        return made
+
+    answer = Model(call("down", ""), "main", fallback=call("answer", "ตามข้อ [1]"))
+    backends = cli.Backends(read_page=lambda p: GOOD, answer=answer, judge=Model(call("judge", '{"correctness": 5, "faithfulness": 4}')))
+    tables = cli.Store(spark, f"file://{tmp_path}/store", backends)
+    tables.ingest(spark.read.parquet(pages))
+    tables.index()
+    asked = spark.createDataFrame([("1", "ข้อ 2 การสอบ", "direct", [("a.pdf", "ข้อ 2")], "x")], cli.store.QUESTIONS)
+    n = lambda what: len(list(calls.glob(f"{what}-*")))
+    for _ in range(2):
+        judged = tables.eval_answers(asked)
+        assert cli.evaluation.answer_metrics(judged).first()["correctness"] == 5.0 and cli.evaluation.answer_metrics(judged, "type").count() == 1
+        assert (n("down"), n("answer"), n("judge")) == (1, 1, 1)
+    assert all("[1]" in f.read_text() for f in calls.glob("answer-*")) and all("JSON" in f.read_text() for f in calls.glob("judge-*"))
+
+
+def test_a_reindex_embeds_each_chunk_once(spark, tmp_path):
+    import numpy as np
+
+    from clauselake.operators import vectors
+
+    def model():
+        def embed(texts):
+            for t in texts:
+                (tmp_path / f"{len(list(tmp_path.iterdir()))}-{abs(hash(t))}").write_text("")
+            return np.ones((len(texts), 4))
+
+        return embed
+
+    chunks = spark.createDataFrame([("c1", "d", None, None, "t", 0)], cli.store.CHUNKS)
+    old = spark.createDataFrame([], cli.store.VECTORS)
+    assert vectors.reindex(old, chunks, chunks.select("doc"), model).count() == 1
+    assert len(list(tmp_path.iterdir())) == 1
