@@ -17,9 +17,9 @@ of both walks, on the larger scale; texts more than a scale apart have none.
 keys, a candidate is confirmed by its exact edit distance.
 
 Defined results: a null text is empty; two empty texts have likeness 1, an empty and
-another text 0. Rows with the same id follow each other in the order of their text's
-hash, rows without an id come last. Other columns are ignored; an empty table gives an
-empty result.
+another text 0. Ids are whole numbers; rows with the same id follow each other in the
+order of their text's hash, rows without an id come last. Very long texts are walked to
+their end. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -26,12 +26,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from clauselake.llm.shared import held_by_worker, slices
 
@@ -58,8 +59,8 @@ def collect_samples(docs: DataFrame, text_col: str, lang_col: str, key: Column,
     Both steps combine before they shuffle, so one language may hold any share of the rows.
     Every sampled text gives a window before any gives another.
     """
-    usable = F.col(lang_col).isNotNull() & (F.length(F.trim(F.col(text_col))) > 0)
-    hashed = docs.where(usable).select(F.col(lang_col).alias("lang"), F.xxhash64(key).alias("h"), F.col(text_col).alias("text"))
+    lang, text = F.col(f"`{lang_col}`"), F.col(f"`{text_col}`")
+    hashed = docs.where(lang.isNotNull() & (F.length(F.trim(text)) > 0)).select(lang.alias("lang"), F.xxhash64(key).alias("h"), text.alias("text"))
     rows = hashed.select("lang", "h", windows(F.col("text"), F.col("h"), chars_each).alias("parts"))
     least = hashed.groupBy("lang", F.pmod("h", F.lit(slots)).alias("slot")).agg(F.min("h").alias("h"))
     # At most slots rows a language: the bound of the sample.
@@ -247,36 +248,18 @@ class Parser:
         return counts, letters
 
 
-def identify(
-    docs: DataFrame,
-    train: Column | None = None,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    slots: int = 256,
-    chars_each: int = 400,
-    sample_chars: int = 24_000,
-    letters: int = 62,
-    block: int = 4096,
-    keep: tuple[str, ...] = (),
-    out: tuple[str, ...] = ("lang_pred", "score"),
-) -> DataFrame:
-    """id, lang_pred, score (or other names in ``out``) and the columns in ``keep`` for every document.
-
-    ``train`` says which rows may be learnt from (all with a language, by default).
-    The score is the lead of the winner over the next language, from 0 (none) to 1.
-    A third name in ``out`` adds whether the text has a letter.
-    """
+def _identified(docs: DataFrame, keep: Sequence[str], train: Column | None, id_col: str, text_col: str, lang_col: str, slots: int, chars_each: int, sample_chars: int, letters: int, block: int) -> DataFrame:
+    """id, kept (a struct of the columns in ``keep``), lang, score and whether the text has a letter."""
     labelled = docs.where(train) if train is not None else docs
-    samples = tuple(sorted(collect_samples(labelled, text_col, lang_col, F.col(id_col), slots, chars_each, sample_chars).items()))
-    rows = docs.select(id_col, F.col(text_col).alias("__text"), *keep)
-    out_type = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "__text"] + [f"`{c}` {kind}" for c, kind in zip(out, ("string", "double", "boolean"), strict=False)])
-    names = [id_col, *keep]
+    samples = tuple(sorted(collect_samples(labelled, text_col, lang_col, F.col(f"`{id_col}`"), slots, chars_each, sample_chars).items()))
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), kept.alias("kept"), F.col(f"`{text_col}`").alias("text"))
+    schema = StructType([rows.schema["id"], rows.schema["kept"]]).add("lang", "string").add("score", "double").add("lettered", "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = held_by_worker(("languages", samples, letters, block), lambda: Parser(dict(samples), letters, block))
         for batch in slices(batches):
-            texts = batch.column(batch.schema.get_field_index("__text")).to_pylist()
+            texts = batch.column(2).to_pylist()
             counts, n = parser.phrases(texts)
             if parser.langs:
                 costs = counts * parser.bits
@@ -290,18 +273,32 @@ def identify(
                 pred = [UNKNOWN if z else parser.langs[b] for b, z in zip(best, none, strict=True)]
             else:
                 score, pred = np.zeros(len(texts)), [UNKNOWN] * len(texts)
-            made = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n > 0, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *made[: len(out)]], names=[*names, *out])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(n > 0, pa.bool_())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
+#: Bounds of the sample, letters with a column in a language's table, and characters of a block.
+BOUNDS = {"slots": 256, "chars_each": 400, "sample_chars": 24_000, "letters": 62, "block": 4096}
 
-    return rows.mapInArrow(run, out_type)
+
+def identify(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", keep: Sequence[str] = (), **bounds: int) -> DataFrame:
+    """id, the columns in ``keep``, lang_pred and score for every document.
+
+    ``train`` says which rows may be learnt from (all with a language, by default);
+    ``bounds`` change those in ``BOUNDS``. The score is the lead of the winner over the
+    next language, from 0 (none) to 1.
+    """
+    found = _identified(docs, keep, train, id_col, text_col, lang_col, **BOUNDS | bounds)
+    return found.select(F.col("id").alias(id_col), *[F.col(f"kept.`{c}`") for c in keep], F.col("lang").alias("lang_pred"), "score")
 
 
-def accepted(docs: DataFrame, train: Column | None = None, **options) -> DataFrame:
+def accepted(docs: DataFrame, train: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **bounds: int) -> DataFrame:
     """The rows of ``docs`` whose text has a letter, with their columns; the language column has the predicted language.
 
     With no labelled row there is no prediction: the rows stay as they are.
     """
-    lang_col = options.get("lang_col", "lang")
-    found = identify(docs, train, keep=tuple(c for c in docs.columns if c != options.get("id_col", "doc_id")), out=("__lang", "__score", "__lettered"), **options)
-    lang = F.when(F.col("__lang") != UNKNOWN, F.col("__lang")).otherwise(F.col(f"`{lang_col}`")).alias(lang_col)
-    return found.where("__lettered").select(*[lang if c == lang_col else F.col(f"`{c}`") for c in docs.columns])
+    found = _identified(docs, docs.columns, train, id_col, text_col, lang_col, **BOUNDS | bounds).where("lettered")
+    own = lambda c: F.col(f"kept.`{c}`")
+    lang = F.when(F.col("lang") != UNKNOWN, F.col("lang")).otherwise(own(lang_col))
+    return found.select(*[(lang if c == lang_col else own(c)).alias(c) for c in docs.columns])

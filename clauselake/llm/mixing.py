@@ -20,8 +20,10 @@ lies below the flow. So every source is within half a document of what the flow
 gave it, and no document is read more often than ``max_epochs``.
 
 Defined results: a null or empty text has size 0 and is taken 0 times over; a null
-source is a source of its own, after all others; repeated rows count each; an empty
-table gives an empty result; other columns are ignored.
+source is a source of its own, after all others; repeated rows count each; rows that
+the seed puts in one place follow each other by id and size; a text is as long as its
+words, however long. Other columns are ignored, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -127,8 +129,9 @@ def mix(
     seed: int = 17,
     id_col: str = "doc_id",
     max_patterns: int = 100_000,
+    tag: Column | None = None,
 ) -> DataFrame:
-    """One row per document: id, members, size, source_size, target, epochs, taken, by_source.
+    """One row per document: id, members, size, source_size, target, epochs, taken, by_source, and the column ``tag`` if it is given.
 
     ``members`` is an array of the sources that a document belongs to (null stands
     for a source without a name), ``size`` a long. ``source_size`` and ``target``
@@ -136,7 +139,7 @@ def mix(
     each taken reading counts for.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(members)).alias("members"), size.alias("size"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.array_sort(F.array_distinct(members)).alias("members"), size.alias("size"), (F.lit(0) if tag is None else tag).alias("tag"))
     rows = rows.withColumn("members", F.when(F.size("members") > 0, F.col("members")).otherwise(F.array(F.lit(None).cast("string"))))
     rows = written(rows.withColumn("order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit(""))))), "sized")
     sums = rows.groupBy("members").agg(F.sum("size").alias("size"))
@@ -175,13 +178,19 @@ def mix(
     taken = F.filter(readings, lambda middle: middle < 2 * F.element_at("lanes", -1)["end"])
     lane = F.transform(taken, lambda middle: F.element_at(F.filter("lanes", lambda x: middle < 2 * x["end"]), 1)["source"])
     return placed.withColumn("by_source", F.when(F.col("size") > 0, lane).otherwise(F.array().cast("array<string>"))).select(
-        F.col("id").alias(id_col), "members", "size", "source_size", "target", F.size("by_source").alias("epochs"), (F.size("by_source") * F.col("size")).cast("long").alias("taken"), "by_source"
+        F.col("id").alias(id_col), "members", "size", "source_size", "target", F.size("by_source").alias("epochs"), (F.size("by_source") * F.col("size")).cast("long").alias("taken"), "by_source", *([] if tag is None else ["tag"])
     )
 
 
 def mixed(docs: DataFrame, text_col: str = "text", source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that the mix takes, as often as it takes them, with their columns."""
-    chosen = mix(docs, F.array(F.col(source_col)), n_words(F.col(text_col)), id_col=id_col, **options)
-    chosen = chosen.where("epochs > 0").groupBy(F.col(id_col).alias("__id")).agg(F.max("epochs").alias("__epochs"))
-    repeated = docs.join(chosen, F.col(id_col).eqNullSafe(F.col("__id"))).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__epochs"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that the mix takes, as often as it takes them, with their columns.
+
+    Rows that share an id are each taken as often as the mix says; of rows that are equal
+    in every column, one is given out as often as all of them are taken.
+    """
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    tag = F.struct(F.xxhash64(*whole).alias("a"), F.hash(*whole).alias("b"))
+    chosen = mix(docs, F.array(F.col(f"`{source_col}`")), n_words(F.col(f"`{text_col}`")), id_col=id_col, tag=tag, **options)
+    chosen = chosen.where("epochs > 0").groupBy("tag").agg(F.sum("epochs").cast("int").alias("times"))
+    rows = docs.select(tag.alias("tag"), F.struct(*whole).alias("row")).dropDuplicates(["tag"])
+    return rows.join(chosen, "tag").select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -24,7 +24,9 @@ Defined results: null and empty texts have no shingles and are linked with nothi
 a text of fewer words than a shingle is one shingle. A row with a null id is reported
 under the smallest id of its class and never stands for it, unless no row of the
 class has an id. Repeated rows are each returned. Texts that share an id are each
-compared; other columns are ignored; an empty table gives an empty result.
+compared. Ids are whole numbers; a tie for the smallest is one id. Very long texts are
+read whole, one at a time. Other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,7 +101,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 def _prints(docs: DataFrame, width: int, id_col: str, text_col: str) -> DataFrame:
     """id, n, set_a, set_b (hashes of the whole set), low and high (two bits of each symbol), parities, keys."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -202,6 +204,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    kept = near_dedup(docs, id_col=id_col, **options).where("kept").select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id"))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` whose id stands for its group, with all their columns. Without an id, rows stay if nothing with an id is in their group."""
+    kept = near_dedup(docs, id_col=id_col, **options).where("kept").select(F.col(f"`{id_col}`").alias("keep")).distinct()
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.join(kept, F.col("id").eqNullSafe(F.col("keep"))).select("row.*")

@@ -11,8 +11,11 @@
   share one, or one equals an entity that occurs, the later entity by canonical form
   draws again, until none collides. Only those exceptions are joined to documents.
 
-Defined results: a null text stays null; repeated rows are each returned; other columns
-are ignored; an empty table gives an empty result.
+Defined results: a null text stays null, an empty one empty; repeated rows are each
+returned, and rows that share an id or have none get the same surrogates as any other;
+where two patterns match one place, the first listed wins, and of two entities that
+draw the same surrogate the first by form keeps it. Very long texts are read whole.
+Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
 from bisect import bisect
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.llm.shared import slices, written
@@ -52,6 +57,7 @@ _NAME = r"[^\W\d_][^\W\d_'’-]+"
 #: A digit of a phone number, with what may stand before it.
 _NEXT = r"(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d)"
 PATTERNS = {
+    "token": re.compile(r"(?<![\w-])(?:(?:sk|pk|rk)[-_](?:[a-z]{3,8}[-_])?|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|npm_|hf_|eyJ)(?=[\w.-]*\d)[A-Za-z0-9_-]{16,}(?:\.[A-Za-z0-9_-]{8,}){0,2}(?![\w-])"),
     "email": re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+", re.UNICODE),
     "iban": re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
     "secret": re.compile(r"\b(?=[0-9a-fA-F]*[a-fA-F])(?=[0-9a-fA-F]*\d)[0-9a-fA-F]{32,128}\b"),
@@ -72,6 +78,8 @@ PATTERNS = {
 }
 #: A name: a title, then one to three capitalised words.
 TITLED = re.compile(r"\b(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r")\.?[ \t]+((?:" + _NAME + r"[ \t]+){0,2}" + _NAME + ")")
+#: The part of an access token that says whose it is; it stays.
+TOKEN_HEAD = re.compile(r"(?:sk|pk|rk)[-_](?:[a-z]{3,8}[-_])?|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|npm_|hf_|eyJ")
 #: What every pattern but that of e-mail needs.
 DIGITS = re.compile(r"\d")
 #: Country codes of one and two digits; the others have three.
@@ -93,6 +101,8 @@ def canonical(kind: str, text: str) -> str:
         return ("+" if text[:1] == "+" else "") + re.sub(r"\D", "", text)
     if kind == "iban":
         return text.replace(" ", "")
+    if kind == "token":
+        return text
     return text.casefold() if kind.startswith(("given", "family")) else text.lower()
 
 
@@ -148,14 +158,22 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin" if c < "ɐ" else ""
 
 
+@cache
+def _letters_like(c: str) -> str:
+    """Letters of the same alphabet, case and kind near ``c``, without marks, signs and unassigned places."""
+    alphabet = lambda x: (unicodedata.category(x), unicodedata.name(x, "").partition(" ")[0])
+    start = ord(c) // 256 * 256
+    return "".join(x for x in map(chr, range(start, start + 256)) if alphabet(x) == alphabet(c)) or c
+
+
 def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
     """The canonical form of the entity's surrogate; another for each ``draw``."""
     random = _Stream(key, kind, form, str(draw))
     digit = lambda: str(random.below(10))
     if kind.startswith(("given", "family")):
         script, gender = _script(form), kind[-1]
-        if not script:  # letters near the original ones
-            return "".join(chr(ord(c) // 64 * 64 + random.below(64)) if c.isalpha() else c for c in form)
+        if not script:  # letters of the same alphabet
+            return "".join(near[random.below(len(near))] if unicodedata.category(c)[0] == "L" and (near := _letters_like(c)) else c for c in form)
         made = "".join(SYLLABLES[script][random.below(len(SYLLABLES[script]))] for _ in range(2 + random.below(2) + draw // 8))
         return made + ENDINGS[script][gender][random.below(len(ENDINGS[script][gender]))]
     if kind == "ip":
@@ -173,16 +191,23 @@ def surrogate(key: bytes, kind: str, form: str, draw: int = 0) -> str:
         body = "".join(digit() if c.isdigit() else chr(65 + random.below(26)) for c in form[4:])
         value = int("".join(str(int(c, 36)) for c in body + form[:2]) + "00")
         return f"{form[:2]}{98 - value % 97:02d}{body}"
+    if kind == "token":
+        head = TOKEN_HEAD.match(form).group()
+        kinds = {"N": "0123456789", "Lu": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "Ll": "abcdefghijklmnopqrstuvwxyz"}
+        like = lambda c: kinds["N" if c.isdigit() else "Lu" if c.isupper() else "Ll"]
+        return head + "".join(like(c)[random.below(len(like(c)))] if c.isalnum() else c for c in form[len(head) :])
     if kind == "secret":
         return "".join("0123456789abcdef"[random.below(16)] for _ in form)
     local, at, domain = form.partition("@")
-    change = lambda s: "".join(digit() if c.isdigit() else chr(97 + random.below(26)) if "a" <= c <= "z" else chr(ord(c) // 32 * 32 + random.below(32)) if c.isalpha() else c for c in s)
+    change = lambda s: "".join(digit() if c.isdigit() else chr(97 + random.below(26)) if "a" <= c <= "z" else _letters_like(c)[random.below(len(_letters_like(c)))] if c.isalpha() else c for c in s)
     name, dot, top = domain.rpartition(".")
     return change(local) + at + change(name) + dot + top
 
 
 def render(mention: str, form: str) -> str:
     """A surrogate written as the mention is: its separators, its case."""
+    if TOKEN_HEAD.match(mention) and form.startswith(TOKEN_HEAD.match(mention).group()):
+        return form
     if re.fullmatch(r"\+?[\d ()./-]+", mention) and "." not in form:
         digits = iter(form.lstrip("+"))
         return "".join(next(digits, "") if c.isdigit() else c for c in mention)
@@ -205,9 +230,14 @@ def replaced(text: str, key: bytes, draws: dict[tuple[str, str], int]) -> tuple[
     return "".join(out), len(found)
 
 
+def _place(doc_id: Column, text: Column) -> Column:
+    """Where a mention stands: the document's id, or its text's hash where it has none."""
+    return F.coalesce(F.concat(F.lit("id "), doc_id.cast("string")), F.concat(F.lit("text "), F.xxhash64(text)))
+
+
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, kind, form: the different entities of each document."""
-    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    rows = docs.select(_place(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).alias("id"), F.col(f"`{text_col}`").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -258,8 +288,8 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     exceptions = settle(found, secret).where("draw > 0").select("kind", "form", "draw")
     # One row a document that mentions an exception; bounded by its text.
     of_docs = found.join(exceptions, ["kind", "form"]).distinct().groupBy("id").agg(F.collect_list(F.struct("kind", "form", "draw")).alias("draws")).withColumnRenamed("id", "__id")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(of_docs, F.col("id").cast("string").eqNullSafe(F.col("__id")), "left").select("id", "text", "draws")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.join(of_docs, _place(F.col("id"), F.col("text")) == F.col("__id"), "left").select("id", "text", "draws")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

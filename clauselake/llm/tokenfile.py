@@ -18,17 +18,20 @@ down the planes with rank alone (``access``), a token's range is narrowed the sa
 way (``count``), and a place in that range is followed up with select
 (``occurrence``). Each needs a block or two of each plane.
 
-Defined results: a null text is empty and holds the end id alone. Rows with a null id
-come first. Repeated rows are each written, in the order of their text's hash. An
-empty table writes no shard. Other columns are ignored.
+Defined results: a null text is empty and holds the end id alone. Ids are whole numbers;
+rows with a null id come first and come back without one. Repeated rows are each
+written, ties in the order of their text's hash. A text longer than a shard makes a
+longer shard; no text is cut. An empty table writes no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -187,7 +190,8 @@ class LibraryEncoder:
     token's string, and all texts of other tokenizers go to the library whole.
     """
 
-    def __init__(self, model: str, remembered: int = 150_000, together: int = 200) -> None:
+    def __init__(self, model: str, remembered: int = 300_000, together: int = 200) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
@@ -206,21 +210,21 @@ class LibraryEncoder:
         self.of_pieces = Memory(self._pieces, remembered)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        some = lambda part: [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return in_portions(texts, some, 100_000)  # what the library makes is many times as large as a text
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces. Words with a space before them stand in line as one text; the ids are told apart by their bytes."""
         found: dict[str, bytes] = {}
         inner = [p for p in pieces if p and p[0] != "\0" and not p[0].isspace() and not p[-1].isspace()]
-        lines = [inner[i : i + self.together] for i in range(0, len(inner), self.together)]
-        for line, x in zip(lines, self.tokenizer.encode_batch_fast([" " + " ".join(line) for line in lines], add_special_tokens=False), strict=True):
+        for i in range(0, len(inner), self.together):
+            line = inner[i : i + self.together]
+            (x,) = self.tokenizer.encode_batch_fast([" " + " ".join(line)], add_special_tokens=False)
             ids = np.array(x.ids, "<u4")
-            ends = np.cumsum([1 + (len(p) if p.isascii() else len(p.encode())) for p in line])
-            cuts = np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 1
-            data, at = ids.tobytes(), 0
-            for p, cut in zip(line, (4 * cuts).tolist(), strict=True):
-                found[p] = data[at:cut]
-                at = cut
+            ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in line])
+            cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4).tolist()
+            data = ids.tobytes()
+            found.update(zip(line, map(data.__getitem__, map(slice, chain((0,), cuts), cuts)), strict=False))
         rest = [p for p in pieces if p not in found]
         found.update(zip(rest, self._library([piece_text(p) for p in rest]), strict=True))
         return [found[p] for p in pieces]

@@ -10,8 +10,9 @@ a mark stands for the beginning, and tokens of over 15
 letters are read in overlapping windows. All of a text is read.
 
 Training. The labels are those of documents; a sentence has its document's label. Of
-each toxic document the tokens that best separate the classes bear witness; the
-tokens of clean sentences, the most alike above all, stand against it. The machine (squared hinge loss, balanced
+each toxic document the sentence with the token that best separates the classes stands for
+the label, and its most telling tokens bear witness; the tokens of sentences labelled
+clean, the most alike above all, stand against them. The machine (squared hinge loss, balanced
 classes) is fitted on the kernel's projection onto the landmarks, and picks the
 witnesses anew in each round. At last a logistic curve over the amount of values on the
 toxic side and the number of tokens (or the largest value, if none is there) gives a document's score. As values are linear in the kernel, the landmarks are folded into
@@ -31,7 +32,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -44,9 +45,11 @@ from clauselake.llm.shared import no_cycles, slices
 
 DECAY = 0.7
 LONGEST = 16
-CODES = 32
+#: Letters are numbers below CODES, as characters from "a": a-z, then classes of all other letters, then the mark of a beginning.
+CODES = 48
+OTHERS = 21
 #: Stands before the first letter, so that a word's beginning counts more than its middle.
-START = chr(127)
+START = chr(97 + CODES - 1)
 #: Value of a token without a subsequence of three letters.
 NOTHING = -2.0
 #: From this value on a token counts for the amount of toxic tokens.
@@ -64,7 +67,7 @@ APART = re.compile(r"(?<!\S)(?:\S\s+){3,}\S(?!\S)")
 
 
 class _Letters(dict):
-    """For str.translate: a character to letters a-z, to one of four classes of other letters, or to nothing."""
+    """For str.translate: a character to letters a-z, to one of the classes of other letters, or to nothing."""
 
     def __missing__(self, point: int) -> str:
         out = ""
@@ -73,7 +76,7 @@ class _Letters(dict):
             if "a" <= c <= "z":
                 out += c
             elif c.isalpha():
-                out += chr(123 + ord(c[0]) % 4)
+                out += chr(123 + ord(c[0]) % OTHERS)
         self[point] = out
         return out
 
@@ -104,7 +107,7 @@ def tokens(text: str) -> set[str]:
 
 def _codes(words: list[str]) -> np.ndarray:
     """(words x letters) numbers; all words are of one length."""
-    return (np.frombuffer("".join(words).encode("ascii"), np.uint8).reshape(len(words), -1) - 97).astype(np.int64)
+    return (np.frombuffer("".join(words).encode("latin-1"), np.uint8).reshape(len(words), -1) - 97).astype(np.int64)
 
 
 def kernel(s: np.ndarray, t: np.ndarray, order: int = 3) -> np.ndarray:
@@ -236,19 +239,27 @@ def _curve(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return theta
 
 
-def train(texts: list[str], toxic: list[int], n_landmarks: int = 64, n_clean: int = 3000, n_hard: int = 1500, rounds: int = 3, witnesses_each: int = 3) -> Model | None:
+def train(texts: list[str], toxic: list[int], n_landmarks: int = 64, n_clean: int = 3000, n_hard: int = 1500, rounds: int = 3, witnesses_each: int = 2) -> Model | None:
     """Fit on labelled documents; None without both classes."""
     label = np.array(toxic)
     if not 0 < label.sum() < len(label):
         return None
-    read = [{w for s in SENTENCE_END.split(t) for token in tokens(s) for w in strings(token)} for t in texts]
+    sentences = [[{w for token in tokens(s) for w in strings(token)} for s in SENTENCE_END.split(t)] for t in texts]
+    read = [set().union(*of_text) for of_text in sentences]
     in_toxic, in_clean = Counter(), Counter()
     for words, y in zip(read, toxic, strict=True):
         (in_toxic if y else in_clean).update(words)
     n_toxic, n_not = int(label.sum()), int(len(label) - label.sum())
-    documents = [sorted(words) for words, y in zip(read, toxic, strict=True) if y and words]
-    if not documents or not in_clean:
+    accused = [[words for words in of_text if words] for of_text, y in zip(sentences, toxic, strict=True) if y and any(of_text)]
+    if not accused or not in_clean:
         return None
+
+    def testify(worse: Callable[[str], float], heard: Callable[[str], bool]) -> Counter[str]:
+        """Of each toxic document the worst sentence is the one labelled toxic; its worst tokens bear witness."""
+        order = lambda w: (-worse(w), w)
+        worst = (min(of_text, key=lambda words: order(min(words, key=order))) for of_text in accused)
+        return Counter(w for words in worst for w in sorted(words, key=order)[:witnesses_each] if heard(w))
+
     # How much more often toxic documents have a word, and how surely (standard deviations).
     odds, sure = {}, {}
     for w, n in in_toxic.items():
@@ -257,7 +268,7 @@ def train(texts: list[str], toxic: list[int], n_landmarks: int = 64, n_clean: in
     clean = sorted(in_clean)
     clean = [clean[i] for i in np.random.default_rng(11).permutation(len(clean))]
     hard = sorted(in_clean, key=lambda w: (-in_clean[w], w))[:n_hard]
-    witnesses = Counter(w for words in documents for w in sorted(words, key=lambda w: (-sure[w], w))[:witnesses_each] if sure[w] >= SURE and odds[w] >= ODDS)
+    witnesses = testify(sure.__getitem__, lambda w: sure[w] >= SURE and odds[w] >= ODDS)
     if not witnesses:
         return None
     own = sorted(in_toxic)
@@ -278,7 +289,7 @@ def train(texts: list[str], toxic: list[int], n_landmarks: int = 64, n_clean: in
         w = _machine(x, y, np.concatenate([seen / seen.sum(), unseen]) * COST)
         model = Model(table @ (project @ w[:-1]), float(w[-1]))
         value = dict(zip(own, model.values(own).tolist(), strict=True))
-        witnesses = Counter(v for words in documents for v in sorted(words, key=lambda v: (-value[v] - sure[v] / 10, v))[:witnesses_each] if value[v] > 0 and odds[v] >= ODDS) or witnesses
+        witnesses = testify(lambda w, value=value: value[w] + sure[w] / 10, lambda w, value=value: value[w] > 0 and odds[w] >= ODDS) or witnesses
         clean_value = model.values(clean)
         hard += [clean[i] for i in np.argsort(-clean_value, kind="stable")[:n_hard]]
     model.curve = _curve(np.array(Scorer(model).features(texts)), label)
@@ -293,7 +304,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, usable: Column, id_col:
     chosen = {r["id"]: int(r["y"]) for r in rows.join(least.select("y", "h"), ["y", "h"]).select("id", "y").collect()}
     if not chosen:
         return []
-    texts = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).collect()
+    rows = docs.where(F.col(id_col).isin(list(chosen))).select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # An id may stand for any number of texts; one of them is read.
+    texts = rows.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text")).collect()
     return sorted((r["text"] or "", chosen[r["id"]]) for r in texts)
 
 

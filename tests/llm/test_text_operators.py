@@ -145,6 +145,16 @@ def test_mix_is_near_its_targets_and_agrees_with_itself(documents, odd, no_docs)
     assert mixing.mixed(odd).columns == odd.columns
 
 
+def test_rows_that_share_an_id_are_each_taken_as_the_mix_says(spark):
+    docs = spark.createDataFrame([(1 + k // 40, f"{'word ' * (k % 5 + 1)}{k // 2}", "ab"[k % 3 == 0]) for k in range(120)], "doc_id long, text string, source string")
+    taken = rows(mixing.mix(docs, F.array("source"), mixing.n_words(F.col("text"))))
+    got = mixing.mixed(docs)
+    assert got.agg(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(r["taken"] for r in taken)
+    assert max(r["count"] for r in got.groupBy("doc_id", "text", "source").count().collect()) <= 4  # two equal rows, twice each
+    same = spark.createDataFrame([(None, "one two", "a")] * 10 + [(2, "x", "b")], docs.schema)
+    assert mixing.mixed(same).groupBy("source").count().orderBy("source").first()["count"] == sum(r["epochs"] for r in rows(mixing.mix(same, F.array("source"), mixing.n_words(F.col("text")))) if r["members"] == ["a"])
+
+
 def test_mix_of_overlapping_sources(spark):
     docs = spark.createDataFrame([(i, ["a"] if i % 3 else ["a", "b"], 10) for i in range(300)], "doc_id long, members array<string>, n long")
     got = rows(mixing.mix(docs, F.col("members"), F.col("n"), lambda names: {"a": 1, "b": 1}, share=0.5))
