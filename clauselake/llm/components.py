@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clauselake.llm.shared import written
@@ -26,13 +26,15 @@ def components(links: DataFrame) -> DataFrame:
     """``links`` has columns u and v. Returns one row per linked node that is not the least of its component: u, v = the least.
 
     Each round is written to the shared folder; the rounds grow with the logarithm of
-    the longest chain. Only a count and a checksum reach the driver.
+    the longest chain. Only a count and a checksum, taken as a round is written, reach
+    the driver.
     """
     now = written(links.select("u", "v").where("u <> v").distinct(), "links")
     seen = None
     while True:
-        now = written(_small_star(_large_star(now)).distinct(), "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen:
+        state = Observation()
+        measures = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")
+        now = written(_small_star(_large_star(now)).distinct().observe(state, *measures), "stars")
+        if state.get == seen:
             return now
-        seen = state
+        seen = state.get
