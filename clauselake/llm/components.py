@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import written
+from clauselake.llm.shared import counted, sized, written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
@@ -23,18 +23,25 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``links`` has columns u and v. Returns one row per linked node that is not the least of its component: u, v = the least.
+    """``links`` has columns u and v. Returns one row per linked node that is not the least of its component: u, v = the least."""
+    return counted_components(links)[0]
+
+
+def counted_components(links: DataFrame, most: int | None = None) -> tuple[DataFrame, int]:
+    """``components`` and the number of its rows. ``most``: a bound of the links, if one is known.
 
     Each round is written to the shared folder; the rounds grow with the logarithm of
     the longest chain. Only a count and a checksum, taken as a round is written, reach
     the driver.
     """
-    now = written(links.select("u", "v").where("u <> v").distinct(), "links")
+    links = links.select("u", "v").where("u <> v").distinct()
+    now, n = counted(links if most is None else sized(links, most), "links")
     seen = None
     while True:
         state = Observation()
         measures = F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("sum")
-        now = written(_small_star(_large_star(now)).distinct().observe(state, *measures), "stars")
+        # A star of n links gives at most two links for each.
+        now = written(sized(_small_star(_large_star(now)).distinct().observe(state, *measures), 2 * n), "stars")
         if state.get == seen:
-            return now
-        seen = state.get
+            return now, state.get["n"]
+        seen, n = state.get, state.get["n"]

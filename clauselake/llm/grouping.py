@@ -13,8 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.components import components
-from clauselake.llm.shared import slices, written
+from clauselake.llm.components import counted_components
+from clauselake.llm.shared import counted, sized, slices, written
 
 #: Parts of a leader's members; each part has a copy of what is known of the leader.
 SHARES = 512
@@ -96,33 +96,32 @@ def linked(
     """
     # Only keys that several nodes share are looked at again.
     several = written(keys.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").select("key", "leader"), "several")
-    shared = written(keys.join(several, "key"), "shared-keys")
+    shared, n = counted(keys.join(several, "key"), "shared-keys")
     texts = candidates(shared.select("node"))
-    counted = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
-    nearest = counted.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
-    tested = written(_likely(nearest, sketches, may_link), "pairs")
-    labels = components(confirm(tested, texts))
+    common = shared.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("c"))
+    nearest = common.groupBy("node").agg(F.max_by("leader", F.struct("c", -F.col("leader"))).alias("leader"))
+    tested, n_pairs = counted(sized(_likely(nearest, sketches, may_link), n), "pairs")
+    labels, known = counted_components(confirm(tested, texts), n_pairs)
 
-    leaders, known, more = 1, labels.count(), True
+    leaders, more = 1, True
     while True:
         # Rows of keys that still hold several components.
         placed = shared.select("key", "node").join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").withColumn("root", F.coalesce("root", "node"))
-        split = written(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), "split-keys")
-        open_rows = written(placed.join(split, "key"), "open-keys")
+        split = written(sized(placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key"), n), "split-keys")
+        open_rows, n_open = counted(sized(placed.join(split, "key"), n), "open-keys")
         if not more:
             break
         order = F.xxhash64("node", F.lit(leaders))
         chosen = open_rows.groupBy("key", F.pmod(order, F.lit(leaders)).alias("part")).agg(F.min_by(F.struct(F.col("node").alias("leader"), F.col("root").alias("other")), order).alias("x"))
-        met = open_rows.join(written(chosen.select("key", "x.*"), "leaders"), "key").where("root <> other").select("node", "leader").distinct()
-        pairs = written(_likely(met.join(tested, ["node", "leader"], "left_anti"), sketches, may_link), "pairs")
-        labels = components(labels.unionByName(confirm(pairs, texts)))
+        met = open_rows.join(written(sized(chosen.select("key", "x.*"), n_open), "leaders"), "key").where("root <> other").select("node", "leader").distinct()
+        pairs, n_pairs = counted(sized(_likely(met.join(tested, ["node", "leader"], "left_anti"), sketches, may_link), leaders * n_open), "pairs")
+        labels, count = counted_components(labels.unionByName(confirm(pairs, texts)), known + n_pairs)
         tested = tested.unionByName(pairs)
-        count = labels.count()
         leaders, known, more = 2 * leaders, count, 10 * (count - known) > count
 
     if finer:
         by_root = open_rows.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("g"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        heavy = written(by_root.where((F.col("g") * F.col("g") - F.col("q")) / 2 > cross_budget * F.col("g")).select("key"), "heavy-keys")
+        heavy = written(sized(by_root.where((F.col("g") * F.col("g") - F.col("q")) / 2 > cross_budget * F.col("g")).select("key"), n_open), "heavy-keys")
         of_heavy = open_rows.join(heavy, "key", "left_semi").select("node", "root").distinct()
         open_rows = open_rows.join(heavy, "key", "left_anti").unionByName(finer(of_heavy.select("node"), texts).join(of_heavy, "node").select("key", "node", "root"))
     described = written(open_rows.join(sketches, "node"), "open-sketches")
@@ -131,5 +130,5 @@ def linked(
     met = a.join(b, "key").where((F.col("root_a") != F.col("root_b")) & (F.col("node_a") > F.col("node_b")) & may_link("a", "b"))
     rest = met.select(F.col("node_a").alias("node"), F.col("node_b").alias("leader")).distinct()
     either = tested.unionByName(tested.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
-    rest = written(rest.join(either, ["node", "leader"], "left_anti"), "pairs")
-    return components(labels.unionByName(confirm(rest, texts)))
+    rest, n_pairs = counted(rest.join(either, ["node", "leader"], "left_anti"), "pairs")
+    return counted_components(labels.unionByName(confirm(rest, texts)), known + n_pairs)[0]

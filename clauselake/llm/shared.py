@@ -8,6 +8,7 @@ and later stages read it column by column.
 from __future__ import annotations
 
 import gc
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
@@ -15,7 +16,7 @@ from contextlib import contextmanager
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space that ends a word in the word counts and shingles (ASCII only).
@@ -44,6 +45,22 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a part, where a table is known to have few.
+ROWS_A_PART = 200_000
+
+
+def sized(df: DataFrame, most: int) -> DataFrame:
+    """``df``, which has at most ``most`` rows, in no more parts than these fill."""
+    return df.coalesce(max(1, math.ceil(most / ROWS_A_PART)))
+
+
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """``written``, and the number of rows, counted as they are written."""
+    state = Observation()
+    table = written(df.observe(state, F.count("*").alias("n")), label)
+    return table, state.get["n"]
+
+
 def ascii_lower(text):
     """Lower-case A-Z only; null stays null."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
