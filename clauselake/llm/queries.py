@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, chat, edit_fingerprint, exact_dedup, langid, mixing, near_dedup, pii, tokenfile, toxicity
+from clauselake.llm import bpe, chat, divergence, edit_fingerprint, exact_dedup, langid, mixing, near_dedup, pii, tokenfile, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_documents(spark, sf_dir), least_docs=3, most=200)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 ORACLE: dict[str, str] = {
@@ -137,4 +142,42 @@ ORACLE: dict[str, str] = {
                doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
         FROM n
     """,
+    "op11_source_divergence": r"""
+        WITH words AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, doc_id,
+                   unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+            FROM documents
+        ), kept AS (
+            SELECT lang, term, count(*) AS c FROM words GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+        ), langs AS (
+            SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang
+        ), occurring AS (
+            SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+        ), counts AS (
+            SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term) GROUP BY ALL
+        ), sizes AS (
+            SELECT lang, source, sum(c) AS n FROM counts GROUP BY ALL
+        ), shares AS (  -- of every kept term in every group
+            SELECT o.lang, o.source, k.term, coalesce(c.c, 0) AS c, k.c AS lang_c,
+                   1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (coalesce(s.n, 0) + l.v)::HUGEINT AS p,
+                   1 + (1000000000::HUGEINT * (k.c + 1)) // (l.n + l.v)::HUGEINT AS q
+            FROM occurring o JOIN kept k USING (lang) JOIN langs l USING (lang)
+            LEFT JOIN sizes s ON s.lang = o.lang AND s.source = o.source
+            LEFT JOIN counts c ON c.lang = o.lang AND c.source = o.source AND c.term = k.term
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+            FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source != b.source GROUP BY ALL
+        ), pairs AS (
+            SELECT a.lang, a.source, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+            FROM occurring a JOIN occurring b ON a.lang = b.lang AND a.source != b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        ), terms AS (
+            SELECT lang, source, term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value FROM shares WHERE c > 0 AND p > q
+        ), ranked AS (
+            SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+            UNION ALL
+            SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms
+        )
+        SELECT lang, source, part, item, value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
