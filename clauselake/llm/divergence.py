@@ -26,13 +26,20 @@ an empty result; texts are read whole; other columns are ignored, whatever their
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import ascii_lower, written
+from clauselake.llm.shared import written
 
-#: What lies between terms: all ASCII but letters.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of a text by what they are to a term: A-Z lower-cased, all other ASCII but letters between terms.
+FOLD = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
+#: Terms of documents that a task adds up before it passes them on.
+TERMS_HELD = 500_000
 #: Shares add up to about this.
 SCALE = 1_000_000_000
 #: Groups are dealt into so many shares where all pairs of a language are priced, and terms where the best are chosen.
@@ -49,12 +56,34 @@ def price(p: Column, q: Column) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences) and docs (documents with it)."""
-    words = F.sort_array(F.split(ascii_lower(F.coalesce("text", F.lit(""))), BETWEEN))
-    texts = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), words.alias("words"))
-    each = texts.select("lang", "source", "words", F.posexplode("words").alias("at", "term")).where("term != ''")
-    opens = ~F.get("words", F.col("at") - 1).eqNullSafe(F.col("term"))
-    return each.select("lang", "source", "term", opens.cast("int").alias("opens")).groupBy("lang", "source", "term").agg(F.count("*").alias("n"), F.sum("opens").alias("docs"))
+    """lang, source, term, n (occurrences) and docs (documents with it). Tasks count what they read, a bounded number of terms at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: list[bytes] = []
+        times: list[int] = []
+        of: list[tuple[str, str, int]] = []  # group of so many words
+
+        def told() -> Iterator[pa.RecordBatch]:
+            groups = pa.table({"lang": pa.array([g[0] for g in of], pa.string()), "source": pa.array([g[1] for g in of], pa.string())})
+            found = groups.take(pa.array(np.repeat(np.arange(len(of)), [g[2] for g in of])))
+            found = found.append_column("term", pa.array(words, pa.binary()).cast(pa.string())).append_column("n", pa.array(times, pa.int64()))
+            sums = found.group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("n", "count")])
+            yield from sums.rename_columns(["lang", "source", "term", "n", "docs"]).to_batches()
+
+        for batch in batches:
+            for lang, source, text in zip(*batch.to_pydict().values(), strict=True):
+                counts = Counter((text or "").encode().translate(FOLD).split())
+                words += counts
+                times += counts.values()
+                of.append((lang or "", source or "", len(counts)))
+                if len(words) >= TERMS_HELD:
+                    yield from told()
+                    words, times, of = [], [], []
+        if words:
+            yield from told()
+
+    counted = docs.select("lang", "source", "text").mapInArrow(count, "lang string, source string, term string, n long, docs long")
+    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def kept_postings(docs: DataFrame, least_docs: int) -> DataFrame:
