@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clauselake.llm import bpe, chat, conversation, divergence, edit_fingerprint, exact_dedup, langid, mixing, near_dedup, pii, tokenfile, toxicity
+from clauselake.llm import bpe, chat, conversation, divergence, edit_fingerprint, exact_dedup, langid, mixing, near_dedup, pii, repeats, tokenfile, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removed_passages(_documents(spark, sf_dir), least=400)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_source_divergence": op11_source_divergence,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_repeated_passages": op13_repeated_passages,
 }
 
 ORACLE: dict[str, str] = {
