@@ -18,7 +18,7 @@ shared part of their sets is at least ``percent`` of their union.
 
 Pairs are not listed within a key; see ``grouping.linked``. Where a key still holds
 many unlinked classes, as those that share a long passage do, they are joined by the
-rarest shingles of their sets instead: any two that can be linked share one (``_rare``).
+least used shingles of their sets instead: any two that can be linked share one (``_rare``).
 
 Defined results: null and empty texts have no shingles and are linked with nothing;
 a text of fewer words than a shingle is one shingle. A row with a null id is reported
@@ -50,6 +50,9 @@ SKETCH_DISTANCE = 24
 BIN_BITS = 10
 PARITIES = [f"odd{k}" for k in range((1 << BIN_BITS) // 64)]
 
+#: Bins in which uses of shingles are counted, and slices in which they are added up.
+USE_BINS, USE_SLICES = 1 << 16, 16
+
 _RANDOM = np.random.default_rng(20240607)
 _MULTIPLY = _RANDOM.integers(1, 2**63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RANDOM.integers(0, 2**63, (SYMBOLS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -152,27 +155,64 @@ def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
+def _uses(texts: DataFrame, width: int) -> np.ndarray:
+    """How many sets of ``texts`` (text) have shingles in each of ``USE_BINS`` bins. Tasks send slices of their sums, which tasks add up; the driver gets the bins."""
+    size = USE_BINS // USE_SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(USE_BINS, np.int64)
+        for batch in slices(batches, 50):
+            for text in batch.column(0).to_pylist():
+                total += np.bincount(use_bin(shingle_set(text, width)), minlength=USE_BINS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(USE_SLICES), pa.int32()), pa.array([total[k * size : k * size + size].tobytes() for k in range(USE_SLICES)])], names=["slice", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()])], names=["slice", "counts"])
+
+    found = texts.mapInArrow(count, "slice int, counts binary").repartition("slice").mapInArrow(add, "slice int, counts binary")
+    uses = np.zeros(USE_BINS, np.int64)
+    for k, counts in found.collect():  # a row a slice
+        uses[k * size : k * size + size] = np.frombuffer(counts, np.int64)
+    return uses
+
+
+def use_bin(shingles: np.ndarray) -> np.ndarray:
+    return (_mixed(shingles) % np.uint64(USE_BINS)).astype(np.int64)
+
+
+def least_used(shingles: np.ndarray, uses: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles of a set that stay after its ``percent`` most used ones, in one order for all sets: by uses of their bin, then by hash."""
+    n = len(shingles) * (100 - percent) // 100 + 1
+    return shingles[np.lexsort((shingles, uses[use_bin(shingles)]))[:n]]
+
+
 def _rare(nodes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """node and key: shingles by which two linked nodes must meet, the rarest of each set.
+    """node and key: shingles by which two linked nodes must meet, the least used of each set.
 
     Two sets of which ``percent`` of the union is shared have a shingle in common among
-    those that remain of each after its ``percent`` most frequent ones. Frequency is
-    counted among ``nodes``; a shingle of one node alone takes a place and is no key.
+    those that remain of each after its ``percent`` last ones, in any order that is the same
+    for all. Uses are counted among ``nodes`` by bins of shingles, so that what is
+    common to many comes last; only what remains becomes a row, and a shingle of one
+    node alone is no key.
     """
-    rows = texts.join(nodes.select(F.col("node").alias("id")), "id", "left_semi")
+    rows = written(texts.join(nodes.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), "heavy-texts")
+    uses = _uses(rows.select("text"), width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 50):
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = shingle_set(text, width)
-                own = np.full(len(found), node, np.int64), np.full(len(found), xxhash.xxh3_64_intdigest(found.tobytes()), np.uint64).view(np.int64), np.full(len(found), len(found), np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, own), pa.array(found.view(np.int64))], names=["node", "set", "n", "key"])
+            kept = [least_used(shingle_set(text, width), uses, percent) for text in batch.column(1).to_pylist()]
+            node = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(k) for k in kept])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(kept).view(np.int64))], names=["node", "key"])
 
-    shingles = written(rows.mapInArrow(run, "node long, set long, n long, key long").distinct(), "shingles")
-    frequent = written(shingles.groupBy("key").agg(F.count("*").alias("f")).where("f > 1"), "frequencies")
-    ranked = shingles.join(frequent, "key").groupBy("node", "set", "n").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("by_use"))
-    places = (F.col("n") * (100 - percent) / 100).cast("long") + 1 - (F.col("n") - F.size("by_use"))
-    return ranked.select("node", F.explode(F.slice("by_use", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))).alias("x")).select("node", "x.key")
+    keys = written(rows.select("id", "text").mapInArrow(run, "node long, key long").distinct(), "rare-shingles")
+    several = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-rare-shingles")
+    return keys.join(several, "key").select("node", "key")
 
 
 def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", cross_budget: int = 16) -> DataFrame:
@@ -181,7 +221,7 @@ def near_dedup(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     # All but the id follows from the set.
     alike = [F.first(c).alias(c) for c in ("n", "low", "high", *PARITIES, "keys")]
     classes = written(prints.where("n > 0").groupBy("set_a", "set_b").agg(F.min("id").alias("node"), *alike), "classes").where("node is not null")
-    sketches = classes.groupBy("node").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), *[F.max(p).alias(p) for p in PARITIES], F.count("*").alias("texts"))
+    sketches = written(classes.groupBy("node").agg(F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), *[F.max(p).alias(p) for p in PARITIES], F.count("*").alias("texts")), "sketches")
     # An id with several texts passes every comparison of sketches and meets the sets.
     labels = linked(
         classes.select("node", F.explode("keys").alias("key")),

@@ -50,8 +50,9 @@ ROWS_A_PART = 200_000
 
 
 def sized(df: DataFrame, most: int) -> DataFrame:
-    """``df``, which has at most ``most`` rows, in no more parts than these fill."""
-    return df.coalesce(max(1, math.ceil(most / ROWS_A_PART)))
+    """``df``, which has at most ``most`` rows, dealt anew into no more parts than these fill; what makes ``df`` keeps its own tasks."""
+    parts = max(1, math.ceil(most / ROWS_A_PART))
+    return df.repartition(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
 def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
