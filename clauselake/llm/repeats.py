@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import counted, written
+from clauselake.llm.shared import counted, slices, written
 
 #: Bytes of the runs whose hashes choose anchors.
 SEED = 160
@@ -47,7 +47,10 @@ MOST = 1500
 #: Strings (by their distance from the anchor) that a piece of a split bucket has at most; the last step has one.
 SPLITS = (48, 8, 1)
 #: Bytes of text whose anchors are found at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+
+#: Rows whose texts and runs a task unpacks at once.
+AT_ONCE = 200
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -186,7 +189,7 @@ def _occurrences(docs: DataFrame, least: int, seed: int) -> DataFrame:
             columns = [pa.array(anchors), pa.array(digests, pa.binary()), owners, *(pa.array(a, pa.int32()) for a in (starts, at - starts, strings)), pa.array(np.ones(len(text), np.int64))]
             return pa.RecordBatch.from_arrays(columns, names=["anchor", "digest", "owner", "start", "at", "strings", "times"])
 
-        for batch in batches:
+        for batch in slices(batches, AT_ONCE):
             for text in batch.column(0).to_pylist():
                 if text is not None and len(text) >= least:
                     held.append(text)
@@ -215,7 +218,7 @@ def _with_bytes(chosen: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["anchor", "digest", "times", "at", "strings", "data"]
         kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-        for batch in batches:
+        for batch in slices(batches, AT_ONCE):
             rows: list[tuple] = []
             for data, wanted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows += [(w["anchor"], w["digest"], w["times"], w["at"], w["strings"], data[w["start"] : w["start"] + w["strings"] + least - 1]) for w in wanted]
@@ -273,7 +276,7 @@ def _split(bucketed: DataFrame, least: int, strings: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-        for batch in batches:
+        for batch in slices(batches, AT_ONCE):
             rows: list[tuple] = []
             for owner, times, at, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for k in range((at - n + 1) // strings, at // strings + 1):  # distances of the anchor from a string's start
@@ -346,7 +349,7 @@ def removed_passages(docs: DataFrame, least: int = 400, seed: int = SEED, most:
     both = own.withColumn("owner", _text_key(F.col("text"))).join(written(runs, "removed-runs"), "owner", "left").select("doc_id", F.col("text").cast("binary"), "runs")
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, AT_ONCE):
             rows = []
             for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 data, at, kept = text or b"", 0, hashlib.sha256()
