@@ -1,4 +1,4 @@
-"""Command line over the tables of one store folder: check, ingest, index, remove, search, ask, chat, eval.
+"""Command line over the tables of one store folder: check, ingest, index, learn, remove, search, ask, chat, eval.
 
 Pages come from Parquet tables (doc, page_number, text) or from files in a folder, by an
 extractor that is registered for their ending; models and servers are registered as well
@@ -12,13 +12,13 @@ import json
 import sys
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import quality, reason_text
-from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, vectors
+from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, segment, vectors
 from clauselake.operators.backends import ANSWER_SYSTEM, EXTRACTORS, JUDGE_SYSTEM, Model, Reader, as_model
 from clauselake.sources import store
 from clauselake.sources.scratch import written
@@ -37,10 +37,14 @@ class Backends:
     answer: Callable[[str], str] | Model | str = _no_backend
     judge: Callable[[str], str] | Model | str = _no_backend
     make_embedder: Callable = vectors.hashed_ngrams
+    #: Share of keyword search in the hybrid.
+    bm25_weight: float = retrieval.BM25_WEIGHT
     #: Stage, how many are done, and of how many.
     progress: Callable[[str, int, int], None] = field(default=lambda stage, done, total: None)
 
 
+#: Pages that are read before what was read is kept.
+OCR_AT_ONCE = 200
 #: A model's own call is repeated inside ``_called``.
 ONCE = answers.Retry(attempts=1)
 
@@ -55,9 +59,10 @@ class Store:
 
     def __init__(self, spark: SparkSession, folder: str, backends: Backends | None = None) -> None:
         self.spark, self.backends, self.folder = spark, backends or Backends(), folder.rstrip("/")
-        table = lambda name, schema: store.Table(spark, f"{folder}/{name}", schema)
+        table = lambda name, schema, key="doc": store.Table(spark, f"{folder}/{name}", schema, key)
         self.chunks, self.registry, self.markdown = table("chunks", store.CHUNKS), table("registry", store.REGISTRY), table("markdown", "doc string, markdown string")
-        self.vectors, self.ocr_cache, self.llm_cache = table("vectors", store.VECTORS), table("ocr_cache", store.OCR_CACHE), table("llm_cache", store.OCR_CACHE)
+        self.vectors, self.ocr_cache, self.llm_cache = table("vectors", store.VECTORS), table("ocr_cache", store.OCR_CACHE, "key"), table("llm_cache", store.OCR_CACHE, "key")
+        self.dictionary = table("dictionary", store.DICTIONARY, "word")
 
     def pages(self, path: str, pattern: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Pages of a Parquet table or, with a file pattern, of the files in a folder; and the files that could not be read (doc, error)."""
@@ -87,12 +92,10 @@ class Store:
         hashes = gated.groupBy("doc").agg(F.sha2(F.concat_ws("\0", F.sort_array(F.collect_list(F.concat_ws("\1", "page_number", "text")))), 256).alias("sha256"))
         read_page, name = enrich.reader(self.backends.read_page) if isinstance(self.backends.read_page, Reader) else (self.backends.read_page, F.lit("reader"))
         keyed = gated.join(hashes, "doc").withColumn("key", enrich.page_key("sha256", name, "page_number"))
-        asked = gated.where("needs_ocr").count()
-        report("ocr", 0, asked)
-        # Read once: what the reader gave is written before anything else asks for it.
-        read = written(enrich.ocr(keyed, self.ocr_cache.read(), read_page, force=force_ocr)[0], "read")
-        report("ocr", asked, asked)
-        self.ocr_cache.replace(read.where("error is null").join(keyed.select("doc", "page_number", "key"), ["doc", "page_number"]).select("key", F.col("text").alias("response")).dropDuplicates(["key"]), "key")
+        flagged = keyed.where("needs_ocr").select("doc", "page_number", "key")
+        # A portion of pages is in the cache before the next one is read, so a run that breaks off reads few again.
+        read = answers.kept_calls(flagged.withColumn("request", F.col("key")), self.ocr_cache, "key", "request", read_page, enrich.Retry(any_failure=True), at_once=OCR_AT_ONCE, again=force_ocr, progress=lambda done, total: report("ocr", done, total))
+        read = written(flagged.join(read, "key").select("doc", "page_number", F.col("response").alias("text"), "error"), "read")
         made = written(chunking.ingest(gated.select("doc", "page_number", "text", "needs_ocr"), read), "chunks")
         report("chunk", 1, 1)
         docs = gated.select("doc").distinct()
@@ -109,12 +112,12 @@ class Store:
         return self.registry.read().join(docs, "doc", "left_semi")
 
     def index(self, only: list[str] | None = None) -> int:
-        chunks = self.chunks.read()
+        chunks, seen = self.chunks.read(), self.vectors.version()
         if only:
             docs = self.spark.createDataFrame([(d,) for d in only], "doc string")
-            self.vectors.write(vectors.reindex(self.vectors.read(), chunks, docs, self.backends.make_embedder))
+            self.vectors.replace(vectors.chunk_vectors(chunks.join(docs, "doc", "left_semi"), self.backends.make_embedder), "doc", docs)
         else:
-            self.vectors.write(vectors.chunk_vectors(chunks, self.backends.make_embedder))
+            self.vectors.write(vectors.chunk_vectors(chunks, self.backends.make_embedder), seen)
         return self.vectors.read().count()
 
     def remove(self, docs: list[str], files: str | None = None) -> list[str]:
@@ -124,19 +127,34 @@ class Store:
             table.remove("doc", gone)
         return store.delete_files(self.spark, files, docs) if files else []
 
+    def learn(self, words: DataFrame) -> int:
+        """Add words (word) to the dictionary by which texts without spaces are cut; returns how many it has."""
+        self.dictionary.replace(words.select("word").where("word is not null").distinct(), "word")
+        return self.dictionary.read().count()
+
+    def _keyword(self, questions: DataFrame, chunks: DataFrame, depth: int) -> DataFrame:
+        known = self.dictionary.read()
+        whole = retrieval.embed_text(F.col("doc"), F.col("chapter"), F.col("clause"), F.col("text"))
+        if known.isEmpty():
+            tokens, asked = chunks.select("chunk_id", retrieval.words(whole).alias("tokens")), questions.select("query_id", retrieval.words("question").alias("tokens"))
+        else:
+            tokens = segment.segmented(chunks.select("chunk_id", whole.alias("whole")), known, "chunk_id", "whole")
+            asked = segment.segmented(questions, known, "query_id", "question")
+        return retrieval.Bm25(tokens).search(asked, depth)
+
     def retrieve(self, questions: DataFrame, method: str = "hybrid", k: int = answers.TOP_K) -> DataFrame:
-        """query_id, chunk_id, score, rank for questions (query_id, question)."""
+        """query_id, chunk_id, score, rank for questions (query_id, question). The hybrid asks by keywords, too, where they have a weight."""
         chunks = store.last_by(self.chunks.read(), "id", "chunk_seq").select(F.col("id").alias("chunk_id"), "doc", "clause", "chapter", "text", "chunk_seq")
         depth = retrieval.CANDIDATES if method == "hybrid" else k
         if method == "keyword":
-            tokens = chunks.select("chunk_id", retrieval.words(retrieval.embed_text(F.col("doc"), F.col("chapter"), F.col("clause"), F.col("text"))).alias("tokens"))
-            return retrieval.Bm25(tokens).search(questions.select("query_id", retrieval.words("question").alias("tokens")), depth)
+            return self._keyword(questions, chunks, depth)
         asked = vectors.embed(questions, "query_id", "question", self.backends.make_embedder)
         found = retrieval.knn(self.vectors.read().select("chunk_id", "embedding"), asked, depth)
         if method == "vector":
             return found
+        keyword = self._keyword(questions, chunks, depth) if self.backends.bm25_weight > 0 else None
         refs = questions.select("query_id", F.explode(retrieval.clause_refs("question")).alias("ref"))
-        return retrieval.hybrid(found, None, refs, chunks, k)
+        return retrieval.hybrid(found, keyword, refs, chunks, k, self.backends.bm25_weight)
 
     def _contexts(self, questions: DataFrame, k: int) -> DataFrame:
         chunks = store.last_by(self.chunks.read(), "id", "chunk_seq").select(F.col("id").alias("chunk_id"), "doc", "clause", "chapter", "text")
@@ -171,7 +189,13 @@ class Store:
         model = as_model(self.backends.judge)
         asked = judged.select("query_id", prompt.alias("request")).withColumn("key", answers.request_key(F.lit(f"judge {model.tag}"), F.lit(JUDGE_SYSTEM), "request"))
         found = answers.kept_calls(asked, self.llm_cache, "key", "request", _called(model, JUDGE_SYSTEM), ONCE)
-        return written(evaluation.evaluate_answers(given, rows, asked.select("query_id", "key").join(found, "key").select("query_id", "response")), "judged")
+        return written(evaluation.evaluate_answers(given, rows, asked.select("query_id", "key").join(found, "key").select("query_id", "response", "error")), "judged")
+
+    def facts(self) -> dict:
+        """What a report depends on besides the questions: the chunks, and the models by their tags."""
+        chunks = self.chunks.read().agg(F.count("*"), F.sum(F.xxhash64("id", "doc", "clause", "chapter", "text", "chunk_seq").cast("decimal(38,0)"))).first()
+        tags = {what: as_model(model).tag for what, model in (("answer", self.backends.answer), ("judge", self.backends.judge))}
+        return {"chunks": chunks[0], "chunks_sum": str(chunks[1] or 0), "models": tags}
 
 
 def parser() -> argparse.ArgumentParser:
@@ -195,7 +219,10 @@ def parser() -> argparse.ArgumentParser:
         command.add_argument("question")
         command.add_argument("-k", type=int, default=answers.TOP_K)
     commands.add_parser("chat").add_argument("-k", type=int, default=answers.TOP_K)
+    commands.add_parser("learn").add_argument("words", help="Parquet table with a column word: the dictionary of texts without spaces")
     evaluate = commands.add_parser("eval")
+    for command in (commands.choices["search"], commands.choices["ask"], commands.choices["chat"], evaluate):
+        command.add_argument("--bm25-weight", type=float, help="share of keyword search in the hybrid")
     evaluate.add_argument("target", choices=["retrieval", "answers"])
     evaluate.add_argument("--questions", required=True)
     evaluate.add_argument("--locked")
@@ -230,6 +257,9 @@ def show(rows: DataFrame) -> None:
 def main(argv: list[str] | None = None, backends: Backends | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("clauselake").getOrCreate()
+    backends = backends or Backends()
+    if getattr(args, "bm25_weight", None) is not None:
+        backends = replace(backends, bm25_weight=args.bm25_weight)
     tables = Store(spark, args.store, backends)
     one = lambda text: spark.createDataFrame([("q", text)], "query_id string, question string")
     try:
@@ -251,7 +281,9 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
             for r in short.select("doc", "id").orderBy("doc", "id").toLocalIterator():
                 print(f"short chunk: {r['id']}")
             return int(bool(bad) or not records.where("size(failed_pages) > 0").isEmpty())
-        if args.command == "index":
+        if args.command == "learn":
+            print(tables.learn(spark.read.parquet(args.words)))
+        elif args.command == "index":
             print(tables.index(args.only))
         elif args.command == "remove":
             for name in tables.remove(args.docs, args.delete_pdf):
@@ -276,6 +308,7 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
             questions = store.read_questions(spark, args.questions, args.locked, args.allow_test_set)
             questions = questions.orderBy("id").limit(args.limit) if args.limit else questions
             stamp, facts = time.strftime("%Y%m%d-%H%M%S"), {"questions": args.questions, "questions_sha": spark.read.format("binaryFile").load(args.questions).select(store.short_hash("content")).first()[0]}
+            began, facts, broken = time.time(), facts | tables.facts(), 0
             if args.target == "retrieval":
                 frame = written(tables.eval_retrieval(questions), "report").orderBy("method", "type")
                 found, text = [r.asDict() for r in frame.collect()], evaluation.retrieval_markdown(frame)  # a row a method and type
@@ -284,8 +317,13 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
                 by_type = evaluation.answer_metrics(frame, "type").orderBy("type")
                 found = [evaluation.answer_metrics(frame).first().asDict(), *(r.asDict(recursive=True) for r in by_type.collect())]
                 text = evaluation.answers_markdown(by_type, evaluation.failures(frame))
+                broken = frame.where("size(errors) > 0").count()
+            facts["minutes"] = round((time.time() - began) / 60, 2)
             evaluation.write_report(frame, f"{args.target} {stamp} {json.dumps(facts, ensure_ascii=False)}\n\n{text}", f"{args.store.rstrip('/')}/reports", f"{args.target}-{stamp}")
             print(json.dumps({"at": stamp, **facts, "report": found}, ensure_ascii=False))
+            if broken:
+                print(f"{broken} questions were not answered or judged; the report lists them", file=sys.stderr)
+                return 1
     except Exception as failure:
         print(f"{type(failure).__name__}: {failure}", file=sys.stderr)
         return 1

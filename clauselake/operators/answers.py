@@ -23,6 +23,8 @@ TOP_K = 5
 ATTEMPTS, FIRST_DELAY = 5, 2
 RETRYABLE = (429, 500, 502, 503, 504)
 DAILY_QUOTA = "PerDay"
+#: Most portions in which calls go out.
+PORTIONS = 200
 
 
 def source_label(doc: Column, clause: Column, chapter: Column) -> Column:
@@ -151,23 +153,33 @@ def cached_calls(rows: DataFrame, cache: DataFrame, key: str, request: str, back
     return known.unionByName(made), made.where("error is null").select(key, "response")
 
 
-def kept_calls(rows: DataFrame, cache: Table, key: str, request: str, backend: Callable[[str], str], retry: Retry | None = None, at_once: int = 10_000) -> DataFrame:
+def kept_calls(
+    rows: DataFrame, cache: Table, key: str, request: str, backend: Callable[[str], str], retry: Retry | None = None, at_once: int = 10_000, again: bool = False, progress: Callable[[int, int], None] = lambda done, total: None
+) -> DataFrame:
     """key, response, error: each request is called once, and its response is in ``cache`` before anything reads it.
 
-    Requests go out in portions of about ``at_once``, each kept before the next, so that
-    a run that is broken off is taken up where it stopped. Failures are not kept.
+    Requests go out in portions of about ``at_once`` (more where that would make over
+    ``PORTIONS``). What a portion was given is in the cache before the next one goes
+    out, so that a run that is broken off calls again for one portion at most.
+    Failures are not kept. ``again`` calls for what is kept as well, and replaces it.
     """
     wanted = written(rows.select(key, request).dropDuplicates([key]), "requests")
-    missing = wanted.join(cache.read().select(F.col("key").alias(key)), key, "left_anti")
-    portions = -(-missing.count() // at_once)
-    failed = None
+    missing = wanted if again else written(wanted.join(cache.read().select(F.col("key").alias(key)), key, "left_anti"), "missing")
+    total, done, failed = missing.count(), 0, None
+    portions = min(PORTIONS, -(-total // at_once))
+    progress(0, total)
     for i in range(portions):
         part = missing.where(F.pmod(F.xxhash64(key), F.lit(portions)) == i)
         made = written(call_backend(part, key, request, backend, retry), "responses")
-        cache.replace(made.where("error is null").select(F.col(key).alias("key"), "response"), "key")
+        given = made.where("error is null").select(F.col(key).alias("key"), "response")
+        cache.replace(given, "key") if again else cache.append(given)
         errors = made.where("error is not null")
         failed = errors if failed is None else failed.unionByName(errors)
-    known = wanted.select(key).join(cache.read().select(F.col("key").alias(key), "response"), key).withColumn("error", F.lit(None).cast("string"))
+        done += made.count()
+        progress(done, total)
+    answered = wanted if failed is None else wanted.join(failed, key, "left_anti")
+    # Two runs at once may both have called.
+    known = answered.select(key).join(cache.read().groupBy(F.col("key").alias(key)).agg(F.min("response").alias("response")), key).withColumn("error", F.lit(None).cast("string"))
     return known if failed is None else known.unionByName(failed)
 
 

@@ -62,7 +62,8 @@ def answer_metrics(rows: DataFrame, *keys: str) -> DataFrame:
     """Twelve measures of answers, for each of ``keys`` or over all rows. A mean over nothing is null.
 
     ``rows``: type, refused, cited and expected (arrays of struct(doc, clause)),
-    correctness, faithfulness, errors.
+    correctness, faithfulness, errors. Questions whose call failed (refused is null)
+    are counted, with their error, and take part in no share and no mean.
     """
     open_, no = F.col("type") != "unanswerable", F.col("refused")
     answered = open_ & ~no
@@ -71,7 +72,7 @@ def answer_metrics(rows: DataFrame, *keys: str) -> DataFrame:
         F.count("*").alias("n"),
         F.count_if(open_).alias("n_answerable"),
         F.count_if(~open_).alias("n_unanswerable"),
-        F.try_divide(F.count_if((~open_ & no) | answered), F.count("*")).alias("refusal_accuracy"),
+        F.try_divide(F.count_if((~open_ & no) | answered), F.count("refused")).alias("refusal_accuracy"),
         F.count_if(~open_ & no).alias("correct_refusals"),
         F.count_if(~open_ & ~no).alias("hallucinated_answers"),
         F.count_if(open_ & no).alias("false_refusals"),
@@ -85,33 +86,37 @@ def answer_metrics(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def failures(rows: DataFrame) -> DataFrame:
-    """Rows to look at: made-up answers, false refusals, low scores, judge errors."""
-    kind = F.when((F.col("type") == "unanswerable") & ~F.col("refused"), "hallucinated").when((F.col("type") != "unanswerable") & F.col("refused"), "false_refusal").when(F.coalesce("correctness", F.lit(5)) <= 2, "low").when(F.size("errors") > 0, "error")
+    """Rows to look at: failed calls, made-up answers, false refusals, low scores, judge errors."""
+    kind = F.when(F.col("refused").isNull(), "call_failed").when((F.col("type") == "unanswerable") & ~F.col("refused"), "hallucinated").when((F.col("type") != "unanswerable") & F.col("refused"), "false_refusal").when(F.coalesce("correctness", F.lit(5)) <= 2, "low").when(F.size("errors") > 0, "error")
     return rows.withColumn("failure", kind).where("failure is not null")
 
 
 def evaluate_answers(answers: DataFrame, questions: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows for ``answer_metrics``: unanswerable questions are not judged; a false refusal scores 1 without a judge.
 
-    ``answers``: query_id, answer, sources, refused; ``questions``: query_id, question,
-    type, expected; ``verdicts``: query_id, response (of the judge).
+    ``answers``: query_id, answer, sources, refused, error; ``questions``: query_id,
+    question, type, expected; ``verdicts``: query_id, response (of the judge), error. What
+    either model failed with is in ``errors``; where an answer failed, ``refused`` is null.
     """
+    given = answers.withColumn("__failed", F.col("error") if "error" in answers.columns else F.lit(None).cast("string"))
+    said = verdicts.select("query_id", "response", (F.col("error") if "error" in verdicts.columns else F.lit(None).cast("string")).alias("__unjudged"))
     open_ = F.col("type") != "unanswerable"
     judged = open_ & ~F.col("refused")
     cited = F.transform("sources", lambda s: F.struct(s["doc"].alias("doc"), s["clause"].alias("clause")))
-    rows = questions.join(answers, "query_id").join(verdicts.select("query_id", "response"), "query_id", "left").withColumn("verdict", judgement("response"))
+    rows = questions.join(given, "query_id").join(said, "query_id", "left").withColumn("verdict", judgement("response"))
+    told = F.when(F.col("__failed").isNotNull(), F.concat(F.lit("answer: "), "__failed")).when(judged & F.col("__unjudged").isNotNull(), F.concat(F.lit("judge: "), "__unjudged")).when(judged & F.col("verdict").isNull(), "judge output could not be read")
     return rows.select(
         "query_id",
         "type",
         "question",
         "answer",
-        "refused",
+        F.when(F.col("__failed").isNull(), F.col("refused")).alias("refused"),
         cited.alias("cited"),
         "expected",
         F.when(open_ & F.col("refused"), 1).when(judged, F.col("verdict.correctness")).alias("correctness"),
         F.when(judged, F.col("verdict.faithfulness")).alias("faithfulness"),
         F.when(judged, F.col("verdict.reason")).alias("judge_reason"),
-        F.when(judged & F.col("verdict").isNull(), F.array(F.lit("judge output could not be read"))).otherwise(F.array().cast("array<string>")).alias("errors"),
+        F.array_compact(F.array(told)).alias("errors"),
     )
 
 
@@ -164,8 +169,12 @@ def answers_markdown(metrics: DataFrame, bad: DataFrame) -> str:
         lines.append(f"## {row.pop('type', 'all')}")
         lines += [f"- {name}: {'-' if v is None else round(v, 3)}" for name, v in row.items()]
     lines.append("## failures")
-    for r in bad.orderBy("query_id").toLocalIterator():
-        lines.append(f"- {r['query_id']} ({r['failure']}): {r['question']}\n  {r['answer']}")
+    places = lambda c: F.array_join(F.transform(c, lambda p: F.concat_ws(" ", p["doc"], F.coalesce(p["clause"], F.lit("-")))), ", ")
+    shown = [c for c in ("correctness", "faithfulness", "judge_reason") if c in bad.columns]
+    for r in bad.select("query_id", "failure", "question", "answer", places("cited").alias("cited"), places("expected").alias("expected"), *shown, F.array_join("errors", "; ").alias("errors")).orderBy("query_id").toLocalIterator():
+        row = r.asDict()
+        lines.append(f"- {row.pop('query_id')} ({row.pop('failure')}): {row.pop('question')}\n  {row.pop('answer') or '-'}")
+        lines += [f"  - {name}: {value}" for name, value in row.items() if value not in (None, "")]
     return "\n".join(lines)
 
 

@@ -132,3 +132,62 @@ def test_a_reindex_embeds_each_chunk_once(spark, tmp_path):
     old = spark.createDataFrame([], cli.store.VECTORS)
     assert vectors.reindex(old, chunks, chunks.select("doc"), model).count() == 1
     assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_failed_calls_are_reported_and_end_the_command_with_an_error(spark, pages, tmp_path, capsys):
+    from clauselake.operators.answers import CallFailed
+
+    def down(prompt):
+        raise CallFailed(401, "no key")
+
+    folder, asked = f"file://{tmp_path}/store", tmp_path / "q.jsonl"
+    asked.write_text('{"id": "1", "question": "ข้อ 2 การสอบ", "type": "direct", "expected": [{"doc": "a.pdf", "clause": "ข้อ 2"}], "reference_answer": "x"}\n{"id": "2", "question": "z", "type": "unanswerable", "expected": [], "reference_answer": ""}\n')
+    working = cli.Backends(read_page=lambda p: GOOD, answer=lambda p: "ตามข้อ [1]", judge=lambda p: '{"correctness": 5, "faithfulness": 4}')
+    tables = cli.Store(spark, folder, working)
+    tables.ingest(spark.read.parquet(pages))
+    tables.index()
+    run = lambda **b: cli.main(["--store", folder, "eval", "answers", "--questions", f"file://{asked}"], cli.Backends(read_page=lambda p: GOOD, **b))
+    assert run(answer=down, judge=down) == 1
+    told = capsys.readouterr()
+    assert "2 questions were not answered" in told.err and '"refusal_accuracy": null' in told.out and '"judge_errors": 2' in told.out
+    (report,) = (tmp_path / "store" / "reports").glob("*.md")
+    text = "".join(p.read_text() for p in report.iterdir() if p.name.startswith("part"))
+    assert text.count("call_failed") == 2 and "errors: answer: 401 no key" in text and "expected: a.pdf ข้อ 2" in text
+    assert tables.llm_cache.read().count() == 0  # failures are not kept
+    # The judge alone fails; then all works, and what was answered is not asked again.
+    rows = cli.Store(spark, folder, cli.Backends(answer=lambda p: "ตามข้อ [1]", judge=down)).eval_answers(cli.store.read_questions(spark, f"file://{asked}")).collect()
+    assert {tuple(r.errors) for r in rows} == {("judge: 401 no key",), ()} and tables.llm_cache.read().count() == 2
+    rows = cli.Store(spark, folder, cli.Backends(answer=down, judge=working.judge)).eval_answers(cli.store.read_questions(spark, f"file://{asked}")).collect()
+    assert all(r.errors == [] for r in rows) and {r.correctness for r in rows} == {5, None}
+
+
+def test_a_broken_run_keeps_what_was_called(spark, tmp_path):
+    """A run that ends in the middle: what its portions were given is not called for again."""
+    from clauselake.operators import answers
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def backend(text):
+        import uuid
+
+        (calls / uuid.uuid4().hex).write_text(text)
+        return f"<{text}>"
+
+    cache = cli.store.Table(spark, f"file://{tmp_path}/cache", cli.store.OCR_CACHE, "key")
+    asked = spark.createDataFrame([(f"k{i}", f"r{i}") for i in range(60)], "key string, request string")
+    seen = []
+
+    def stop(done, total):
+        seen.append((done, total))
+        if len(seen) == 3:
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        answers.kept_calls(asked, cache, "key", "request", backend, at_once=10, progress=stop)
+    made = len(list(calls.iterdir()))
+    assert seen[0][1] == 60 and made == seen[2][0] == cache.read().count() < 60 and seen == sorted(seen)
+    found = answers.kept_calls(asked, cache, "key", "request", backend, at_once=10).collect()
+    assert sorted(r.response for r in found) == sorted(f"<r{i}>" for i in range(60)) and len(list(calls.iterdir())) == 60
+    answers.kept_calls(asked, cache, "key", "request", backend, at_once=100, again=True)
+    assert len(list(calls.iterdir())) == 120 and cache.read().count() == 60
