@@ -18,7 +18,7 @@ occur once have gone. Equal pieces are one in the array, with the number of thei
 occurrences, so that exact copies cost a row each. A bucket of more than ``most`` different
 pieces, as a line that many documents share has, is split: its pieces are cut by their
 strings' distance from the anchor, and dealt by a hash of what all strings of a part have in
-common; after three such steps these are whole strings, of which equal ones are one. So a
+common; after two such steps these are whole strings, of which equal ones are one. So a
 task's array holds at most ``most`` short pieces, and no piece is left out.
 
 Defined results: null text is empty; texts are compared as UTF-8, whole; rows with equal
@@ -38,14 +38,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clauselake.llm.shared import counted, slices, written
+from clauselake.llm.shared import counted, sized, slices, written
 
 #: Bytes of the runs whose hashes choose anchors.
 SEED = 160
 #: Different pieces that one task compares at once.
 MOST = 1500
 #: Strings (by their distance from the anchor) that a piece of a split bucket has at most; the last step has one.
-SPLITS = (48, 8, 1)
+SPLITS = (24, 1)
 #: Bytes of text whose anchors are found at once.
 CHUNK = 1 << 18
 
@@ -168,6 +168,7 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], times: list[int], l
 
 # -- jobs ----------------------------------------------------------------------------------
 
+SPAN = pa.struct([("repeat", pa.binary()), ("start", pa.int32()), ("end", pa.int32())])
 _PIECE = "anchor long, digest binary, owner binary, start int, at int, strings int, times long"
 
 
@@ -203,9 +204,9 @@ def _occurrences(docs: DataFrame, least: int, seed: int) -> DataFrame:
     return docs.select(F.col("text").cast("binary")).mapInArrow(cut, _PIECE)
 
 
-def _of_repeated_anchors(occurrences: DataFrame) -> DataFrame:
+def _of_repeated_anchors(occurrences: DataFrame, n: int) -> DataFrame:
     again = occurrences.groupBy("anchor").agg(F.sum("times").alias("n")).where("n > 1").select("anchor")
-    return occurrences.join(written(again, "repeated-anchors"), "anchor")
+    return occurrences.join(written(sized(again, n // 2), "repeated-anchors"), "anchor")
 
 
 def _with_bytes(chosen: DataFrame, texts: DataFrame, least: int) -> DataFrame:
@@ -231,8 +232,12 @@ def _with_bytes(chosen: DataFrame, texts: DataFrame, least: int) -> DataFrame:
     return both.mapInArrow(sliced, "anchor long, digest binary, times long, at int, strings int, data binary")
 
 
-def groups(bucketed: DataFrame, least: int) -> DataFrame:
-    """The repeats of each bucket of pieces: anchor, repeat (its bytes' digest), length, digest (of a piece it occurs in), offset, times."""
+def groups(bucketed: DataFrame, least: int, each: bool = True) -> DataFrame:
+    """The repeats of each bucket of pieces: anchor, digest (of a piece), span (repeat, its bytes' digest, start, end in the piece).
+
+    A row for each repeat and piece it occurs in; or, without ``each``, one row for each piece
+    that has any: its repeats all hold its anchor, so what they cover is one run.
+    """
     rows = bucketed.select("anchor", "digest", "times", "at", "data").repartition("anchor").sortWithinPartitions("anchor", "digest")
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,17 +245,22 @@ def groups(bucketed: DataFrame, least: int) -> DataFrame:
         held: list[tuple] = []
 
         def told() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-            batch = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["anchor", "repeat", "length", "digest", "offset", "times"])
+            anchors, digests, spans = zip(*out, strict=True)
+            batch = pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(digests, pa.binary()), pa.array(spans, SPAN)], names=["anchor", "digest", "span"])
             out.clear()
             return batch
 
         def close() -> None:
             lefts, rights = [h[4][: h[3]][::-1] for h in held], [h[4][h[3] :] for h in held]
+            most: dict[int, tuple[int, int]] = {}
             for back, on, members in maximal_repeats(lefts, rights, [h[2] for h in held], least):
-                _, _, _, at, data = held[members[0]]
-                repeat = xxhash.xxh3_128_digest(data[at - back : at + on])
-                out.extend((held[i][0], repeat, back + on, held[i][1], held[i][3] - back, held[i][2]) for i in members)
+                if each:
+                    _, _, _, at, data = held[members[0]]
+                    repeat = xxhash.xxh3_128_digest(data[at - back : at + on])
+                    out.extend((held[i][0], held[i][1], {"repeat": repeat, "start": held[i][3] - back, "end": held[i][3] + on}) for i in members)
+                else:
+                    most.update((i, (max(back, most[i][0]), max(on, most[i][1])) if i in most else (back, on)) for i in members)
+            out.extend((held[i][0], held[i][1], {"repeat": None, "start": held[i][3] - back, "end": held[i][3] + on}) for i, (back, on) in most.items())
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -267,7 +277,7 @@ def groups(bucketed: DataFrame, least: int) -> DataFrame:
         if out:
             yield told()
 
-    return rows.mapInArrow(found, "anchor long, repeat binary, length int, digest binary, offset int, times long")
+    return rows.mapInArrow(found, "anchor long, digest binary, span struct<repeat:binary,start:int,end:int>")
 
 
 def _split(bucketed: DataFrame, least: int, strings: int) -> DataFrame:
@@ -293,31 +303,30 @@ def _split(bucketed: DataFrame, least: int, strings: int) -> DataFrame:
     return bucketed.select(owner, "times", "at", "strings", "data").mapInArrow(cut, _PIECE)
 
 
-def _covered(occurrences: DataFrame, texts: DataFrame, least: int, most: int, splits: tuple[int, ...]) -> DataFrame:
-    """repeat, owner, start, end: all occurrences of all repeats, in the owners' texts."""
-    kept = written(_of_repeated_anchors(occurrences), "pieces")
+def _covered(occurrences: DataFrame, n: int, texts: DataFrame, least: int, most: int, splits: tuple[int, ...], each: bool) -> DataFrame:
+    """repeat, owner, start, end: where repeats are in the owners' texts; see ``groups`` for ``each``. ``n``: rows of ``occurrences``."""
+    kept, n = counted(_of_repeated_anchors(occurrences, n), "pieces")
     place = F.struct("owner", "start", "at", "strings")
     different = kept.groupBy("anchor", "digest").agg(F.sum("times").alias("times"), F.min(place).alias("place"))
-    different = written(different.select("anchor", "digest", "times", "place.*"), "different-pieces")
+    different = written(sized(different.select("anchor", "digest", "times", "place.*"), n), "different-pieces")
     sizes = different.groupBy("anchor").agg(F.count("*").alias("n"))
-    large, n_large = counted(sizes.where(F.col("n") > most).select("anchor"), "large-buckets")
+    large, n_large = counted(sized(sizes.where(F.col("n") > most).select("anchor"), n // most), "large-buckets")
     bucketed = _with_bytes(different, texts, least)
-    span = ["anchor", "digest", F.struct("repeat", F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end")).alias("span")]
     if not n_large:
-        spans = groups(bucketed, least).select(*span)
+        spans = groups(bucketed, least, each)
     else:
         bucketed = written(bucketed, "piece-bytes")
-        small = groups(bucketed.join(large, "anchor", "left_anti"), least).select(*span)
+        small = groups(bucketed.join(large, "anchor", "left_anti"), least, each)
         owner = F.concat(F.unhex(F.lpad(F.hex("anchor"), 16, "0")), F.col("digest")).alias("owner")
         split = bucketed.join(large, "anchor")
-        parts = written(_split(split, least, splits[0]), "piece-parts")
-        more = _covered(parts, split.select(owner, F.lit(0).alias("row"), "data"), least, most, splits[1:])
+        parts, n_parts = counted(_split(split, least, splits[0]), "piece-parts")
+        more = _covered(parts, n_parts, split.select(owner, F.lit(0).alias("row"), "data"), least, most, splits[1:], each)
         more = more.join(split.select(owner, "anchor", "digest").distinct(), "owner").select("anchor", "digest", F.struct("repeat", "start", "end").alias("span"))
         spans = small.unionByName(more)
-    spans = written(spans.groupBy("anchor", "digest").agg(F.collect_set("span").alias("spans")), "piece-spans")
+    spans = written(sized(spans.groupBy("anchor", "digest").agg(F.collect_set("span").alias("spans")), n), "piece-spans")
     inside = kept.select("anchor", "digest", "owner", "start").distinct().join(spans, ["anchor", "digest"])
-    each = inside.select("owner", "start", F.explode("spans").alias("span"))
-    return each.select("span.repeat", "owner", (F.col("start") + F.col("span.start")).alias("start"), (F.col("start") + F.col("span.end")).alias("end"))
+    found = inside.select("owner", "start", F.explode("spans").alias("span"))
+    return found.select("span.repeat", "owner", (F.col("start") + F.col("span.start")).alias("start"), (F.col("start") + F.col("span.end")).alias("end"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -326,7 +335,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 def repeat_groups(docs: DataFrame, least: int = 400, seed: int = SEED, most: int = MOST, splits: tuple[int, ...] = SPLITS) -> DataFrame:
     """Maximal repeat groups: repeat (digest of its bytes), doc_id, start, end (bytes), a row an occurrence."""
-    found = _covered(written(_occurrences(docs, least, seed), "anchored"), _texts(docs), least, most, splits)
+    found = _covered(*counted(_occurrences(docs, least, seed), "anchored"), _texts(docs), least, most, splits, each=True)
     return found.distinct().join(docs.select(_text_key(F.col("text")).alias("owner"), "doc_id"), "owner").select("repeat", "doc_id", "start", "end")
 
 
@@ -344,7 +353,7 @@ def _union(spans: list[tuple[int, int]]) -> list[list[int]]:
 def removed_passages(docs: DataFrame, least: int = 400, seed: int = SEED, most: int = MOST, splits: tuple[int, ...] = SPLITS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans and kept_sha256 of what is left of its text."""
     own = docs.select("doc_id", "text")
-    covered = _covered(written(_occurrences(own, least, seed), "anchored"), _texts(own), least, most, splits)
+    covered = _covered(*counted(_occurrences(own, least, seed), "anchored"), _texts(own), least, most, splits, each=False)
     runs = covered.select("owner", "start", "end").distinct().groupBy("owner").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
     both = own.withColumn("owner", _text_key(F.col("text"))).join(written(runs, "removed-runs"), "owner", "left").select("doc_id", F.col("text").cast("binary"), "runs")
 
