@@ -2,8 +2,11 @@
 
 * Coreference: a surrogate depends on the key, the type and the entity's canonical
   form (case and separators removed), so every mention in every document gets the same
-  one, written as the mention is (case, separators). A family name found with a title
-  is replaced wherever it stands in the same document.
+  one, written as the mention is (case, separators). A name is what follows a title: up
+  to three capitalised words, with initials and particles (van, de la) among them; parts
+  that a hyphen or an apostrophe joins are names each. A family name found with a title
+  is replaced wherever it stands in the same document. A phone number is one, whether its
+  country code follows + or 00 and whether (0) is written.
 * Form: digits stay digits, letters stay letters of their script and case; card numbers
   (those with a right check digit) keep it right, addresses stay valid, account numbers get
   right check digits; names keep gender (by title) and script.
@@ -53,7 +56,10 @@ ENDINGS = {
     "greek": {"m": ["ς"], "f": ["να"], "n": ["ν"]},
 }
 
-_NAME = r"[^\W\d_][^\W\d_'’-]+"
+#: Words within a name that are no name, in the languages that have them.
+PARTICLES = frozenset("von van der den de del della di da do dos du la le lo zu zum zur ter ten bin ibn al el af av".split())
+#: A word of a name, with what hyphens and apostrophes join; a genitive's s is not its own.
+_WORD = r"[^\W\d_]+(?:[-'’](?!s\b)[^\W\d_]+)*"
 #: A digit of a phone number, with what may stand before it.
 _NEXT = r"(?:(?:[ ./-]|[ .-]?\(|\)[ .-]?)?\d)"
 PATTERNS = {
@@ -76,8 +82,13 @@ PATTERNS = {
         r")(?![\w-]|\.\d)"
     ),
 }
-#: A name: a title, then one to three capitalised words.
-TITLED = re.compile(r"\b(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r")\.?[ \t]+((?:" + _NAME + r"[ \t]+){0,2}" + _NAME + ")")
+TITLE = re.compile(r"\b(" + "|".join(sorted(GENDER, key=len, reverse=True)) + r")\.?(?=[ \t])")
+#: What follows a title: an initial, or a word.
+STEP = re.compile(rf"[ \t]+(?:([^\W\d_])\.(?=[ \t-])|({_WORD})(?!\w))")
+#: A whole word, or a part of one that a hyphen or an apostrophe joins.
+PART = re.compile(r"(?<!\w)[^\W\d_]{2,}(?!\w)")
+#: Name words after a title, at most.
+NAME_WORDS = 3
 #: The part of an access token that says whose it is; it stays.
 TOKEN_HEAD = re.compile(r"(?:sk|pk|rk)[-_](?:[a-z]{3,8}[-_])?|AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|AIza|npm_|hf_|eyJ")
 #: What every pattern but that of e-mail needs.
@@ -97,8 +108,10 @@ def _luhn(digits: str) -> int:
 
 
 def canonical(kind: str, text: str) -> str:
+    if kind == "phone" and text.startswith(("+", "00")):  # one number, however its country code is written
+        return "+" + re.sub(r"\D", "", text.replace("(0)", "")).removeprefix("00")
     if kind in ("card", "ssn", "phone"):
-        return ("+" if text[:1] == "+" else "") + re.sub(r"\D", "", text)
+        return re.sub(r"\D", "", text)
     if kind == "iban":
         return text.replace(" ", "")
     if kind == "token":
@@ -122,23 +135,47 @@ def find(text: str) -> list[Mention]:
                 if kind == "card" and _luhn(re.sub(r"\D", "", m.group())):
                     continue  # a number, not a card's
                 add(m.start(), m.end(), kind)
-    families: dict[str, str] = {}
-    m = TITLED.search(text)
+    families: set[str] = set()
+    m = TITLE.search(text)
     while m:
-        words = list(re.finditer(_NAME, m.group(2)))
-        n = next((k for k, w in enumerate(words) if not w.group()[0].isupper() or k and w.group() in GENDER), len(words))
-        for k, w in enumerate(words[:n]):
-            kind = "family:n" if k == n - 1 else f"given:{GENDER[m.group(1)]}"
-            add(m.start(2) + w.start(), m.start(2) + w.end(), kind)
-            if k == n - 1:
-                families[w.group()] = kind
-        m = TITLED.search(text, m.start(2) + (words[n - 1].end() if n else 0))
-    for family in families:
-        for m in re.finditer(rf"\b{re.escape(family)}\b", text):
-            add(m.start(), m.end(), families[family])
+        words, end = _name_after(text, m.end())
+        for k, (start, stop) in enumerate(words):
+            kind = "family:n" if k == len(words) - 1 else f"given:{GENDER[m.group(1)]}"
+            parts = [(start, stop)] if stop - start == 1 else [p.span() for p in PART.finditer(text, start, stop)]
+            for a, b in parts:
+                add(a, b, kind)
+                if kind == "family:n":
+                    families.add(text[a:b])
+        m = TITLE.search(text, end)
+    if families:
+        for w in PART.finditer(text):
+            if w.group() in families:
+                add(*w.span(), "family:n")
     return taken
 
 
+def _name_after(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """Places of the initials and words of a name that begins there, the family's last, and where it ends. Particles within it are passed over."""
+    held: list[tuple[int, int]] = []
+    kept, names, end = 0, 0, at
+    while names < NAME_WORDS and (step := STEP.match(text, at)):
+        at = step.end()
+        if step.group(1):
+            if not step.group(1).isupper():
+                break
+            held.append(step.span(1))
+            continue
+        word = step.group(2)
+        if word in PARTICLES:
+            continue
+        letters = word.partition("-")[0]
+        if not (word[0].isupper() or re.match(r"[^\W\d_]['’][^\W\d_]", word) and word[2].isupper()) or letters in GENDER or len(word) < 2:
+            break
+        held.append(step.span(2))
+        kept, names, end = len(held), names + 1, at
+    return held[:kept], end
+
+
 class _Stream:
     """Numbers from a keyed hash."""
 
@@ -208,8 +245,16 @@ def render(mention: str, form: str) -> str:
     """A surrogate written as the mention is: its separators, its case."""
     if TOKEN_HEAD.match(mention) and form.startswith(TOKEN_HEAD.match(mention).group()):
         return form
+    if len(mention) == 1:
+        return form[:1].upper()
+    if "@" in mention and len(form) == len(mention):
+        return "".join(f.upper() if m.isupper() else f for f, m in zip(form, mention, strict=True))
     if re.fullmatch(r"\+?[\d ()./-]+", mention) and "." not in form:
-        digits = iter(form.lstrip("+"))
+        shown, doubled = form.lstrip("+"), form[:1] == "+" and mention.startswith("00")
+        if form[:1] == "+" and "(0)" in mention:  # the mention has a 0 that the number has not
+            k = len(re.sub(r"\D", "", mention.partition("(0)")[0])) - 2 * doubled
+            shown = f"{shown[:k]}0{shown[k:]}"
+        digits = iter("00" + shown if doubled else shown)
         return "".join(next(digits, "") if c.isdigit() else c for c in mention)
     if mention.isupper() and " " in mention and form.replace(" ", "").isalnum():
         letters = iter(form)
