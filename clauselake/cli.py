@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from clauselake.functions.text import quality, reason_text
 from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, segment, vectors
 from clauselake.operators.backends import ANSWER_SYSTEM, EXTRACTORS, JUDGE_SYSTEM, Model, Reader, as_model
-from clauselake.sources import store
+from clauselake.sources import pdf, store
 from clauselake.sources.scratch import written
 
 
@@ -69,9 +69,12 @@ class Store:
         if pattern is None:
             found = self.spark.read.parquet(path).select("doc", F.col("page_number").cast("int").alias("page_number"), "text")
             return found, self.spark.createDataFrame([], "doc string, error string")
-        extract = self.backends.extract or EXTRACTORS.get(pattern.rsplit(".", 1)[-1])
         self.backends.progress("extract", 0, 1)
-        found = written(store.extract_pages(store.read_files(self.spark, path, pattern), extract), "pages")
+        ending = pattern.rsplit(".", 1)[-1]
+        if self.backends.extract is None and ending.lower() == "pdf" and ending not in EXTRACTORS.known:
+            found = written(pdf.read_pdf(self.spark, path, pattern), "pages")
+        else:
+            found = written(store.extract_pages(store.read_files(self.spark, path, pattern), self.backends.extract or EXTRACTORS.get(ending)), "pages")
         self.backends.progress("extract", 1, 1)
         return found.where("error is null").drop("error"), found.where("error is not null").select("doc", "error")
 

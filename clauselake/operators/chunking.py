@@ -7,11 +7,14 @@ and labels leave the text; the text itself meets its boundaries once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.functions.text import LINES, S, arabic_digits, clean, col, doc_slug, slug, strip
+from clauselake.sources.scratch import written
 
 # Heading patterns, the label of a preamble, and sizes of chunks.
 CLAUSE = rf"{LINES}^{S}*(ข้อ|มาตรา){S}+(\d+(?:/\d+)?){S}*"
@@ -54,21 +57,65 @@ def leading_number(number: Column | str) -> Column:
     return F.split_part(arabic_digits(col(number)), F.lit("/"), F.lit(1)).cast("decimal(38,0)")
 
 
-def accept_rising(rows: DataFrame, key: str, order: str, number: str) -> DataFrame:
-    """Rows whose number is not below any number before it; smaller ones are references back."""
+def _in_parts(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """``rows`` in ranges of key and order, numbered by ``__part``: a key of any size is in as many parts as it fills. Written, so that parts stay as they are."""
+    return written(rows.repartitionByRange(F.col(key), *[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id()), "ranges")
+
+
+def _carried(sums: DataFrame, key: str, name: str, carry: Callable[[Column], Column]) -> DataFrame:
+    """``__key``, ``__part``, ``name``: what the parts of the key before a part come to, from one row a key and part."""
+    before = Window.partitionBy("__key").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumnRenamed(key, "__key").withColumn(name, carry(F.col(name)).over(before)).where(F.col(name).isNotNull()).select("__key", "__part", name)
+
+
+def _with_carried(rows: DataFrame, carried: DataFrame, key: str) -> DataFrame:
+    """What comes over from the parts before goes to each part once; ``carried`` has rows for keys of several parts only."""
+    part = carried.withColumnRenamed("__part", "__of")
+    return rows.join(part, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__part") == F.col("__of")), "left").drop("__key", "__of")
+
+
+def rising_in_key(rows: DataFrame, key: str, order: str, number: str) -> DataFrame:
+    """As ``accept_rising``, for keys whose rows are few, as the headings of a document are."""
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     largest = F.max(number).over(before)
     return rows.withColumn("__largest", largest).where(F.col("__largest").isNull() | (F.col(number) >= F.col("__largest"))).drop("__largest")
 
 
-def label_as_of(events: DataFrame, labels: DataFrame, key: str, order: str) -> DataFrame:
-    """``events`` with ``label``: the last of ``labels`` of the key at or before the event."""
+def accept_rising(rows: DataFrame, key: str, order: str, number: str) -> DataFrame:
+    """Rows whose number is not below any number before it; smaller ones are references back.
+
+    A scan in two levels: parts of a key are scanned by themselves, and the largest
+    number of the parts before comes over. One key may hold all rows.
+    """
+    placed = _in_parts(rows, key, order)
+    carried = _carried(placed.groupBy(key, "__part").agg(F.max(number).alias("__ahead")), key, "__ahead", F.max)
+    before = Window.partitionBy(key, "__part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    found = _with_carried(placed.withColumn("__within", F.max(number).over(before)), carried, key)
+    largest = F.greatest("__within", "__ahead")
+    return found.where(largest.isNull() | (F.col(number) >= largest)).select(*rows.columns)
+
+
+def label_in_key(events: DataFrame, labels: DataFrame, key: str, order: str) -> DataFrame:
+    """As ``label_as_of``, for keys whose rows are few."""
     both = labels.select(key, order, "label", F.lit(0).alias("__kind")).unionByName(events.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
     upto = Window.partitionBy(key).orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.last("label", ignorenulls=True).over(upto)
     return both.withColumn("label", last).where("__kind = 1").drop("__kind")
 
 
+def label_as_of(events: DataFrame, labels: DataFrame, key: str, order: str) -> DataFrame:
+    """``events`` with ``label``: the last of ``labels`` of the key at or before the event. Scanned in two levels; one key may hold all rows."""
+    both = labels.select(key, order, "label", F.lit(0).alias("__kind")).unionByName(events.withColumn("__kind", F.lit(1)), allowMissingColumns=True)
+    placed = _in_parts(both, key, order, "__kind")
+    of_part = placed.where("label is not null").groupBy(key, "__part").agg(F.max_by("label", F.struct(order)).alias("__ahead"))
+    every = placed.select(key, "__part").distinct().withColumnsRenamed({key: "__k", "__part": "__p"})
+    sums = every.join(of_part, F.col("__k").eqNullSafe(F.col(key)) & (F.col("__p") == F.col("__part")), "left").select(F.col("__k").alias(key), F.col("__p").alias("__part"), "__ahead")
+    carried = _carried(sums, key, "__ahead", lambda c: F.last(c, ignorenulls=True))
+    upto = Window.partitionBy(key, "__part").orderBy(order, "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = _with_carried(placed.withColumn("__within", F.last("label", ignorenulls=True).over(upto)), carried, key)
+    return found.where("__kind = 1").withColumn("label", F.coalesce("__within", "__ahead")).select(*events.columns, *[c for c in ["label"] if c not in events.columns])
+
+
 def split_overlapping(text: Column | str, most: int, overlap: int) -> Column:
     """Array of parts of at most ``most`` characters, each ``overlap`` into the one before."""
     step = most - overlap
@@ -85,13 +132,13 @@ def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
     """
     docs = docs.select("doc", F.coalesce("text", F.lit("")).alias("text"))
     clauses = headings(docs, CLAUSE, 2).withColumn("number", leading_number("g2"))
-    accepted = accept_rising(clauses, "doc", "pos", "number").select("doc", "pos", F.concat_ws(" ", "g1", "g2").alias("clause"))
+    accepted = rising_in_key(clauses, "doc", "pos", "number").select("doc", "pos", F.concat_ws(" ", "g1", "g2").alias("clause"))
     chapters = headings(docs, CHAPTER, 3).select("doc", "pos", strip(F.concat_ws(" ", "g1", "g2", strip("g3"))).alias("label"))
     following = F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))
     segments = accepted.withColumn("end", following)
     first = accepted.groupBy("doc").agg(F.min("pos").alias("end")).select("doc", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("clause"), "end", F.lit(-1).alias("at"))
     events = segments.withColumn("at", F.col("pos")).unionByName(first)
-    placed = label_as_of(events, chapters, "doc", "pos").join(docs, "doc")
+    placed = label_in_key(events, chapters, "doc", "pos").join(docs, "doc")
     part = F.substring("text", F.col("pos") + 1, F.coalesce("end", F.length("text")) - F.col("pos"))
     body = strip(F.when(F.col("clause").isNull(), F.regexp_replace(part, CHAPTER, "")).otherwise(part))
     structured = placed.select("doc", "at", "clause", F.col("label").alias("chapter"), body.alias("body")).where("clause is not null or body <> ''")

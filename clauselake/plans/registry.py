@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clauselake.functions import text as T
-from clauselake.operators import answers, chunking, enrich, evaluation, retrieval
+from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, segment
 from clauselake.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -263,6 +263,37 @@ def hybrid_topk(spark, sf_dir):
     return retrieval.hybrid(_knn(spark, sf_dir, retrieval.CANDIDATES), None, refs, chunks, 5).withColumn("score", F.round("score", 9))
 
 
+_BOTH = (
+    _BM25
+    + "," + _KNN.partition("WITH")[2].replace("q.vec_id % 100 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)").replace("v AS (", "ve AS (").replace("FROM v q, v", "FROM ve q, ve v").replace(" s AS (", " cosines AS (").replace("FROM s)", "FROM cosines)")
+    + """, r AS (SELECT query_id, chunk_id, 0 AS no, rank, CAST(1 AS DOUBLE) / (60 + rank) AS share FROM n WHERE rank <= 20
+                UNION ALL SELECT query_id, chunk_id, 1, rank, CAST(0.3 AS DOUBLE) / (60 + rank) FROM kw WHERE rank <= 20),
+    f AS (SELECT query_id, chunk_id, coalesce(max(share) FILTER (WHERE no = 0), 0) + coalesce(max(share) FILTER (WHERE no = 1), 0) AS score, min(no * 1000 + rank) AS seen FROM r GROUP BY ALL),
+    g AS (SELECT query_id, chunk_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen) AS INTEGER) AS rank FROM f)
+    SELECT query_id, chunk_id, round(score, 9) AS score, rank FROM g WHERE rank <= 5"""
+)
+
+
+@query(_BOTH)
+def hybrid_keyword_topk(spark, sf_dir):
+    """Vectors and keywords together, keywords at a weight of 0.3; vectors and documents share their numbers."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"))
+    near = retrieval.knn(vectors, vectors.withColumnRenamed("chunk_id", "query_id").join(asked, "query_id", "left_semi"), retrieval.CANDIDATES)
+    chunks = vectors.select("chunk_id", F.lit("d").alias("doc"), F.lit(None).cast("string").alias("clause"), F.col("chunk_id").alias("chunk_seq"))
+    refs = asked.select("query_id", F.lit(None).cast("string").alias("ref")).where("ref is not null")
+    return retrieval.hybrid(near, _bm25(spark, sf_dir, retrieval.CANDIDATES), refs, chunks, 5, 0.3).withColumn("score", F.round("score", 9))
+
+
+@query()
+def segment_words(spark, sf_dir):
+    """Documents without the spaces between their words, cut by the words of all benchmark items."""
+    known = table(spark, sf_dir, "benchmark").select(F.explode(retrieval.words("text")).alias("word"))
+    joined = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", " ", "").alias("joined"))
+    found = segment.segmented(joined, known, "doc_id", "joined", unspaced="a-zà-ÿ")
+    return found.select("doc_id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("words"))
+
+
 # contexts and answers
 
 _CONTEXT = _BM25 + """, top AS (SELECT query_id, rank, d.* FROM kw JOIN documents d ON d.doc_id = chunk_id WHERE rank <= 3),

@@ -85,3 +85,24 @@ def test_pages_that_arrive_again_replace_their_chunks(spark, tmp_path):
         spark.createDataFrame([("d.pdf", 1, text, False)], schema).write.mode("append").parquet(f"{tmp_path}/pages")
         follow_pages(spark, f"{tmp_path}/pages", table, f"{tmp_path}/checkpoint").awaitTermination()
     assert [r["text"] for r in table.read().collect()] == ["ข้อ 1 ใหม่"]
+
+
+def test_scans_of_one_key_in_many_parts(spark):
+    """One key with all rows, one with few, none and null: as window functions over whole keys give it."""
+    import random
+
+    rng = random.Random(2)
+    rows = [("hot", i, rng.randrange(i // 3 + 5), rng.choice(["a", "b", None, None])) for i in range(3000)]
+    rows += [("cold", i, rng.randrange(9), rng.choice(["c", None])) for i in range(20)] + [(None, i, rng.randrange(9), "d" if i % 5 == 1 else None) for i in range(20)] + [("one", 1, None, None)]
+    df = spark.createDataFrame(rows, "k string, at int, n int, l string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = chunking._in_parts(df, "k", "at").where("k = 'hot'").select("__part").distinct().count()
+        assert parts > 2  # many tasks have the key's rows
+        show = lambda x: sorted(map(str, x.collect()))
+        assert show(chunking.accept_rising(df, "k", "at", "n")) == show(chunking.rising_in_key(df, "k", "at", "n"))
+        labels, events = df.where("l is not null").select("k", "at", df["l"].alias("label")), df.where("l is null").select("k", "at", "n")
+        assert show(chunking.label_as_of(events, labels, "k", "at").select("k", "at", "n", "label")) == show(chunking.label_in_key(events, labels, "k", "at").select("k", "at", "n", "label"))
+        assert chunking.accept_rising(df.where("false"), "k", "at", "n").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

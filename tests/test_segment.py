@@ -111,3 +111,41 @@ def test_store_searches_by_its_dictionary(spark, tmp_path):
     tables.backends.bm25_weight = 0.0
     without = {r.chunk_id: r.score for r in tables.retrieve(asked).collect()}
     assert abs(hybrid["c1"] - without["c1"] - 0.5 / 61) < 1e-9
+
+
+def test_query_equals_plain_least_path(spark):
+    """All documents of the given table, by a search over positions from the front."""
+    import hashlib
+    import re
+
+    import duckdb
+
+    from clauselake.plans.registry import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    known = {w for (t,) in duckdb.sql(f"select text from '{folder}/benchmark.parquet'").fetchall() for w in re.findall(r"[^\W_]+", t.lower())}
+
+    def cut(run):
+        """Least (left over, words, sizes from the front), kept for each position and whether a letter was left over before it."""
+        best = {(0, False): (0, 0, [], [])}
+        for at in range(len(run)):
+            for rest in (False, True):
+                if (at, rest) not in best:
+                    continue
+                left, n, sizes, out = best[at, rest]
+                ways = [(end, False, left, n + 1, [*sizes, at - end], [*out, run[at:end]]) for end in range(at + 1, min(len(run), at + 64) + 1) if run[at:end] in known]
+                ways.append((at + 1, True, left + 1, n + (not rest), [*sizes, -1], [*out[:-1], out[-1] + run[at]] if rest else [*out, run[at]]))
+                for end, after, *way in ways:
+                    if (end, after) not in best or tuple(way[:3]) < best[end, after][:3]:
+                        best[end, after] = tuple(way)
+        return min((best[k] for k in ((len(run), False), (len(run), True)) if k in best), key=lambda b: b[:3])[3]
+
+    want = {}
+    for doc_id, text in duckdb.sql(f"select doc_id, text from '{folder}/documents.parquet' where length(text) < 3000").fetchall():
+        words = []
+        for run in re.findall(r"[^\W_]+", (text or "").replace(" ", "").lower()):
+            for piece in re.findall(r"[a-zà-ÿ]+|[^a-zà-ÿ]+", run):
+                words += cut(piece) if re.match("[a-zà-ÿ]", piece) else [piece]
+        want[doc_id] = (len(words), hashlib.sha256(" ".join(words).encode()).hexdigest())
+    got = {r.doc_id: (r.n, r.words) for r in QUERIES["segment_words"](spark, folder).collect()}
+    assert len(want) > 50 and {k: got[k] for k in want} == want
