@@ -73,24 +73,61 @@ class Bm25:
         return ranked(scores, k, "chunk_id")
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_384, part: int = 65_536) -> DataFrame:
+#: Numbers of the query vectors that are sent to every task, at most (eight bytes each).
+SENT_NUMBERS = 4_000_000
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_384, part: int = 65_536, sent: int = SENT_NUMBERS) -> DataFrame:
     """query_id, chunk_id, score, rank: the k vectors of greatest cosine for each query.
 
-    ``vectors``: chunk_id, embedding; ``queries``: query_id, embedding. Queries are dealt
-    into blocks and vectors into parts of about these sizes; a task multiplies one part
-    with one block and gives on the k best of each query, ties by chunk_id, which meet
-    in one ranking. Null or zero vectors are no hits.
+    ``vectors``: chunk_id, embedding; ``queries``: query_id, embedding. Queries of at most
+    ``sent`` numbers in all go to every task, which reads its vectors once. More of them
+    are dealt into blocks and vectors into parts of about these sizes; a task multiplies
+    one part with one block. Each gives on the k best of each query, ties by chunk_id,
+    which meet in one ranking. Null or zero vectors are no hits.
     """
     rows = vectors.select("chunk_id", "embedding").where("embedding is not null")
     # Both may come from one table; the columns of a cogroup must not be the same.
     asked = queries.select(F.col("query_id").alias("query_id"), F.col("embedding").alias("wanted")).where("wanted is not null")
+    kind, id_kind = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
+    found = f"query_id {id_kind}, chunk_id {kind}, score double"
+    first = asked.select(F.size("wanted").alias("n")).first()
+    few = sent // max(1, first["n"]) if first else 0
+    some = asked.limit(few + 1).toArrow() if first else None
+    if some is not None and some.num_rows <= few:
+        return ranked(rows.mapInArrow(_best_of_all(k, some), found), k, "chunk_id")
     parts, blocks = max(1, -(-rows.count() // part)), max(1, -(-asked.count() // block))
     all_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = rows.withColumns({"part": F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"), "block": all_of(blocks)})
     right = asked.withColumns({"block": F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"), "part": all_of(parts)})
-    kind, id_kind = rows.schema["chunk_id"].dataType.simpleString(), asked.schema["query_id"].dataType.simpleString()
     met = left.groupBy("part", "block").cogroup(right.groupBy("part", "block"))
-    return ranked(met.applyInArrow(_best(k), f"query_id {id_kind}, chunk_id {kind}, score double"), k, "chunk_id")
+    return ranked(met.applyInArrow(_best(k), found), k, "chunk_id")
+
+
+def _best_of_all(k: int, asked: pa.Table, held_rows: int = 500_000):
+    """The k best of each query among a task's vectors, batch by batch; what is held is cut back to the best as it grows."""
+
+    def cut(found: list[pa.Table]) -> pa.Table:
+        rows = pa.concat_tables(found)
+        shown = pa.array(np.round(rows.column("score").to_numpy(), DIGITS))
+        rows = rows.append_column("shown", shown).sort_by([("query_id", "ascending"), ("shown", "descending"), ("chunk_id", "ascending")]).drop(["shown"])
+        of = pc.dictionary_encode(rows.column("query_id").combine_chunks(), null_encoding="encode").indices.to_numpy()
+        return rows.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < k))
+
+    def run(batches):
+        best, held, n = _best(k), [], 0
+        for batch in batches:
+            found = best(pa.Table.from_batches([batch]), asked)
+            if found.num_rows:
+                held.append(found)
+                n += found.num_rows
+            if n > held_rows:
+                held = [cut(held)]
+                n = held[0].num_rows
+        if held:
+            yield from cut(held).to_batches()
+
+    return run
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

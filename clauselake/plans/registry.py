@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from clauselake.functions import text as T
 from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, segment
 from clauselake.sources import store
+from clauselake.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -338,7 +339,8 @@ def _stub(prompt: str) -> str:
                      CASE WHEN n >= 2 THEN [2, 1] ELSE [1] END AS citations, false AS refused FROM ctx JOIN benchmark b ON b.item_id = query_id""")
 def generate_answers(spark, sf_dir):
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    found = answers.generate(asked.join(_contexts(spark, sf_dir).select("query_id"), "query_id", "left_semi"), _contexts(spark, sf_dir), _stub)
+    contexts = written(_contexts(spark, sf_dir), "contexts")
+    found = answers.generate(asked.join(contexts.select("query_id"), "query_id", "left_semi"), contexts, _stub)
     return found.select("query_id", "answer", "citations", "refused")
 
 
