@@ -8,13 +8,16 @@ total cost; the repaired turns are then rendered.
 The repair is a dynamic programme over the automaton of legal turns. A turn is a small
 matrix of least costs from state to state; matrices of consecutive turns multiply
 (minimum and sum). So a conversation of any length is cut into segments: tasks make one
-matrix a segment, a scan over the matrices of a conversation gives each segment's first
-and last state, and tasks trace the choices within segments. No task holds more than a
-segment's turns, or the matrices of one conversation.
+matrix a segment, a scan over the matrices of a conversation gives the costs that are left
+after each segment, tasks trace where the cheapest ways lead from each state before a
+segment, a second scan gives the state that each is entered in, and tasks trace the choices
+within segments. No task holds more than a segment's turns, or the matrices of one
+conversation.
 
 Defined results: turns are ordered by turn (null first), role and text hash; a null
 conversation id is a conversation of its own; a null or unknown role has to be
-relabelled, at a lower cost; null text is empty; repeated rows are turns each; an empty
+relabelled, at a lower cost; null text is empty; repeated rows are turns each; of equally cheap repairs the one whose
+roles are listed first, turn by turn, wherever segments are cut; a text is read whole; an empty
 table gives an empty result; other columns are ignored. Marks within texts are broken
 up, so that a text cannot pose as a turn.
 """
@@ -88,36 +91,31 @@ def times(x: list[list[int]], y: list[list[int]]) -> list[list[int]]:
     return [[min(min(a + y[k][j] for k, a in enumerate(row)), NEVER) for j in range(len(STATES))] for row in x]
 
 
-def trace(roles: list[str], first: str, last: str) -> list[Step]:
-    """The cheapest steps of consecutive turns from state ``first`` to ``last``."""
-    cost = {first: 0}
-    came: list[dict[str, str]] = []
-    for role in roles:
-        ahead: dict[str, tuple[int, str]] = {}
-        for (a, b), step in STEPS[role].items():
-            if a in cost and (b not in ahead or (cost[a] + step[0], a) < ahead[b]):
-                ahead[b] = (cost[a] + step[0], a)
-        cost = {b: c for b, (c, _) in ahead.items()}
-        came.append({b: a for b, (_, a) in ahead.items()})
-    out, at = [], last
-    for role, back in zip(reversed(roles), reversed(came), strict=True):
-        out.append(STEPS[role][back[at], at])
-        at = back[at]
-    return out[::-1]
-
-
-def borders(matrices: list[list[list[int]]]) -> list[tuple[str, str]]:
-    """First and last state of each segment of a conversation."""
-    costs = [[0, *[NEVER] * len(ROLES)]]
-    for m in matrices:
-        costs.append([min(c + m[i][j] for i, c in enumerate(costs[-1])) for j in range(len(STATES))])
-    at = min(range(len(STATES)), key=lambda j: (costs[-1][j] + INSERT * len(ENDINGS[STATES[j]]), j))
+#: Costs to the end of a conversation from each state after its last turn.
+END = [INSERT * len(ENDINGS[s]) if s else 0 for s in STATES]
+
+
+def costs_to_go(matrix: list[list[int]], after: list[int]) -> list[int]:
+    """Least costs to the end from each state before a segment, from those after it."""
+    return [min(min(m + c for m, c in zip(row, after, strict=True)), NEVER) for row in matrix]
+
+
+def trace(roles: list[str], after: list[int], at: int) -> tuple[list[tuple[Step, str]], int]:
+    """The cheapest steps of consecutive turns (each with the state before it) from state ``at``, and the state at their end.
+
+    Of several cheapest ways the one whose next state is listed first, turn by turn. What
+    comes next decides only by its cost, so the way does not depend on where segments are cut.
+    """
+    to_go = [after]
+    for role in reversed(roles):
+        to_go.append(costs_to_go(MATRICES[role], to_go[-1]))
+    to_go.reverse()
     out = []
-    for k in range(len(matrices) - 1, -1, -1):
-        before = min(range(len(STATES)), key=lambda i: (costs[k][i] + matrices[k][i][at], i))
-        out.append((STATES[before], STATES[at]))
-        at = before
-    return out[::-1]
+    for role, here, there in zip(roles, to_go, to_go[1:], strict=False):
+        step = next(b for b in range(len(STATES)) if MATRICES[role][at][b] + there[b] == here[at])
+        out.append((STEPS[role][STATES[at], STATES[step]], STATES[at]))
+        at = step
+    return out, at
 
 
 def _shown(text: str | None) -> str:
@@ -138,7 +136,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     order = [F.col("conv"), F.col("turn"), F.col("role"), F.xxhash64("text")]
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     conv_type = rows.schema["conv"].dataType.simpleString()
-    names = ["conv", "turn", "role", "text", "part", "seg", "pos", "matrix"]
+    names = ["conv", "turn", "role", "text", "part", "seg", "pos", "known", "matrix"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -151,12 +149,12 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                 product = times(product, MATRICES[known_role(row[2])])
             flat = [c for line in product for c in line]
             n = len(held)
-            columns = [*zip(*held, strict=True), [part] * n, [seg] * n, range(n), [*[None] * (n - 1), flat]]
+            columns = [*zip(*held, strict=True), [part] * n, [seg] * n, range(n), [known_role(h[2]) for h in held], [*[None] * (n - 1), flat]]
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         kinds: list = []
         for batch in batches:
-            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int32())]
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32())]
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (row[0] != held[0][0] or len(held) >= segment):
                     yield close()
@@ -165,31 +163,54 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         if held:
             yield close()
 
-    cut_rows = written(ordered.mapInArrow(cut, f"conv {conv_type}, turn long, role string, text string, part int, seg long, pos int, matrix array<int>"), "segments")
-    matrices = cut_rows.where("matrix is not null").select("conv", "part", "seg", "matrix").repartition("conv").sortWithinPartitions("conv", "part", "seg")
+    cut_rows = written(ordered.mapInArrow(cut, f"conv {conv_type}, turn long, role string, text string, part int, seg long, pos int, known string, matrix array<int>"), "segments")
+    def in_order(rows: DataFrame) -> DataFrame:
+        return rows.repartition("conv").sortWithinPartitions("conv", "part", "seg")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each_conversation(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         held: list[tuple] = []
-
-        def close() -> pa.RecordBatch:
-            n = len(STATES)
-            found = borders([[m[i * n : i * n + n] for i in range(n)] for _, _, _, m in held])
-            ends = [False] * (len(held) - 1) + [True]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([h[1] for h in held], pa.int32()), pa.array([h[2] for h in held], pa.int64()), pa.array([f[0] for f in found]), pa.array([f[1] for f in found]), pa.array(ends)], names=["part", "seg", "first", "last", "ends"]
-            )
-
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[0] != held[0][0]:
-                    yield close()
+                    yield held
                     held = []
                 held.append(row)
         if held:
-            yield close()
+            yield held
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(STATES)
+        for held in each_conversation(batches):
+            costs, after = END, []
+            for *_, flat in reversed(held):
+                after.append(costs)
+                costs = costs_to_go([flat[i * n : i * n + n] for i in range(n)], costs)
+            columns = [pa.array([h[1] for h in held], pa.int32()), pa.array([h[2] for h in held], pa.int64()), pa.array(after[::-1], pa.list_(pa.int32())), pa.array([False] * (len(held) - 1) + [True])]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "seg", "after", "ends"])
+
+    matrices = cut_rows.where("matrix is not null").select("conv", "part", "seg", "matrix")
+    costs = written(in_order(matrices).mapInArrow(scan, "part int, seg long, after array<int>, ends boolean"), "segment-costs")
+
+    def lead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where the cheapest ways lead from each state before a segment that they can be in."""
+        for batch in batches:
+            exits = []
+            for roles, after in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                exits.append([trace(roles, after, at)[1] for at in range(len(STATES))])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(exits, pa.list_(pa.int32()))], names=["conv", "part", "seg", "exits"])
+
+    told = cut_rows.groupBy("conv", "part", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "known"))).alias("turns")).select("conv", "part", "seg", F.col("turns.known").alias("roles"))
+    leads = written(told.join(costs, ["part", "seg"]).select("conv", "part", "seg", "roles", "after").mapInArrow(lead, f"conv {conv_type}, part int, seg long, exits array<int>"), "segment-leads")
+
+    def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in each_conversation(batches):
+            entries = [0]
+            for *_, exits in held:
+                entries.append(exits[entries[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array([h[1] for h in held], pa.int32()), pa.array([h[2] for h in held], pa.int64()), pa.array(entries[:-1], pa.int32()), pa.array(entries[1:], pa.int32())], names=["part", "seg", "first", "last"])
 
-    states = written(matrices.mapInArrow(scan, "part int, seg long, first string, last string, ends boolean"), "segment-states")
-    placed = cut_rows.drop("matrix").join(states, ["part", "seg"]).repartition("part", "seg").sortWithinPartitions("part", "seg", "pos")
+    entries = written(in_order(leads).mapInArrow(enter, "part int, seg long, first int, last int"), "segment-entries")
+    placed = cut_rows.drop("matrix", "known").join(costs, ["part", "seg"]).join(entries, ["part", "seg"]).repartition("part", "seg").sortWithinPartitions("part", "seg", "pos")
 
     def write_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
@@ -201,8 +222,8 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             def note(turn: int | None, action: str, role: str, cost: int, text: str) -> None:
                 out.append((head["conv"], head["part"], head["seg"], len(out), turn, action, role, cost, text))
 
-            opens = head["first"] == ""
-            for row, (cost, inserted, action, role) in zip(held, trace([known_role(h["role"]) for h in held], head["first"], head["last"]), strict=True):
+            opens = head["first"] == 0
+            for row, ((cost, inserted, action, role), _) in zip(held, trace([known_role(h["role"]) for h in held], head["after"], head["first"])[0], strict=True):
                 for new in inserted:
                     note(None, "insert", new, INSERT, _turn(new, "", opens))
                     opens = False
@@ -210,7 +231,7 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                 note(row["turn"], action, role, own, f"\n\n{_shown(row['text'])}" if action == "merge" else _turn(role, row["text"], opens))
                 opens = False
             if head["ends"]:
-                for new in ENDINGS[head["last"]]:
+                for new in ENDINGS[STATES[head["last"]]]:
                     note(None, "insert", new, INSERT, _turn(new, "", False))
                 out[-1] = (*out[-1][:8], out[-1][8] + "<|end|>\n")
             return out

@@ -46,12 +46,23 @@ def test_repair_costs_no_more_than_any_other():
 
     for n in range(1, 6):
         for roles in itertools.product(["", "system", "user", "assistant"], repeat=n):
-            matrix = chat.MATRICES[roles[0]]
-            for r in roles[1:]:
-                matrix = chat.times(matrix, chat.MATRICES[r])
-            ((first, last),) = chat.borders([matrix])
-            steps = chat.trace(list(roles), first, last)
-            assert sum(s[0] for s in steps) + chat.INSERT * len(chat.ENDINGS[last]) == cheapest(roles)
+            steps, last = chat.trace(list(roles), chat.END, 0)
+            assert sum(s[0] for s, _ in steps) + chat.INSERT * len(chat.ENDINGS[chat.STATES[last]]) == cheapest(roles)
+
+
+def test_the_repair_that_wins_does_not_depend_on_cuts(spark):
+    rng = random.Random(8)
+    turns = [(c, t, rng.choice(["user", "assistant", "system", "", "other"]), f"t{t}") for c in range(300) for t in range(rng.randint(1, 8))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+
+    def shown(segment, parts):
+        of = defaultdict(list)
+        for r in sorted(rows(chat.repair(df.repartition(parts), segment=segment)), key=lambda r: tuple(r["place"])):
+            of[r["conv_id"]].append((r["turn"], r["action"], r["role"], r["cost"], r["rendered"]))
+        return of
+
+    whole = shown(512, 1)
+    assert all(shown(segment, parts) == whole for segment, parts in ((1, 3), (2, 1), (3, 4)))
 
 
 @pytest.mark.parametrize("segment", [2, 512])
