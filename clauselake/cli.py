@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 import time
 from collections.abc import Callable
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from clauselake.functions.text import quality, reason_text
 from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, segment, vectors
-from clauselake.operators.backends import ANSWER_SYSTEM, EXTRACTORS, JUDGE_SYSTEM, Model, Reader, as_model
+from clauselake.operators.backends import ANSWER_SYSTEM, EXTRACTORS, JUDGE_SYSTEM, MODELS, Model, Reader, as_model, required
 from clauselake.sources import pdf, store
 from clauselake.sources.scratch import written
 
@@ -37,6 +38,8 @@ class Backends:
     answer: Callable[[str], str] | Model | str = _no_backend
     judge: Callable[[str], str] | Model | str = _no_backend
     make_embedder: Callable = vectors.hashed_ngrams
+    #: Where the settings are found that models and readers need.
+    settings: dict[str, str | None] = field(default_factory=lambda: dict(os.environ))
     #: Share of keyword search in the hybrid.
     bm25_weight: float = retrieval.BM25_WEIGHT
     #: Stage, how many are done, and of how many.
@@ -54,6 +57,12 @@ def _called(model: Model, system: str) -> Callable[[str], str]:
     return lambda prompt: model.asked(prompt, system, answers.Retry())
 
 
+def checked(backends: Backends, *used: Callable | Model | Reader | str) -> None:
+    """An error that names all settings which those of ``used`` lack, before any work is done."""
+    needs = [n for x in used for n in getattr(MODELS.get(x) if isinstance(x, str) else x, "needs", ())]
+    required(backends.settings, *dict.fromkeys(needs))
+
+
 class Store:
     """The tables of one folder and what the commands do with them."""
 
@@ -118,7 +127,8 @@ class Store:
         chunks, seen = self.chunks.read(), self.vectors.version()
         if only:
             docs = self.spark.createDataFrame([(d,) for d in only], "doc string")
-            self.vectors.replace(vectors.chunk_vectors(chunks.join(docs, "doc", "left_semi"), self.backends.make_embedder), "doc", docs)
+            points = written(vectors.chunk_vectors(chunks.join(docs, "doc", "left_semi"), self.backends.make_embedder), "points")
+            self.vectors.replace(vectors.fitting(points, self.vectors.read().join(docs, "doc", "left_anti")), "doc", docs)
         else:
             self.vectors.write(vectors.chunk_vectors(chunks, self.backends.make_embedder), seen)
         return self.vectors.read().count()
@@ -151,8 +161,9 @@ class Store:
         depth = retrieval.CANDIDATES if method == "hybrid" else k
         if method == "keyword":
             return self._keyword(questions, chunks, depth)
-        asked = vectors.embed(questions, "query_id", "question", self.backends.make_embedder)
-        found = retrieval.knn(self.vectors.read().select("chunk_id", "embedding"), asked, depth)
+        asked = written(vectors.embed(questions, "query_id", "question", self.backends.make_embedder), "asked-vectors")
+        held = self.vectors.read()
+        found = retrieval.knn(held.select("chunk_id", "embedding"), vectors.fitting(asked, held.limit(1), "ask with the model that made them, or index anew"), depth)
         if method == "vector":
             return found
         keyword = self._keyword(questions, chunks, depth) if self.backends.bm25_weight > 0 else None
@@ -266,6 +277,8 @@ def main(argv: list[str] | None = None, backends: Backends | None = None) -> int
     tables = Store(spark, args.store, backends)
     one = lambda text: spark.createDataFrame([("q", text)], "query_id string, question string")
     try:
+        used = {"ingest": [backends.read_page], "ask": [backends.answer], "chat": [backends.answer], "eval": [backends.answer, backends.judge] if getattr(args, "target", "") == "answers" else []}
+        checked(backends, *used.get(args.command, []))
         if args.command in ("check", "ingest"):
             pages, broken = tables.pages(args.pages, args.files)
             bad = [f"{r['doc']}: {r['error']}" for r in broken.orderBy("doc").toLocalIterator()]

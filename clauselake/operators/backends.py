@@ -20,12 +20,14 @@ JUDGE_SYSTEM = 'Compare the given answer with the model answer and with the sour
 
 @dataclass(frozen=True)
 class Model:
-    """A language model: called with a prompt and a system prompt. ``fallback`` takes over when it stays out of reach; ``warm_up`` loads it."""
+    """A language model: called with a prompt and a system prompt. ``fallback`` takes over when it stays out of reach; ``warm_up`` loads it; ``needs`` names its settings."""
 
     call: Callable[[str, str], str]
     tag: str = "model"
     fallback: Callable[[str, str], str] | None = None
     warm_up: Callable[[], None] = lambda: None
+    #: Settings it cannot do without, as the address and the key of a server.
+    needs: tuple[str, ...] = ()
 
     def asked(self, prompt: str, system: str, retry: Retry) -> str:
         second = self.fallback and (lambda: self.fallback(prompt, system))
@@ -40,6 +42,7 @@ class Reader:
     backend: str = "reader"
     model: str = ""
     sizes: tuple[int, ...] = (8192, 16384, 32768)
+    needs: tuple[str, ...] = ()
 
 
 @dataclass

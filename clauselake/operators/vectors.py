@@ -62,3 +62,19 @@ def reindex(existing: DataFrame, chunks: DataFrame, docs: DataFrame, make_model:
     docs = docs.select("doc").distinct()
     points = chunk_vectors(chunks.join(docs, "doc", "left_semi"), make_model)
     return existing.join(docs, "doc", "left_anti").unionByName(points)
+
+
+def dimension(vectors: DataFrame) -> int | None:
+    """The one length that all embeddings have; null if there are none, an error if they differ."""
+    least, most = vectors.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
+    if least != most:
+        raise ValueError(f"embeddings of {least} to {most} numbers in one collection")
+    return least
+
+
+def fitting(points: DataFrame, existing: DataFrame, remedy: str = "index all documents anew") -> DataFrame:
+    """``points``, if their embeddings are as long as those that they join or meet; else an error that names both lengths."""
+    new, old = dimension(points), dimension(existing)
+    if new is not None and old is not None and new != old:
+        raise ValueError(f"embeddings have {new} numbers, those of the collection {old}; {remedy}")
+    return points

@@ -191,3 +191,35 @@ def test_a_broken_run_keeps_what_was_called(spark, tmp_path):
     assert sorted(r.response for r in found) == sorted(f"<r{i}>" for i in range(60)) and len(list(calls.iterdir())) == 60
     answers.kept_calls(asked, cache, "key", "request", backend, at_once=100, again=True)
     assert len(list(calls.iterdir())) == 120 and cache.read().count() == 60
+
+
+def test_missing_settings_are_named_before_any_work(spark, tmp_path, capsys):
+    from clauselake.operators.backends import MODELS, Model, Reader
+
+    MODELS.add("hosted", Model(lambda p, s: "x", needs=("HOST", "KEY")))
+    run = lambda settings, *line: cli.main(["--store", f"file://{tmp_path}/none", *line], cli.Backends(answer="hosted", judge=Model(lambda p, s: "", needs=("KEY", "JUDGE")), read_page=Reader(lambda p, n: ("", False), needs=("OCR",)), settings=settings))
+    for settings, line, missing in (({}, ["ask", "q"], "HOST, KEY"), ({"HOST": "h", "KEY": ""}, ["chat"], "KEY"), ({"HOST": "h"}, ["eval", "answers", "--questions", "q"], "KEY, JUDGE"), ({}, ["ingest", "p"], "OCR")):
+        assert run(settings, *line) == 1 and f"missing settings: {missing}\n" in capsys.readouterr().err
+    MODELS.known.pop("hosted")
+    with pytest.raises(KeyError, match="no model named 'hosted'"):
+        cli.checked(cli.Backends(), "hosted")
+
+
+def test_embeddings_of_another_length_are_an_error(spark, tmp_path):
+    from clauselake.operators import vectors
+
+    tables = cli.Store(spark, f"file://{tmp_path}/store", cli.Backends(make_embedder=lambda: vectors.hashed_ngrams(16)))
+    tables.chunks.replace(spark.createDataFrame([(f"c{k}", f"d{k}", None, None, f"text {k}", k) for k in range(4)], cli.store.CHUNKS), "doc")
+    assert tables.index() == 4
+    tables.backends.make_embedder = lambda: vectors.hashed_ngrams(32)
+    asked = spark.createDataFrame([("q", "text 1")], "query_id string, question string")
+    with pytest.raises(ValueError, match="32 numbers, those of the collection 16; index"):
+        tables.index(["d1"])
+    with pytest.raises(ValueError, match="ask with the model"):
+        tables.retrieve(asked, "vector")
+    assert vectors.dimension(tables.vectors.read()) == 16 and tables.index() == 4 and vectors.dimension(tables.vectors.read()) == 32
+    assert tables.retrieve(asked, "vector").count() == 4
+    mixed = spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "embedding array<float>")
+    with pytest.raises(ValueError, match="1 to 2 numbers"):
+        vectors.dimension(mixed)
+    assert vectors.dimension(mixed.limit(0)) is None
