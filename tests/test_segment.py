@@ -105,7 +105,7 @@ def test_store_searches_by_its_dictionary(spark, tmp_path):
     tables.index()
     asked = spark.createDataFrame([("q", "ขอลาพัก")], "query_id string, question string")
     assert tables.retrieve(asked, "keyword").count() == 0  # the whole phrase is one word
-    assert tables.learn(spark.createDataFrame([("ลา",), ("พัก",), ("ขอ",), ("การ",), ("ศึกษา",), ("นักศึกษา",), (None,)], "word string")) == 6
+    assert tables.learn(spark.createDataFrame([("ลา",), ("พัก",), ("ขอ",), ("การ",), ("ศึกษา",), ("นักศึกษา",), ("สอบ",), ("ปลายภาค",), (None,)], "word string")) == 8
     assert [r.chunk_id for r in tables.retrieve(asked, "keyword").collect()] == ["c1"]
     hybrid = {r.chunk_id: r.score for r in tables.retrieve(asked).collect()}
     tables.backends.bm25_weight = 0.0
