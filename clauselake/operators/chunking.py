@@ -1,8 +1,8 @@
 """Pages to documents, documents to clause-structured chunks.
 
 Positions of headings come from the pieces between the matches of the heading pattern:
-a match begins where the lengths of all pieces and matches before it end. Only lengths
-and labels leave the text; the text itself meets its boundaries once.
+a match begins where the lengths of all pieces and matches before it end. A text is
+read once; its pieces are placed by document once and put together by segment.
 """
 
 from __future__ import annotations
@@ -123,35 +123,72 @@ def split_overlapping(text: Column | str, most: int, overlap: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substring(col(text), i * step + 1, F.lit(most)))
 
 
+def _pieces(pattern: str, made: Callable[[Column, Column, Column], Column]) -> Column:
+    """Array of ``made(n, head, body)`` of ``text``: a match and what follows it to the next; the first has no head."""
+    heads = F.concat(F.array(F.lit(None).cast("string")), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))
+    both = F.arrays_zip(heads.alias("head"), F.split("text", pattern, -1).alias("body"))
+    return F.transform(both, lambda x, n: made(n, x["head"], x["body"]))
+
+
+def _segments(docs: DataFrame) -> DataFrame:
+    """doc, seg (0 before the first accepted heading), clause, chapter, text: documents cut at their accepted headings.
+
+    A document is read once and becomes its pieces between headings, which carry the
+    text, and its chapter headings, which carry lengths only. Both are ordered by
+    where they begin; pieces behind a heading that is not accepted join the segment before.
+    """
+
+    def row(kind: int, n: Column, head: Column, body: Column, kept: Column) -> Column:
+        size = F.coalesce(F.length(head), F.lit(0)) + F.length(body)
+        return F.struct(F.lit(kind).alias("kind"), n.alias("n"), size.alias("size"), head.alias("head"), kept.alias("body"))
+
+    chapters = _pieces(CHAPTER, lambda n, head, body: row(0, n, head, body, F.lit(None).cast("string")))
+    pieces = _pieces(CLAUSE, lambda n, head, body: row(1, n, head, body, body))
+    found = docs.select("doc", F.inline(F.concat(chapters, pieces)))
+    clause = [F.when(F.col("kind") == 1, F.regexp_extract("head", CLAUSE, g)) for g in (1, 2)]
+    chapter = [F.when(F.col("kind") == 0, F.regexp_extract("head", CHAPTER, g)) for g in (1, 2, 3)]
+    label = F.when((F.col("kind") == 0) & F.col("head").isNotNull(), strip(F.concat_ws(" ", *chapter[:2], strip(chapter[2]))))
+    found = found.select("*", F.concat_ws(" ", *clause).alias("clause"), leading_number(clause[1]).alias("number"), label.alias("label"))
+
+    before = Window.partitionBy("doc").orderBy("kind", "n").rowsBetween(Window.unboundedPreceding, -1)
+    begins = [F.sum(F.when(F.col("kind") == kind, F.col("size"))).over(before) for kind in (0, 1)]
+    pos = F.coalesce(F.when(F.col("kind") == 0, begins[0]).otherwise(begins[1]), F.lit(0))
+    largest = F.max("number").over(before)
+    accepted = (F.col("kind") == 1) & F.col("head").isNotNull() & (largest.isNull() | F.coalesce(F.col("number") >= largest, F.lit(False)))
+    placed = found.select("doc", "kind", "n", "head", "body", "clause", "label", pos.alias("pos"), accepted.alias("accepted"))
+
+    upto = Window.partitionBy("doc").orderBy("pos", "kind", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumns({"chapter": F.last("label", ignorenulls=True).over(upto), "seg": F.sum(F.col("accepted").cast("int")).over(upto)}).where("kind = 1")
+    whole = F.array_sort(F.collect_list(F.struct("n", F.concat(F.coalesce("head", F.lit("")), "body").alias("text"))))
+    return placed.groupBy("doc", "seg").agg(
+        F.max(F.when(F.col("accepted"), F.col("clause"))).alias("clause"), F.min_by("chapter", "n").alias("chapter"), F.array_join(F.transform(whole, lambda x: x["text"]), "").alias("text")
+    )
+
+
 def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, fallback_chars: int = FALLBACK_CHARS, fallback_overlap: int = FALLBACK_OVERLAP) -> DataFrame:
     """Chunks of documents (doc, text): id, doc, clause, chapter, text, chunk_seq (order within the document).
 
     A segment reaches from an accepted heading to the next. What stands before the
     first, chapter headings taken out, is the preamble. Documents without a heading
     are cut by length alone. Null text is empty text; ids of equal labels are equal.
+    Documents are placed by ``doc`` once; texts meet no join.
     """
-    docs = docs.select("doc", F.coalesce("text", F.lit("")).alias("text"))
-    clauses = headings(docs, CLAUSE, 2).withColumn("number", leading_number("g2"))
-    accepted = rising_in_key(clauses, "doc", "pos", "number").select("doc", "pos", F.concat_ws(" ", "g1", "g2").alias("clause"))
-    chapters = headings(docs, CHAPTER, 3).select("doc", "pos", strip(F.concat_ws(" ", "g1", "g2", strip("g3"))).alias("label"))
-    following = F.lead("pos").over(Window.partitionBy("doc").orderBy("pos"))
-    segments = accepted.withColumn("end", following)
-    first = accepted.groupBy("doc").agg(F.min("pos").alias("end")).select("doc", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("clause"), "end", F.lit(-1).alias("at"))
-    events = segments.withColumn("at", F.col("pos")).unionByName(first)
-    placed = label_in_key(events, chapters, "doc", "pos").join(docs, "doc")
-    part = F.substring("text", F.col("pos") + 1, F.coalesce("end", F.length("text")) - F.col("pos"))
-    body = strip(F.when(F.col("clause").isNull(), F.regexp_replace(part, CHAPTER, "")).otherwise(part))
-    structured = placed.select("doc", "at", "clause", F.col("label").alias("chapter"), body.alias("body")).where("clause is not null or body <> ''")
-    parts = F.posexplode(split_overlapping("body", max_chars, overlap)).alias("part", "text")
-    structured = structured.withColumn("n", F.size(split_overlapping("body", max_chars, overlap))).select("doc", "at", "clause", "chapter", "n", parts)
-    name = F.when(F.col("clause").isNull(), F.lit(PREAMBLE)).otherwise(slug("clause"))
-    structured = structured.withColumn("id", F.concat_ws("_", doc_slug("doc"), name, F.when(F.col("n") > 1, (F.col("part") + 1).cast("string"))))
-
-    plain = docs.join(accepted.select("doc").distinct(), "doc", "left_anti").select("doc", F.posexplode(split_overlapping("text", fallback_chars, fallback_overlap)).alias("part", "text"))
-    plain = plain.select("doc", F.lit(0).alias("at"), F.lit(None).cast("string").alias("clause"), F.lit(None).cast("string").alias("chapter"), "part", "text", F.concat(doc_slug("doc"), F.lit("_chunk"), F.col("part") + 1).alias("id"))
-    columns = ["id", "doc", "clause", "chapter", "text", "at", "part"]
-    seq = F.row_number().over(Window.partitionBy("doc").orderBy("at", "part")).cast("long")
-    return structured.select(*columns).unionByName(plain.select(*columns)).withColumn("chunk_seq", seq).drop("at", "part")
+    segments = _segments(docs.select("doc", F.coalesce("text", F.lit("")).alias("text")))
+    of_doc = Window.partitionBy("doc").orderBy("seg")
+    segments = segments.withColumn("plain", (F.col("seg") == 0) & F.lead("seg").over(of_doc).isNull())
+    body = strip(F.when(F.col("seg") == 0, F.regexp_replace("text", CHAPTER, "")).otherwise(F.col("text")))
+    segments = segments.withColumn("body", F.when(F.col("plain"), F.col("text")).otherwise(body))
+    parts = F.when(F.col("plain"), split_overlapping("body", fallback_chars, fallback_overlap)).when((F.col("seg") > 0) | (F.col("body") != ""), split_overlapping("body", max_chars, overlap))
+    segments = segments.select("doc", "seg", "clause", "chapter", "plain", parts.alias("parts")).withColumn("n", F.array_size("parts"))
+    ahead = F.coalesce(F.sum("n").over(of_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = segments.withColumn("ahead", ahead).select("doc", "seg", "clause", "chapter", "plain", "n", "ahead", F.posexplode("parts").alias("part", "text"))
+    number = (F.col("part") + 1).cast("string")
+    name = F.when(F.col("seg") == 0, F.lit(PREAMBLE)).otherwise(slug("clause"))
+    structured = F.concat_ws("_", doc_slug("doc"), name, F.when(F.col("n") > 1, number))
+    return found.select(
+        F.when(F.col("plain"), F.concat(doc_slug("doc"), F.lit("_chunk"), number)).otherwise(structured).alias("id"),
+        "doc", "clause", F.when(~F.col("plain"), F.col("chapter")).alias("chapter"), "text", (F.col("ahead") + F.col("part") + 1).cast("long").alias("chunk_seq"),
+    )
 
 
 def short_chunks(chunks: DataFrame, least: int = SHORT_CHUNK) -> DataFrame:

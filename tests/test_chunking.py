@@ -106,3 +106,52 @@ def test_scans_of_one_key_in_many_parts(spark):
         assert chunking.accept_rising(df.where("false"), "k", "at", "n").count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_chunks_equal_a_loop_over_the_text(spark):
+    import re
+
+    clause = re.compile(r"^\s*(ข้อ|มาตรา)\s+(\d+(?:/\d+)?)\s*", re.MULTILINE)
+    chapter = re.compile(r"^\s*(หมวด|ส่วนที่)\s+(\d+)\s*(.*)$", re.MULTILINE)
+
+    def cut(text, most, overlap):
+        return [text[at : at + most] for at in range(0, max(1, len(text) - overlap), most - overlap)]
+
+    def loop(text):
+        text, largest, heads = text or "", None, []
+        for m in clause.finditer(text):
+            number = int(m[2].split("/")[0])
+            if largest is None or number >= largest:
+                largest = number
+                heads.append((m.start(), f"{m[1]} {m[2]}"))
+        if not heads:
+            return [(None, None, t) for t in cut(text, 11, 3)]
+
+        def as_of(at):
+            found = [" ".join(x for x in (m[1], m[2], m[3].strip()) if x or x == m[3].strip()).strip() for m in chapter.finditer(text) if m.start() <= at]
+            return found[-1] if found else None
+
+        out = []
+        preamble = chapter.sub("", text[: heads[0][0]]).strip()
+        if preamble:
+            out += [(None, as_of(0), t) for t in cut(preamble, 13, 4)]
+        for (at, name), (end, _) in zip(heads, [*heads[1:], (len(text), None)], strict=True):
+            out += [(name, as_of(at), t) for t in cut(text[at:end].strip(), 13, 4)]
+        return out
+
+    rng = random.Random(11)
+    parts = ["ข้อ 1", "ข้อ 2", "ข้อ 12", "มาตรา 3/1", "หมวด 1", "หมวด 2 ก", "ส่วนที่ 4", "\n", "\n", "\n\n  ", " ", "x", "คำนำ 😀"]
+    texts = [None, "", "\n", *("".join(rng.choice(parts) for _ in range(rng.randint(1, 30))) for _ in range(400))]
+    long = "\n".join(f"ข้อ {n // 3 + 1}\nหมวด {n} ก" if n % 5 == 0 else f"ข้อ {n // 3 + 1} คำ" for n in range(3000))
+    texts.append(long)
+    got: dict[str, list] = {}
+    for c in chunks(spark, *texts, max_chars=13, overlap=4, fallback_chars=11, fallback_overlap=3):
+        got.setdefault(c["doc"], []).append((c["clause"], c["chapter"], c["text"]))
+        assert c["chunk_seq"] == len(got[c["doc"]])
+    for i, text in enumerate(texts):
+        assert got.get(f"d{i}.pdf", []) == loop(text), text
+    assert got[f"d{len(texts) - 1}.pdf"][-1][0] == "ข้อ 1000"
+
+
+def test_no_documents_no_chunks(spark):
+    assert chunks(spark) == []
