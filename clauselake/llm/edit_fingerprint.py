@@ -13,8 +13,16 @@ holds k and the samples of scales k and k + 1, so that texts on neighbouring sca
 can be compared. Likeness is the share of equal samples among those within the longer
 of both walks, on the larger scale; texts more than a scale apart have none.
 
-``near_edit_dups`` groups texts by edit distance: bit-sampled bands of 4 samples are
-keys, a candidate is confirmed by its exact edit distance.
+``near_edit_dups`` groups texts by edit distance. Over a long text the walks of two
+versions drift apart, so keys come from blocks: a block begins behind each of the 32
+runs of 6 characters that hash least in the text, its walk starts anew there, and the
+run with 3 sampled steps of the block is a key. What two versions share of their keys
+depends on the share of edited characters and not on the length. Texts of at most 256
+characters also have keys from bands of 4 samples of the whole walk. A candidate is
+confirmed by its exact edit distance. A pair that shares no key is not linked: of texts
+of 400 to 20,000 characters joined from ``documents``, with 1 to 10 percent of the
+characters edited, at most 1 in 100. All pairs of a key that rounds do not link are
+compared, so a run with its block that many different texts share costs their pairs.
 
 Defined results: a null text is empty; two empty texts have likeness 1, an empty and
 another text 0. Ids are whole numbers; rows with the same id follow each other in the
@@ -35,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.llm.grouping import confirmed, linked, texts_of
-from clauselake.llm.shared import written
+from clauselake.llm.shared import slices, written
 
 PERIOD = 4096
 SAMPLES = 64
@@ -138,6 +146,40 @@ def likeness(a: bytes, b: bytes) -> float:
     return int(np.count_nonzero((x == y) & used)) / n if n else float(a == b)
 
 
+#: Characters of the run before a block, blocks of a text, characters of a block, and the steps of it that a key samples.
+RUN, BLOCKS, BLOCK_CHARS = 6, 32, 16
+BLOCK_STEPS = (3, 8, 14)
+#: Texts up to this length also have keys from their whole walk.
+SHORT = 256
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def block_keys(text: str) -> list[int]:
+    """A key for each block: its run and the sampled steps of the walk that begins behind it."""
+    codes = classes(text)
+    n = len(codes) - RUN + 1
+    if n < 1:
+        return []
+    runs = np.zeros(n, np.uint64)
+    for k in range(RUN):
+        runs = (runs << np.uint64(8)) | codes[k : k + n].astype(np.uint64)
+    mixed = runs * _ODD
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * _ODD
+    least, first = np.unique(mixed, return_index=True)
+    at = first[:BLOCKS] + RUN
+    padded = np.concatenate([codes, np.zeros(BLOCK_CHARS + 1, np.uint8)])
+    step = np.zeros(len(at), np.int64)
+    keys = least[:BLOCKS].copy()
+    for k in range(BLOCK_CHARS):
+        code = padded[at + k].astype(np.int64)
+        left = step + STRIDES[(code << 12) + step]
+        for s in BLOCK_STEPS:
+            here = (step <= s) & (s < left)
+            keys[here] = (keys[here] + code[here].astype(np.uint64) * np.uint64(2 * s + 1)) * _ODD
+        step = left
+    return (keys ^ (keys >> np.uint64(32))).view(np.int64).tolist()
+
+
 def fingerprint_texts(texts: list[str]) -> list[bytes]:
     codes = [classes(t) for t in texts]
     return [_sample(c, *w) for c, w in zip(codes, walk(codes, [0] * len(codes)), strict=True)]
@@ -172,17 +214,21 @@ _TYPES = {"n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa
 _SCHEMA = "n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
-def _printed(rows: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns in ``keep`` and the fingerprint (hex) of ``text``."""
+def _printed(rows: DataFrame, keep: list[str], blocks: bool = False) -> DataFrame:
+    """The columns in ``keep``, the fingerprint (hex) of ``text`` and, if asked for, the keys of its blocks."""
     rows = rows.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    more = ["fingerprint string", "blocks array<bigint>"][: 1 + blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = fingerprint_texts(batch.column(len(keep)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array([f.hex() for f in found], pa.string())], names=[*keep, "fingerprint"])
+        for batch in slices(batches):
+            texts = batch.column(len(keep)).to_pylist()
+            made = [pa.array([f.hex() for f in fingerprint_texts(texts)], pa.string())]
+            if blocks:
+                made.append(pa.array([block_keys(t) for t in texts], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *made], names=[*keep, *(m.split()[0] for m in more)])
 
-    return rows.mapInArrow(run, ", ".join([*kinds, "fingerprint string"]))
+    return rows.mapInArrow(run, ", ".join([*kinds, *more]))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,10 +298,15 @@ def with_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Exact, by bit vectors over the characters of ``a``: a column of the table a character of ``b``."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Exact, by bit vectors over the characters of ``a``: a column of the table a character of ``b``.
+
+    Ends as soon as the distance must exceed ``most``, with a number above it: each
+    character that is left lowers it by one at best.
+    """
     if not a or not b:
         return len(a) + len(b)
+    left_chars = len(b)
     places: dict[str, int] = {}
     for i, c in enumerate(a):
         places[c] = places.get(c, 0) | 1 << i
@@ -267,6 +318,9 @@ def edit_distance(a: str, b: str) -> int:
         right = down | (full & ~(diagonal | up))
         left = up & diagonal
         distance += bool(right & top) - bool(left & top)
+        left_chars -= 1
+        if most is not None and distance - left_chars > most:
+            return distance - left_chars
         right = (right << 1 | 1) & full
         left = left << 1 & full
         up = left | (full & ~(diagonal | right))
@@ -284,14 +338,15 @@ def near_edit_dups(docs: DataFrame, most_share: float = 0.1, id_col: str = "doc_
     distance is at most ``most_share`` of the longer text.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    rows = written(_printed(texts.withColumns({"digest": F.sha2("text", 256), "n": F.length("text")}), ["id", "digest", "n"]), "fingerprints")
-    classes_ = written(rows.groupBy("digest", "n", "fingerprint").agg(F.min("id").alias("node")), "classes").where("n > 0")
+    rows = written(_printed(texts.withColumns({"digest": F.sha2("text", 256), "n": F.length("text")}), ["id", "digest", "n"], blocks=True), "fingerprints")
+    classes_ = written(rows.groupBy("digest", "n", "fingerprint").agg(F.min("id").alias("node"), F.first("blocks").alias("blocks")), "classes").where("n > 0")
     scale = F.conv(F.substring("fingerprint", 1, 2), 16, 10).cast("int")
     bands = F.explode(F.sequence(F.lit(0), F.lit(2 * SAMPLES // BAND - 1)))
-    cut = classes_.select("node", "n", scale.alias("scale"), "fingerprint", bands.alias("band"))
+    cut = classes_.where(F.col("n") <= SHORT).select("node", "n", scale.alias("scale"), "fingerprint", bands.alias("band"))
     bits = F.substring("fingerprint", 3 + 2 * BAND * F.col("band"), F.lit(2 * BAND))
     on = F.col("scale") + (F.col("band") >= SAMPLES // BAND).cast("int")
     keys = cut.where(bits != "00" * BAND).select("node", F.xxhash64(on, F.pmod("band", F.lit(SAMPLES // BAND)), bits).alias("key"))
+    keys = keys.unionByName(classes_.select("node", F.explode(F.array_distinct("blocks")).alias("key")))
     sketches = classes_.groupBy("node").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
     def may_link(a: str, b: str):
@@ -299,7 +354,7 @@ def near_edit_dups(docs: DataFrame, most_share: float = 0.1, id_col: str = "doc_
 
     def alike(a: str, b: str) -> bool:
         longer = max(len(a), len(b))
-        return abs(len(a) - len(b)) <= most_share * longer and edit_distance(a, b) <= most_share * longer
+        return abs(len(a) - len(b)) <= most_share * longer and edit_distance(a, b, int(most_share * longer)) <= most_share * longer
 
     labels = linked(keys, sketches, may_link, lambda pairs, found: confirmed(pairs, found, lambda t: t or "", alike), lambda nodes: texts_of(nodes, docs, id_col, text_col))
     rooted = classes_.join(labels.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
