@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clauselake.functions.text import arabic_digits, col, strip
-from clauselake.sources.scratch import written
+from clauselake.operators.retrieval import few
+from clauselake.sources.scratch import measured, written
 from clauselake.sources.store import Table
 
 # Wording that models and tests depend on, and the retry policy.
@@ -33,9 +34,10 @@ def source_label(doc: Column, clause: Column, chapter: Column) -> Column:
 
 
 def contexts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """query_id, contexts: the hit chunks in rank order (a few a query), as structs."""
+    """query_id, contexts: the hit chunks in rank order (a few a query), as structs. Hits travel to the chunks where they are few: texts of other chunks do not travel."""
     chunk = F.struct("rank", "chunk_id", "doc", "clause", "chapter", "text")
-    return hits.join(chunks, "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("contexts"))
+    found, seen = measured(hits, "hits", n=F.count("*"))
+    return chunks.join(few(found, seen["n"]), "chunk_id").groupBy("query_id").agg(F.array_sort(F.collect_list(chunk)).alias("contexts"))
 
 
 def numbered_context(found: Column | str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.functions.text import arabic_digits, col
-from clauselake.sources.scratch import written
+from clauselake.sources.scratch import measured, written
 
 # Fusion constant, candidates of each ranking, weights, BM25 constants.
 RRF_K = 60
@@ -39,40 +39,103 @@ def ranked(scores: DataFrame, k: int, *ties: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+#: Asked words times queries whose weights are sent to every task, at most (eight bytes each), and the words of all queries that the driver looks at for it.
+SENT_WEIGHTS, SENT_WORDS = 4_000_000, 1_000_000
+#: Repeated ids and hits that are sent to every task, at most.
+SENT_ROWS = 500_000
+
+
+def few(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, of which there are ``n``, for a join: to every task if they are few."""
+    return F.broadcast(rows) if n <= SENT_ROWS else rows
+
+
 class Bm25:
     """Statistics of chunks (chunk_id, tokens array) and the search in them. An index over no chunks is an error.
 
-    Texts are read once: postings with their chunk's length are written to the shared folder.
+    Texts are read once: tokens with their number are written to the shared folder, a row
+    a chunk, and words with the number of chunks that have them. Rows of one chunk_id are
+    a chunk each, whose scores are added.
     """
 
     def __init__(self, chunks: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> None:
         self.k1, self.b = k1, b
         rows = chunks.select("chunk_id", F.coalesce("tokens", F.array().cast("array<string>")).alias("tokens"))
-        found = rows.select("chunk_id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))
-        postings = written(found.groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")), "postings")
-        # A chunk without tokens is a row without a term.
-        self.n, total = postings.select("chunk_id", "dl").distinct().agg(F.count("*"), F.sum("dl")).first()
+        self.tokens, seen = measured(rows.select("chunk_id", F.size("tokens").alias("dl"), "tokens"), "tokens", n=F.count("*"), total=F.sum("dl"))
+        self.n = seen["n"]
         if not self.n:
             raise ValueError("no chunks to index")
-        self.mean_length = (total or 0) / self.n
-        self.postings = postings.where("term is not null")
-        frequency = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        idf = frequency.select("term", (F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+        self.mean_length = (seen["total"] or 0) / self.n
+        # Counts of words are summed before they travel, and no row of a chunk's word does.
+        frequency = self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
+        idf = written(frequency.select("term", (F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")), "words")
         mean = idf.agg(F.avg(F.round("idf", 12).cast("decimal(30,12)"))).first()[0]
         floor = epsilon * float(mean or 0)
         self.idf = idf.select("term", F.when(F.col("idf") < 0, floor).otherwise(F.col("idf")).alias("idf"))
+        repeated = self.tokens.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("chunk_id").alias("__again"), F.lit(True).alias("again"))
+        self.repeated, seen = measured(repeated, "repeated", n=F.count("*"))
+        self.n_repeated = seen["n"]
 
-    def search(self, queries: DataFrame, k: int = 5) -> DataFrame:
-        """query_id, chunk_id, score, rank for queries (query_id, tokens). A repeated word counts again; scores of 0 or less are no hits."""
+    def search(self, queries: DataFrame, k: int = 5, sent: int = SENT_WEIGHTS) -> DataFrame:
+        """query_id, chunk_id, score, rank for queries (query_id, tokens). A repeated word counts again; scores of 0 or less are no hits.
+
+        Weights of at most ``sent`` words times queries go to every task, which reads its
+        chunks once and gives on the k best of each query. With more of them the asked
+        words of chunks are joined with the queries.
+        """
         asked = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-        weighed = asked.join(self.idf, "term")
-        # Queries are few beside postings: only postings of asked words travel.
-        hits = self.postings.join(weighed, "term")
-        gain = F.col("idf") * F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / self.mean_length))
-        scores = hits.groupBy("query_id", "chunk_id").agg(F.sum(F.col("times") * gain).alias("score")).where("score > 0")
+        weighed = asked.join(self.idf, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("weight"))
+        some = weighed.limit(SENT_WORDS + 1).toArrow()
+        if some.num_rows > SENT_WORDS or pc.count_distinct(some["term"]).as_py() * pc.count_distinct(some["query_id"], mode="all").as_py() > sent:
+            return self._joined(weighed, k)
+        rows = self.tokens.withColumn("again", F.lit(False))
+        if self.n_repeated:
+            rows = self.tokens.join(few(self.repeated, self.n_repeated), F.col("chunk_id").eqNullSafe(F.col("__again")), "left").select("chunk_id", "dl", "tokens", F.coalesce("again", F.lit(False)).alias("again"))
+        kinds = {name: kind for df in (self.tokens, weighed) for name, kind in df.dtypes}
+        found = rows.mapInArrow(_scored(k, some, self.k1, self.b, self.mean_length or 1.0), f"query_id {kinds['query_id']}, chunk_id {kinds['chunk_id']}, score double")
+        if self.n_repeated:
+            found = found.groupBy("query_id", "chunk_id").agg(F.sum("score").alias("score")).where("score > 0")
+        return ranked(found, k, "chunk_id")
+
+    def _joined(self, weighed: DataFrame, k: int) -> DataFrame:
+        numbered = self.tokens.withColumn("row", F.monotonically_increasing_id())
+        rows = numbered.select("row", "chunk_id", "dl", F.explode("tokens").alias("term"))
+        postings = rows.join(weighed.select("term").distinct(), "term", "left_semi").groupBy("row", "chunk_id", "dl", "term").agg(F.count("*").alias("tf"))
+        gain = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.col("dl") / self.mean_length))
+        scores = postings.join(weighed, "term").groupBy("query_id", "chunk_id").agg(F.sum(F.col("weight") * gain).alias("score")).where("score > 0")
         return ranked(scores, k, "chunk_id")
 
 
+def _scored(k: int, weighed: pa.Table, k1: float, b: float, mean_length: float, numbers_at_once: int = 500_000):
+    """The k best of each query (query_id, term, weight) among a task's chunks, and all scores of chunks that have several rows."""
+
+    def run(batches):
+        terms, ids = weighed["term"].combine_chunks().unique(), weighed["query_id"].combine_chunks().dictionary_encode(null_encoding="encode")
+        weights = np.zeros((len(terms), len(ids.dictionary)))
+        weights[pc.index_in(weighed["term"].combine_chunks(), terms).to_numpy(), ids.indices.to_numpy()] = weighed["weight"].to_numpy()
+        held = _Held(k)
+        step = max(1, min(2_000, numbers_at_once // max(1, *weights.shape)))
+        for batch in batches if len(terms) else ():
+            for at in range(0, batch.num_rows, step):
+                part = pa.Table.from_batches([batch.slice(at, step)])
+                part = part.take(pc.array_sort_indices(part["chunk_id"].combine_chunks()))
+                tokens, again = part["tokens"].combine_chunks(), part["again"].to_numpy()
+                place = pc.index_in(tokens.flatten(), terms)
+                of_row = np.repeat(np.arange(len(tokens)), pc.list_value_length(tokens).to_numpy())
+                cell = of_row[place.is_valid().to_numpy(zero_copy_only=False)] * len(terms) + place.drop_null().to_numpy()
+                tf = np.bincount(cell, minlength=len(tokens) * len(terms)).reshape(len(tokens), -1).astype(np.float64)
+                base = k1 * (1 - b + b * part["dl"].to_numpy() / mean_length)
+                gain = np.divide(tf * (k1 + 1), tf + base[:, None], out=np.zeros_like(tf), where=tf > 0)
+                scores = (gain @ weights).T
+                held.add(_k_best(np.where(again, np.nan, scores), k, 0.0), scores, ids.dictionary, part["chunk_id"])
+                if again.any():  # summed with their other rows before they are cut
+                    q, c = np.nonzero((scores != 0) & again)
+                    yield from _table(q, c, scores, ids.dictionary, part["chunk_id"]).to_batches()
+        yield from held.rest()
+
+    return run
+
+
 #: Numbers of the query vectors that are sent to every task, at most (eight bytes each).
 SENT_NUMBERS = 4_000_000
 
@@ -104,28 +167,59 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = 16_384,
     return ranked(met.applyInArrow(_best(k), found), k, "chunk_id")
 
 
-def _best_of_all(k: int, asked: pa.Table, held_rows: int = 500_000):
-    """The k best of each query among a task's vectors, batch by batch; what is held is cut back to the best as it grows."""
+def _k_best(scores: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k best of each row of ``scores`` that are over ``least``, ties by place; no numbers are no hits."""
+    shown = np.round(np.where(scores > least, scores, -np.inf), DIGITS)
+    r = min(k, shown.shape[1])
+    # The k-th best value; places stand by chunk_id, so a stable sort of those that reach it settles ties.
+    enough = -np.partition(-shown, r - 1, axis=1)[:, r - 1]
+    q, c = np.nonzero((shown >= enough[:, None]) & (shown > -np.inf))
+    by = np.lexsort((c, -shown[q, c], q))
+    q, c = q[by], c[by]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < k], c[place < k]
+
+
+def _table(q: np.ndarray, c: np.ndarray, scores: np.ndarray, query_ids, chunk_ids) -> pa.Table:
+    return pa.table({"query_id": query_ids.take(pa.array(q)), "chunk_id": chunk_ids.take(pa.array(c)), "score": scores[q, c]})
+
 
-    def cut(found: list[pa.Table]) -> pa.Table:
-        rows = pa.concat_tables(found)
+class _Held:
+    """The best of each query that a task has met, cut back as they grow over twice what is kept of all queries."""
+
+    def __init__(self, k: int, least: int = 250_000) -> None:
+        self.k, self.held, self.n, self.least, self.most = k, [], 0, least, least
+
+    def add(self, best: tuple[np.ndarray, np.ndarray], scores: np.ndarray, query_ids, chunk_ids) -> None:
+        if len(best[0]):
+            self.held.append(_table(*best, scores, query_ids, chunk_ids))
+            self.n += len(best[0])
+        if self.n > self.most:
+            self.held = [self._cut()]
+            self.n = self.held[0].num_rows
+            self.most = max(self.least, 2 * self.n)
+
+    def _cut(self) -> pa.Table:
+        rows = pa.concat_tables(self.held)
         shown = pa.array(np.round(rows.column("score").to_numpy(), DIGITS))
-        rows = rows.append_column("shown", shown).sort_by([("query_id", "ascending"), ("shown", "descending"), ("chunk_id", "ascending")]).drop(["shown"])
+        order = pc.sort_indices(rows.select(["query_id", "chunk_id"]).append_column("shown", shown), [("query_id", "ascending"), ("shown", "descending"), ("chunk_id", "ascending")])
+        rows = rows.take(order)
         of = pc.dictionary_encode(rows.column("query_id").combine_chunks(), null_encoding="encode").indices.to_numpy()
-        return rows.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < k))
+        return rows.filter(pa.array(np.arange(len(of)) - np.searchsorted(of, of) < self.k))
+
+    def rest(self) -> list[pa.RecordBatch]:
+        return self._cut().to_batches() if self.held else []
+
+
+def _best_of_all(k: int, asked: pa.Table, held_rows: int = 250_000):
+    """The k best of each query among a task's vectors, batch by batch; what is held is cut back to the best as it grows."""
 
     def run(batches):
-        best, held, n = _best(k), [], 0
+        held, ids, wanted = _Held(k, held_rows), asked.column("query_id").combine_chunks(), _units(asked.column("wanted"))
         for batch in batches:
-            found = best(pa.Table.from_batches([batch]), asked)
-            if found.num_rows:
-                held.append(found)
-                n += found.num_rows
-            if n > held_rows:
-                held = [cut(held)]
-                n = held[0].num_rows
-        if held:
-            yield from cut(held).to_batches()
+            for best, scores, some, chunk_ids in _cosines(k, pa.Table.from_batches([batch]), ids, wanted):
+                held.add(best, scores, some, chunk_ids)
+        yield from held.rest()
 
     return run
 
@@ -135,33 +229,40 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
 
 
-def _best(k: int, scores_at_once: int = 4_000_000):
+def _units(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    rows = _matrix(column)
+    return rows, np.linalg.norm(rows, axis=1)
+
+
+#: Scores that a task has at once; some copies of them stand side by side.
+SCORES_AT_ONCE = 500_000
+
+
+def _cosines(k: int, vectors: pa.Table, ids: pa.Array, wanted: tuple[np.ndarray, np.ndarray], most: int = 10_000):
+    """The k best of some queries among some vectors, with all their scores: a few of both at a time."""
+    if not len(ids):
+        return
+    for low in range(0, vectors.num_rows, most):
+        part = vectors.slice(low, most)
+        part = part.take(pc.array_sort_indices(part.column("chunk_id").combine_chunks()))
+        rows, norms = _units(part.column("embedding"))
+        step = max(1, SCORES_AT_ONCE // len(rows))
+        for start in range(0, len(ids), step):
+            with np.errstate(divide="ignore", invalid="ignore"):
+                scores = wanted[0][start : start + step] @ rows.T
+                scores /= wanted[1][start : start + step, None]
+                scores /= norms[None, :]
+            yield _k_best(scores, k), scores, ids.slice(start, step), part.column("chunk_id")
+
+
+def _best(k: int):
     def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        held, ids = _Held(k), asked.column("query_id").combine_chunks()
+        if vectors.num_rows and asked.num_rows:
+            for best, scores, some, chunk_ids in _cosines(k, vectors, ids, _units(asked.column("wanted"))):
+                held.add(best, scores, some, chunk_ids)
         kinds = pa.schema([("query_id", asked.schema.field("query_id").type), ("chunk_id", vectors.schema.field("chunk_id").type), ("score", pa.float64())])
-        if not vectors.num_rows or not asked.num_rows:
-            return kinds.empty_table()
-        vectors = vectors.take(pc.array_sort_indices(vectors.column("chunk_id").combine_chunks()))
-        rows, wanted = _matrix(vectors.column("embedding")), _matrix(asked.column("wanted"))
-        norms, step = np.linalg.norm(rows, axis=1), max(1, scores_at_once // len(rows))
-        r = min(k, len(rows))
-        at_query, at_row, score = [], [], []
-        for start in range(0, len(wanted), step):
-            some = wanted[start : start + step]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                scores = (some @ rows.T) / np.linalg.norm(some, axis=1)[:, None] / norms[None, :]
-            shown = np.round(np.nan_to_num(scores, nan=-2.0), DIGITS)
-            # The k-th best value; rows stand by chunk_id, so a stable sort of those that reach it settles ties.
-            least = -np.partition(-shown, r - 1, axis=1)[:, r - 1]
-            q, c = np.nonzero((shown >= least[:, None]) & ~np.isnan(scores))
-            by = np.lexsort((c, -shown[q, c], q))
-            q, c = q[by], c[by]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            q, c = q[place < k], c[place < k]
-            at_query.append(q + start)
-            at_row.append(c)
-            score.append(scores[q, c])
-        at_query, at_row = pa.array(np.concatenate(at_query)), pa.array(np.concatenate(at_row))
-        return pa.table([asked.column("query_id").take(at_query), vectors.column("chunk_id").take(at_row), pa.array(np.concatenate(score))], schema=kinds)
+        return pa.Table.from_batches(held.rest(), schema=kinds)
 
     return run
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +31,10 @@ def written(df: DataFrame, label: str, partition_by: str | None = None) -> DataF
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def measured(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict]:
+    """``written``, and what ``sums`` of all rows come to, taken as they are written."""
+    state = Observation()
+    table = written(df.observe(state, *[c.alias(name) for name, c in sums.items()]), label)
+    return table, state.get

@@ -236,3 +236,48 @@ def test_reports(spark, tmp_path):
     assert "- correctness: -" in shown and "- q (hallucinated): ?\n  made up" in shown
     evaluation.write_report(report, text, f"file://{tmp_path}", "r1")
     assert spark.read.json(f"file://{tmp_path}/r1.json").count() == 3 and spark.read.text(f"file://{tmp_path}/r1.md").count() == 5
+
+
+def test_bm25_by_both_paths_and_with_repeated_ids(spark):
+    rows = [(i % 97, [f"w{(i * j) % 23}" for j in range(i % 11)]) for i in range(150)] + [(200 + i, ["w1", "w2"]) for i in range(40)] + [(300, None)]
+    index = retrieval.Bm25(spark.createDataFrame(rows, "chunk_id long, tokens array<string>").repartition(5))
+    asked = spark.createDataFrame([(q, [f"w{(q * j) % 29}" for j in range(6)]) for q in range(12)], "query_id int, tokens array<string>")
+    shown = lambda df: {(r.query_id, r["rank"]): (r.chunk_id, round(r.score, 9)) for r in df.collect()}
+    assert index.n == 191 and index.n_repeated == 53
+    got = shown(index.search(asked, 7))
+    assert got == shown(index.search(asked, 7, sent=1)) and len(got) > 40
+
+
+def test_bm25_moves_no_row_of_a_chunks_word(spark):
+    docs = spark.createDataFrame([(i, [f"w{j}" for j in range(40)]) for i in range(300)], "chunk_id long, tokens array<string>").repartition(3)
+    asked = spark.createDataFrame([(q, ["w1", f"w{q + 2}"]) for q in range(30)], "query_id int, tokens array<string>")
+    plan = retrieval.Bm25(docs).search(asked, 3)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan and "Join" not in plan.split("Physical Plan")[1]
+
+
+def test_held_best_are_cut_as_they_grow():
+    import numpy as np
+    import pyarrow as pa
+
+    held, want = retrieval._Held(2, 10), {}
+    for at in range(0, 60, 3):
+        scores = np.round(np.sin(np.arange(at * 4, at * 4 + 12).reshape(4, 3)), 1)
+        held.add(retrieval._k_best(scores, 2), scores, pa.array([0, 1, 2, None]), pa.chunked_array([[at, at + 1, at + 2]]))
+        for q, c in np.ndindex(scores.shape):
+            want.setdefault((0, 1, 2, None)[q], []).append((-scores[q, c], at + c))
+    got = {}
+    for batch in held.rest():
+        for r in batch.to_pylist():
+            got.setdefault(r["query_id"], []).append((-r["score"], r["chunk_id"]))
+    assert got == {q: sorted(x)[:2] for q, x in want.items()} and held.n <= held.most == 16
+
+
+def test_texts_of_chunks_that_no_hit_names_do_not_travel(spark):
+    chunks = spark.createDataFrame([(str(i), "d", "c", "h", "t" * 50) for i in range(400)], "chunk_id string, doc string, clause string, chapter string, text string").repartition(3)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = answers.contexts(spark.createDataFrame([("q", "7", 1), ("q", "5", 2)], "query_id string, chunk_id string, rank int"), chunks)
+        assert [c["chunk_id"] for c in found.first()["contexts"]] == ["7", "5"]
+        assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
