@@ -43,6 +43,8 @@ def ranked(scores: DataFrame, k: int, *ties: str) -> DataFrame:
 SENT_WEIGHTS, SENT_WORDS = 4_000_000, 1_000_000
 #: Repeated ids and hits that are sent to every task, at most.
 SENT_ROWS = 500_000
+#: Queries with a clause and their candidates that are sent to every task, at most (a kilobyte or two each).
+SENT_ASKED = 10_000
 
 
 def few(rows: DataFrame, n: int) -> DataFrame:
@@ -299,20 +301,63 @@ def fuse(rankings: DataFrame, weights: dict[int, float] | None = None, k: int =
     return fused.withColumn("rank", F.row_number().over(order)).select("query_id", "chunk_id", "score", "rank")
 
 
+#: Rows that a task sorts, about.
+ROWS_A_TASK = 250_000
+
+
+def _tasks(n: int) -> int:
+    return max(1, -(-n // ROWS_A_TASK))
+
+
 def clause_ranking(refs: DataFrame, candidates: DataFrame, chunks: DataFrame) -> DataFrame:
     """query_id, chunk_id, rank: chunks of the clauses that a query names.
 
-    ``refs``: query_id, ref; ``candidates``: query_id, chunk_id, rank; ``chunks``:
-    chunk_id, doc, clause, chunk_seq. Documents with more and better candidates come
-    first; within a document candidates in their order, then the other chunks in theirs.
+    ``refs``: query_id, ref; ``candidates``: query_id, chunk_id, rank (a few a query);
+    ``chunks``: chunk_id, doc, clause, chunk_seq. Documents with more and better
+    candidates come first; within a document candidates in their order, then the other
+    chunks in theirs.
+    """
+    return _named(refs, candidates, chunks).select("query_id", "chunk_id", "rank")
+
+
+def _named(refs: DataFrame, candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``clause_ranking``, with ``before`` (the rank as a candidate) and ``fresh`` (how many up to here are none).
+
+    Rows are as many as queries and chunks share clauses. They are made with all that
+    orders them from the candidates of their query, and travel once, to as many tasks
+    as they fill.
     """
-    refs = refs.select("query_id", "ref").distinct()
-    known = chunks.select("chunk_id", "doc", clause_base("clause").alias("ref"), "chunk_seq")
-    of_docs = candidates.join(chunks.select("chunk_id", "doc").distinct(), "chunk_id").groupBy("query_id", "doc").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("affinity"))
-    named = known.join(refs, "ref").groupBy("query_id", "chunk_id").agg(F.min_by("doc", "chunk_seq").alias("doc"), F.min("chunk_seq").alias("chunk_seq"))
-    named = named.join(candidates.select("query_id", "chunk_id", F.col("rank").alias("before")), ["query_id", "chunk_id"], "left").join(of_docs, ["query_id", "doc"], "left")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.coalesce("affinity", F.lit(0.0)), 12)), F.col("before").asc_nulls_last(), "chunk_seq")
-    return named.withColumn("rank", F.row_number().over(order)).select("query_id", "chunk_id", "rank")
+    refs = refs.where("ref is not null").select("query_id", "ref").distinct()
+    known = chunks.select("chunk_id", "doc", clause_base("clause").alias("ref"), "chunk_seq").where("ref is not null")
+    best = candidates.groupBy("query_id", "chunk_id").agg(F.min("rank").alias("rank"))
+    of_docs = candidates.join(chunks.select("chunk_id", "doc").distinct(), "chunk_id").where("doc is not null").groupBy("query_id", "doc").agg(F.sum(1 / (RRF_K + F.col("rank"))).alias("affinity"))
+    pairs = lambda key, value: F.map_from_entries(F.collect_list(F.struct(key, value)))
+    asked = (
+        refs.join(refs.groupBy("query_id").agg(F.collect_list("ref").alias("refs")), "query_id")
+        .join(best.where("chunk_id is not null").groupBy("query_id").agg(pairs("chunk_id", "rank").alias("ranks")), "query_id", "left")
+        .join(of_docs.groupBy("query_id").agg(pairs("doc", "affinity").alias("affinities")), "query_id", "left")
+    )
+    asked, seen = measured(asked, "asked", n=F.count("*"))
+    # A chunk of several clauses stands by the first of those that the query names.
+    dealt = known.repartition(_tasks(chunks.count()), "chunk_id")
+    of_ref = dealt.groupBy("chunk_id", "ref").agg(F.min_by("doc", "chunk_seq").alias("doc"), F.min("chunk_seq").alias("chunk_seq"))
+    ahead = Window.partitionBy("chunk_id").orderBy("chunk_seq", "ref").rowsBetween(Window.unboundedPreceding, -1)
+    of_ref = written(of_ref.withColumn("ahead", F.collect_list("ref").over(ahead)), "clauses")
+    sizes = asked.groupBy("ref").agg(F.count("*").alias("asked")).join(of_ref.groupBy("ref").agg(F.count("*").alias("known")), "ref")
+    n = sizes.agg(F.sum(F.col("asked") * F.col("known"))).first()[0] or 0
+    if seen["n"] <= SENT_ASKED:
+        met = of_ref.join(F.broadcast(asked), "ref")
+    else:  # a clause of many chunks meets its queries in many parts
+        parts = _tasks(chunks.count())
+        left = of_ref.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int"))
+        met = left.join(asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), ["ref", "part"])
+    rows = met.where(~F.arrays_overlap("ahead", "refs")).select(
+        "query_id", "chunk_id", "chunk_seq", F.try_element_at("ranks", "chunk_id").alias("before"), F.round(F.coalesce(F.try_element_at("affinities", "doc"), F.lit(0.0)), 12).alias("affinity")
+    )
+    order = Window.partitionBy("query_id").orderBy(F.desc("affinity"), F.col("before").asc_nulls_last(), "chunk_seq")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = rows.repartition(_tasks(n), "query_id")
+    return placed.select("query_id", "chunk_id", F.row_number().over(order).alias("rank"), "before", F.count_if(F.col("before").isNull()).over(upto).alias("fresh"))
 
 
 def hybrid(vector: DataFrame, keyword: DataFrame | None, refs: DataFrame, chunks: DataFrame, k: int = 5, bm25_weight: float = BM25_WEIGHT) -> DataFrame:
@@ -322,8 +367,10 @@ def hybrid(vector: DataFrame, keyword: DataFrame | None, refs: DataFrame, chunks
     if bm25_weight > 0 and keyword is not None:
         rankings = rankings.unionByName(keyword.select("query_id", "chunk_id", "rank").withColumn("ranking_no", F.lit(1)))
         weights[1] = bm25_weight
-    named = clause_ranking(refs, fuse(rankings, weights), chunks).withColumn("ranking_no", F.lit(2))
-    return fuse(rankings.unionByName(named), weights).where(F.col("rank") <= k)
+    rankings = written(rankings, "rankings")
+    # A chunk that stands in the clause ranking alone is behind all such chunks before it: beyond the k-th none is among the k best.
+    named = _named(refs, fuse(rankings, weights), chunks).where(F.col("before").isNotNull() | (F.col("fresh") <= k))
+    return fuse(rankings.unionByName(named.select("query_id", "chunk_id", "rank").withColumn("ranking_no", F.lit(2))), weights).where(F.col("rank") <= k)
 
 
 def preview(text: Column | str, n: int = 60) -> Column:

@@ -281,3 +281,46 @@ def test_texts_of_chunks_that_no_hit_names_do_not_travel(spark):
         assert "SortMergeJoin" not in found._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _clauses(spark):
+    """Chunks of several clauses and documents, null ones too, and queries that name some."""
+    chunks = [(f"c{i % 140}", f"d{i * 7 % 11}" if i % 13 else None, f"ข้อ {i * i % 9}/{i % 3}" if i % 17 else None, i * 31 % 211) for i in range(200)]
+    found = [(q, f"c{(q * 37 + r * r) % 140}", r) for q in range(14) for r in range(1, 9)]
+    refs = [(q, f"ข้อ {(q + j) % 10}") for q in range(12) for j in range(q % 4)] + [(1, None)]
+    make = spark.createDataFrame
+    return make(refs, "query_id int, ref string"), make(found, "query_id int, chunk_id string, rank int").dropDuplicates(["query_id", "chunk_id"]), make(chunks, "chunk_id string, doc string, clause string, chunk_seq long")
+
+
+@pytest.mark.parametrize("sent", [10_000, 0])
+def test_clause_ranking_by_its_definition(spark, monkeypatch, sent):
+    monkeypatch.setattr(retrieval, "ROWS_A_TASK", 50)
+    monkeypatch.setattr(retrieval, "SENT_ASKED", sent)
+    refs, found, chunks = _clauses(spark)
+    of_chunk, docs = {}, {}
+    for c in chunks.collect():
+        docs.setdefault(c.chunk_id, set()).add(c.doc)
+        if c.clause:
+            of_chunk.setdefault(c.chunk_id, []).append((c.chunk_seq, c.doc, c.clause.split("/")[0]))
+    want = {}
+    for q in range(14):
+        named, before = {r.ref for r in refs.collect() if r.query_id == q and r.ref}, {r.chunk_id: r["rank"] for r in found.collect() if r.query_id == q}
+        affinity = {}
+        for c, r in before.items():
+            for d in docs.get(c, set()) - {None}:
+                affinity[d] = affinity.get(d, 0) + 1 / (60 + r)
+        rows = [(min(x for x in of if x[2] in named), c) for c, of in of_chunk.items() if any(x[2] in named for x in of)]
+        placed = sorted((-round(affinity.get(d, 0), 12), before.get(c, 10**9), seq, c) for (seq, d, _), c in rows)
+        want |= {(q, c): n for n, (*_, c) in enumerate(placed, 1)}
+    found_at = {(r.query_id, r.chunk_id): r["rank"] for r in retrieval.clause_ranking(refs, found, chunks).collect()}
+    assert found_at == want and len(want) == 295
+
+
+def test_hybrid_fuses_only_named_chunks_that_can_be_among_the_best(spark, monkeypatch):
+    refs, found, chunks = _clauses(spark)
+    seen, fuse = [], retrieval.fuse
+    monkeypatch.setattr(retrieval, "fuse", lambda rankings, *a: (seen.append(rankings), fuse(rankings, *a))[1])
+    got = rows(retrieval.hybrid(found, None, refs, chunks, 4).orderBy("query_id", "rank"))
+    every = found.withColumn("ranking_no", F.lit(0)).unionByName(retrieval.clause_ranking(refs, found, chunks).withColumn("ranking_no", F.lit(2)))
+    assert got == rows(fuse(every, {0: 1.0, 2: 1.0}).where("rank <= 4").orderBy("query_id", "rank"))
+    assert seen[-1].count() <= found.count() * 2 + 4 * 14 < every.count()
