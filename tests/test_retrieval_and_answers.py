@@ -324,3 +324,13 @@ def test_hybrid_fuses_only_named_chunks_that_can_be_among_the_best(spark, monkey
     every = found.withColumn("ranking_no", F.lit(0)).unionByName(retrieval.clause_ranking(refs, found, chunks).withColumn("ranking_no", F.lit(2)))
     assert got == rows(fuse(every, {0: 1.0, 2: 1.0}).where("rank <= 4").orderBy("query_id", "rank"))
     assert seen[-1].count() <= found.count() * 2 + 4 * 14 < every.count()
+
+
+def test_scores_at_once_are_bounded():
+    import numpy as np
+    import pyarrow as pa
+
+    vectors = pa.table({"chunk_id": list(range(12_000)), "embedding": [[float(i % 7), 1.0] for i in range(12_000)]})
+    asked = retrieval._units(pa.chunked_array([[[1.0, float(i % 5)] for i in range(300)]]))
+    sizes = [scores.size for _, scores, *_ in retrieval._cosines(3, vectors, pa.array(np.arange(300)), asked)]
+    assert sum(sizes) == 12_000 * 300 and max(sizes) <= retrieval.SCORES_AT_ONCE
