@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from clauselake.functions.text import LINES, S, arabic_digits, clean, col, doc_slug, slug, strip
-from clauselake.sources.scratch import written
+from clauselake.sources.scratch import measured, written
 
 # Heading patterns, the label of a preamble, and sizes of chunks.
 CLAUSE = rf"{LINES}^{S}*(ข้อ|มาตรา){S}+(\d+(?:/\d+)?){S}*"
@@ -24,6 +24,9 @@ MAX_CHARS, OVERLAP = 1200, 200
 FALLBACK_CHARS, FALLBACK_OVERLAP = 1000, 200
 SHORT_CHUNK = 15
 
+#: Characters of documents that a task cuts, about; a document counts as 200 at least.
+CHARS_A_TASK = 8_000_000
+
 CHUNK = "id string, doc string, clause string, chapter string, text string, chunk_seq long"
 
 
@@ -171,9 +174,12 @@ def chunk_documents(docs: DataFrame, max_chars: int = MAX_CHARS, overlap: int =
     A segment reaches from an accepted heading to the next. What stands before the
     first, chapter headings taken out, is the preamble. Documents without a heading
     are cut by length alone. Null text is empty text; ids of equal labels are equal.
-    Documents are placed by ``doc`` once; texts meet no join.
+    Documents are written, then placed by ``doc`` once, in as many tasks as they fill;
+    texts meet no join.
     """
-    segments = _segments(docs.select("doc", F.coalesce("text", F.lit("")).alias("text")))
+    size = F.sum(F.greatest(F.length("text"), F.lit(200)))
+    texts, seen = measured(docs.select("doc", F.coalesce("text", F.lit("")).alias("text")), "documents", chars=size)
+    segments = _segments(texts.repartition(max(1, -(-(seen["chars"] or 0) // CHARS_A_TASK)), "doc"))
     of_doc = Window.partitionBy("doc").orderBy("seg")
     segments = segments.withColumn("plain", (F.col("seg") == 0) & F.lead("seg").over(of_doc).isNull())
     body = strip(F.when(F.col("seg") == 0, F.regexp_replace("text", CHAPTER, "")).otherwise(F.col("text")))

@@ -108,7 +108,10 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document of clauses per order: a clause a line, a chapter heading where the return flag changes."""
     line = F.concat_ws(" ", F.lit("ข้อ"), F.col("l_linenumber").cast("string"), "l_linestatus", F.col("l_partkey").cast("string"))
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_returnflag").alias("flag"), line.alias("line"))))
-    docs = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("doc")).agg(lines.alias("lines"))
+    items = table(spark, sf_dir, "lineitem")
+    # Lists of a task are sorted: as many tasks as lines fill.
+    dealt = items.repartition(max(1, -(-items.count() // 500_000)), F.col("l_orderkey").cast("string"))
+    docs = dealt.groupBy(F.col("l_orderkey").cast("string").alias("doc")).agg(lines.alias("lines"))
 
     def shown(x, i):
         new = (i == 0) | (F.get("lines", i - 1)["flag"] != x["flag"])

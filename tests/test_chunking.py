@@ -155,3 +155,14 @@ def test_chunks_equal_a_loop_over_the_text(spark):
 
 def test_no_documents_no_chunks(spark):
     assert chunks(spark) == []
+
+
+def test_documents_go_to_as_many_tasks_as_they_fill(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"d{i}", f"x\nข้อ {i % 4} a\nหมวด 1 b\nข้อ {i % 3} c\nข้อ 9 d" if i % 9 else None) for i in range(100)], "doc string, text string")
+    want = [tuple(r) for r in chunking.chunk_documents(docs).collect()]
+    monkeypatch.setattr(chunking, "CHARS_A_TASK", 1000)
+    found = chunking.chunk_documents(docs)
+    plan = found._jdf.queryExecution().toString()
+    assert sorted(tuple(map(str, r)) for r in found.collect()) == sorted(tuple(map(str, r)) for r in want)
+    assert "REPARTITION_BY_NUM" in plan and ", 20)" in plan and plan.split("Physical Plan")[1].count("Exchange") == 1
+    assert chunking.chunk_documents(docs.limit(0)).count() == 0
