@@ -22,6 +22,7 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,20 +138,61 @@ def segmenter(dictionary: DataFrame, word: str = "word", unspaced: str = UNSPACE
     words = _words(dictionary, word)
     if _letters(words) > most:
         raise ValueError(f"the dictionary has more than {most} letters; use segmented()")
-    trie, parts = Trie(r[0] for r in words.collect()), _pattern(unspaced)
+    trie, parts = _trie(words), _pattern(unspaced)
 
     @F.pandas_udf("array<string>")
     def segment(runs: pd.Series) -> pd.Series:
-        known: dict[str, list[str]] = {}
+        return runs.map(_cutter(trie, parts))
 
-        def of(run: str) -> list[str]:
-            if run not in known:
-                known[run] = [w for piece, un in _pieces(run, parts) for w in (least_path(piece, lambda k: trie.ends(piece, k)) if un else [piece])]
-            return known[run]
+    return lambda text: segment(_runs(text))
 
-        return runs.map(lambda texts: [w for run in (() if texts is None else texts) for w in of(run)])
 
-    return lambda text: segment(F.regexp_extract_all(F.lower(col(text)), F.lit(RUN), F.lit(0)))
+def _runs(text: Column | str) -> Column:
+    return F.regexp_extract_all(F.lower(col(text)), F.lit(RUN), F.lit(0))
+
+
+#: Letters whose words a task holds at once, and letters of runs whose words it remembers.
+LETTERS_AT_ONCE = 500_000
+
+
+def _cutter(trie: Trie, parts: re.Pattern[str]) -> Callable[[Iterable[str] | None], list[str]]:
+    """The words of the runs of a text. Runs are remembered while they have few letters in all."""
+    known: dict[str, list[str]] = {}
+    letters = 0
+
+    def of(run: str) -> list[str]:
+        nonlocal letters
+        if run not in known:
+            if letters > LETTERS_AT_ONCE:
+                known.clear()
+                letters = 0
+            letters += len(run)
+            known[run] = [w for piece, un in _pieces(run, parts) for w in (least_path(piece, lambda k: trie.ends(piece, k)) if un else [piece])]
+        return known[run]
+
+    return lambda runs: [w for run in (() if runs is None else runs) for w in of(run)]
+
+
+def _cut_in_slices(trie: Trie, parts: re.Pattern[str]):
+    """Batches of key and runs to key and tokens. A batch of texts is cut a few at a time: words of all of them are never there at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = _cutter(trie, parts)
+        for batch in batches:
+            keys, runs = batch.columns
+            held, begin, size = [], 0, 0
+            for at in range(batch.num_rows):
+                held.append(cut(runs[at].as_py()))
+                size += sum(map(len, held[-1]))
+                if size >= LETTERS_AT_ONCE or at + 1 == batch.num_rows:
+                    yield pa.RecordBatch.from_arrays([keys.slice(begin, len(held)), pa.array(held, pa.list_(pa.string()))], names=batch.schema.names)
+                    held, begin, size = [], at + 1, 0
+
+    return run
+
+
+def _trie(words: DataFrame) -> Trie:
+    return Trie(r[0] for r in words.collect())
 
 
 def _words(dictionary: DataFrame, word: str) -> DataFrame:
@@ -165,10 +207,10 @@ def segmented(texts: DataFrame, dictionary: DataFrame, key: str, text: str, word
     """key, tokens of every row of ``texts``, with a dictionary of any size. Keys may be null or repeated."""
     words = _words(dictionary, word)
     if _letters(words) <= most:
-        return texts.select(F.col(key), segmenter(dictionary, word, unspaced, most)(text).alias("tokens"))
+        rows = texts.select(F.col(key), _runs(text).alias("tokens"))
+        return rows.mapInArrow(_cut_in_slices(_trie(words), _pattern(unspaced)), rows.schema)
     # Runs meet the dictionary by their substrings; equal runs once.
-    runs = F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0))
-    numbered = texts.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n")).alias("row"), runs.alias("runs"))
+    numbered = texts.select(F.struct(F.col(key).alias("key"), F.monotonically_increasing_id().alias("n")).alias("row"), _runs(text).alias("runs"))
     placed = written(numbered.select("row", F.posexplode_outer("runs").alias("at", "run")), "runs")
     of_runs = placed.where("run is not null").select("run").distinct().select("run", F.explode(F.regexp_extract_all("run", F.lit(f"[{unspaced}]+"), F.lit(0))).alias("piece")).select("piece").distinct()
     longest = words.agg(F.max(F.length("word"))).first()[0] or 0

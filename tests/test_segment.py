@@ -149,3 +149,17 @@ def test_query_equals_plain_least_path(spark):
         want[doc_id] = (len(words), hashlib.sha256(" ".join(words).encode()).hexdigest())
     got = {r.doc_id: (r.n, r.words) for r in QUERIES["segment_words"](spark, folder).collect()}
     assert len(want) > 50 and {k: got[k] for k in want} == want
+
+
+def test_words_of_a_batch_are_never_there_at_once(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(segment, "LETTERS_AT_ONCE", 100)
+    runs = [[f"{'ab' * (i % 7)}x{i}", "ab"] for i in range(90)] + [None, []]
+    batch = pa.record_batch({"k": list(range(92)), "tokens": pa.array(runs, pa.list_(pa.string()))})
+    trie, parts = segment.Trie(["ab", "x"]), segment._pattern("a-z")
+    found = [*segment._cut_in_slices(trie, parts)(iter([batch, batch.slice(90)]))]
+    assert max(sum(len(w) for words in b.column(1).to_pylist() for w in words) for b in found) < 130 and len(found) > 8
+    got = [r for b in found for r in b.to_pylist()]
+    want = [[w for run in row or () for piece, un in segment._pieces(run, parts) for w in (segment.least_path(piece, lambda k: trie.ends(piece, k)) if un else [piece])] for row in runs]
+    assert [r["tokens"] for r in got] == want + [[], []] and [r["k"] for r in got] == [*range(92), 90, 91]
