@@ -28,6 +28,7 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +43,8 @@ SPACE_RUN = re.compile(r"\s ")
 REMEMBERED_CHARS = 64
 #: Rows whose ids are held at once.
 ROWS = 1000
+#: Characters of texts that are cut at once: the more, the fewer different words are looked up for each.
+CHARS = 2_000_000
 
 
 class RankQueue:
@@ -97,17 +100,52 @@ class Memory:
 
     def look_up(self, lists: list[list[str]]) -> dict:
         """The value of each piece in the lists, and of others. Those not known are made in one call."""
+        self.values([*set(chain.from_iterable(lists))])
+        return self.known
+
+    def values(self, different: list[str]) -> list:
+        """The value of each piece; no piece stands twice. Those not known are made in one call."""
         for p in self.long:
             del self.known[p]
         if len(self.known) > self.most:
             self.old, self.known = self.known, {}
-        missing = set(chain.from_iterable(lists)).difference(self.known)
-        got = {p: self.old[p] for p in missing if p in self.old}
-        self.known.update(got)
-        unknown = [p for p in missing if p not in got]
-        self.known.update(zip(unknown, self.make(unknown), strict=True))
+        values = [*map(self.known.get, different)]
+        missing = [i for i, v in enumerate(values) if v is None]
+        unknown: list[str] = []
+        places: list[int] = []
+        for i in missing:
+            if (v := self.old.get(p := different[i])) is None:
+                unknown.append(p)
+                places.append(i)
+            else:
+                self.known[p] = values[i] = v
+        made = self.make(unknown)
+        self.known.update(zip(unknown, made, strict=True))
+        for i, v in zip(places, made, strict=True):
+            values[i] = v
         self.long = [p for p in unknown if len(p) > REMEMBERED_CHARS]
-        return self.known
+        return values
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The values (ids of four bytes each) of the pieces of each text, one after another; texts can be cut at spaces.
+
+        A piece that stands often in the texts is looked up once; words are told apart and put in line by arrays.
+        """
+        if not texts:
+            return []
+        pieces = pc.split_pattern(pa.array(["\0" + t for t in texts], pa.large_string()), " ")
+        words = pc.dictionary_encode(pieces.flatten())
+        values = self.values(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        lengths = np.fromiter(map(len, values), np.int64, len(values)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        of = words.indices.to_numpy()
+        n = lengths[of]
+        ends = np.cumsum(n)
+        places = np.repeat(starts[of] - (ends - n), n)
+        places += np.arange(len(places))
+        data = np.frombuffer(b"".join(values), "<u4")[places].tobytes()
+        cuts = (4 * np.concatenate([[0], ends])[pieces.offsets.to_numpy()]).tolist()
+        return [data[a:b] for a, b in pairwise(cuts)]
 
 
 def in_portions(texts: list, encode: Callable[[list], list], chars: int = 1_000_000) -> list:
@@ -124,21 +162,19 @@ def in_portions(texts: list, encode: Callable[[list], list], chars: int = 1_000_
     return out + encode(held)
 
 
-def cut_at_spaces(text: str) -> list[str] | None:
-    """The words of ``text`` between spaces; None if it must be matched whole.
+def cuts_at_spaces(text: str) -> bool:
+    """Whether ``text`` can be cut into the words between its spaces; otherwise it must be matched whole.
 
     A space that follows another character than white space begins a match of the
     pattern, whatever surrounds it. So a text without a space in a run of white space
     can be cut before every space. The first piece, which has no space before it, is
     marked by a null character; texts that have one are left whole.
     """
-    if SPACE_RUN.search(text) or "\0" in text:
-        return None
-    return ("\0" + text).split(" ")
+    return not SPACE_RUN.search(text) and "\0" not in text
 
 
 def piece_text(piece: str) -> str:
-    """The text that a piece of ``cut_at_spaces`` stands for."""
+    """The text that a piece of ``Memory.joined`` stands for."""
     return piece[1:] if piece[:1] == "\0" else " " + piece
 
 
@@ -260,17 +296,17 @@ class ByteBpe:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text, as arrays."""
         with no_cycles():
-            return in_portions(texts, self._ids)
+            return in_portions(texts, self._ids, CHARS)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """Token ids of each text."""
         return [x.tolist() for x in self.ids(texts)]
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [cut_at_spaces(t) for t in texts]
-        whole = iter(self._matched([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        get = self.of_pieces.look_up([pieces for pieces in cut if pieces is not None]).__getitem__
-        return [np.frombuffer(next(whole) if pieces is None else b"".join(map(get, pieces)), "<u4") for pieces in cut]
+        cuts = [cuts_at_spaces(t) for t in texts]
+        whole = iter(self._matched([t for t, c in zip(texts, cuts, strict=True) if not c]))
+        joined = iter(self.of_pieces.joined([t for t, c in zip(texts, cuts, strict=True) if c]))
+        return [np.frombuffer(next(joined if c else whole), "<u4") for c in cuts]
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes that a list of ids stands for."""

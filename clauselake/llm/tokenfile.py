@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselake.llm.bpe import Memory, cut_at_spaces, in_portions, piece_text
+from clauselake.llm.bpe import CHARS, Memory, cuts_at_spaces, in_portions, piece_text
 from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, slices, written
 
 MAGIC = b"CLWM0001"
@@ -185,7 +185,7 @@ class LibraryEncoder:
     """The tokenizers library over whole texts.
 
     Where the tokenizer splits as the byte-level pattern does and has no normaliser,
-    texts are cut at spaces first (see ``cut_at_spaces``): each piece goes to the
+    texts are cut at spaces first (see ``cuts_at_spaces``): each piece goes to the
     library once and its ids are remembered. Other texts, those that hold an added
     token's string, and all texts of other tokenizers go to the library whole.
     """
@@ -216,7 +216,7 @@ class LibraryEncoder:
     def _pieces(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces. Words with a space before them stand in line as one text; the ids are told apart by their bytes."""
         found: dict[str, bytes] = {}
-        inner = [p for p in pieces if p and p[0] != "\0" and not p[0].isspace() and not p[-1].isspace()]
+        inner = [p for p in pieces if p and p[0] != "\0" and p.strip() == p]
         for i in range(0, len(inner), self.together):
             line = inner[i : i + self.together]
             (x,) = self.tokenizer.encode_batch_fast([" " + " ".join(line)], add_special_tokens=False)
@@ -232,13 +232,13 @@ class LibraryEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         with no_cycles():
-            return in_portions(texts, self._encode if self.cuts else self._library)
+            return in_portions(texts, self._encode, CHARS) if self.cuts else in_portions(texts, self._library)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.added and self.added.search(t) else cut_at_spaces(t) for t in texts]
-        whole = iter(self._library([t for t, pieces in zip(texts, cut, strict=True) if pieces is None]))
-        get = self.of_pieces.look_up([pieces for pieces in cut if pieces is not None]).__getitem__
-        return [next(whole) if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
+        cuts = [cuts_at_spaces(t) and not (self.added and self.added.search(t)) for t in texts]
+        whole = iter(self._library([t for t, c in zip(texts, cuts, strict=True) if not c]))
+        joined = iter(self.of_pieces.joined([t for t, c in zip(texts, cuts, strict=True) if c]))
+        return [next(joined if c else whole) for c in cuts]
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> str:

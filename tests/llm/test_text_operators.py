@@ -310,6 +310,17 @@ def test_round_trip_query(spark, odd, no_docs):
     assert sorted(bytes(r["bytes"]) for r in bpe.decode(tokens, vocabulary).collect()) == sorted((r["text"] or "").encode() for r in rows(odd))
 
 
+def test_words_of_texts_are_looked_up_once_each(monkeypatch):
+    model = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    encoder, library = tokenfile.LibraryEncoder(model, remembered=3), Tokenizer.from_str(model)
+    asked: list[list[str]] = []
+    values = bpe.Memory.values
+    monkeypatch.setattr(bpe.Memory, "values", lambda self, different: asked.append(different) or values(self, different))
+    texts = ["the cat the cat the", "the cat\u0e01 sat.\nThe", "", " ", "a  b", "x\0 y", "<|endoftext|> cat", "\u3000 the", "q" * 100 + " the"] * 50
+    assert encoder.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert asked and all(len(set(x)) == len(x) < 20 for x in asked)
+
+
 def test_shard_access_count_and_occurrence():
     rng = np.random.default_rng(1)
     tokens = rng.zipf(1.3, 200_000).clip(0, 50_000).astype(np.uint32)
