@@ -43,8 +43,8 @@ SPACE_RUN = re.compile(r"\s ")
 REMEMBERED_CHARS = 64
 #: Rows whose ids are held at once.
 ROWS = 1000
-#: Characters of texts that are cut at once: the more, the fewer different words are looked up for each.
-CHARS = 2_000_000
+#: Characters of texts that are cut at once. What is made of them, and new pieces over what is remembered, are in a worker's memory together.
+CHARS = 300_000
 
 
 class RankQueue:

@@ -41,11 +41,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselake.llm.bpe import CHARS, Memory, cuts_at_spaces, in_portions, piece_text
+from clauselake.llm.bpe import Memory, cuts_at_spaces, in_portions, piece_text
 from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, slices, written
 
 MAGIC = b"CLWM0001"
 BLOCK_BITS = 65_536
+#: Characters of texts that are cut at once: the more, the fewer different words are looked up for each.
+CHARS = 2_000_000
 
 
 def build(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:

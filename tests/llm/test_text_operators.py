@@ -310,6 +310,16 @@ def test_round_trip_query(spark, odd, no_docs):
     assert sorted(bytes(r["bytes"]) for r in bpe.decode(tokens, vocabulary).collect()) == sorted((r["text"] or "").encode() for r in rows(odd))
 
 
+def test_few_texts_of_a_batch_are_encoded_at_once(monkeypatch):
+    coder = bpe.ByteBpe({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN)
+    sizes: list[int] = []
+    encode = bpe.ByteBpe._ids
+    monkeypatch.setattr(bpe.ByteBpe, "_ids", lambda self, texts: sizes.append(sum(map(len, texts))) or encode(self, texts))
+    texts = [f"w{i} " * 1000 for i in range(400)]
+    assert [bytes(x) for x in coder.encode(texts)] == [t.encode() for t in texts]
+    assert max(sizes) < 310_000 and sum(sizes) == sum(map(len, texts))
+
+
 def test_words_of_texts_are_looked_up_once_each(monkeypatch):
     model = open(public_tokenizers.path("byte_bpe_50k.json")).read()
     encoder, library = tokenfile.LibraryEncoder(model, remembered=3), Tokenizer.from_str(model)
