@@ -213,15 +213,23 @@ class _Held:
         return self._cut().to_batches() if self.held else []
 
 
+#: Queries whose best are held, and cut back, together.
+QUERIES_HELD = 1_000
+
+
 def _best_of_all(k: int, asked: pa.Table, held_rows: int = 250_000):
-    """The k best of each query among a task's vectors, batch by batch; what is held is cut back to the best as it grows."""
+    """The k best of each query among a task's vectors, batch by batch; what is held of some queries is cut back to the best as it grows."""
 
     def run(batches):
-        held, ids, wanted = _Held(k, held_rows), asked.column("query_id").combine_chunks(), _units(asked.column("wanted"))
+        ids, (rows, norms) = asked.column("query_id").combine_chunks(), _units(asked.column("wanted"))
+        held = {low: _Held(k, min(held_rows, 2 * k * QUERIES_HELD)) for low in range(0, len(ids), QUERIES_HELD)}
         for batch in batches:
-            for best, scores, some, chunk_ids in _cosines(k, pa.Table.from_batches([batch]), ids, wanted):
-                held.add(best, scores, some, chunk_ids)
-        yield from held.rest()
+            for low, best in held.items():
+                some = slice(low, low + QUERIES_HELD)
+                for found in _cosines(k, pa.Table.from_batches([batch]), ids[some], (rows[some], norms[some])):
+                    best.add(*found)
+        for best in held.values():
+            yield from best.rest()
 
     return run
 

@@ -334,3 +334,20 @@ def test_scores_at_once_are_bounded():
     asked = retrieval._units(pa.chunked_array([[[1.0, float(i % 5)] for i in range(300)]]))
     sizes = [scores.size for _, scores, *_ in retrieval._cosines(3, vectors, pa.array(np.arange(300)), asked)]
     assert sum(sizes) == 12_000 * 300 and max(sizes) <= retrieval.SCORES_AT_ONCE
+
+
+def test_the_best_of_a_few_queries_are_cut_back_together(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    vectors, wanted = rng.standard_normal((900, 4)), rng.standard_normal((250, 4))
+    batches = [pa.RecordBatch.from_pydict({"chunk_id": list(range(i, i + 100)), "embedding": vectors[i : i + 100].tolist()}) for i in range(0, 900, 100)]
+    sizes, cut = [], retrieval._Held._cut
+    monkeypatch.setattr(retrieval._Held, "_cut", lambda self: sizes.append(self.n) or cut(self))
+    monkeypatch.setattr(retrieval, "QUERIES_HELD", 20)
+    found = pa.Table.from_batches(retrieval._best_of_all(3, pa.table({"query_id": list(range(250)), "wanted": wanted.tolist()}))(batches))
+    cosines = wanted @ vectors.T / np.linalg.norm(vectors, axis=1)
+    got = sorted(zip(found["query_id"].to_pylist(), found["chunk_id"].to_pylist(), strict=True))
+    assert got == sorted((q, int(c)) for q in range(250) for c in np.argsort(-cosines[q])[:3])
+    assert max(sizes) <= 2 * 3 * 20 + 3 * 20
