@@ -134,7 +134,11 @@ class Memory:
         if not texts:
             return []
         pieces = pc.split_pattern(pa.array(["\0" + t for t in texts], pa.large_string()), " ")
-        words = pc.dictionary_encode(pieces.flatten())
+        return self.in_line(pieces.flatten(), pieces.offsets.to_numpy())
+
+    def in_line(self, pieces: pa.Array, cuts: np.ndarray) -> list[bytes]:
+        """The values of the pieces from each cut to the next, one after another."""
+        words = pc.dictionary_encode(pieces)
         values = self.values(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         lengths = np.fromiter(map(len, values), np.int64, len(values)) >> 2
         starts = np.cumsum(lengths) - lengths
@@ -144,7 +148,7 @@ class Memory:
         places = np.repeat(starts[of] - (ends - n), n)
         places += np.arange(len(places))
         data = np.frombuffer(b"".join(values), "<u4")[places].tobytes()
-        cuts = (4 * np.concatenate([[0], ends])[pieces.offsets.to_numpy()]).tolist()
+        cuts = (4 * np.concatenate([[0], ends])[cuts]).tolist()
         return [data[a:b] for a, b in pairwise(cuts)]
 
 

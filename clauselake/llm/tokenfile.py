@@ -30,24 +30,26 @@ import json
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from clauselake.llm.bpe import Memory, cuts_at_spaces, in_portions, piece_text
-from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, slices, written
+from clauselake.llm.bpe import Memory, in_portions
+from clauselake.llm.shared import fresh_path, held_by_worker, no_cycles, portions, written
 
 MAGIC = b"CLWM0001"
 BLOCK_BITS = 65_536
 #: Characters of texts that are cut at once: the more, the fewer different words are looked up for each.
-CHARS = 2_000_000
+CHARS = 4_000_000
 
 
 def build(ids: list[int | None], lengths: np.ndarray, tokens: np.ndarray) -> bytes:
@@ -183,13 +185,44 @@ class Shard:
         return tokens
 
 
+#: ASCII white space, letters, and characters that the pattern takes for none of white space, letters and digits.
+SPACES, LETTERS, MARKS = (np.array([bool(re.match(kind, chr(b))) for b in range(128)] + [False] * 128) for kind in ("[\\x09-\\x0D ]", "[A-Za-z]", "[!-/:-@[-`{-~]"))
+#: Control characters that only some count as white space, and white space beyond ASCII beside other white space.
+ODD_SPACE = r"[\x1c-\x1f]|[\x09-\x0D ]{0}|{0}[\x09-\x0D ]".format("[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+
+
+def cut_places(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where texts are cut that stand one after another in UTF-8 and hold no ``ODD_SPACE``: places at which a match of the byte-level pattern begins.
+
+    These are white space after another character, the last space of a run of white
+    space before another character, and marks after a letter. What the pattern matches
+    from there on, it matches in what is left of the text too; and a match that ends
+    there ends there as well where the text stops.
+    """
+    space = SPACES[data]
+    letter = LETTERS[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)  # the letters from U+00C0 on, but for two signs
+    word_next = np.append(~space[1:], False)
+    word_next[ends[ends > 0] - 1] = False
+    cut = np.ones(len(data), bool)
+    cut[1:] = np.where(space[1:], ~space[:-1] | ((data[1:] == 0x20) & word_next[1:]), MARKS[data[1:]] & letter[:-1])
+    cut[ends[ends < len(data)]] = True
+    return np.flatnonzero(cut)
+
+
+def _packed(ids: list[int]) -> np.ndarray:
+    """Little-endian unsigned 32-bit integers; ``array`` reads a list faster than numpy does."""
+    return np.frombuffer(array("I", ids), np.uintc).astype("<u4", copy=False)
+
+
 class LibraryEncoder:
     """The tokenizers library over whole texts.
 
     Where the tokenizer splits as the byte-level pattern does and has no normaliser,
-    texts are cut at spaces first (see ``cuts_at_spaces``): each piece goes to the
-    library once and its ids are remembered. Other texts, those that hold an added
-    token's string, and all texts of other tokenizers go to the library whole.
+    texts are cut first where the pattern cuts too (see ``cut_places``): each piece goes
+    to the library once and its ids are remembered. Other texts, those that hold an added
+    token's string or odd white space, and all texts of other tokenizers go to the
+    library whole.
     """
 
     def __init__(self, model: str, remembered: int = 300_000, together: int = 200) -> None:
@@ -201,9 +234,8 @@ class LibraryEncoder:
         split = parts.get("pre_tokenizer") or {}
         changes = any(parts.get(x) is not None for x in ("normalizer", "truncation", "padding"))
         self.cuts = not changes and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
-        # The library finds these in a text before it splits.
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(added)) if added else None
+        # The library finds added tokens in a text before it splits.
+        self.whole = "|".join([ODD_SPACE, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
         vocabulary = self.tokenizer.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         for token, i in vocabulary.items():
@@ -212,24 +244,27 @@ class LibraryEncoder:
         self.of_pieces = Memory(self._pieces, remembered)
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        some = lambda part: [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        some = lambda part: [_packed(x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
         return in_portions(texts, some, 100_000)  # what the library makes is many times as large as a text
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces. Words with a space before them stand in line as one text; the ids are told apart by their bytes."""
-        found: dict[str, bytes] = {}
-        inner = [p for p in pieces if p and p[0] != "\0" and p.strip() == p]
-        for i in range(0, len(inner), self.together):
-            line = inner[i : i + self.together]
-            (x,) = self.tokenizer.encode_batch_fast([" " + " ".join(line)], add_special_tokens=False)
-            ids = np.array(x.ids, "<u4")
-            ends = np.cumsum([len(p) + 1 if p.isascii() else len(p.encode()) + 1 for p in line])
+        """Ids of pieces. Those with one white space before them and none behind stand in line as one text; the ids are told apart by their bytes."""
+        inner = [len(p) > 1 and p[1:] == p.strip() for p in pieces]
+        lines = [*compress(pieces, inner)]
+        found: list[bytes] = []
+        for i in range(0, len(lines), self.together):
+            line = lines[i : i + self.together]
+            (x,) = self.tokenizer.encode_batch_fast([text := "".join(line)], add_special_tokens=False)
+            ids = _packed(x.ids)
+            ends = np.cumsum([*map(len, line if text.isascii() else map(str.encode, line))])
             cuts = (4 * np.searchsorted(np.cumsum(self.n_bytes[ids]), ends) + 4).tolist()
             data = ids.tobytes()
-            found.update(zip(line, map(data.__getitem__, map(slice, chain((0,), cuts), cuts)), strict=False))
-        rest = [p for p in pieces if p not in found]
-        found.update(zip(rest, self._library([piece_text(p) for p in rest]), strict=True))
-        return [found[p] for p in pieces]
+            found += map(data.__getitem__, map(slice, chain((0,), cuts), cuts))
+        if len(lines) == len(pieces):
+            return found
+        in_line = iter(found)
+        rest = iter(self._library([p for p, m in zip(pieces, inner, strict=True) if not m]))
+        return [next(in_line if m else rest) for m in inner]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
@@ -237,10 +272,23 @@ class LibraryEncoder:
             return in_portions(texts, self._encode, CHARS) if self.cuts else in_portions(texts, self._library)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        cuts = [cuts_at_spaces(t) and not (self.added and self.added.search(t)) for t in texts]
-        whole = iter(self._library([t for t, c in zip(texts, cuts, strict=True) if not c]))
-        joined = iter(self.of_pieces.joined([t for t, c in zip(texts, cuts, strict=True) if c]))
-        return [next(joined if c else whole) for c in cuts]
+        if not texts:
+            return []
+        every = pa.array(texts, pa.large_string())
+        whole = pc.match_substring_regex(every, self.whole).to_numpy(zero_copy_only=False)
+        joined = iter(self._joined(every.filter(pa.array(~whole)) if whole.any() else every))
+        others = iter(self._library([*compress(texts, whole)]))
+        return [next(others if w else joined) for w in whole.tolist()]
+
+    def _joined(self, texts: pa.Array) -> list[bytes]:
+        """The ids of texts that can be cut."""
+        starts = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        if starts[-1] == 0:
+            return [b""] * len(texts)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[: starts[-1]]
+        places = np.append(cut_places(data, starts[1:]), len(data))
+        pieces = pa.LargeStringArray.from_buffers(len(places) - 1, pa.py_buffer(places), pa.py_buffer(data))
+        return self.of_pieces.in_line(pieces, np.searchsorted(places, starts))
 
 
 def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = 2_000_000) -> str:
@@ -282,7 +330,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 2, id_col:
             held, made = 0, made + 1
             return row
 
-        for batch in slices(batches):
+        for batch in portions(batches, 1, CHARS):
             for i, data in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
                 ids.append(i)
                 texts.append(data + end)

@@ -331,6 +331,28 @@ def test_words_of_texts_are_looked_up_once_each(monkeypatch):
     assert asked and all(len(set(x)) == len(x) < 20 for x in asked)
 
 
+def test_words_go_to_the_library_once_whatever_marks_and_lines_stand_beside(monkeypatch):
+    model = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    asked: list[str] = []
+    pieces = tokenfile.LibraryEncoder._pieces
+    monkeypatch.setattr(tokenfile.LibraryEncoder, "_pieces", lambda self, found: asked.extend(found) or pieces(self, found))
+    encoder, library = tokenfile.LibraryEncoder(model), Tokenizer.from_str(model)
+    texts = [f"the café{a} the café{b}" for a in ("", ",", ".", "!?", "$$$", "'s", "\nIs") for b in ("", ".", ";", ".\nIs", "\n")]
+    assert encoder.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [p for p in asked if "café" in p] == [" café"]
+
+
+def test_cut_texts_have_the_ids_of_whole_texts():
+    model = open(public_tokenizers.path("byte_bpe_50k.json")).read()
+    encoder, library = tokenfile.LibraryEncoder(model, remembered=50, together=7), Tokenizer.from_str(model)
+    rng = random.Random(9)
+    letters = [*" \n\t\r\0\x1c\x85'.,$<1aasstlé×÷ßñ", " ", "\n", "\u0301", "\u00a0", "\u2003", "\u2019", "\u3000", "\u0e01", "日", "😀", "²", "\u02bc", "<|endoftext|>"]
+    for most in (len(letters), 12, 4):
+        some = rng.sample(letters, most)
+        texts = ["".join(rng.choice(some) for _ in range(rng.randrange(25))) for _ in range(1500)]
+        assert encoder.encode(texts) == [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_shard_access_count_and_occurrence():
     rng = np.random.default_rng(1)
     tokens = rng.zipf(1.3, 200_000).clip(0, 50_000).astype(np.uint32)
