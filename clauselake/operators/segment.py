@@ -9,6 +9,12 @@ The dictionary is a double-array trie that goes to every task. Only a dictionary
 most ``most`` letters goes there; a larger one is joined with the substrings of the runs
 instead, and tasks get each run with its arcs.
 
+A task takes the lattices of many runs at once, as arrays: the trie is walked from all
+letters together, then the paths are solved letter by letter from the ends of the runs.
+Long runs are solved in stretches that reach into the next one. What a stretch found of the
+beginning of the next must be what the next found, up to a constant; otherwise the run is
+solved as a whole, by itself.
+
 Defined results: null text has no words; empty and null dictionary words are passed over,
 repeated ones are one; with an empty dictionary a run is one word; ties have one result by
 the order above; texts are read whole.
@@ -20,9 +26,12 @@ import re
 import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +53,7 @@ class Trie:
 
     def __init__(self, words: Iterable[str]) -> None:
         words = sorted({w for w in words if w})
+        self.longest = max(map(len, words), default=1)
         letters = sorted({c for w in words for c in w})
         #: Codes begin at 1; 0 marks the end of a word.
         self.codes = {c: k for k, c in enumerate(letters, 1)}
@@ -88,6 +98,12 @@ class Trie:
                 return
             node = leaf + code
 
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        """check with room behind it for any letter code; two times base, and one more where a word ends at the node."""
+        base = np.frombuffer(self.base, np.int32)
+        check = np.append(np.frombuffer(self.check, np.int32), np.full(len(self.codes) + 1, -1, np.int32))
+        return check, base * 2 + (check[base] == np.arange(len(base), dtype=np.int32))
+
 
 def clusters(text: str) -> list[bool]:
     """Whether a word may begin at each position (and at the end): not before a mark."""
@@ -140,9 +156,10 @@ def segmenter(dictionary: DataFrame, word: str = "word", unspaced: str = UNSPACE
         raise ValueError(f"the dictionary has more than {most} letters; use segmented()")
     trie, parts = _trie(words), _pattern(unspaced)
 
-    @F.pandas_udf("array<string>")
-    def segment(runs: pd.Series) -> pd.Series:
-        return runs.map(_cutter(trie, parts))
+    @F.arrow_udf("array<string>")
+    def segment(runs: pa.Array) -> pa.Array:
+        cut = Cutter(trie, parts)
+        return pa.concat_arrays([pa.array([], pa.list_(pa.string())), *[cut.words(runs.slice(begin, end - begin)) for begin, end in _slices(runs)]])
 
     return lambda text: segment(_runs(text))
 
@@ -151,42 +168,243 @@ def _runs(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(text)), F.lit(RUN), F.lit(0))
 
 
-#: Letters whose words a task holds at once, and letters of runs whose words it remembers.
-LETTERS_AT_ONCE = 500_000
-
-
-def _cutter(trie: Trie, parts: re.Pattern[str]) -> Callable[[Iterable[str] | None], list[str]]:
-    """The words of the runs of a text. Runs are remembered while they have few letters in all."""
-    known: dict[str, list[str]] = {}
-    letters = 0
-
-    def of(run: str) -> list[str]:
-        nonlocal letters
-        if run not in known:
-            if letters > LETTERS_AT_ONCE:
-                known.clear()
-                letters = 0
-            letters += len(run)
-            known[run] = [w for piece, un in _pieces(run, parts) for w in (least_path(piece, lambda k: trie.ends(piece, k)) if un else [piece])]
-        return known[run]
-
-    return lambda runs: [w for run in (() if runs is None else runs) for w in of(run)]
+#: Bytes of letters whose words a task holds at once, and letters whose lattice it holds at once.
+LETTERS_AT_ONCE = 1_000_000
+LATTICE_AT_ONCE = 100_000
+#: Letters of a stretch of a long run, and how far it reaches into the next, at least ``LONGEST``.
+STRETCH, REACH = 512, 256
+#: Ways through a lattice are compared as one number: letters left over, words, and the last eight bits for the arc taken.
+LEFT_OVER, WORD, ARC = 1 << 36, 1 << 8, (1 << 8) - 1
+NO_ARC = 1 << 62
+
+
+def _arc(size: np.ndarray | int, left_over: bool) -> np.ndarray | int:
+    """The longest first, words before letters left over."""
+    return (LONGEST - np.minimum(size, LONGEST)) * 2 + left_over
+
+
+def _of(array: np.ndarray, index: np.ndarray) -> np.ndarray:
+    return array.take(index, mode="clip")
+
+
+class Lattice(NamedTuple):
+    """Solved pieces, given from the longest. Layer t has the letter that stands t before the end of each piece of
+    so many letters; layer 0 is their ends."""
+
+    #: Where each layer begins.
+    first: np.ndarray
+    #: Which piece, and which letter of the text.
+    lane: np.ndarray
+    at: np.ndarray
+    #: How far a letter goes with its marks.
+    rest: np.ndarray
+    #: The arc taken after a word and after a letter left over, and costs from there to the end.
+    taken: np.ndarray
+    costs: tuple[np.ndarray, np.ndarray]
+
+
+class Cutter:
+    """The words of runs of letters, by arrays."""
+
+    def __init__(self, trie: Trie, parts: re.Pattern[str]) -> None:
+        self.trie, self.parts = trie, parts
+        self.check, self.base = trie.arrays()
+        #: By code point: the letter's code, -1 for one of no word; 1 for one met, 2 if its script has no spaces, 4 if it is a mark.
+        self.codes, self.kinds = np.full(0x110000, -1, np.int32), np.zeros(0x110000, np.uint8)
+        for letter, code in trie.codes.items():
+            self.codes[ord(letter)] = code
+
+    def words(self, runs: pa.Array) -> pa.Array:
+        """Lists of runs to lists of words. Words lie in the runs' bytes one behind the other: only where they begin is new."""
+        values = runs.flatten().cast(pa.string())
+        counts = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+        offsets = _offsets(values)
+        data = values.buffers()[2][offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else pa.py_buffer(b"")
+        octets = np.frombuffer(data, np.uint8)
+        byte_of = np.append(np.flatnonzero((octets & 0xC0) != 0x80), len(octets)).astype(np.int32)
+        letters = np.frombuffer(bytes(data).decode().encode("utf-32-le"), np.int32)
+        starts = np.searchsorted(byte_of, offsets - offsets[0])
+        at = np.flatnonzero(self._cuts(letters, starts))
+        of_row = np.searchsorted(at, starts[np.append(0, np.cumsum(counts))]).astype(np.int32)
+        found = pa.StringArray.from_buffers(len(at), pa.py_buffer(np.append(byte_of[at], byte_of[-1:])), data)
+        return pa.ListArray.from_arrays(pa.array(of_row), found)
+
+    def _cuts(self, letters: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Whether a word begins at each letter of runs that begin at ``starts``."""
+        kinds = _of(self.kinds, letters)
+        if not kinds.all():
+            for c in np.unique(letters[kinds == 0]).tolist():
+                self.kinds[c] = 1 | 2 * (self.parts.match(chr(c))["un"] is not None) | 4 * unicodedata.category(chr(c)).startswith("M")
+            kinds = _of(self.kinds, letters)
+        unspaced = kinds & 2
+        cut = np.zeros(len(letters) + 1, bool)
+        cut[1:-1] = unspaced[1:] != unspaced[:-1]
+        cut[starts] = True
+        begin = np.flatnonzero(cut[:-1])
+        size = np.diff(np.append(begin, len(letters)))
+        opens, code = ((kinds & 4) == 0) | cut[:-1], _of(self.codes, letters)
+        keep = np.flatnonzero((unspaced[begin] > 0) & (size > 1))
+        begin, size = begin[keep], size[keep]
+        long = size > STRETCH + REACH
+        begins, sizes = begin[~long], size[~long]
+        for lattice, which in self._solved(code, opens, begins, sizes):
+            _trace(lattice, sizes[which], cut)
+        if long.any():
+            self._cut_long(letters, code, opens, begin[long], size[long], cut)
+        return cut[:-1]
+
+    def _solved(self, code: np.ndarray, opens: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[Lattice, np.ndarray]]:
+        """Portions of the pieces from the longest, and which pieces they are."""
+        order = np.argsort(-size, kind="stable")
+        done, ends = 0, np.append(0, np.cumsum(size[order]))
+        while done < len(order):
+            end = max(done + 1, int(np.searchsorted(ends, ends[done] + LATTICE_AT_ONCE, "right")) - 1)
+            which = order[done:end]
+            yield self._lattice(code, opens, begin[which], size[which]), which
+            done = end
+
+    def _lattice(self, code: np.ndarray, opens: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Lattice:
+        lanes, layers = len(size), int(size[0]) + 1
+        alive = (lanes - np.append(0, np.cumsum(np.bincount(size, minlength=layers))[:-1])).astype(np.int32)
+        first = np.append(0, np.cumsum(alive)).astype(np.int32)
+        n = int(first[-1])
+        place, layer = np.arange(n, dtype=np.int32), np.repeat(np.arange(layers, dtype=np.int32), alive)
+        lane = place - _of(first, layer)
+        at = _of((begin + size).astype(np.int32), lane) - layer
+        # The next letter of one in layer t is in layer t - 1.
+        after = place - np.repeat(np.append(np.int32(0), alive[:-1]), alive)
+        code = np.append(np.full(lanes, -1, np.int32), _of(code, at[lanes:]))
+        opened = np.append(np.ones(lanes, bool), _of(opens, at[lanes:]))
+        marks = not opened.all()
+
+        # Arcs: all words that begin at a letter and end where a word may end, a letter's arcs side by side.
+        found = []
+        origin = to = place[lanes:][opened[lanes:]]
+        base = np.full(len(origin), self.base[0] >> 1, np.int32)
+        node = np.zeros(len(origin), np.int32)
+        for letters in range(1, LONGEST + 1):
+            child = base + _of(code, to)
+            keep = np.flatnonzero(_of(self.check, child) == node)
+            if not len(keep):
+                break
+            origin, to, node = _of(origin, keep), _of(after, _of(to, keep)), _of(child, keep)
+            base = _of(self.base, node)
+            ends = np.flatnonzero(base & _of(opened, to) if marks else base & 1)
+            base >>= 1
+            found.append((letters, _of(origin, ends), _of(to, ends)))
+        del place, layer, origin, base, node
+        n_arcs = np.bincount(np.concatenate([o for _, o, _ in found]), minlength=n) if found else np.zeros(n, np.int64)
+        # One that leads nowhere where there is none.
+        arc_of = np.append(0, np.cumsum(np.maximum(n_arcs, 1))).astype(np.int32)
+        free = arc_of[:-1].copy()
+        arc_to, arc_cost = np.zeros(arc_of[-1], np.int32), np.full(arc_of[-1], NO_ARC, np.int64)
+        for letters, origin, to in found:
+            slot = _of(free, origin)
+            arc_to[slot], arc_cost[slot], free[origin] = to, WORD + _arc(letters, False), slot + 1
+        del found, free, n_arcs
+
+        # A letter left over goes with its marks.
+        rest_to, rest = after.copy(), np.ones(n, np.int64)
+        todo = np.flatnonzero(opened & ~_of(opened, rest_to)) if marks else ()
+        while len(todo):
+            rest_to[todo] = _of(after, rest_to[todo])
+            rest[todo] += 1
+            todo = todo[~opened[rest_to[todo]]]
+
+        cost, rest_after, taken = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 2), np.uint8)
+        bounds, arc_bounds, one = first.tolist(), arc_of[first].tolist(), LEFT_OVER + _arc(1, True)
+        for t in range(1, layers):
+            a, b, c, d = bounds[t], bounds[t + 1], arc_bounds[t], arc_bounds[t + 1]
+            if marks:
+                left = _of(rest_after, rest_to[a:b]) + (rest[a:b] * LEFT_OVER + _arc(rest[a:b], True))
+            else:
+                left = rest_after[bounds[t - 1] : bounds[t - 1] + b - a] + one
+            least = np.minimum.reduceat(_of(cost, arc_to[c:d]) + arc_cost[c:d], arc_of[a:b] - c)
+            word = np.minimum(left + WORD, least)
+            left = np.minimum(left, least)
+            taken[a:b, 0], taken[a:b, 1] = word & ARC, left & ARC
+            cost[a:b], rest_after[a:b] = word & ~ARC, left & ~ARC
+        return Lattice(first, lane, at, rest, taken, (cost, rest_after))
+
+    def _cut_long(self, letters: np.ndarray, code: np.ndarray, opens: np.ndarray, begin: np.ndarray, size: np.ndarray, cut: np.ndarray) -> None:
+        """Mark in ``cut`` where words of long pieces begin."""
+        parts = -(-(size - REACH) // STRETCH)
+        piece = np.repeat(np.arange(len(size)), parts)
+        at = begin[piece] + STRETCH * (np.arange(len(piece)) - np.repeat(np.cumsum(parts) - parts, parts))
+        n = np.minimum(STRETCH + REACH, (begin + size)[piece] - at)
+        last, near = np.append(piece[1:] != piece[:-1], True), np.arange(min(LONGEST, self.trie.longest))
+        taken, wide = np.zeros((len(letters), 2), np.uint8), np.zeros(len(piece), bool)
+        own, seen = (np.empty((len(piece), 2 * len(near)), np.int64) for _ in range(2))
+        for lattice, which in self._solved(code, opens, at, n):
+            lanes = np.arange(len(which))
+            mine = (lattice.at - at[which][lattice.lane] < STRETCH) | last[which][lattice.lane]
+            mine[: len(which)] = False
+            taken[lattice.at[mine]] = lattice.taken[mine]
+            wide[which] = lattice.rest.max() > len(near)
+            for found, offset in ((own, 0), (seen, STRETCH)):
+                place = lattice.first[np.maximum(n[which][:, None] - offset - near, 0)] + lanes[:, None]
+                found[which] = np.hstack([cost[place] for cost in lattice.costs])
+        # Costs at the beginning of each stretch but the first, as the one before it found them and as it did itself.
+        opened = np.tile(opens[at[1:, None] + near], 2)
+        apart = seen[:-1] - own[1:]
+        same = opened[:, : len(near)].any(1) & ((apart == np.take_along_axis(apart, opened.argmax(1)[:, None], 1)) | ~opened).all(1)
+        whole = {*piece[wide].tolist(), *piece[:-1][~last[:-1] & ~same].tolist()}
+        for k, (a, size_of) in enumerate(zip(begin.tolist(), size.tolist(), strict=True)):
+            if k in whole:
+                text = letters[a : a + size_of].tobytes().decode("utf-32-le")
+                words = least_path(text, lambda start, text=text: self.trie.ends(text, start))
+                cut[a + np.cumsum([0, *map(len, words)])[:-1]] = True
+                continue
+            arcs, opening = taken[a : a + size_of].tobytes(), opens[a : a + size_of].tobytes()
+            begins, to, left_over = [], 0, 0
+            while 0 <= to < size_of:
+                arc = arcs[2 * to + left_over]
+                if not arc & left_over:
+                    begins.append(a + to)
+                left_over = arc & 1
+                to = opening.find(1, to + 1) if left_over else to + LONGEST - (arc >> 1)
+            cut[begins] = True
+
+
+def _trace(lattice: Lattice, size: np.ndarray, cut: np.ndarray) -> None:
+    """Mark in ``cut`` where words begin, from the fronts of all pieces along the arcs taken."""
+    lane, t, left_over = np.arange(len(size)), size, np.zeros(len(size), np.int64)
+    taken = lattice.taken.reshape(-1)
+    while len(lane):
+        place = _of(lattice.first, t) + lane
+        arc = _of(taken, 2 * place + left_over)
+        cut[_of(lattice.at, place)[(arc & left_over) == 0]] = True
+        left_over = (arc & 1).astype(np.int64)
+        t = t - np.where(left_over, _of(lattice.rest, place), LONGEST - (arc >> 1))
+        more = np.flatnonzero(t)
+        lane, t, left_over = lane[more], t[more], left_over[more]
+
+
+def _offsets(values: pa.Array) -> np.ndarray:
+    """Where strings begin in their bytes, and where the last one ends."""
+    return np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int32)
+
+
+def _slices(runs: pa.Array) -> Iterator[tuple[int, int]]:
+    """Rows from and to, of about so many bytes of letters as are held at once."""
+    lengths = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
+    before = _offsets(runs.flatten().cast(pa.string())).astype(np.int64)[np.append(0, np.cumsum(lengths))]
+    begin = 0
+    while begin < len(runs):
+        end = min(max(begin + 1, int(np.searchsorted(before, before[begin] + LETTERS_AT_ONCE))), len(runs))
+        yield begin, end
+        begin = end
 
 
 def _cut_in_slices(trie: Trie, parts: re.Pattern[str]):
     """Batches of key and runs to key and tokens. A batch of texts is cut a few at a time: words of all of them are never there at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut = _cutter(trie, parts)
+        cut = Cutter(trie, parts)
         for batch in batches:
             keys, runs = batch.columns
-            held, begin, size = [], 0, 0
-            for at in range(batch.num_rows):
-                held.append(cut(runs[at].as_py()))
-                size += sum(map(len, held[-1]))
-                if size >= LETTERS_AT_ONCE or at + 1 == batch.num_rows:
-                    yield pa.RecordBatch.from_arrays([keys.slice(begin, len(held)), pa.array(held, pa.list_(pa.string()))], names=batch.schema.names)
-                    held, begin, size = [], at + 1, 0
+            for begin, end in _slices(runs):
+                yield pa.RecordBatch.from_arrays([keys.slice(begin, end - begin), cut.words(runs.slice(begin, end - begin))], names=batch.schema.names)
 
     return run
 

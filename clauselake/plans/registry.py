@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from clauselake.functions import text as T
 from clauselake.operators import answers, chunking, enrich, evaluation, retrieval, segment
 from clauselake.sources import store
-from clauselake.sources.scratch import written
+from clauselake.sources.scratch import spread, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -293,7 +293,7 @@ def hybrid_keyword_topk(spark, sf_dir):
 def segment_words(spark, sf_dir):
     """Documents without the spaces between their words, cut by the words of all benchmark items."""
     known = table(spark, sf_dir, "benchmark").select(F.explode(retrieval.words("text")).alias("word"))
-    joined = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", " ", "").alias("joined"))
+    joined = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.replace("text", F.lit(" "), F.lit("")).alias("joined"))
     found = segment.segmented(joined, known, "doc_id", "joined", unspaced="a-zà-ÿ")
     return found.select("doc_id", F.size("tokens").alias("n"), F.sha2(F.array_join("tokens", " "), 256).alias("words"))
 

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +39,9 @@ def measured(df: DataFrame, label: str, **sums: Column) -> tuple[DataFrame, dict
     state = Observation()
     table = written(df.observe(state, *[c.alias(name) for name, c in sums.items()]), label)
     return table, state.get
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt by ``key`` to twice as many tasks as the cluster has cores, where fewer tasks than that have rows (large files of few row groups)."""
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.select(F.spark_partition_id()).distinct().count() >= tasks else df.repartition(tasks, key)

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql.functions import spark_partition_id
+
 from clauselake.operators import segment
 from clauselake.operators.retrieval import Bm25
 
@@ -163,3 +165,60 @@ def test_words_of_a_batch_are_never_there_at_once(monkeypatch):
     got = [r for b in found for r in b.to_pylist()]
     want = [[w for run in row or () for piece, un in segment._pieces(run, parts) for w in (segment.least_path(piece, lambda k: trie.ends(piece, k)) if un else [piece])] for row in runs]
     assert [r["tokens"] for r in got] == want + [[], []] and [r["k"] for r in got] == [*range(92), 90, 91]
+
+
+def cut_by_arrays(words, unspaced, rows):
+    import pyarrow as pa
+
+    batch = pa.record_batch({"k": list(range(len(rows))), "tokens": pa.array(rows, pa.list_(pa.string()))})
+    return [r["tokens"] for b in segment._cut_in_slices(segment.Trie(words), segment._pattern(unspaced))(iter([batch])) for r in b.to_pylist()]
+
+
+def cut_alone(words, unspaced, rows):
+    trie, parts = segment.Trie(words), segment._pattern(unspaced)
+    return [[w for run in row or () for piece, un in segment._pieces(run, parts) for w in (segment.least_path(piece, lambda k: trie.ends(piece, k)) if un else [piece])] for row in rows]
+
+
+def test_lattices_of_many_runs_are_solved_together(monkeypatch):
+    """Runs of usual and of great length take no search of their own."""
+    rng = random.Random(5)
+    words = dictionary(5, 300, "abcdefgh")
+    texts = [["".join(rng.choice([*words, "x"]) for _ in range(n)) for n in (1, 5, 30)] for _ in range(200)] + [["การสอบ" * 3000, "x"], None, [], [""]]
+    words |= {"การ", "สอบ"}
+    want = cut_alone(words, "a-zก-๎", texts)
+    monkeypatch.setattr(segment, "least_path", None)
+    assert cut_by_arrays(words, "a-zก-๎", texts) == want
+
+
+def test_arrays_equal_the_search_of_each_run(monkeypatch):
+    """Marks, letters beyond the first plane, other scripts, small portions, and long runs whose stretches agree or do not."""
+    rng, alone = random.Random(6), []
+    plain = segment.least_path
+    monkeypatch.setattr(segment, "least_path", lambda *a: alone.append(a[0]) or plain(*a))
+    for k in range(15):
+        letters = rng.choice(["ab", "abc", "กิี้้", "aé😀b"])
+        words = dictionary(k, rng.choice([0, 3, 12]), letters)
+        unspaced = rng.choice(["a-z", segment.UNSPACED, "a-zà-ÿ😀"])
+        rows = [None, [], *([rng.choice([*letters, "7"]) * rng.randrange(90) + "".join(rng.choice([*words, *letters, "é"]) for _ in range(rng.choice([1, 9, 60, 700]))) for _ in range(3)] for _ in range(6))]
+        monkeypatch.setattr(segment, "LETTERS_AT_ONCE", rng.choice([1, 200, 1_000_000]))
+        monkeypatch.setattr(segment, "LATTICE_AT_ONCE", rng.choice([1, 200, 100_000]))
+        monkeypatch.setattr(segment, "STRETCH", rng.choice([9, 80, 512]))
+        monkeypatch.setattr(segment, "REACH", rng.choice([64, 256]))
+        want = cut_alone(words, unspaced, rows)
+        alone.clear()
+        assert cut_by_arrays(words, unspaced, rows) == want, (words, rows)
+    # The end of a run of one letter may tell how its beginning is cut: then it is solved as a whole.
+    monkeypatch.setattr(segment, "STRETCH", 512)
+    monkeypatch.setattr(segment, "REACH", 256)
+    monkeypatch.setattr(segment, "LATTICE_AT_ONCE", 100_000)
+    for n in (2000, 2001):
+        alone.clear()
+        got = cut_by_arrays(["aa"], "a-z", [["a" * n]])
+        assert len(alone) == n % 2 and got == cut_alone(["aa"], "a-z", [["a" * n]])
+
+
+def test_documents_of_one_file_go_to_many_tasks(spark):
+    from clauselake.plans.registry import QUERIES
+
+    found = QUERIES["segment_words"](spark, "/root/testdata/sf0.001").select("doc_id", spark_partition_id().alias("task"))
+    assert found.select("task").distinct().count() > 4
